@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, exact_dedup, packing, warc
+from . import ann, bpe, exact_dedup, licenses, packing, repeats, toxicity, warc
 from .common import stored
 
 MULTI, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -15,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -23,16 +28,33 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(MULTI), public_tokenizers.PATTERN)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 5
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, remainder != 0))
+    return scored.select("doc_id", (remainder == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
     return packing.pack(stored(cut, "pieces")).withColumnRenamed("doc", "doc_id")
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors.where("vec_id % 20 = 0"), vectors, k=20)
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op4_byte_bpe, op6_best_fit_packing, op8_warc)}
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = repeats.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op3_exact_dedup, op4_byte_bpe, op5_toxicity, op6_best_fit_packing, op7_nearest_neighbours, op8_warc, op10_repeats)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
