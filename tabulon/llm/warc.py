@@ -34,6 +34,7 @@ def _chunks(chunk: int):
         """WARC records as text rows: a header block and one chunk of at most `chunk` bytes; a longer record goes on in
         continuation records, numbered from 1, as the standard has them. The writer's line separator ends each record."""
         serial = TaskContext.get().partitionId() << 33  # tells records of one identifier apart
+        ids, chunks, records, held = [], [], [], 0
         for frame in frames:
             for x in frame.itertuples(index=False):
                 serial += 1
@@ -53,7 +54,15 @@ def _chunks(chunk: int):
                         if n > 1:
                             head += f"WARC-Segment-Number: {k + 1}\r\n" + (f"WARC-Segment-Origin-ID: {rid}\r\n" if k else "") + (f"WARC-Segment-Total-Length: {len(http) + len(body)}\r\n" if k == n - 1 else "")
                         out.append(f"{head}Content-Type: application/http;msgtype=response\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block)
-                yield pd.DataFrame({"id": [x.id] * len(out), "chunk": range(len(out)), "record": out})
+                ids += [x.id] * len(out)
+                chunks += range(len(out))
+                records += out
+                held += sum(map(len, out))
+                if held > 4 << 20:
+                    yield pd.DataFrame({"id": ids, "chunk": chunks, "record": records})
+                    ids, chunks, records, held = [], [], [], 0
+        if ids:
+            yield pd.DataFrame({"id": ids, "chunk": chunks, "record": records})
 
     return write
 
