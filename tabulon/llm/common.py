@@ -76,16 +76,27 @@ def words_of(data: np.ndarray, starts: np.ndarray, seed: int = 1) -> tuple[np.nd
     length = end - begin
     place = np.arange(int(length.max()), dtype=np.uint64)
     powers = mix64(place * _M1 + np.uint64(seed)) | np.uint64(1)
-    within = ~space
-    offset = np.arange(len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data)))) if begin[0] == 0 else None
-    if offset is None:
-        offset = np.arange(len(data)) - np.concatenate([np.zeros(begin[0], np.int64), np.repeat(begin, np.diff(np.append(begin, len(data))))])
-    value = np.zeros(len(data), np.uint64)
-    value[within] = mix64(data[within].astype(np.uint64) + np.uint64(seed * 1000 + 7)) * powers[offset[within]]
-    total = np.add.reduceat(value, begin)
+    table = mix64(np.arange(256, dtype=np.uint64) + np.uint64(seed * 1000 + 7))
+    table[SPACE] = 0
+    from_ = np.zeros(len(data), np.int32)
+    from_[begin] = np.diff(begin, prepend=0)
+    offset = np.minimum(np.arange(len(data), dtype=np.int32) - np.cumsum(from_, dtype=np.int32), len(place) - 1)
+    total = np.add.reduceat(table[data] * powers[offset], begin)
     return mix64(total + length.astype(np.uint64) * _M1), first
 
 
+def parts_of(texts, most: int = 1 << 20):
+    """Consecutive ranges (from, to) of texts of about `most` characters, or of one longer text."""
+    a, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= most:
+            yield a, i + 1
+            a, size = i + 1, 0
+    if a < len(texts):
+        yield a, len(texts)
+
+
 def shingles_of(texts, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Every text's distinct k-word shingles as sorted 64-bit hashes, and where each text's begin.
 

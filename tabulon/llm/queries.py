@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, licenses, packing, repeats, toxicity, warc
+from . import ann, bpe, exact_dedup, jaccard, licenses, packing, repeats, toxicity, warc
 from .common import stored
 
 MULTI, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -20,6 +20,10 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"), keep="max")
 
@@ -54,7 +58,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op3_exact_dedup, op4_byte_bpe, op5_toxicity, op6_best_fit_packing, op7_nearest_neighbours, op8_warc, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard_join, op3_exact_dedup, op4_byte_bpe, op5_toxicity, op6_best_fit_packing, op7_nearest_neighbours, op8_warc, op10_repeats)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
