@@ -62,7 +62,12 @@ def joined(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def words_of(data: np.ndarray, starts: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the lower-cased words of joined() texts, and each text's first word (with the end of the last).
+    """64-bit hashes of the lower-cased words of joined() texts, and each text's first word (with the end of the last)."""
+    return placed_words(data, starts, seed)[:2]
+
+
+def placed_words(data: np.ndarray, starts: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As words_of(), with each word's place and length in bytes.
 
     A word's hash sums its bytes times powers of an odd multiplier, which needs no loop over words."""
     data = np.frombuffer(LOWER_BYTES, np.uint8)[data]
@@ -72,7 +77,7 @@ def words_of(data: np.ndarray, starts: np.ndarray, seed: int = 1) -> tuple[np.nd
     end = end[-len(begin):] if len(begin) else end[:0]
     first = np.searchsorted(begin, starts)
     if not len(begin):
-        return np.zeros(0, np.uint64), first
+        return np.zeros(0, np.uint64), first, begin, end
     length = end - begin
     place = np.arange(int(length.max()), dtype=np.uint64)
     powers = mix64(place * _M1 + np.uint64(seed)) | np.uint64(1)
@@ -82,7 +87,7 @@ def words_of(data: np.ndarray, starts: np.ndarray, seed: int = 1) -> tuple[np.nd
     from_[begin] = np.diff(begin, prepend=0)
     offset = np.minimum(np.arange(len(data), dtype=np.int32) - np.cumsum(from_, dtype=np.int32), len(place) - 1)
     total = np.add.reduceat(table[data] * powers[offset], begin)
-    return mix64(total + length.astype(np.uint64) * _M1), first
+    return mix64(total + length.astype(np.uint64) * _M1), first, begin, length
 
 
 def parts_of(texts, most: int = 1 << 20):

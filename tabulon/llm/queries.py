@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, jaccard, licenses, packing, repeats, toxicity, warc
+from . import ann, bpe, exact_dedup, jaccard, licenses, lm, packing, repeats, toxicity, warc
 from .common import stored
 
 MULTI, WORD_BPE = "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json"
@@ -53,12 +53,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 7
+    scored = lm.score(_table(spark, sf_dir, "documents"), remainder != 2)
+    return scored.select("doc_id", (remainder == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = repeats.remove_repeats(_table(spark, sf_dir, "documents"), window=50)
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard_join, op3_exact_dedup, op4_byte_bpe, op5_toxicity, op6_best_fit_packing, op7_nearest_neighbours, op8_warc, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_ngram_jaccard_join, op3_exact_dedup, op4_byte_bpe, op5_toxicity, op6_best_fit_packing, op7_nearest_neighbours, op8_warc, op9_lm_score, op10_repeats)}
 
 ORACLE_SQL = {
     "op3_exact_dedup": """
