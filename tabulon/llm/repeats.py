@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from .common import mix64
 
-WINDOW, SLICE, CHUNK = 50, 1 << 19, 12 << 20
+WINDOW, SLICE, CHUNK = 50, 1 << 19, 8 << 20
+#: A k-gram that more chunks than this send with different stretches is compared by hashes of whole windows.
+HOT = 256
 _U = np.uint64
 _ODD = mix64(np.arange(1, 5, dtype=np.uint64)) | _U(1)
 _VALUES = [mix64(np.arange(256, dtype=np.uint64) + _U(1000 * (j + 1))) for j in range(2)]
 MIXED = 0
+DECIDED, COLD, SPREAD = 0, 1, 2
 NONE = np.iinfo(np.int64).max
 
 
@@ -73,8 +76,8 @@ class Chunk:
         self.k = max(1, window * 2 // 5)
         self.slices: list[tuple] = []
         parts = [self._anchors(*s) for s in self._cut()]
-        names = ("slice", "doc", "first", "last", "gram", "stretch")
-        self.slice, self.doc, self.first, self.last, self.gram, self.stretch = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(len(names)))
+        names = ("slice", "doc", "first", "last", "anchor", "gram", "stretch")
+        self.slice, self.doc, self.first, self.last, self.anchor, self.gram, self.stretch = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(len(names)))
         # the anchors by k-gram: per group its smallest document, and its stretch or MIXED
         self.grams, self.group = np.unique(self.gram, return_inverse=True)
         self.grams = self.grams.astype(_U)
@@ -130,7 +133,7 @@ class Chunk:
         stretch = np.maximum(mix64(sums.part(first, last + w) + (a - first).astype(_U)), _U(MIXED + 1))
         shift = np.array([x for _, x, _ in part])[piece] - begin[piece]
         doc = np.array([d for d, _, _ in part])[piece]
-        return np.full(len(i), number), doc, first + shift, last + shift, mix64(gram[a]), stretch
+        return np.full(len(i), number), doc, first + shift, last + shift, a + shift, mix64(gram[a]), stretch
 
     def windows(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(doc, start, two hashes) of all windows of the marked anchors, part by part."""
@@ -148,14 +151,28 @@ class Chunk:
             p = start - np.array([a for _, a, _ in part])[piece] + begin[piece]
             yield doc, start, sums[0].part(p, p + self.window), sums[1].part(p, p + self.window)
 
-    def undecided(self, grams: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-        """Marks the anchors whose windows must be compared whole: their k-gram occurs in several documents, with several
-        stretches. grams and mixed: what other chunks have of them, by the reply."""
-        there = np.zeros(len(self.grams), bool)
+    def undecided(self, grams: np.ndarray, state: np.ndarray) -> np.ndarray:
+        """Per anchor: COLD or SPREAD where its k-gram occurs in several documents with several stretches, so that windows
+        must be compared; else DECIDED. grams and state: the reply on what other chunks have."""
+        there = np.zeros(len(self.grams), np.int8)
         elsewhere = np.isin(self.grams, grams)
-        there[elsewhere] = mixed[np.searchsorted(grams, self.grams[elsewhere])]
-        alone = ~elsewhere & (self.one == MIXED) & (self.least < self.most)
-        return (there | alone)[self.group] if len(self.group) else np.zeros(0, bool)
+        there[elsewhere] = state[np.searchsorted(grams, self.grams[elsewhere])]
+        there[~elsewhere & (self.one == MIXED) & (self.least < self.most)] = COLD
+        return there[self.group] if len(self.group) else np.zeros(0, np.int8)
+
+    def stretches(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct (k-gram, stretch) of the marked anchors, sorted: for each an anchor of its smallest document; and
+        for each marked anchor which of them it has, and whether it is in that document."""
+        at = np.flatnonzero(which)
+        order = np.lexsort((self.ids[self.doc[at]], self.stretch[at], self.gram[at]))
+        at = at[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (self.gram[at[1:]] != self.gram[at[:-1]]) | (self.stretch[at[1:]] != self.stretch[at[:-1]])
+        number = np.empty(len(at), np.int64)
+        number[order] = np.cumsum(new) - 1
+        rep = at[new]
+        marked = np.flatnonzero(which)
+        return rep, number, self.ids[self.doc[marked]] == self.ids[self.doc[rep[number]]] if len(rep) else np.zeros(0, bool)
 
     def least_of(self, grams: np.ndarray, least: np.ndarray) -> np.ndarray:
         """Each anchor's smallest document with its k-gram, other chunks' among them."""
@@ -177,24 +194,78 @@ def _unique_windows(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return a[keep], b[keep], d[keep]
 
 
-def _dealt(chunk: int, buckets: int, key: np.ndarray, *columns: np.ndarray) -> pd.DataFrame:
+def _dealt(kind: int, chunk: int, buckets: int, key: np.ndarray, v: np.ndarray, d: np.ndarray, shape: np.ndarray | None = None, texts: list[bytes] = ()) -> pd.DataFrame:
     """Sorted keys and their columns as packed rows, one for each bucket: a bucket has a range of keys."""
     bucket = ((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
     ends = np.flatnonzero(np.append(np.diff(bucket) != 0, True)) + 1 if len(key) else np.zeros(0, np.int64)
+    columns = (v, d, np.zeros((len(key), 0), np.uint16) if shape is None else shape)
     rows, a = [], 0
     for b in ends:
-        rows.append((int(bucket[a]), chunk, *(c[a:b].tobytes() for c in (key, *columns))))
+        rows.append((kind, int(bucket[a]), chunk, *(c[a:b].tobytes() for c in (key, *columns)), b"".join(texts[a:b])))
         a = b
-    return pd.DataFrame(rows, columns=["bucket", "chunk", "k", "v", "d"][: 3 + len(columns)])
-
-
-_SENT = "bucket int, chunk int, k binary, v binary, d binary"
-_REPLY = "chunk int, kind int, k binary, v binary, d binary"
-
-
-def _answers(frame: pd.DataFrame, kind: int) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS)
+
+
+_COLUMNS = ["kind", "bucket", "chunk", "k", "v", "d", "shape", "texts"]
+_SENT = "kind int, bucket int, chunk int, k binary, v binary, d binary, shape binary, texts binary"
+_REPLY = "chunk int, kind int, bucket int, k binary, v binary, d binary"
+
+
+def compare_windows(frame: pd.DataFrame, window: int, width: int) -> pd.DataFrame:
+    """Stretches of one bucket's k-grams, compared window by window: for each stretch, bit i says that its window i also
+    starts in a document smaller than the stretch's own. Back to each chunk in the order it asked.
+
+    The windows are sorted by radix passes of eight bytes, from the most significant: k-gram and place about the
+    anchor first, then byte after byte up to the window's length. After each pass, windows that are alone, or whose
+    group is of one document, are left out."""
+    gram = np.frombuffer(b"".join(frame["k"]), _U)
+    doc = np.frombuffer(b"".join(frame["d"]), np.int64)
+    shape = np.frombuffer(b"".join(frame["shape"]), np.uint16).reshape(-1, 2).astype(np.int64)
+    data = np.frombuffer(b"".join(frame["texts"]) + bytes(8), np.uint8)
+    count = shape[:, 0] - window + 1
+    begin = np.append(0, np.cumsum(shape[:, 0])[:-1])
+    of = np.repeat(np.arange(len(gram)), count)
+    inner = np.arange(len(of)) - np.repeat(np.append(0, np.cumsum(count)[:-1]), count)
+    at, who = begin[of] + inner, doc[of]
+    _, group = np.unique(gram, return_inverse=True)
+    group = group[of] * (2 * width + 2) + (inner - shape[of, 1] + width)
+    live = np.arange(len(of))
+    words = np.lib.stride_tricks.sliding_window_view(data, 8) if len(data) >= 8 else None
+    for depth in range(-8, window, 8):
+        if depth >= 0:  # eight bytes as a number; the last pass overlaps the one before so that it ends with the window
+            d = min(depth, window - 8) if window >= 8 else 0
+            digit = np.ascontiguousarray(words[at[live] + d]).view(">u8").ravel()
+            if window < 8:
+                digit = digit >> np.uint64(8 * (8 - window))
+            order = np.lexsort((digit, group))
+            group, digit, live = group[order], digit[order], live[order]
+            new = np.append(True, (group[1:] != group[:-1]) | (digit[1:] != digit[:-1])) if len(live) else np.zeros(0, bool)
+        else:
+            order = np.argsort(group, kind="stable")
+            group, live = group[order], live[order]
+            new = np.append(True, group[1:] != group[:-1]) if len(live) else np.zeros(0, bool)
+        if not len(live):
+            break
+        start = np.flatnonzero(new)
+        number = np.cumsum(new) - 1
+        low, high = np.minimum.reduceat(who[live], start), np.maximum.reduceat(who[live], start)
+        several = (low < high)[number]
+        group, live = number[several], live[several]
+    bits = np.zeros((len(gram), -(-width // 8) * 8), np.uint8)
+    if len(live):
+        start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        low = np.repeat(np.minimum.reduceat(who[live], start), np.diff(np.append(start, len(live))))
+        hit = live[who[live] > low]
+        bits[of[hit], inner[hit]] = 1
+    masks = np.packbits(bits, axis=1)
+    ends = np.cumsum([len(x) // 8 for x in frame["k"]])
+    rows = [(int(c), COLD, int(b), masks[e - len(k) // 8 : e].tobytes(), b"", b"") for c, b, k, e in zip(frame["chunk"], frame["bucket"], frame["k"], ends)]
+    return pd.DataFrame(rows, columns=["chunk", "kind", "bucket", "k", "v", "d"])
+
+
+def _answers(frame: pd.DataFrame, kind: int, hot: int = HOT) -> pd.DataFrame:
     """The keys that several chunks sent, back to each of them, with the smallest document, and for k-grams (kind 0)
-    whether their stretches differ. A chunk sends a key once, so a key has at most as many rows as there are chunks."""
+    whether their stretches differ (COLD, or SPREAD where more than `hot` chunks sent it) or not (DECIDED). A chunk sends a key once, so a key has at most as many rows as there are chunks."""
     k, v = (np.frombuffer(b"".join(frame[c]), _U) for c in "kv")
     d = np.frombuffer(b"".join(frame["d"]), np.int64)
     of = np.repeat(np.arange(len(frame)), [len(x) // 8 for x in frame["k"]])
@@ -205,7 +276,7 @@ def _answers(frame: pd.DataFrame, kind: int) -> pd.DataFrame:
     start = np.flatnonzero(new)
     size = np.diff(np.append(start, len(k)))
     least = np.minimum.reduceat(d, start)
-    extra = v[start] if kind else ((np.minimum.reduceat(v, start) != np.maximum.reduceat(v, start)) | (np.minimum.reduceat(v, start) == MIXED)).astype(_U)
+    extra = v[start] if kind else np.where((np.minimum.reduceat(v, start) != np.maximum.reduceat(v, start)) | (np.minimum.reduceat(v, start) == MIXED), np.where(size > hot, SPREAD, COLD), DECIDED).astype(_U)
     group = np.repeat(np.arange(len(start)), size)
     many = (size > 1)[group]
     g, of = group[many], of[many]
@@ -215,9 +286,9 @@ def _answers(frame: pd.DataFrame, kind: int) -> pd.DataFrame:
     rows, a = [], 0
     for b in (np.flatnonzero(np.append(np.diff(of) != 0, True)) + 1 if len(of) else ()):
         x = g[a:b]
-        rows.append((int(chunk[of[a]]), kind, k[start[x]].tobytes(), extra[x].tobytes(), least[x].tobytes()))
+        rows.append((int(chunk[of[a]]), kind, 0, k[start[x]].tobytes(), extra[x].tobytes(), least[x].tobytes()))
         a = b
-    return pd.DataFrame(rows, columns=["chunk", "kind", "k", "v", "d"])
+    return pd.DataFrame(rows, columns=["chunk", "kind", "bucket", "k", "v", "d"])
 
 
 def _reply(frame: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,14 +299,16 @@ def _reply(frame: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray, np.n
     return k[order], v[order], d[order]
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK, hot: int = HOT) -> DataFrame:
     """Per input row: id_col, n_bytes, n_removed, n_spans, kept (binary: the bytes that stay).
 
     Removed is each byte under a string of `window` bytes that also starts in a document of a smaller identifier; strings
     are those of the input. Documents are dealt to chunks by a hash of their identifier. Two rounds of packed keys decide:
-    first each chunk's distinct k-grams of anchors, then the whole windows of the k-grams that differ in their stretch.
-    As a chunk sends a key once, a passage that a third of all documents share weighs no more than any other. A stretch
-    counts as equal by a 128-bit hash (with its k-gram), a window by another.
+    first each chunk's distinct k-grams of anchors, then, of the k-grams that occur with different stretches, each chunk's
+    distinct stretches, whose windows are radix-sorted byte by byte. As a chunk sends a key once, a passage that a third of
+    all documents share weighs no more than any other; a k-gram that more than `hot` chunks have in different
+    surroundings is not gathered: the hashes of its windows are dealt to all buckets. A stretch counts as equal by a
+    128-bit hash (with its k-gram), and so do those windows.
 
     A null text is empty; rows with a null identifier stay whole and count for no other; rows with one identifier are one
     document for the rule and are cut alike; an empty table gives an empty result."""
@@ -250,22 +323,29 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
     def ask_grams(frame: pd.DataFrame) -> pd.DataFrame:
         c = loaded(frame)
-        return _dealt(int(frame["chunk"].iloc[0]), n, c.grams, c.one, c.least)
+        return _dealt(0, int(frame["chunk"].iloc[0]), n, c.grams, c.one, c.least)
 
-    def ask_windows(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def ask_more(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
-            return pd.DataFrame([], columns=["bucket", "chunk", "k", "v", "d"])
-        c = loaded(left)
-        grams, mixed, _ = _reply(right, 0)
-        a, b, d = _unique_windows([(x, y, c.ids[doc]) for doc, _, x, y in c.windows(c.undecided(grams, mixed != 0))])
-        return _dealt(int(left["chunk"].iloc[0]), n, a, b, d)
+            return pd.DataFrame([], columns=_COLUMNS)
+        c, number = loaded(left), int(left["chunk"].iloc[0])
+        grams, state, _ = _reply(right, 0)
+        state = c.undecided(grams, state)
+        rep, _, _ = c.stretches(state == COLD)
+        shape = np.column_stack([c.last[rep] - c.first[rep] + window, c.anchor[rep] - c.first[rep]]).astype(np.uint16)
+        texts = [c.texts[d][a : b + window] for d, a, b in zip(c.doc[rep], c.first[rep], c.last[rep])]
+        cold = _dealt(COLD, number, n, c.gram[rep], c.stretch[rep], c.ids[c.doc[rep]], shape, texts)
+        a, b, d = _unique_windows([(x, y, c.ids[doc]) for doc, _, x, y in c.windows(state == SPREAD)])
+        spread = _dealt(SPREAD, number, n, a, b, d)
+        return pd.concat([x for x in (cold, spread) if len(x)]) if len(cold) or len(spread) else cold
 
     def cut(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left):
             return pd.DataFrame([], columns=["id", "n_bytes", "n_removed", "n_spans", "kept"])
         c = loaded(left)
-        grams, mixed, least = _reply(right, 0)
-        whole = c.undecided(grams, mixed != 0)
+        grams, state, least = _reply(right, 0)
+        state = c.undecided(grams, state)
+        whole = state == SPREAD
         marks: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def mark(doc, begin, end):
@@ -275,11 +355,21 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             for x, y in zip(at, np.append(at[1:], len(doc)) if len(doc) else []):
                 marks.setdefault(int(doc[x]), []).append((begin[x:y], end[x:y]))
 
-        hit = ~whole & (c.ids[c.doc] > c.least_of(grams, least)) if len(c.doc) else np.zeros(0, bool)
+        hit = (state == DECIDED) & (c.ids[c.doc] > c.least_of(grams, least)) if len(c.doc) else np.zeros(0, bool)
         mark(c.doc[hit], c.first[hit], c.last[hit] + window)
+        cold = np.flatnonzero(state == COLD)
+        if len(cold):
+            rep, number, owner = c.stretches(state == COLD)
+            masks = right[right["kind"] == COLD].sort_values("bucket")["k"]
+            bits = np.unpackbits(np.frombuffer(b"".join(masks), np.uint8).reshape(len(rep), -1), axis=1)
+            other = cold[~owner]
+            mark(c.doc[other], c.first[other], c.last[other] + window)
+            i, j = np.nonzero(bits[number[owner]])
+            mine = cold[owner][i]
+            mark(c.doc[mine], c.first[mine] + j, c.first[mine] + j + window)
         found = list(c.windows(whole)) if whole.any() else []
         own = _unique_windows([(x, y, c.ids[doc]) for doc, _, x, y in found])
-        a, b, d = _unique_windows([own, _reply(right, 1)])
+        a, b, d = _unique_windows([own, _reply(right, SPREAD)])
         for doc, start, x, y in found:
             pos = _places(a, b, x, y)
             hit = c.ids[doc] > d[pos]
@@ -300,10 +390,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             out.append((i, len(body), len(body) - len(kept), spans, kept))
         return pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"id": "Int64"})
 
+    def compare(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["kind"].iloc[0] == SPREAD:
+            return _answers(frame, SPREAD)
+        return compare_windows(frame, window, window)
+
     asked = dealt.groupBy("chunk").applyInPandas(ask_grams, _SENT)
-    grams = asked.groupBy("bucket").applyInPandas(lambda f: _answers(f, 0), _REPLY)
-    asked = dealt.groupBy("chunk").cogroup(grams.groupBy("chunk")).applyInPandas(ask_windows, _SENT)
-    windows = asked.groupBy("bucket").applyInPandas(lambda f: _answers(f, 1), _REPLY)
+    grams = asked.select("bucket", "chunk", "k", "v", "d").groupBy("bucket").applyInPandas(lambda f: _answers(f, 0, hot), _REPLY)
+    asked = dealt.groupBy("chunk").cogroup(grams.groupBy("chunk")).applyInPandas(ask_more, _SENT)
+    windows = asked.groupBy("kind", "bucket").applyInPandas(compare, _REPLY)
     done = dealt.groupBy("chunk").cogroup(grams.unionByName(windows).groupBy("chunk")).applyInPandas(cut, "id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return done.withColumnRenamed("id", id_col)
 
