@@ -53,8 +53,10 @@ for _stat, _fn in {"mean": "avg", "sum": "sum", "n": "count", "min": "min", "max
 
 _simple("deskriptif_moments", "lineitem", lambda t: describe.describe(_holes(t), ["l_quantity", "l_discount"]).select("variable", "n", "mean", "sem", "sd", "variance", "skewness", "kurtosis", "min", "max", "median"), "SELECT 'l_quantity' AS variable, count(l_quantity) AS n, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity) / sqrt(count(l_quantity)), 6) AS sem, round(stddev_samp(l_quantity), 6) AS sd, round(var_samp(l_quantity), 6) AS variance, round(skewness(l_quantity), 6) AS skewness, round(kurtosis(l_quantity), 6) AS kurtosis, min(l_quantity) AS min, max(l_quantity) AS max, median(l_quantity) AS median FROM " + HOLES + " UNION ALL SELECT 'l_discount', count(l_discount), round(avg(l_discount), 6), round(stddev_samp(l_discount) / sqrt(count(l_discount)), 6), round(stddev_samp(l_discount), 6), round(var_samp(l_discount), 6), round(skewness(l_discount), 6), round(kurtosis(l_discount), 6), min(l_discount), max(l_discount), round(median(l_discount), 6) FROM lineitem")
 _simple("deskriptif", "lineitem", lambda t: describe.describe(t, ["l_quantity", "l_extendedprice"]))
-_Q6 = "WITH v AS (SELECT l_returnflag AS g, l_extendedprice AS x, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS r, count(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem), h AS (SELECT g, n, p, least(greatest((n + 1) * p, 1), n) AS h FROM (SELECT DISTINCT g, n FROM v), (VALUES (0.25::DOUBLE), (0.5), (0.75)) AS t(p)) "
-_simple("kuantil_type6", "lineitem", lambda t: describe.quantiles(t.select(F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("x")), "x", (0.25, 0.5, 0.75), ["grp"], names=("q1", "median", "q3")), _Q6 + "SELECT h.g AS grp, round(max(CASE WHEN p = 0.25 THEN a.x + (h - floor(h)) * (b.x - a.x) END), 6) AS q1, round(max(CASE WHEN p = 0.5 THEN a.x + (h - floor(h)) * (b.x - a.x) END), 6) AS median, round(max(CASE WHEN p = 0.75 THEN a.x + (h - floor(h)) * (b.x - a.x) END), 6) AS q3 FROM h JOIN v a ON a.g = h.g AND a.r = floor(h) JOIN v b ON b.g = h.g AND b.r = ceil(h) GROUP BY h.g")
+_AT = "a[floor({h})::INT] + ({h} - floor({h})) * (a[ceil({h})::INT] - a[floor({h})::INT])"
+_H6 = "least(greatest((n + 1) * {p}, 1), n)::DOUBLE"
+_Q6 = ", ".join(f"round({_AT.format(h=_H6.format(p=p))}, 6) AS {c}" for p, c in ((0.25, "q1"), (0.5, "median"), (0.75, "q3")))
+_simple("kuantil_type6", "lineitem", lambda t: describe.quantiles(t.select(F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("x")), "x", (0.25, 0.5, 0.75), ["grp"], names=("q1", "median", "q3")), f"SELECT grp, {_Q6} FROM (SELECT l_returnflag AS grp, list_sort(list(l_extendedprice)) AS a, count(*) AS n FROM lineitem GROUP BY 1)")
 _simple("kuantil_type7", "lineitem", lambda t: describe.quantiles(t.select(F.col("l_extendedprice").alias("x")), "x", (0.25, 0.5, 0.75), definition="type7", names=("q1", "median", "q3")), "SELECT round(quantile_cont(l_extendedprice, 0.25), 6) AS q1, round(quantile_cont(l_extendedprice, 0.5), 6) AS median, round(quantile_cont(l_extendedprice, 0.75), 6) AS q3 FROM lineitem")
 _simple("kuantil_tukey", "supplier", lambda t: describe.quantiles(t.select(F.col("s_acctbal").alias("x")), "x", (0.25, 0.5, 0.75), definition="tukey", names=("q1", "median", "q3")), "WITH v AS (SELECT s_acctbal AS x, row_number() OVER (ORDER BY s_acctbal) AS r, count(*) OVER () AS n FROM supplier) SELECT round(median(x) FILTER (r <= (n + 1) // 2), 6) AS q1, round(median(x), 6) AS median, round(median(x) FILTER (r > n // 2), 6) AS q3 FROM v")
 _simple("frekuensi", "orders", lambda t: describe.frequencies(t, "o_orderpriority"), "WITH c AS (SELECT o_orderpriority AS category, count(*) AS frequency FROM orders GROUP BY 1) SELECT category, frequency, round(100.0 * frequency / sum(frequency) OVER (), 6) AS percent, round(100.0 * frequency / sum(frequency) OVER (), 6) AS valid_percent, round(100.0 * sum(frequency) OVER (ORDER BY category) / sum(frequency) OVER (), 6) AS cumulative_percent FROM c")
