@@ -95,3 +95,8 @@ def unique_name(name: str, taken: list[str]) -> str:
 
 def any_blank(names: list[str]) -> Column:
     return reduce(lambda a, b: a | b, (blank(F.col(n)) for n in names))
+
+
+def table(spark, rows: list[tuple], kind: str) -> DataFrame:
+    """A small result table; NumPy's numbers become Python's."""
+    return spark.createDataFrame([tuple(v.item() if hasattr(v, "item") else v for v in r) for r in rows], kind)

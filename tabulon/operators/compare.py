@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import num, numbers
+from ..frame import num, numbers, table
 from ..functions import dist
 from ..functions.linalg import covariance, inverse
 from .nonparam import one_row
@@ -47,7 +47,7 @@ def t_independent(df: DataFrame, value: str, key: str, level: float = 0.95) -> D
     for name, se, d in (("pooled", math.sqrt(pooled * (1 / a.n + 1 / b.n)), a.n + b.n - 2.0), ("welch", math.sqrt(va + vb), welch_df)):
         t, q = (diff / se if se else 0.0), dist.t_inv(0.5 + level / 2, d)
         out.append((name, t, float(d), dist.t_two_sided(t, d), diff, se, diff - q * se, diff + q * se, diff / math.sqrt(pooled) if pooled else None, f, fp))
-    return df.sparkSession.createDataFrame(out, kind)
+    return table(df.sparkSession, out, kind)
 
 
 def t_paired(df: DataFrame, a: str, b: str, level: float = 0.95) -> DataFrame:
@@ -94,7 +94,7 @@ def levene(df: DataFrame, value: str, key: str) -> DataFrame:
             if x == "median":
                 adj = sum(within) ** 2 / sum(w * w / (r.n - 1) for w, r in zip(within, rows) if r.n > 1)
                 out.append(("median_adjusted", f, float(k - 1), adj, dist.f_upper(f, k - 1, adj)))
-    return df.sparkSession.createDataFrame(out, kind)
+    return table(df.sparkSession, out, kind)
 
 
 def anova(df: DataFrame, value: str, key: str) -> DataFrame:
@@ -114,7 +114,7 @@ def anova(df: DataFrame, value: str, key: str) -> DataFrame:
         fw = sum(wi * (x.m - m) ** 2 for wi, x in zip(weight, g)) / (k - 1) / (1 + 2 * (k - 2) / (k * k - 1) * lam)
         dw = (k * k - 1) / (3 * lam)
         out.append(("welch", None, float(k - 1), None, fw, dw, dist.f_upper(fw, k - 1, dw), None, None))
-    return df.sparkSession.createDataFrame(out, kind)
+    return table(df.sparkSession, out, kind)
 
 
 def group_table(df: DataFrame, value: str, key: str, level: float = 0.95) -> DataFrame:
@@ -124,7 +124,7 @@ def group_table(df: DataFrame, value: str, key: str, level: float = 0.95) -> Dat
         sd = math.sqrt(x.v) if x.v is not None and x.n > 1 else None
         h = dist.t_inv(0.5 + level / 2, x.n - 1) * sd / math.sqrt(x.n) if sd is not None else None
         out.append((x.g, x.n, x.m, sd, sd / math.sqrt(x.n) if sd is not None else None, x.m - h if sd is not None else None, x.m + h if sd is not None else None, x.lo, x.hi))
-    return df.sparkSession.createDataFrame(out, kind)
+    return table(df.sparkSession, out, kind)
 
 
 def tukey_hsd(df: DataFrame, value: str, key: str, level: float = 0.95) -> DataFrame:
@@ -141,7 +141,7 @@ def tukey_hsd(df: DataFrame, value: str, key: str, level: float = 0.95) -> DataF
             d, se = g[i].m - g[j].m, math.sqrt(ms / 2 * (1 / g[i].n + 1 / g[j].n))
             q = abs(d) / se if se else None
             out.append((g[i].g, g[j].g, d, se, q, dist.q_range_upper(q, k, d2) if se else None, d - crit * se if se else d, d + crit * se if se else d))
-    return df.sparkSession.createDataFrame(out, kind)
+    return table(df.sparkSession, out, kind)
 
 
 def _sse(x: np.ndarray, n: np.ndarray, m: np.ndarray, within: float) -> float:
@@ -185,7 +185,7 @@ def anova_two_way(df: DataFrame, value: str, a: str, b: str) -> DataFrame:
         f = (s[2] / d) / (full / d2) if full else None
         out.append((name, *map(float, s), d, s[2] / d, f, dist.f_upper(f, d, d2) if full else None, s[2] / (s[2] + full) if full else None))
     out.append(("error", full, full, full, d2, full / d2, None, None, None))
-    return df.sparkSession.createDataFrame(out, kind)
+    return table(df.sparkSession, out, kind)
 
 
 def cell_means(df: DataFrame, value: str, a: str, b: str) -> DataFrame:
@@ -219,7 +219,7 @@ def ancova(df: DataFrame, value: str, factor: str, covariate: str) -> DataFrame:
     none = (None,) * 6
     out = [("factor", ssf, k - 1, *f(ssf, k - 1), *none), ("covariate", ssc, 1, *f(ssc, 1), *none), ("error", sse, d2, None, None, *none), ("slope", None, d2, None, dist.t_two_sided(b / se, d2) if se else None, b, se, b / se if se else None, None, None, None)]
     out += [(f"level {r.g}", None, None, None, None, None, None, None, r.n, r.my, r.my - b * (r.mx - mx)) for r in g]
-    return df.sparkSession.createDataFrame(out, kind)
+    return table(df.sparkSession, out, kind)
 
 
 def anova_repeated(df: DataFrame, value: str, subject: str, time: str) -> DataFrame:
@@ -248,7 +248,7 @@ def anova_repeated(df: DataFrame, value: str, subject: str, time: str) -> DataFr
         c = 1 - (2 * d1 * d1 + d1 + 2) / (6 * d1 * (n - 1))
         mp = dist.chi2_upper(-(n - 1) * c * math.log(w), d1 * (d1 + 1) / 2 - 1)
     out = [(name, ss, sse, e, d1 * e, d2 * e, f, dist.f_upper(f, d1 * e, d2 * e) if f is not None else None, w, mp, n) for name, e in (("none", 1.0), ("greenhouse_geisser", float(gg)), ("huynh_feldt", float(hf)), ("lower_bound", 1 / (k - 1)))]
-    return df.sparkSession.createDataFrame(out, kind)
+    return table(df.sparkSession, out, kind)
 
 
 def manova(df: DataFrame, values: Sequence[str], key: str) -> DataFrame:
@@ -278,7 +278,7 @@ def manova(df: DataFrame, values: Sequence[str], key: str) -> DataFrame:
         c = (2 * p * p + 3 * p - 1) / (6 * (p + 1) * q) * (sum(1 / (r.n - 1) for r in g) - 1 / ve)
         f = p * (p + 1) * q / 2
         out.append(("box_m", float(m), None, f, None, dist.chi2_upper(m * (1 - c), f)))
-    return df.sparkSession.createDataFrame(out, kind)
+    return table(df.sparkSession, out, kind)
 
 
 def multivariate_tests(lam: np.ndarray, p: int, q: int, ve: float) -> list[tuple]:
@@ -352,7 +352,7 @@ def _median_replications(counts: DataFrame, replications: int, seed: int) -> np.
     k = (n + 1) // 2
     places = np.minimum(n, np.floor(np.random.default_rng(seed).beta(k, n - k + 1, replications) * n).astype(np.int64) + 1)
     cum = counts.withColumn("_cum", F.sum("n").over(Window.orderBy("v")))
-    wanted = counts.sparkSession.createDataFrame([(int(p),) for p in np.unique(places)], "p long")
+    wanted = table(counts.sparkSession, [(int(p),) for p in np.unique(places)], "p long")
     hit = cum.select("v", (F.col("_cum") - F.col("n")).alias("lo"), F.col("_cum").alias("hi")).join(F.broadcast(wanted), (F.col("p") > F.col("lo")) & (F.col("p") <= F.col("hi"))).collect()  # replications at most
     of = {r.p: r.v for r in hit}
     return np.array([of[int(p)] for p in places])

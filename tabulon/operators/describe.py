@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import ROW, blank, measure_of, num, numbers, parse_num, text, with_row
+from ..frame import ROW, blank, measure_of, num, numbers, parse_num, text, with_row, table
 from ..functions.dist import chi2_upper, hypergeom_two_sided, t_inv
 
 DEFINITIONS = ("type6", "type7", "tukey")
@@ -173,12 +173,12 @@ def association(df: DataFrame, row: str, col: str) -> DataFrame:
     s = x.agg(F.sum(F.pow(F.col("n") - F.col("expected"), 2) / F.col("expected")).alias("chi2"), F.sum(F.when(F.col("n") > 0, 2 * F.col("n") * F.log(F.col("n") / F.col("expected")))).alias("g2"), F.sum("n").alias("n"), F.count_distinct("row").alias("r"), F.count_distinct("col").alias("c"), F.min("expected").alias("least_expected")).collect()[0]
     kind = "chi2 double, df long, p double, g2 double, g2_p double, cramers_v double, contingency double, fisher_p double, least_expected double, n long"
     if not s.n or s.r < 2 or s.c < 2:
-        return spark.createDataFrame([], kind)
+        return table(spark, [], kind)
     d, fisher = (s.r - 1) * (s.c - 1), None
     if s.r == s.c == 2:
         cells = [int(v.n) for v in x.orderBy("row", "col").collect()]
         fisher = hypergeom_two_sided(*cells)
-    return spark.createDataFrame([(s.chi2, d, chi2_upper(s.chi2, d), s.g2, chi2_upper(s.g2, d), (s.chi2 / (s.n * (min(s.r, s.c) - 1))) ** 0.5, (s.chi2 / (s.chi2 + s.n)) ** 0.5, fisher, s.least_expected, s.n)], kind)
+    return table(spark, [(s.chi2, d, chi2_upper(s.chi2, d), s.g2, chi2_upper(s.g2, d), (s.chi2 / (s.n * (min(s.r, s.c) - 1))) ** 0.5, (s.chi2 / (s.chi2 + s.n)) ** 0.5, fisher, s.least_expected, s.n)], kind)
 
 
 def custom_table(df: DataFrame, row: str, col: str, value: str | None = None) -> DataFrame:
@@ -196,9 +196,9 @@ def chi_gof(df: DataFrame, col: str, proportions: dict[str, float] | None = None
     p = proportions or {k: 1 / len(c) for k in c}
     total = sum(p.values())
     if len(c) < 2:
-        return df.sparkSession.createDataFrame([], kind)
+        return table(df.sparkSession, [], kind)
     chi2 = sum((c.get(k, 0) - n * x / total) ** 2 / (n * x / total) for k, x in p.items() if x > 0)
-    return df.sparkSession.createDataFrame([(chi2, len(p) - 1, chi2_upper(chi2, len(p) - 1), n)], kind)
+    return table(df.sparkSession, [(chi2, len(p) - 1, chi2_upper(chi2, len(p) - 1), n)], kind)
 
 
 def pie(df: DataFrame, col: str, top: int | None = None, order: Sequence[str] = ()) -> DataFrame:

@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import numbers, text
+from ..frame import numbers, text, table
 from ..functions import dist
 from ..functions.linalg import covariance, inverse
 from .nonparam import one_row
@@ -46,7 +46,7 @@ def reliability(df: DataFrame, items: Sequence[str]) -> tuple[DataFrame, DataFra
         rest = c[np.ix_(o, o)]
         cov = c[i, o].sum()
         out.append((items[i], float(m[i]), float(d[i]), float(cov / (d[i] * math.sqrt(rest.sum()))) if d[i] and rest.sum() > 0 else None, float(a(rest))))
-    return one_row(df, kinds[0], float(a(c)), float(k * mean_r / (1 + (k - 1) * mean_r)), k, n), df.sparkSession.createDataFrame(out, kinds[1])
+    return one_row(df, kinds[0], float(a(c)), float(k * mean_r / (1 + (k - 1) * mean_r)), k, n), table(df.sparkSession, out, kinds[1])
 
 
 def varimax(load: np.ndarray, most: int = 500) -> np.ndarray:
@@ -82,7 +82,7 @@ def factor(df: DataFrame, cols: Sequence[str], k: int | None = None, method: str
     p, spark = len(cols), df.sparkSession
     kinds = {"tests": "kmo double, chi2 double, df long, p double, n long", "loadings": "variable string, factor int, loading double, communality double, weight double, kmo double", "variance": "factor int, eigenvalue double, loading_ss double, percent double, cumulative double"}
     if n < p + 1 or p < 2 or np.any(np.diag(c) <= 0):
-        return {a: spark.createDataFrame([], b) for a, b in kinds.items()}
+        return {a: table(spark, [], b) for a, b in kinds.items()}
     d = np.sqrt(np.diag(c))
     r = c / np.outer(d, d)
     values, vectors = np.linalg.eigh(r)
@@ -112,9 +112,9 @@ def factor(df: DataFrame, cols: Sequence[str], k: int | None = None, method: str
     weight = (inv @ load) if inv is not None else load
     com, ss = (load**2).sum(1), (load**2).sum(0)
     return {
-        "tests": spark.createDataFrame([(kmo, float(chi), dd, dist.chi2_upper(chi, dd), n)], kinds["tests"]),
-        "loadings": spark.createDataFrame([(cols[i], j + 1, float(load[i, j]), float(com[i]), float(weight[i, j]), float(each[i])) for i in range(p) for j in range(k)], kinds["loadings"]),
-        "variance": spark.createDataFrame([(i + 1, float(values[i]), float(ss[i]) if i < k else None, float(100 * ss[i] / p) if i < k else None, float(100 * ss[: i + 1].sum() / p) if i < k else None) for i in range(p)], kinds["variance"]),
+        "tests": table(spark, [(kmo, float(chi), dd, dist.chi2_upper(chi, dd), n)], kinds["tests"]),
+        "loadings": table(spark, [(cols[i], j + 1, float(load[i, j]), float(com[i]), float(weight[i, j]), float(each[i])) for i in range(p) for j in range(k)], kinds["loadings"]),
+        "variance": table(spark, [(i + 1, float(values[i]), float(ss[i]) if i < k else None, float(100 * ss[i] / p) if i < k else None, float(100 * ss[: i + 1].sum() / p) if i < k else None) for i in range(p)], kinds["variance"]),
     }
 
 
@@ -142,7 +142,7 @@ def correspondence(df: DataFrame, row: str, col: str) -> DataFrame:
     turn = np.where(u[np.abs(u).argmax(0), range(k)] < 0, -1, 1)
     for side, lev, mass, x in (("row", m.index, r, u * turn * s[:k] / np.sqrt(r)[:, None]), ("column", m.columns, c, vt[:k].T * turn * s[:k] / np.sqrt(c)[:, None])):
         out += [(side, str(lev[i]), j + 1, float(x[i, j]), float(mass[i]), float(s[j] ** 2), float(100 * s[j] ** 2 / (s[:k] ** 2).sum())) for i in range(len(lev)) for j in range(k)]
-    return df.sparkSession.createDataFrame(out, kind)
+    return table(df.sparkSession, out, kind)
 
 
 def princals(df: DataFrame, cols: Sequence[str], levels: dict[str, str] | None = None, dims: int = 2, most: int = 500, max_categories: int = 200) -> dict[str, DataFrame]:
@@ -155,7 +155,7 @@ def princals(df: DataFrame, cols: Sequence[str], levels: dict[str, str] | None =
     if len(rows) > 200_000:
         raise TooManyRows("more than 200,000 distinct rows")
     if len(rows) < 3:
-        return {a: spark.createDataFrame([], b) for a, b in kinds.items()}
+        return {a: table(spark, [], b) for a, b in kinds.items()}
     w, n = rows["_n"].to_numpy(float), float(rows["_n"].sum())
     codes, names, q = [], [], []
     for c in cols:
@@ -194,9 +194,9 @@ def princals(df: DataFrame, cols: Sequence[str], levels: dict[str, str] | None =
             q[j] = standard(y, c)
     load = vectors * np.sqrt(np.maximum(0, values))
     return {
-        "quantifications": spark.createDataFrame([(c, str(lv), float(q[j][i]), int(np.bincount(codes[j], w, len(names[j]))[i])) for j, c in enumerate(cols) for i, lv in enumerate(names[j])], kinds["quantifications"]),
-        "loadings": spark.createDataFrame([(c, d + 1, float(load[j, d])) for j, c in enumerate(cols) for d in range(load.shape[1])], kinds["loadings"]),
-        "fit": spark.createDataFrame([(d + 1, float(x)) for d, x in enumerate(values)], kinds["fit"]),
+        "quantifications": table(spark, [(c, str(lv), float(q[j][i]), int(np.bincount(codes[j], w, len(names[j]))[i])) for j, c in enumerate(cols) for i, lv in enumerate(names[j])], kinds["quantifications"]),
+        "loadings": table(spark, [(c, d + 1, float(load[j, d])) for j, c in enumerate(cols) for d in range(load.shape[1])], kinds["loadings"]),
+        "fit": table(spark, [(d + 1, float(x)) for d, x in enumerate(values)], kinds["fit"]),
     }
 
 
@@ -249,7 +249,7 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, seed: int = 42, most:
         centre = new
     v.unpersist()
     spark = df.sparkSession
-    return spark.createDataFrame([(i + 1, int(size[i]), *map(float, centre[i])) for i in range(k)], kinds[0]), spark.createDataFrame([(i + 1, float(s)) for i, s in enumerate(trace)], kinds[1]), v.withColumn("cluster", nearest(centre)[0])
+    return table(spark, [(i + 1, int(size[i]), *map(float, centre[i])) for i in range(k)], kinds[0]), table(spark, [(i + 1, float(s)) for i, s in enumerate(trace)], kinds[1]), v.withColumn("cluster", nearest(centre)[0])
 
 
 def hierarchical(df: DataFrame, cols: Sequence[str], method: str = "ward", k: int = 3, standardise: bool = True, max_rows: int = 3000) -> dict[str, DataFrame]:
@@ -259,7 +259,7 @@ def hierarchical(df: DataFrame, cols: Sequence[str], method: str = "ward", k: in
     spark, n = df.sparkSession, len(x)
     kinds = {"merges": "step int, a int, b int, distance double, size int", "clusters": "row int, cluster int", "quality": "cophenetic double"}
     if n < 3:
-        return {a: spark.createDataFrame([], b) for a, b in kinds.items()}
+        return {a: table(spark, [], b) for a, b in kinds.items()}
     if standardise:
         s = x.std(0, ddof=1)
         x = (x - x.mean(0)) / np.where(s > 0, s, 1)
@@ -292,7 +292,7 @@ def hierarchical(df: DataFrame, cols: Sequence[str], method: str = "ward", k: in
     label = {r: c for c, rows in enumerate(sorted(cut.values(), key=min), 1) for r in rows}
     up = np.triu_indices(n, 1)
     c = float(np.corrcoef(first[up], coph[up])[0, 1])
-    return {"merges": spark.createDataFrame(merges, kinds["merges"]), "clusters": spark.createDataFrame(sorted(label.items()), kinds["clusters"]), "quality": spark.createDataFrame([(c,)], kinds["quality"])}
+    return {"merges": table(spark, merges, kinds["merges"]), "clusters": table(spark, sorted(label.items()), kinds["clusters"]), "quality": table(spark, [(c,)], kinds["quality"])}
 
 
 def dbscan(df: DataFrame, cols: Sequence[str], eps: float, min_points: int, id_col: str) -> DataFrame:
@@ -336,7 +336,7 @@ def twostep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], m
     spark, n = df.sparkSession, len(rows)
     kinds = {"clusters": "row int, cluster int", "bic": "k int, bic double, silhouette double"}
     if n < 6:
-        return {a: spark.createDataFrame([], b) for a, b in kinds.items()}
+        return {a: table(spark, [], b) for a, b in kinds.items()}
     x = rows[list(numeric)].to_numpy(float)
     hot = pd.get_dummies(rows[list(categorical)].astype(str)).to_numpy(float) if categorical else np.zeros((n, 0))
     width = np.array([rows[c].nunique() for c in categorical], int)
@@ -391,7 +391,7 @@ def twostep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], m
         out.append((k, bic, sil))
         if best is None or bic < best[0]:
             best = (bic, lab)
-    return {"clusters": spark.createDataFrame([(i, int(c) + 1) for i, c in enumerate(best[1])], kinds["clusters"]), "bic": spark.createDataFrame(out, kinds["bic"])}
+    return {"clusters": table(spark, [(i, int(c) + 1) for i, c in enumerate(best[1])], kinds["clusters"]), "bic": table(spark, out, kinds["bic"])}
 
 
 # classification

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import ROW, num, numbers, text, with_row
+from ..frame import ROW, num, numbers, text, with_row, table
 from ..functions import dist
 from .describe import ranked_counts
 
@@ -19,7 +19,7 @@ ENUMERATED = 2_000_000
 
 def one_row(df: DataFrame, kind: str, *values) -> DataFrame:
     """A result of one row, or of none if the values are missing."""
-    return df.sparkSession.createDataFrame([values] if values else [], kind)
+    return table(df.sparkSession, [values] if values else [], kind)
 
 
 def midranks(values: DataFrame, col: str) -> DataFrame:

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import NOMINAL, ROW, SCALE, blank, measure_of, num, text, unique_name, with_row
+from ..frame import NOMINAL, ROW, SCALE, blank, measure_of, num, text, unique_name, with_row, table
 from ..functions.dist import norm_inv
 from ..functions.expr import compile_expression
 
@@ -200,7 +200,7 @@ def transpose(df: DataFrame, cols: Sequence[str], order: Sequence[str], rows: in
     """The first rows as columns Case1, Case2, ...: a preview of the table on its side."""
     top = df.orderBy(*order).limit(rows).select(*(F.col(c).cast("string").alias(c) for c in cols)).collect()
     kind = "variable string, " + ", ".join(f"Case{i + 1} string" for i in range(len(top)))
-    return df.sparkSession.createDataFrame([(c, *(r[c] for r in top)) for c in cols], kind.rstrip(", "))
+    return table(df.sparkSession, [(c, *(r[c] for r in top)) for c in cols], kind.rstrip(", "))
 
 
 def rank_cases(df: DataFrame, col: str, kind: str = "rank", ties: str = "mean", descending: bool = False, groups: int = 4, name: str | None = None, order: Sequence[str] = ()) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import ROW, numbers, with_row
+from ..frame import ROW, numbers, with_row, table
 from ..functions import dist
 from ..functions.linalg import covariance, cross_products, inverse, solve
 from .compare import multivariate_tests
@@ -26,7 +26,7 @@ def _table(df: DataFrame, terms: Sequence[str], beta, se, d: float | None = None
         z = float(b / s) if s and math.isfinite(s) else None
         p = None if z is None else dist.t_two_sided(z, d) if d is not None else dist.norm_two_sided(z)
         out.append((t, float(b), float(s), z, p, *(m[i] for m in more)))
-    return df.sparkSession.createDataFrame(out, COEF + extra)
+    return table(df.sparkSession, out, COEF + extra)
 
 
 def _names(xs: Sequence[str]) -> list[str]:
@@ -62,7 +62,7 @@ def _pairs(df: DataFrame, v: DataFrame, cols: Sequence[str], method: str) -> Dat
             d = math.sqrt(c[i, i] * c[j, j]) if n > 2 else 0
             r = max(-1.0, min(1.0, c[i, j] / d)) if d else None
             out.append((cols[i], cols[j], method, r, n, None if r is None else 0.0 if abs(r) == 1 else dist.t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)))
-    return df.sparkSession.createDataFrame(out if n > 2 else [], kind)
+    return table(df.sparkSession, out if n > 2 else [], kind)
 
 
 def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -142,7 +142,7 @@ def partial_correlation(df: DataFrame, cols: Sequence[str], controls: Sequence[s
             r = -inv[0, 1] / math.sqrt(inv[0, 0] * inv[1, 1])
             t = r * math.sqrt((n - 2 - q) / max(1e-300, 1 - r * r))
             out.append((cols[i], cols[j], c[i, j] / math.sqrt(c[i, i] * c[j, j]), float(r), t, n - 2 - q, dist.t_two_sided(t, n - 2 - q)))
-    return df.sparkSession.createDataFrame(out, kind)
+    return table(df.sparkSession, out, kind)
 
 
 # linear models
@@ -267,7 +267,7 @@ def two_stage(df: DataFrame, y: str, endogenous: Sequence[str], exogenous: Seque
         full, small, q = a[at, at] - b2 @ (both.T @ a[:, at]), sse_of(X, at), len(endogenous)
         f = (small - full) / q / (full / (n - k - q))
         out.append(("durbin_wu_hausman", "", float(f), float(q), float(n - k - q), dist.f_upper(f, q, n - k - q)))
-    return _table(df, ["(intercept)", *exogenous, *endogenous], beta, np.sqrt(np.diag(inv) * s2), d), df.sparkSession.createDataFrame(out, kind)
+    return _table(df, ["(intercept)", *exogenous, *endogenous], beta, np.sqrt(np.diag(inv) * s2), d), table(df.sparkSession, out, kind)
 
 
 def robust(df: DataFrame, y: str, xs: Sequence[str], method: str = "huber", most: int = 200, tol: float = 1e-10) -> DataFrame:
@@ -573,7 +573,7 @@ def multinomial(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
             b, s = float(theta[i * k + j]), float(se[i * k + j])
             z = b / s if s and math.isfinite(s) else None
             out.append((c, t, b, s, z, dist.norm_two_sided(z) if z is not None else None, ll))
-    return df.sparkSession.createDataFrame(out, kind)
+    return table(df.sparkSession, out, kind)
 
 
 def ordinal(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
@@ -736,7 +736,7 @@ def mixed(df: DataFrame, y: str, xs: Sequence[str], key: str) -> tuple[DataFrame
     effects = [(str(g), int(m), float(lam / (1 + lam * a[0, 0]) * -(a[0] @ b))) for g, m, a in groups]
     comp = [("group", lam * s2), ("residual", s2), ("icc", lam / (1 + lam))]
     spark = df.sparkSession
-    return _table(df, _names(xs), beta, np.sqrt(np.diag(inv) * s2), n - k), spark.createDataFrame([(a, float(x)) for a, x in comp], kinds[0]), spark.createDataFrame(effects, kinds[1])
+    return _table(df, _names(xs), beta, np.sqrt(np.diag(inv) * s2), n - k), table(spark, [(a, float(x)) for a, x in comp], kinds[0]), table(spark, effects, kinds[1])
 
 
 def glmm(df: DataFrame, y: str, xs: Sequence[str], key: str, family: str = "binomial", most: int = 100, tol: float = 1e-8) -> tuple[DataFrame, DataFrame]:
@@ -752,7 +752,7 @@ def glmm(df: DataFrame, y: str, xs: Sequence[str], key: str, family: str = "bino
     effects: dict[str, float] = {}
     inv = None
     for _ in range(most):
-        e = spark.createDataFrame([(a, b) for a, b in effects.items()] or [("", 0.0)], f"`{key}` string, _u double")
+        e = table(spark, [(a, b) for a, b in effects.items()] or [("", 0.0)], f"`{key}` string, _u double")
         rows = v.join(e, key, "left").withColumn("_u", F.coalesce("_u", F.lit(0.0)))
         eta = F.greatest(F.least(_lin(xs, beta) + F.col("_u"), F.lit(30.0)), F.lit(-30.0))
         mu = F.exp(eta) if family == "poisson" else _sigmoid(eta)
@@ -779,7 +779,7 @@ def glmm(df: DataFrame, y: str, xs: Sequence[str], key: str, family: str = "bino
         if step < tol:
             break
     v.unpersist()
-    return _table(df, _names(xs), beta, np.sqrt(np.diag(inv))), spark.createDataFrame([("group", float(lam))], "component string, value double")
+    return _table(df, _names(xs), beta, np.sqrt(np.diag(inv))), table(spark, [("group", float(lam))], "component string, value double")
 
 
 def gee(df: DataFrame, y: str, xs: Sequence[str], key: str, family: str = "gaussian", structure: str = "exchangeable", most: int = 100, tol: float = 1e-9) -> DataFrame:
@@ -841,4 +841,4 @@ def canonical_correlation(df: DataFrame, left: Sequence[str], right: Sequence[st
         for side, m, a, nm in (("left", rx, hx @ u[:, i], left), ("right", ry, hy @ vt[i], right)):
             loads += [(i + 1, side, name, float(x)) for name, x in zip(nm, m @ a)]
     tests = multivariate_tests(s**2 / (1 - s**2), p, q, n - 1 - q)
-    return spark.createDataFrame(out, kinds[0]), spark.createDataFrame(tests, kinds[1]), spark.createDataFrame(loads, kinds[2])
+    return table(spark, out, kinds[0]), table(spark, tests, kinds[1]), table(spark, loads, kinds[2])

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import numbers
+from ..frame import numbers, table
 from ..functions import dist
 from ..functions.linalg import inverse
 from .nonparam import one_row
@@ -122,7 +122,7 @@ def cox(df: DataFrame, time: str, status: str, xs: Sequence[str], most: int = 10
         out.append((x, float(b), float(s), float(b / s), dist.norm_two_sided(b / s), math.exp(b), math.exp(b - 1.96 * s), math.exp(b + 1.96 * s), now[0], l0))
     shift = math.exp(-sum(float(b) * m[f"m{i}"] for i, b in enumerate(beta)))
     hz = _cox_step(v, xs, beta).select(F.col("_t").alias("time"), (shift * F.sum(F.col("d") / F.col("s0")).over(Window.orderBy("_t"))).alias("hazard"))
-    return df.sparkSession.createDataFrame(out, kind), hz.withColumn("survival", F.exp(-F.col("hazard")))
+    return table(df.sparkSession, out, kind), hz.withColumn("survival", F.exp(-F.col("hazard")))
 
 
 def roc_points(df: DataFrame, score: str, label: str, positive: str) -> DataFrame:

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import ROW, num, with_row
+from ..frame import ROW, num, with_row, table
 from ..functions import dist
 from .nonparam import one_row
 
@@ -46,7 +46,7 @@ def acf_pacf(df: DataFrame, col: str, order: Sequence[str], lags: int = 20) -> D
         q += r[k] ** 2 / (m.n - k)
         lb = m.n * (m.n + 2) * q
         out.append((k, float(r[k]), float(phi[k, k]), 1.96 / math.sqrt(m.n), float(lb), dist.chi2_upper(lb, k)))
-    return df.sparkSession.createDataFrame(out, kind)
+    return table(df.sparkSession, out, kind)
 
 
 def decompose(df: DataFrame, col: str, order: Sequence[str], period: int) -> DataFrame:
@@ -252,7 +252,7 @@ ORDERS = [(0, 0, 0), (1, 0, 0), (0, 0, 1), (1, 0, 1), (2, 0, 0), (0, 1, 0), (1,
 def tournament(df: DataFrame, col: str, order_by: Sequence[str], horizon: int = 12) -> DataFrame:
     """Mean RMSE of each order over three rolling origins against the naive forecast; orders are fitted in parallel."""
     s = series(df, col, order_by)
-    jobs = df.sparkSession.createDataFrame([(i, *o) for i, o in enumerate(ORDERS)], "i int, p int, d int, q int")
+    jobs = table(df.sparkSession, [(i, *o) for i, o in enumerate(ORDERS)], "i int, p int, d int, q int")
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         x = f.sort_values(ROW)["v"].to_numpy(float)

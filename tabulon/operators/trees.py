@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import num, numbers, text
+from ..frame import num, numbers, text, table
 from ..functions import dist
 from .multivar import TooManyRows
 from .nonparam import one_row
@@ -131,7 +131,7 @@ def cart(df: DataFrame, y: str, xs: Sequence[str], classify: bool = True, depth:
         return one_row(df, TREE), one_row(df, "actual string, predicted string, n long")
     tree = grow(x, t, len(levels), depth, least)
     p = apply_tree(tree, x, len(levels))
-    return spark.createDataFrame(_rows(tree, xs, levels), TREE), _quality(df, t, p, levels)
+    return table(spark, _rows(tree, xs, levels), TREE), _quality(df, t, p, levels)
 
 
 def _quality(df, t, p, levels):
@@ -139,7 +139,7 @@ def _quality(df, t, p, levels):
         sse, sst = float(((t - p[:, 0]) ** 2).sum()), float(((t - t.mean()) ** 2).sum())
         return one_row(df, "r2 double, sse double, n long", 1 - sse / sst if sst else None, sse, len(t))
     c = pd.crosstab(t, p.argmax(1)).stack()
-    return df.sparkSession.createDataFrame([(str(levels[a]), str(levels[b]), int(n)) for (a, b), n in c.items() if n], "actual string, predicted string, n long")
+    return table(df.sparkSession, [(str(levels[a]), str(levels[b]), int(n)) for (a, b), n in c.items() if n], "actual string, predicted string, n long")
 
 
 def random_forest(df: DataFrame, y: str, xs: Sequence[str], classify: bool = True, trees: int = 200, depth: int = 20, least: int = 1, seed: int = 42, max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -184,7 +184,7 @@ def random_forest(df: DataFrame, y: str, xs: Sequence[str], classify: bool = Tru
     vote = sums[ok] / seen[ok, None]
     error = float((vote.argmax(1) != t[ok]).mean() if k else ((vote[:, 0] - t[ok]) ** 2).mean())
     hurt = np.sum(parts["hurt"].tolist(), 0) / max(1, parts["used"].sum())
-    return one_row(df, kinds[0], trees, error, n), spark.createDataFrame([(c, float(h)) for c, h in zip(xs, hurt)], kinds[1])
+    return one_row(df, kinds[0], trees, error, n), table(spark, [(c, float(h)) for c, h in zip(xs, hurt)], kinds[1])
 
 
 def boosting(df: DataFrame, y: str, xs: Sequence[str], classify: bool = False, rounds: int = 100, rate: float = 0.1, depth: int = 3, max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -222,7 +222,7 @@ def boosting(df: DataFrame, y: str, xs: Sequence[str], classify: bool = False, r
             if e < 1e-12:
                 break
     total = gain.sum() or 1.0
-    return spark.createDataFrame(trace, kinds[0]), spark.createDataFrame([(c, float(g / total)) for c, g in zip(xs, gain)], kinds[1])
+    return table(spark, trace, kinds[0]), table(spark, [(c, float(g / total)) for c, g in zip(xs, gain)], kinds[1])
 
 
 # trees of categories, by counts
@@ -371,7 +371,7 @@ def chaid(df: DataFrame, y: str, xs: Sequence[str], alpha: float = 0.05, depth:
     kinds = dict(df.dtypes)
     ordered = {x for x in xs if kinds[x] != "string"}
     nodes = _category_tree(df, y, xs, lambda c, k: _chaid_split(c, k, ordered, alpha), depth, least)
-    return df.sparkSession.createDataFrame(_category_rows(nodes), CATEGORY_TREE)
+    return table(df.sparkSession, _category_rows(nodes), CATEGORY_TREE)
 
 
 def _upper_error(n: float, e: float, cf: float = 0.25) -> float:
@@ -405,7 +405,7 @@ def c45(df: DataFrame, y: str, xs: Sequence[str], depth: int = 6, least: int = 2
         return below
 
     prune(0)
-    return df.sparkSession.createDataFrame(_category_rows(nodes), CATEGORY_TREE)
+    return table(df.sparkSession, _category_rows(nodes), CATEGORY_TREE)
 
 
 def impute(df: DataFrame, cols: Sequence[str], m: int = 5, cycles: int = 10, seed: int = 42, max_rows: int = MAX_ROWS) -> DataFrame:
