@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE, ORDINAL, NOMINAL = "scale", "ordinal", "nominal"
@@ -48,16 +49,24 @@ def numbers(df: DataFrame, *names: str, listwise: bool = True, keep: tuple[str,
     return out.dropna() if listwise else out
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The frame as computed once, in the folder of spark.checkpoint.dir; where that is unset, in a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tabulon-"))
+    return df.checkpoint()
+
+
 def with_row(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """A row number _rid from 0 in the given order (all columns after it, so that it is total). Numbers are dealt per sorted
-    range of rows and offset by the ranges before, so no task holds all rows."""
+    range of rows and offset by the ranges before, so no task holds all rows. The ranges are checkpointed, as another
+    evaluation, or a lost executor, could draw them elsewhere."""
     if ROW in df.columns:
         return df
     keys = [F.col(c) for c in (order or [])] + [F.col(c) for c, k in df.dtypes if not k.startswith(("map", "struct")) and c not in (order or [])]
     ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    ranged = settled(ranged)
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_low"))
-    from pyspark.sql import Window
-
     # a row per partition: their running sum is a bounded window
     before = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).drop("_n")
     return ranged.join(F.broadcast(before), "_part").withColumn(ROW, F.col("_before") + F.col("_at") - F.col("_low")).drop("_part", "_at", "_low", "_before")

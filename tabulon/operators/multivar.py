@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import numbers, text, table
+from ..frame import numbers, settled, table, text
 from ..functions import dist
 from ..functions.linalg import covariance, inverse
 from .nonparam import one_row
@@ -318,7 +318,7 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float, min_points: int, id_c
         new = both.join(label, both["b"] == label["id"]).groupBy(both["a"].alias("id")).agg(F.min("cluster").alias("cluster"))
         # a step to the label's own label shortens the way
         jump = new.alias("n").join(new.alias("m"), F.col("n.cluster") == F.col("m.id"), "left").select(F.col("n.id").alias("id"), F.least(F.col("n.cluster"), F.coalesce("m.cluster", "n.cluster")).alias("cluster"))
-        jump = jump.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else jump.cache()
+        jump = settled(jump)
         moved = jump.join(label.withColumnRenamed("cluster", "was"), "id").where("cluster <> was").limit(1).count()
         label = jump
         if not moved:
