@@ -107,8 +107,9 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 origin = head.get("warc-segment-origin-id") or head["warc-record-id"]
                 page, serial = map(int, origin.strip("<>").split(":")[3:5])
                 digest = head["warc-payload-digest"].removeprefix("sha1:")
-                if kind == "response" and "warc-segment-number" not in head:
-                    _match(page, sha1_base32(block), digest, len(block), stated)
+                if "warc-segment-number" not in head:
+                    if kind == "response":
+                        _match(page, sha1_base32(block), digest, len(block), stated)
                     block = None
                 rows.append((page, serial, int(head.get("warc-segment-number", 1)), kind, digest, int(head["warc-refers-to"].strip("<>").split(":")[3]) if kind == "revisit" else None, stated, block))
                 held += len(block or b"") + 200
