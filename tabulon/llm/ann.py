@@ -104,6 +104,8 @@ def build(vectors: np.ndarray, degree: int = DEGREE, beam: int = BEAM, relax: fl
 
 def _link_back(g: Graph, a: np.ndarray, b: np.ndarray, degree: int, relax: float) -> None:
     """Adds edges b to a; a point with too many is pruned."""
+    if not len(b):
+        return
     order = np.argsort(b, kind="stable")
     a, b = a[order], b[order]
     to, first, many = np.unique(b, return_index=True, return_counts=True)
