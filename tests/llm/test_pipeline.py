@@ -12,7 +12,7 @@ def place(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("sf"))
     same = " ".join(f"word{i}" for i in range(60))
     passage = " ".join(f"shared{i}" for i in range(70))
-    texts = [same, same.upper(), same + " end", "own " + passage + " one", "two " + passage, "you idiot " * 3, None, "", *(f"clean text number {i} some one wrote this about nothing much at all é" for i in range(40)), *(f"some idiot number {i} wrote this" for i in range(40))]
+    texts = [same, same.upper(), same + " end", "own " + passage + " " + " ".join(f"mine{i}" for i in range(60)), "two " + passage + " " + " ".join(f"yours{i}" for i in range(60)), "you idiot " * 3, None, "", *(f"clean text number {i} some one wrote this about nothing much at all é" for i in range(40)), *(f"some idiot number {i} wrote this" for i in range(40))]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame([(i, 1, int("idiot" in (t or ""))) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
