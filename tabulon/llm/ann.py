@@ -127,18 +127,43 @@ def usable(column):
     return F.coalesce(column.isNotNull() & F.forall(column, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(column, lambda v: v != 0), F.lit(False))
 
 
+def distinct(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct vectors (0 and -0 are equal) in the order of their first rows, and each row's place among them."""
+    v = vectors + np.float32(0)
+    _, first, at = np.unique(v, axis=0, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return v[first[order]], place[at.ravel()]
+
+
+def copies(ids: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each vector's identifiers begin, and how many of them can be among the k first of a query whose own rows are
+    left out: k, and as many as one identifier repeats. ids: those of each vector in turn, rising; count: how many each has."""
+    begin = np.cumsum(count) - count
+    of = np.repeat(np.arange(len(count)), count)
+    head = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (ids[1:] != ids[:-1])))
+    repeats = np.zeros(len(count), np.int64)
+    np.maximum.at(repeats, of[head], np.diff(np.append(head, len(ids))))
+    return begin, np.minimum(count, k + repeats)
+
+
 def build_shards(vectors: DataFrame, id_col: str, vector_col: str, shard: int = SHARD) -> DataFrame:
-    """One row per shard: dim, shard, ids, vectors, edges (as bytes) and the start. Every usable row is in one shard."""
+    """One row per shard: dim, shard, ids, counts, vectors, edges (as bytes) and the start. Every usable row is in one shard.
+
+    The graph is over the shard's distinct vectors, each of which has `counts` identifiers in ids: equal points would prune
+    each other's edges away."""
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dim"))
     n = max(1, -(-rows.count() // shard))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        v = np.stack(frame.v.to_numpy()).astype(np.float32)
+        v, at = distinct(np.stack(frame.v.to_numpy()).astype(np.float32))
         g = build(v)
-        return pd.DataFrame({"dim": [v.shape[1]], "shard": [int(frame["shard"].iloc[0])], "ids": [frame.id.to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()], "edges": [g.edges.tobytes()], "start": [g.start]})
+        ids = frame.id.to_numpy(np.int64)[np.argsort(at, kind="stable")]
+        return pd.DataFrame({"dim": [v.shape[1]], "shard": [int(frame["shard"].iloc[0])], "ids": [ids.tobytes()], "counts": [np.bincount(at).astype(np.int64).tobytes()], "vectors": [v.tobytes()], "edges": [g.edges.tobytes()], "start": [g.start]})
 
-    return rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(n)).cast("int")).groupBy("dim", "shard").applyInPandas(run, "dim int, shard int, ids binary, vectors binary, edges binary, start int")
+    return rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(11)), F.lit(n)).cast("int")).groupBy("dim", "shard").applyInPandas(run, "dim int, shard int, ids binary, counts binary, vectors binary, edges binary, start int")
 
 
 def query_blocks(queries: DataFrame, id_col: str, vector_col: str, block: int = BLOCK) -> DataFrame:
@@ -158,7 +183,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "
     finds, its own row left out; ties go to the smaller identifier. Scores are exact, in double precision.
 
     Every shard's graph is searched for every block of queries; only k rows of each pair go on, so a task holds one
-    shard and one block. Unusable vectors take no part; vectors of other dimensions are not compared; repeated
+    shard and one block. Vectors are found once and stand for all their copies. Unusable vectors take no part; vectors of other dimensions are not compared; repeated
     identifiers are rows of their own; with k or fewer candidates all are found."""
     graphs = stored(build_shards(vectors, id_col, vector_col, shard), "graphs")
     # rows of a block go to each shard of their dimension: as many copies as there are shards, which grow with the data
@@ -169,23 +194,28 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "
         for x in frame.itertuples(index=False):
             ids, v = np.frombuffer(x.ids, np.int64), np.frombuffer(x.vectors, np.float32).reshape(-1, x.dim)
             qids, q = np.frombuffer(x.qids, np.int64), np.frombuffer(x.qvectors, np.float32).reshape(-1, x.dim)
+            begin, many = copies(ids, np.frombuffer(x.counts, np.int64), k)
             norm = (v.astype(np.float64) ** 2).sum(1)
             points = np.column_stack([v, np.sqrt(np.maximum(0, norm.max() - norm)).astype(np.float32)])
-            g = Graph(points, np.frombuffer(x.edges, np.int32).reshape(len(ids), -1), x.start)
+            g = Graph(points, np.frombuffer(x.edges, np.int32).reshape(len(v), -1), x.start)
             width = max(beam, 2 * k + 2)
             for at in range(0, len(q), 256):
                 part = q[at : at + 256]
-                if len(ids) <= width:
-                    found = np.broadcast_to(np.arange(len(ids), dtype=np.int32), (len(part), len(ids)))
+                if len(v) <= width:
+                    found = np.broadcast_to(np.arange(len(v), dtype=np.int32), (len(part), len(v)))
                 else:
                     found, _ = g.search(np.column_stack([part, np.zeros(len(part), np.float32)]), width)
                 score = np.einsum("qcd,qd->qc", v[np.maximum(found, 0)].astype(np.float64), part.astype(np.float64))
-                real = ids[np.maximum(found, 0)]
-                score[(found < 0) | (real == qids[at : at + 256, None])] = -np.inf
-                order = np.lexsort((real, -score), axis=1)[:, :k]
-                s, r = np.take_along_axis(score, order, 1), np.take_along_axis(real, order, 1)
-                a, b = np.nonzero(np.isfinite(s))
-                out.append(pd.DataFrame({"query_id": qids[at + a], "found": r[a, b], "score": s[a, b]}))
+                row, col = np.nonzero(found >= 0)
+                n = many[found[row, col]]
+                first = np.repeat(begin[found[row, col]] - (np.cumsum(n) - n), n)
+                row, real, score = np.repeat(row, n), ids[first + np.arange(n.sum())], np.repeat(score[row, col], n)
+                other = real != qids[at + row]
+                row, real, score = row[other], real[other], score[other]
+                order = np.lexsort((real, -score, row))
+                row, real, score = row[order], real[order], score[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                out.append(pd.DataFrame({"query_id": qids[at + row[best]], "found": real[best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "found": np.zeros(0, np.int64), "score": np.zeros(0)})
 
     found = pairs.groupBy("dim", "shard", "block").applyInPandas(run, "query_id long, found long, score double")

@@ -249,6 +249,31 @@ def test_nearest(spark):
     assert hit / 750 >= 0.9
 
 
+def test_nearest_among_copies(spark):
+    """Groups of equal vectors, one of them larger than the beam, and an identifier that repeats: scores as by brute force."""
+    r = np.random.default_rng(1)
+    v = r.normal(size=(900, 16)).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    for a, n in ((0, 60), (100, 200), (400, 90)):
+        v[a : a + n] = v[a]
+    ids = np.arange(900)
+    ids[400:440] = 400
+    df = spark.createDataFrame([(int(i), x.tolist()) for i, x in zip(ids, v)], "vec_id long, embedding array<float>")
+    queries = [3, 59, 100, 250, 400, 460, 600, 777]
+    by = collections.defaultdict(list)
+    for x in ann.nearest(df.where(F.col("vec_id").isin(queries)).dropDuplicates(["vec_id"]), df, k=20).orderBy("rank").collect():
+        by[x.query_id].append((x.vec_id, x.score))
+    for q in queries:
+        s = v.astype(float) @ v[np.flatnonzero(ids == q)[0]].astype(float)
+        s[ids == q] = -np.inf
+        best = np.lexsort((ids, -s.round(9)))[:20]
+        assert len(by[q]) == 20
+        if q < 300 or 400 <= q < 490:  # within a group
+            assert [i for i, _ in by[q]] == ids[best].tolist()
+        else:
+            assert len({i for i, _ in by[q]} & set(ids[best].tolist())) >= 18
+
+
 def test_lm(docs):
     training = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
     got = lm.score(docs, training, chunk_bytes=3000).collect()
