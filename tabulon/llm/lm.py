@@ -23,7 +23,6 @@ SLOTS, PARTS = int(OFFSETS[-1]), 16
 #: Words beyond this many bytes are spelled in pieces of so many.
 LONGEST, BATCH, RATE, START_WEIGHT = 40, 2048, 0.02, 0.4
 END = mix64(np.array([0xE0D], _U))[0]
-_LOG = np.log(np.arange(65536) + 0.4).astype(np.float32)
 
 
 class Words:
@@ -109,12 +108,25 @@ def spell_counts(words: list[bytes]) -> np.ndarray:
     return counts.reshape(-1, 2)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """Counts in the narrowest of 2, 4 or 8 bytes that holds them all."""
+    most = int(counts.max(initial=0))
+    return counts.astype(np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64).tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    """The n counts of packed()."""
+    return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.int64)
+
+
 class Mixer:
     """Online logistic mixing of the contexts' predictions. The gate, by how sure the longest context is and the bit's
     place, selects the weights; after each batch they move along the batch's coding gradient."""
 
     def __init__(self, table: np.ndarray):
-        self.table = table
+        self.table = table.astype(np.int64)
+        less = np.maximum(self.table - 1, 0)  # where a word itself is left out
+        self.logs = np.log(np.concatenate([self.table.ravel(), less.ravel()]) + 0.4).astype(np.float32)
         self.weights = np.full((8 * 5, len(TABLE_BITS)), START_WEIGHT, np.float32)
 
     def costs(self, words: list[bytes], own: np.ndarray) -> np.ndarray:
@@ -122,13 +134,15 @@ class Mixer:
         out = np.zeros(len(words))
         for a in range(0, len(words), BATCH):
             of, slots, bit = _bits(words[a : a + BATCH])
-            mine = own[a : a + BATCH][of].astype(np.int32)
+            mine = own[a : a + BATCH][of].astype(np.int64) * self.table.size
+            one, zero = mine * (bit == 1) + 1, mine * (bit == 0)
             x = np.empty(slots.shape, np.float32)
             for k in range(len(TABLE_BITS)):
-                n0, n1 = self.table[slots[k], 0], self.table[slots[k], 1]
-                n0, n1 = np.maximum(n0 - mine * (bit == 0), 0), np.maximum(n1 - mine * (bit == 1), 0)
-                x[k] = _LOG[n1] - _LOG[n0]
-            sure = np.minimum(4, np.log2(n0 + n1 + 1.0)).astype(np.int64)
+                at = slots[k] * 2
+                x[k] = self.logs[at + one] - self.logs[at + zero]
+            n = self.table[slots[-1]]
+            n[np.arange(len(bit)), bit] -= mine > 0
+            sure = np.minimum(4, np.log2(np.maximum(n, 0).sum(1) + 1.0)).astype(np.int64)
             gate = np.tile(np.arange(8), len(of) // 8) * 5 + sure
             p = 1 / (1 + np.exp(-np.clip(np.einsum("kn,nk->n", x, self.weights[gate]), -20, 20)))
             err = (bit - p).astype(np.float32)
@@ -145,10 +159,9 @@ def _sum_parts(frames):
     total: dict[int, np.ndarray] = {}
     for frame in frames:
         for part, counts in zip(frame["part"], frame["counts"]):
-            x = np.frombuffer(counts, np.uint16).astype(np.int64)
-            total[part] = total.get(part, 0) + x
+            total[part] = total.get(part, 0) + unpacked(counts, SLOTS * 2 // PARTS)
     for part, x in total.items():
-        yield pd.DataFrame({"part": [part], "counts": [np.minimum(x, 65535).astype(np.uint16).tobytes()]})
+        yield pd.DataFrame({"part": [part], "counts": [packed(x)]})
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
@@ -183,8 +196,8 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         for b in ends:
             out.append((0, int(bucket[a]), chunk, w.types[a:b].tobytes(), w.counts[a:b].astype(np.uint32).tobytes()))
             a = b
-        counts = np.minimum(spell_counts([s for s, c in zip(w.spelled, w.counts.sum(1)) if c]), 65535).astype(np.uint16).reshape(PARTS, -1)
-        out += [(1, part, chunk, b"", counts[part].tobytes()) for part in range(PARTS) if counts[part].any()]
+        counts = spell_counts([s for s, c in zip(w.spelled, w.counts.sum(1)) if c]).reshape(PARTS, -1)
+        out += [(1, part, chunk, b"", packed(counts[part])) for part in range(PARTS) if counts[part].any()]
         return pd.DataFrame(out, columns=["kind", "part", "chunk", "k", "counts"])
 
     def answer(frame: pd.DataFrame) -> pd.DataFrame:
@@ -211,9 +224,9 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     totals = [x or 0 for x in sums.agg(*(F.sum(f"t{i}") for i in range(GATES + 2))).collect()[0]]
     by_gate, types, once = np.array(totals[:GATES], np.float64), totals[-2], totals[-1]
     tokens = int(by_gate.sum())
-    table = np.zeros((PARTS, SLOTS * 2 // PARTS), np.uint16)
+    table = np.zeros((PARTS, SLOTS * 2 // PARTS), np.int64)
     for r in asked.where("kind = 1").select("part", "counts").repartition(PARTS, "part").mapInPandas(_sum_parts, "part int, counts binary").collect():
-        table[r.part] = np.frombuffer(r.counts, np.uint16)
+        table[r.part] = unpacked(r.counts, SLOTS * 2 // PARTS)
     shared = spark.sparkContext.broadcast(table.reshape(-1, 2))
     fresh = min(0.5, max(1e-6, (once + 1) / (tokens + 2)))  # the chance of an unknown word, by the words seen once
 
@@ -225,7 +238,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         right = right.sort_values("part")
         counts = np.frombuffer(b"".join(right["counts"]), np.uint32).reshape(-1, GATES).astype(np.float64)
         c = counts.sum(1)
-        spelling = -Mixer(shared.value.astype(np.int32)).costs(w.spelled, w.counts.sum(1) > 0)
+        spelling = -Mixer(shared.value).costs(w.spelled, w.counts.sum(1) > 0)
         ct, t = c[w.type], w.type
         base = np.log10((ct + 1) / (tokens + types + 1))
         seen = (counts[t, w.gate] + BACKING * ct / max(1, tokens)) / (by_gate[w.gate] + BACKING)

@@ -295,6 +295,18 @@ def test_lm_spelling_is_a_distribution():
     assert 0 < first_byte_and_end < 1.0001
 
 
+def test_lm_counts_beyond_16_bits():
+    """Two chunks' counts add up whole, and a bit that is three times as frequent stays so beyond 65,535."""
+    n = lm.SLOTS * 2 // lm.PARTS
+    x = np.zeros(n, np.int64)
+    x[:3] = 60_000, 240_000, 1 << 33
+    frames = [lm.pd.DataFrame({"part": [0, 0], "counts": [lm.packed(x), lm.packed(x)]})]
+    (out,) = lm._sum_parts(iter(frames))
+    assert lm.unpacked(out["counts"][0], n)[:4].tolist() == [120_000, 480_000, 1 << 34, 0]
+    few, many = (lm.Mixer(lm.spell_counts([b"a"] * 3 + [b"c"]) * m).costs([b"a", b"c"], np.zeros(2)) for m in (1000, 100_000))
+    assert np.allclose(few, many, atol=0.01) and many[0] < many[1]
+
+
 def test_toxicity(spark):
     r = random.Random(0)
     plain = ["".join(r.choices("abcdefghilmnorstu", k=r.randint(3, 8))) for _ in range(200)]
