@@ -164,6 +164,13 @@ def _sum_parts(frames):
         yield pd.DataFrame({"part": [part], "counts": [packed(x)]})
 
 
+def blend(seen: np.ndarray, unusual: np.ndarray, spelling: np.ndarray) -> np.ndarray:
+    """log10 probabilities of tokens that are drawn from the counts (their share there: seen) but for a share `unusual` of
+    times, when they are spelled (spelling: natural logs, however low)."""
+    with np.errstate(divide="ignore"):
+        return np.logaddexp(np.log1p(-unusual) + np.log(seen), np.log(unusual) + spelling) / math.log(10)
+
+
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
     """Per input row: id_col, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
@@ -248,8 +255,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         before = np.cumsum(known) - known
         before -= np.repeat(before[head], length)
         place = np.arange(len(known)) - np.repeat(head, length)
-        usual = (PRIOR * (1 - fresh) + before) / (PRIOR + place)
-        p = np.log10(usual * seen + (1 - usual) * np.exp(np.maximum(spelling[t], -600.0)))
+        p = blend(seen, (PRIOR * fresh + place - before) / (PRIOR + place), spelling[t])
         total = np.add.reduceat(p, head)
         return pd.DataFrame({"id": left["id"].to_numpy(), "n_tokens": length, "n_known": np.add.reduceat(known, head).astype(np.int64), "base_score": np.add.reduceat(base, head), "score": total, "bits_per_byte": -total * math.log2(10) / np.maximum(1, w.bytes)}).astype({"id": left["id"].dtype})
 

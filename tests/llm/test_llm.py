@@ -295,6 +295,18 @@ def test_lm_spelling_is_a_distribution():
     assert 0 < first_byte_and_end < 1.0001
 
 
+def test_lm_long_words_cost_all_their_bits(spark):
+    r = random.Random(4)
+    run = "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=5000))
+    word = run.encode()
+    cost = lm.Mixer(lm.spell_counts([b"some", b"text"] * 9)).costs([word], np.zeros(1))[0]
+    got = lm.blend(np.zeros(1), np.full(1, 0.25), np.array([-cost]))[0]
+    assert cost > 600 and abs(got - (math.log10(0.25) - cost / math.log(10))) < 1e-6
+    rows = [(i, "some text that is known " * 5) for i in range(20)] + [(100, run), (101, run[:300])]
+    by = {x.doc_id: x.score for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 100).collect()}
+    assert by[100] < 8 * by[101] < 0
+
+
 def test_lm_counts_beyond_16_bits():
     """Two chunks' counts add up whole, and a bit that is three times as frequent stays so beyond 65,535."""
     n = lm.SLOTS * 2 // lm.PARTS
