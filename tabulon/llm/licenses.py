@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
@@ -44,10 +45,12 @@ TEMPLATES = [
 ]
 #: A text without any of these (lower-cased) has no candidate block.
 CUES = ("licen", "permission", "redistribut", "all rights reserved", "public domain", "free software", "waived all copyright")
-CUE = re.compile("|".join(CUES))
+CUE = re.compile("|".join(c.replace(" ", r"[\W_]+") for c in CUES))
+#: A word of each cue, the rarest: a text without any of them needs no search.
+RARE = tuple(max(c.split(), key=len) for c in CUES)
 WORDS = re.compile(r"[^\W_]+(?:[.\-][^\W_]+)*")
-#: Template words beyond a block's size that are compared, and the share of differing words that still confirms.
-SLACK, TOLERANCE = 1.3, 0.12
+#: The share of differing words that still confirms.
+TOLERANCE = 0.12
 
 
 def _words(text: str) -> list[str]:
@@ -66,81 +69,98 @@ class Scanner:
             # a raw dictionary has 8 bytes at least; the compressor reads it from the end
             raw = zstandard.ZstdCompressionDict(" ".join(words).encode().rjust(16), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.with_dict.append(zstandard.ZstdCompressor(level=level, dict_data=raw, write_content_size=False, write_dict_id=False))
-        self.known: dict[str, list[tuple]] = {}
-
-    def blocks(self, text: str) -> list[tuple[int, int]]:
-        """Spans of candidate blocks: the lines with a cue, with the lines around them that belong to one paragraph when
-        the paragraph goes on in license words; at most the longest template's length on either side of a cue."""
-        low = text.lower()
-        if len(low) != len(text):  # a letter whose lower case is longer: keep places by lowering letter by letter
-            low = "".join(c.lower()[0] for c in text)
-        spans: list[tuple[int, int]] = []
-        for m in CUE.finditer(low):
-            if spans and m.start() < spans[-1][1]:
-                continue
-            a = text.rfind("\n", 0, m.start()) + 1
-            b = text.find("\n", m.end())
-            b = len(text) if b < 0 else b
-            while (c := text.find("\n", b + 1)) != b + 1 and b < len(text):
-                c = len(text) if c < 0 else c
-                if not CUE.search(low, b, c) and not self._like(low[b:c]):
-                    break
-                b = c
-            spans.append((a, b))
-        return spans
-
-    def _like(self, line: str) -> bool:
-        w = set(_words(line))
-        return bool(w) and len(w & self._all) >= 0.8 * len(w)
-
-    @property
-    def _all(self) -> set[str]:
-        if not hasattr(self, "_vocabulary"):
-            self._vocabulary = {w for x in self.words for w in x if len(w) > 3}
-        return self._vocabulary
-
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """Templates by the share of the block's compressed bytes that they save, the best first, ties in their order."""
-        data = " ".join(_words(block)).encode()
+        self.counts = [Counter(w) for w in self.words]
+        self.number = {w: i for i, w in enumerate(sorted({w for x in self.words for w in x}))}
+        self.most = [int(TOLERANCE * len(w)) for w in self.words]
+        #: Words on either side of a cue that a match can reach.
+        self.reach = max((len(w) + m for w, m in zip(self.words, self.most)), default=0)
+
+    def ranked(self, words: list[str], among: list[int]) -> list[tuple[float, int]]:
+        """Templates by the share of the words' compressed bytes that they save, the best first, ties in their order."""
+        data = " ".join(words).encode()
         base = len(self.plain.compress(data))
-        return sorted(((1 - len(c.compress(data)) / base, i) for i, c in enumerate(self.with_dict)), key=lambda x: (-x[0], x[1]))
-
-    def confirm(self, block: str, i: int) -> tuple[int, int] | None:
-        """Words that match template i at its best place in the block, and words that differ; None beyond the tolerance."""
-        b, t = _words(block), self.words[i]
-        m = difflib.SequenceMatcher(None, b, t, autojunk=False)
-        ops = m.get_opcodes()
-        while ops and ops[0][0] == "delete":
-            ops.pop(0)
-        while ops and ops[-1][0] == "delete":
-            ops.pop()
-        same = sum(x[2] - x[1] for x in ops if x[0] == "equal")
-        diff = sum(max(x[2] - x[1], x[4] - x[3]) for x in ops if x[0] != "equal")
-        return (same, diff) if same and diff <= TOLERANCE * len(t) else None
+        return sorted(((1 - len(self.with_dict[i].compress(data)) / base, i) for i in among), key=lambda x: (-x[0], x[1]))
+
+    def confirm(self, words: list[str], i: int) -> list[tuple[int, int, int, int]]:
+        """(from, to, equal words, differing words) of the stretches of `words` that template i matches within the
+        tolerance: for each end the alignment of fewest differing words, and of those with one start the best."""
+        t, most = self.words[i], self.most[i]
+        have = set(words)
+        if sum(n for w, n in self.counts[i].items() if w not in have) > most:
+            return []
+        block = np.array([self.number.get(w, -1) for w in words], np.int64)
+        n = len(block)
+        # one number holds the differing words, then the equal ones (more are better), then the start
+        same = 1 << n.bit_length()
+        differs = same * (len(t) + 1)
+        step = np.arange(n + 1) * differs
+        cost = np.arange(n + 1)
+        for w in t:
+            after = cost + differs
+            np.minimum(after[1:], cost[:-1] + np.where(block == self.number[w], -same, differs), out=after[1:])
+            cost = np.minimum.accumulate(after - step) + step
+        start = cost % same
+        diff = (cost // same + len(t)) // (len(t) + 1)
+        equal = diff * (len(t) + 1) - cost // same
+        best: dict[int, tuple] = {}
+        for e in np.flatnonzero((diff <= most) & (equal > 0)):
+            x = (int(diff[e]), -int(equal[e]), int(e))
+            a = int(start[e])
+            if a not in best or x < best[a]:
+                best[a] = x
+        return [(a, e, -q, d) for a, (d, q, e) in best.items()]
+
+    def found(self, words: list[str]) -> list[tuple]:
+        """(from, to, license, reduction, equal words, differing words) of the notices in the words, none overlapping.
+
+        The longest match goes first; of it and those that overlap it, the template wins that saves most of what they
+        cover. What the matches leave is searched again."""
+        cand = [(a, e, i, q, d) for i in range(len(self.words)) for a, e, q, d in self.confirm(words, i)]
+        cand.sort(key=lambda x: (x[4] - x[3], x[4], x[0], x[2]))
+        used, out = np.zeros(len(words), bool), []
+        by_start = sorted(cand)
+        starts = np.array([x[0] for x in by_start], np.int64)
+        for a, e, *_ in cand:
+            if used[a:e].any():
+                continue
+            low, high = np.searchsorted(starts, (a - self.reach, e))
+            near = [x for x in by_start[low:high] if x[1] > a and not used[x[0] : x[1]].any()]
+            lead = {}
+            for x in near:  # each template's best match here
+                if x[2] not in lead or (x[4] - x[3], x[4], x[0]) < (lead[x[2]][4] - lead[x[2]][3], lead[x[2]][4], lead[x[2]][0]):
+                    lead[x[2]] = x
+            order = self.ranked(words[min(x[0] for x in lead.values()) : max(x[1] for x in lead.values())], list(lead))
+            gain, i = order[0]
+            used[lead[i][0] : lead[i][1]] = True
+            if gain > 0:
+                out.append((lead[i][0], lead[i][1], self.names[i], gain, lead[i][3], lead[i][4]))
+        if out:
+            edge = np.flatnonzero(np.diff(np.concatenate([[1], used, [1]]).astype(np.int8)))
+            for a, e in zip(edge[::2].tolist(), edge[1::2].tolist()):
+                out += [(a + x[0], a + x[1], *x[2:]) for x in self.found(words[a:e])]
+        return sorted(out)
 
     def scan(self, text: str | None) -> list[tuple]:
-        """(start, end, license, reduction, matched words, differing words) of the text's blocks, confirmed ones only.
+        """(start, end, license, reduction, matched words, differing words) of the text's notices, confirmed ones only.
 
-        Of the templates that save something, the best confirmed one wins; ties in savings go to the longer wording."""
-        out = []
+        Blocks are the words within reach of a cue on both sides, across line breaks and blank lines; those that meet are one."""
         text = text or ""
         low = text.lower()
-        if not any(c in low for c in CUES):
-            return out
-        for a, b in self.blocks(text):
-            block = text[a:b]
-            best = self.known.get(block)
-            if best is None:
-                best = []
-                for gain, i in self.ranked(block):
-                    if gain <= 0:
-                        break
-                    if got := self.confirm(block, i):
-                        best = [(self.names[i], gain, *got)]
-                        break
-                if len(self.known) < 20_000 and len(block) < 2000:
-                    self.known[block] = best
-            out += [(a, b, *x) for x in best]
+        if not any(c in low for c in RARE):
+            return []
+        if len(low) != len(text):  # a letter whose lower case is longer: keep places by lowering letter by letter
+            low = "".join(c.lower()[0] for c in text)
+        cues = [m.start() for m in CUE.finditer(low)]
+        if not cues:
+            return []
+        places = [(m.start(), m.end(), m[0]) for m in WORDS.finditer(low)]
+        at = np.searchsorted([p[0] for p in places], cues, side="right") - 1
+        out, a, b = [], 0, 0
+        for c in [*at.tolist(), None]:
+            if c is None or c - self.reach > b:
+                out += [(places[a + x[0]][0], places[a + x[1] - 1][1], *x[2:]) for x in (self.found([p[2] for p in places[a:b]]) if b else [])]
+                a = max(0, c - self.reach) if c is not None else 0
+            b = min(len(places), c + self.reach + 1) if c is not None else b
         return out
 
 

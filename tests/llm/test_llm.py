@@ -360,3 +360,17 @@ def test_licenses(spark):
     got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.license) for r in got) == [(1, "MIT"), (1, "MIT"), (2, "MIT"), (6, "CC-BY-NC-4.0"), (7, "CC-BY-4.0"), (8, "All-Rights-Reserved")]
     assert all(r.n_diff == 0 for r in got if r.doc_id in (1, 6, 7))
+
+
+def test_license_notices_of_several_lines():
+    wording = {n: t for n, t in reversed(licenses.TEMPLATES)}
+    s = licenses.Scanner()
+    fill = lambda t, n: "\n".join(__import__("textwrap").wrap(t, n))
+    mit = wording["MIT"].replace("conditions: The", "conditions:\n\nThe").replace("Software. THE", "Software.\n\nTHE")
+    mit = "\n\n".join(fill(p, 75) for p in mit.split("\n\n"))
+    bsd = "\n".join(" * " + x for x in fill(wording["BSD-3-Clause"], 72).split("\n"))
+    for text, names in ((mit, ["MIT"]), (bsd, ["BSD-3-Clause"]), (f"Copyright (c) 2020 A\n\n{mit}\n\nint main()", ["MIT"]), (mit + "\n" + bsd, ["MIT", "BSD-3-Clause"]), (f"some words\n{bsd}\n{mit}\nAll rights\nreserved.", ["BSD-3-Clause", "MIT", "All-Rights-Reserved"]), (fill(wording["GPL-3.0"], 70), ["GPL-3.0"]), (fill(wording["GPL-2.0"], 70), ["GPL-2.0"])):
+        got = s.scan(text)
+        assert [x[2] for x in got] == names and all(x[5] == 0 for x in got)
+    a, b = s.scan("x\n" + mit + "\ny")[0][:2]
+    assert (a, b) == (2, len(mit) + 1)
