@@ -151,13 +151,26 @@ def binom_pmf(k: int, n: int, p: float) -> float:
 
 
 def binom_test(k: int, n: int, p: float = 0.5, side: str = "two") -> float:
-    """The exact binomial test; two-sided: all outcomes no likelier than k."""
-    pmf = [binom_pmf(i, n, p) for i in range(n + 1)]
+    """The exact binomial test; two-sided: all outcomes no likelier than k. Tails are incomplete beta functions, and the
+    other tail's end is found by bisection, so that n may be large."""
+    lower = lambda i: 0.0 if i < 0 else 1.0 if i >= n else beta_inc(n - i, i + 1, 1 - p)
+    upper = lambda i: 1.0 if i <= 0 else 0.0 if i > n else beta_inc(i, n - i + 1, p)
     if side == "less":
-        return min(1.0, sum(pmf[: k + 1]))
+        return lower(k)
     if side == "greater":
-        return min(1.0, sum(pmf[k:]))
-    return min(1.0, sum(x for x in pmf if x <= pmf[k] * (1 + 1e-12)))
+        return upper(k)
+    limit, mode = binom_pmf(k, n, p) * (1 + 1e-12 + 1e-15 * n), min(n, int((n + 1) * p))
+    if binom_pmf(mode, n, p) <= limit:
+        return 1.0
+    falls = k < mode  # the other tail is above the mode: its first outcome that is no likelier; else below: its last one
+    a, b = (mode, n + 1) if falls else (-1, mode)
+    while b - a > 1:
+        mid = (a + b) // 2
+        if (binom_pmf(mid, n, p) <= limit) == falls:
+            b = mid
+        else:
+            a = mid
+    return min(1.0, lower(k) + upper(b)) if falls else min(1.0, lower(a) + upper(k))
 
 
 def hypergeom_two_sided(a: int, b: int, c: int, d: int) -> float:

@@ -43,3 +43,18 @@ def test_studentized_range():
     """Published 5 % points, to their two decimals."""
     for k, df, q in ((3, 10, 3.88), (2, 20, 2.95), (5, 30, 4.10)):
         assert abs(dist.q_range_inv(0.95, k, df) - q) < 0.006
+
+
+def test_binomial_of_many_trials_costs_no_list_of_terms(monkeypatch):
+    brute = lambda k, n, p: min(1.0, sum(x for x in (dist.binom_pmf(i, n, p) for i in range(n + 1)) if x <= dist.binom_pmf(k, n, p) * (1 + 1e-12)))
+    for n in (1, 2, 7, 30):
+        for p in (0.0, 0.1, 0.5, 0.73, 1.0):
+            for k in range(n + 1):
+                assert abs(dist.binom_test(k, n, p) - brute(k, n, p)) < 1e-9, (k, n, p)
+                assert abs(dist.binom_test(k, n, p, "less") - sum(dist.binom_pmf(i, n, p) for i in range(k + 1))) < 1e-9
+                assert abs(dist.binom_test(k, n, p, "greater") - sum(dist.binom_pmf(i, n, p) for i in range(k, n + 1))) < 1e-9
+    want = brute(299_000, 600_000, 0.5)
+    calls, pmf = [], dist.binom_pmf
+    monkeypatch.setattr(dist, "binom_pmf", lambda *a: calls.append(a) or pmf(*a))
+    assert abs(dist.binom_test(299_000, 600_000) / want - 1) < 1e-6 and len(calls) < 100
+    assert abs(dist.binom_test(300_999, 600_000) / brute(300_999, 600_000, 0.5) - 1) < 1e-6
