@@ -354,6 +354,17 @@ def test_decoder():
         assert r.signed(said) == meant, said
 
 
+def test_decoder_reads_long_runs_whole():
+    words = ["idiot", "worthless", "stupid", "moron", "the", "loser", "clown", "table"] * 50
+    grams = collections.Counter(("\0\0" + w + "\0")[i : i + 3] for w in words for i in range(len(w) + 1))
+    r = toxicity.Restorer(toxicity.CharModel(dict(grams)))
+    assert r.texts_words("yes " + " ".join("thetable" * 10 + "idiot") + " yes") >= {"the", "table", "idiot"}
+    assert set(r.signed(".".join(["the", "table"] * 8 + ["1d10t"])).split()) == {"the", "table", "idiot"}
+    assert r.texts_words(" ".join("loserstupid")) >= {"loser", "stupid"}
+    assert (r.signed("stuupid"), r.signed("iidiioott"), r.signed("loser")) == ("stupid", "idiot", "loser")
+    assert len(toxicity.viterbi("the-1d10t." * 2000, r.model, True).split()) == 4000
+
+
 def test_licenses(spark):
     mit = next(t for n, t in licenses.TEMPLATES if n == "MIT")
     rows = [(1, "foo bar\nReleased under the MIT License.\nbaz"), (2, mit.replace("Software", "Program")), (3, None), (4, ""), (5, "a driving license is needed here"), (6, "Licensed under CC BY-NC 4.0.\nx"), (7, "Licensed under CC BY 4.0."), (8, "word " * 30 + "All rights reserved."), (1, "Released under the MIT License.")]
