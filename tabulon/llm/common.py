@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """64-bit numbers by the place of their bytes: sorted keys and small numbers then compress well."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def from_planes(packed, kind) -> np.ndarray:
+    """The numbers of several planes(), one after the other."""
+    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).ravel() for x in packed]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
+def groups_of(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of a partition that is sorted by `keys`, as one frame for each group."""
+    held: list[pd.DataFrame] = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        k = frame[keys].to_numpy()
+        cut = np.flatnonzero((k[1:] != k[:-1]).any(1)) + 1
+        edges = [0, *cut.tolist(), len(frame)]
+        if held and (held[-1][keys].to_numpy()[-1] != k[0]).any():
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        for a, b in zip(edges, edges[1:]):
+            held.append(frame.iloc[a:b])
+            if b < len(frame):
+                yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+                held = []
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)

@@ -16,7 +16,7 @@ def _state(edges: DataFrame) -> tuple:
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """pairs: (u, v). Large: each larger neighbour of u to the smallest of u and its neighbours. Small: u's smaller
     neighbours, and u, to the smallest. A hub's rows are joined with one row, so a skewed hub is split by the engine."""
-    least = pairs.groupBy(F.col("u").alias("w"), F.lit(0).alias("z")).agg(F.least(F.min("v"), F.first("u")).alias("m")).drop("z")
+    least = pairs.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.first("u")).alias("m"))
     joined = pairs.join(least, F.col("u") == F.col("w"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))

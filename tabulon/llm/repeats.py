@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import from_planes, mix64, planes
 
 WINDOW, SLICE, CHUNK = 50, 1 << 19, 8 << 20
 #: A k-gram that more chunks than this send with different stretches is compared by hashes of whole windows.
@@ -194,17 +194,6 @@ def _unique_windows(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndar
     return a[keep], b[keep], d[keep]
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """64-bit numbers by the place of their bytes: sorted keys and small numbers then compress well."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _read(packed, kind) -> np.ndarray:
-    """The numbers of several _planes(), one after the other."""
-    parts = [np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(kind).ravel() for x in packed]
-    return np.concatenate(parts) if parts else np.zeros(0, kind)
-
-
 def _dealt(kind: int, chunk: int, buckets: int, key: np.ndarray, v: np.ndarray, d: np.ndarray, shape: np.ndarray | None = None, texts: list[bytes] = ()) -> pd.DataFrame:
     """Sorted keys and their columns as packed rows, one for each bucket: a bucket has a range of keys."""
     bucket = ((key >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
@@ -212,7 +201,7 @@ def _dealt(kind: int, chunk: int, buckets: int, key: np.ndarray, v: np.ndarray,
     shape = np.zeros((len(key), 0), np.uint16) if shape is None else shape
     rows, a = [], 0
     for b in ends:
-        rows.append((kind, int(bucket[a]), chunk, _planes(key[a:b]), _planes(v[a:b]), _planes(d[a:b]), shape[a:b].tobytes(), b"".join(texts[a:b])))
+        rows.append((kind, int(bucket[a]), chunk, planes(key[a:b]), planes(v[a:b]), planes(d[a:b]), shape[a:b].tobytes(), b"".join(texts[a:b])))
         a = b
     return pd.DataFrame(rows, columns=_COLUMNS)
 
@@ -229,7 +218,7 @@ def compare_windows(frame: pd.DataFrame, window: int, width: int) -> pd.DataFram
     The windows are sorted by radix passes of eight bytes, from the most significant: k-gram and place about the
     anchor first, then byte after byte up to the window's length. After each pass, windows that are alone, or whose
     group is of one document, are left out."""
-    gram, doc = _read(frame["k"], _U), _read(frame["d"], np.int64)
+    gram, doc = from_planes(frame["k"], _U), from_planes(frame["d"], np.int64)
     shape = np.frombuffer(b"".join(frame["shape"]), np.uint16).reshape(-1, 2).astype(np.int64)
     data = np.frombuffer(b"".join(frame["texts"]) + bytes(8), np.uint8)
     count = shape[:, 0] - window + 1
@@ -276,7 +265,7 @@ def compare_windows(frame: pd.DataFrame, window: int, width: int) -> pd.DataFram
 def _answers(frame: pd.DataFrame, kind: int, hot: int = HOT) -> pd.DataFrame:
     """The keys that several chunks sent, back to each of them, with the smallest document, and for k-grams (kind 0)
     whether their stretches differ (COLD, or SPREAD where more than `hot` chunks sent it) or not (DECIDED). A chunk sends a key once, so a key has at most as many rows as there are chunks."""
-    k, v, d = _read(frame["k"], _U), _read(frame["v"], _U), _read(frame["d"], np.int64)
+    k, v, d = from_planes(frame["k"], _U), from_planes(frame["v"], _U), from_planes(frame["d"], np.int64)
     of = np.repeat(np.arange(len(frame)), [len(x) // 8 for x in frame["k"]])
     order = np.lexsort((of, v, k) if kind else (of, k))
     k, v, d, of = k[order], v[order], d[order], of[order]
@@ -295,14 +284,14 @@ def _answers(frame: pd.DataFrame, kind: int, hot: int = HOT) -> pd.DataFrame:
     rows, a = [], 0
     for b in (np.flatnonzero(np.append(np.diff(of) != 0, True)) + 1 if len(of) else ()):
         x = g[a:b]
-        rows.append((int(chunk[of[a]]), kind, 0, _planes(k[start[x]]), _planes(extra[x]), _planes(least[x])))
+        rows.append((int(chunk[of[a]]), kind, 0, planes(k[start[x]]), planes(extra[x]), planes(least[x])))
         a = b
     return pd.DataFrame(rows, columns=["chunk", "kind", "bucket", "k", "v", "d"])
 
 
 def _reply(frame: pd.DataFrame, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     mine = frame[frame["kind"] == kind]
-    k, v, d = _read(mine["k"], _U), _read(mine["v"], _U), _read(mine["d"], np.int64)
+    k, v, d = from_planes(mine["k"], _U), from_planes(mine["v"], _U), from_planes(mine["d"], np.int64)
     order = np.lexsort((v, k))
     return k[order], v[order], d[order]
 

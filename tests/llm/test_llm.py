@@ -85,11 +85,11 @@ def brute_links(rows, k, num, den):
 
 
 @pytest.mark.parametrize(("k", "num"), [(4, 85), (5, 80), (1, 60)])
-def test_jaccard(docs, k, num, monkeypatch):
+def test_jaccard(docs, k, num):
     known = docs.where("doc_id IS NOT NULL")
     want = brute_links([(r.doc_id, r.text) for r in known.collect()], k, num, 100)
-    monkeypatch.setattr(jaccard, "BLOCK", 300)  # small blocks, so that pairs of blocks are compared too
-    got = jaccard.jaccard_join(docs, k, num, 100).collect()
+    # small blocks and chunks, so that blocks are compared with each other and chunks ask about shingles
+    got = jaccard.jaccard_join(docs, k, num, 100, block=300, block_rows=4, chunk_bytes=4000).collect()
     assert len(got) == docs.count()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
     assert all(r.component_id is None for r in got if r.doc_id is None)
@@ -105,10 +105,31 @@ def test_keys_meet():
             b = np.append(np.delete(a, r.choice(n, d, replace=False)), r.integers(0, 2**63, r.integers(0, d + 1)).astype(np.uint64))
             if 100 * len(np.intersect1d(a, b)) < 85 * len(np.union1d(a, b)):
                 continue
-            keys, of = jaccard.keys_of(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 85, 100)
+            keys, of = jaccard.keys_of(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), 85, 100, jaccard.scheme(85, 100, 2000))
             assert set(keys[of == 0]) & set(keys[of == 1])
 
 
+@pytest.mark.parametrize("num", [80, 85])
+def test_keys_of_unrelated_sets_differ(num):
+    """Disjoint sets share no key, whatever their size."""
+    r, dealt = np.random.default_rng(1), jaccard.scheme(num, 100, 400)
+    for n in (4, 6, 8, 11, 30, 60, 120, 300):
+        values = r.integers(0, 2**63, 600 * n).astype(np.uint64)
+        keys, of = jaccard.keys_of(values, np.arange(601) * n, num, 100, dealt)
+        pairs = np.unique(np.column_stack([keys, of.astype(np.uint64)]), axis=0)
+        assert len(np.unique(pairs[:, 0])) == len(pairs)
+
+
+def test_jaccard_edges(spark):
+    """An empty table, clashing columns, and a group of copies that are dealt to several blocks."""
+    empty = spark.createDataFrame([], "doc_id long, text string, component string, block int")
+    assert jaccard.jaccard_join(empty).count() == 0
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(base[:-2] + [f"x{i}", f"y{i}"]), "c", 1) for i in range(60)] + [(900 + i, " ".join(f"z{i}_{j}" for j in range(30)), "c", 1) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_join(spark.createDataFrame(rows, empty.schema), block_rows=8).collect()}
+    assert got == {i: 0 for i in range(60)} | {900 + i: 900 + i for i in range(20)}
+
+
 def test_long_texts_cut_into_parts():
     long = " ".join(f"w{i}" for i in range(50_000))
     v, begin = shingles_of([long, "", None, "a"], 4)
