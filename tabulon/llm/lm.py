@@ -2,110 +2,135 @@
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, joined, mix64, parts_of, placed_words, stored
 
 _U = np.uint64
-CHUNK = 16 << 20
-#: Words' history that selects a gate, the upper ends of the gates' shares of words beyond ASCII, and smoothing.
-HISTORY, SHARES, BACKING, PRIOR = 32, (0.0, 0.1, 0.4), 2000.0, 20.0
-GATES = len(SHARES) + 1
-#: Bits of the hashed contexts' tables: order 1, 2 and 3 within a word, and the whole word so far.
-TABLE_BITS = (16, 18, 18, 19)
-OFFSETS = np.append(0, np.cumsum([1 << b for b in TABLE_BITS]))
-SLOTS, PARTS = int(OFFSETS[-1]), 16
-#: Words beyond this many bytes are spelled in pieces of so many.
-LONGEST, BATCH, RATE, START_WEIGHT = 40, 2048, 0.02, 0.4
+_ODD1, _ODD2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
+#: Words that have a code of their own (the most frequent ones, of two occurrences or more), characters worked on at once.
+CODED, PART = 65_536, 1 << 19
+#: Words' history that tells the script, and the upper ends of the shares of words beyond ASCII in it.
+HISTORY, SHARES = 32, (0.0, 0.1, 0.4)
+SCRIPTS = len(SHARES) + 1
+#: Bits of the hashed tables for a word's code at most: by the word before, the two before, and the one before that.
+WORD_BITS = (21, 21, 20)
+#: Bits of the hashed tables for spelling: order 1, 2 and 3 within a word, and the whole word so far.
+SPELL_BITS = (16, 18, 18, 19)
+#: Words beyond this many bytes are spelled in pieces of so many; tokens and words of one step of learning; parts of a table.
+LONGEST, STEP, PARTS = 40, 4096, 16
+RATE, BINS, BELIEF, SMOOTH = 0.02, 24, 30.0, 0.4
 END = mix64(np.array([0xE0D], _U))[0]
 
 
-class Words:
-    """The tokens of a chunk of documents: each document's words and one end; distinct ones with their spelling."""
-
-    def __init__(self, texts: list[str], train: np.ndarray):
-        keys, docs, gates, self.spelling = [], [], [], {}
-        known = np.zeros(0, _U)
-        spelled: list[bytes] = []
-        seen: list[np.ndarray] = []
-        self.bytes = np.zeros(len(texts), np.int64)
-        for a, b in parts_of(texts):
-            data, starts = joined(texts[a:b])
-            self.bytes[a:b] = np.diff(starts) - 1
-            word, first, begin, length = placed_words(data, starts)
-            n = np.diff(first)
-            key = np.full(len(word) + len(n), END)
-            at = np.arange(len(word)) + np.repeat(np.arange(len(n)), n)
-            key[at] = word
-            doc = np.repeat(np.arange(a, b), n + 1)
-            # the share of words beyond ASCII among the last words of the document
-            beyond = np.zeros(len(key), np.int64)
-            if len(word):
-                beyond[at] = np.add.reduceat((data > 127).astype(np.int64), begin) > 0
-            total = np.append(0, np.cumsum(beyond))
-            head = np.repeat(np.append(0, np.cumsum(n + 1)[:-1]), n + 1)
-            here = np.arange(len(key))
-            back = np.maximum(here - HISTORY, head)
-            share = (total[here] - total[back]) / np.maximum(1, here - back)
-            keys.append(key)
-            docs.append(doc)
-            gates.append(np.searchsorted(SHARES, share).astype(np.int8))
-            new, at = np.unique(word, return_index=True)
-            fresh = ~np.isin(new, known, assume_unique=True)
-            raw = data.tobytes().translate(LOWER_BYTES)
-            spelled += [raw[begin[i] : begin[i] + length[i]] for i in at[fresh]]
-            seen.append(new[fresh])
-            known = np.union1d(known, new[fresh])
-        self.key = np.concatenate(keys) if keys else np.zeros(0, _U)
-        self.doc = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        self.gate = np.concatenate(gates) if gates else np.zeros(0, np.int8)
-        self.types, self.type = np.unique(self.key, return_inverse=True)
-        order = np.argsort(np.concatenate(seen)) if seen else []
-        self.spelled = [spelled[i] for i in order]
-        if len(self.types):  # the end is spelled as the empty word
-            self.spelled.insert(int(np.searchsorted(self.types, END)), b"")
-        hot = train[self.doc] if len(self.doc) else np.zeros(0, bool)
-        flat = self.type[hot] * GATES + self.gate[hot]
-        self.counts = np.bincount(flat, minlength=len(self.types) * GATES).reshape(-1, GATES)
-
-
-def _bits(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For every bit of the words and their ends: the word's number, its contexts' slots (one row for each order), the bit."""
-    cut = [(i, w[a : a + LONGEST]) for i, w in enumerate(words) for a in range(0, max(1, len(w)), LONGEST)]
-    length = np.array([len(w) + 1 for _, w in cut])
-    of = np.repeat([i for i, _ in cut], length)
-    data = np.frombuffer(b" ".join(w for _, w in cut) + b" ", np.uint8).astype(_U)
-    begin = np.append(0, np.cumsum(length)[:-1])
-    place = np.arange(len(data)) - np.repeat(begin, length)
-    back = [np.where(place >= j, np.roll(data, j), _U(0)) for j in (1, 2, 3)]
-    total = np.cumsum(mix64(data + (place.astype(_U) << _U(8)) + _U(3)))
-    whole = total - mix64(data + (place.astype(_U) << _U(8)) + _U(3)) - np.repeat(np.append(_U(0), total[begin[1:] - 1]), length)
-    byte_context = [back[0], back[0] | back[1] << _U(8), back[0] | back[1] << _U(8) | back[2] << _U(16), whole]
-    node = np.stack([(data | _U(256)) >> _U(8 - j) for j in range(8)], 1)  # the byte's bits so far, after a one
-    slots = np.empty((len(TABLE_BITS), len(data) * 8), np.int32)
-    for k, bits in enumerate(TABLE_BITS):
-        if k == 0:
-            slots[k] = ((byte_context[0] << _U(8))[:, None] + node).astype(np.int32).ravel()
-        else:
-            h = (mix64(byte_context[k] * _U(8) + _U(k))[:, None] + node * _U(0x9E3779B97F4A7C15)) * _U(0xBF58476D1CE4E5B9)
-            slots[k] = (h >> _U(64 - bits)).astype(np.int32).ravel() + OFFSETS[k]
-    bit = ((data[:, None] >> np.arange(7, -1, -1, dtype=_U)) & _U(1)).astype(np.int8).ravel()
-    return np.repeat(of, 8), slots, bit
-
-
-def spell_counts(words: list[bytes]) -> np.ndarray:
-    """How often each context's bit was 0 and 1 over the words: an array of (slots, 2)."""
-    counts = np.zeros(SLOTS * 2, np.int64)
-    for a in range(0, len(words), 32768):
-        _, slots, bit = _bits(words[a : a + 32768])
-        for k in range(len(TABLE_BITS)):
-            counts += np.bincount(slots[k] * 2 + bit, minlength=SLOTS * 2)
-    return counts.reshape(-1, 2)
+class Mixing:
+    """Bit predictors over tables of counts, mixed in the logistic domain by weights that a gate selects, and refined by
+    what came of such predictions before. All that is learned adds up: tables, refinements, and weights times their use.
+
+    While it learns, each step is predicted with what the steps before have left, then the weights move along its coding
+    gradient and its bits are counted."""
+
+    def __init__(self, slots: int, inputs: int, gates: int, start: list[float]):
+        self.counts = np.zeros(slots * 2, np.uint32)
+        self.weights = np.tile(np.array(start, np.float32), (gates, 1))
+        self.used = np.zeros(gates)
+        self.bins = np.zeros((gates * BINS, 2))
+        self.frozen: tuple | None = None
+
+    def freeze(self) -> None:
+        """Prepares for predictions only: each slot's stretched probability and the bits of its number of events."""
+        n = self.counts.reshape(-1, 2)
+        logs = np.log(n + np.float32(SMOOTH), dtype=np.float32)
+        self.frozen = logs[:, 1] - logs[:, 0], np.log2(n.sum(1, dtype=np.float32) + 1).astype(np.uint8)
+        self.counts = np.zeros(0, np.uint32)
+
+    def inputs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched probabilities of slots, and the bits of their numbers of events."""
+        if self.frozen:
+            return self.frozen[0][slots], self.frozen[1][slots]
+        zero, one = self.counts[slots * 2], self.counts[slots * 2 + 1]
+        x = np.log(one + np.float32(SMOOTH), dtype=np.float32) - np.log(zero + np.float32(SMOOTH), dtype=np.float32)
+        return x, np.log2(zero + one + np.float32(1), dtype=np.float32).astype(np.uint8)
+
+    def predict(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The mixed probability of a 1, the refined one, and the refinement's bin."""
+        z = np.zeros(len(gate), np.float32)
+        for k, w in enumerate(self.weights.T):
+            z += x[k] * w[gate]
+        z = np.clip(z, -12, 12)
+        p = 1 / (1 + np.exp(-z))
+        place = gate * BINS + ((z + 12) * ((BINS - 1) / 24) + 0.5).astype(np.int64)
+        n = self.bins[place]
+        return p, 0.5 * p + 0.5 * (n[:, 1] + BELIEF * p) / (n.sum(1) + BELIEF), place
+
+    def learn(self, slots: np.ndarray, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
+        p, _, place = self.predict(x, gate)
+        err = bit - p
+        many = np.bincount(gate, minlength=len(self.used))
+        for k in range(len(x)):
+            self.weights[:, k] += RATE * np.bincount(gate, err * x[k], minlength=len(many)) / np.sqrt(np.maximum(1, many))
+        np.clip(self.weights, -1, 2, out=self.weights)
+        self.used += many
+        self.bins += np.bincount(place * 2 + bit, minlength=self.bins.size).reshape(-1, 2)
+        for s in slots:
+            np.add.at(self.counts, s * 2 + bit, np.uint32(1))
+
+    def sent(self) -> pd.DataFrame:
+        """What was learned, in PARTS rows of counts (as they are, or as places and counts where most are 0) and one of the rest."""
+        rows = []
+        for i, x in enumerate(np.array_split(self.counts, PARTS)):
+            at = np.flatnonzero(x)
+            if len(at):
+                rows.append((i, b"", packed(x)) if len(at) * 3 > len(x) else (i, at.astype(np.uint32).tobytes(), packed(x[at])))
+        rest = np.concatenate([(self.weights * self.used[:, None]).ravel(), self.used, self.bins.ravel()])
+        return pd.DataFrame([*rows, (PARTS, b"", rest.astype(np.float64).tobytes())], columns=["part", "at", "counts"])
+
+    def gather(self, learned: DataFrame) -> Mixing:
+        """Takes over the sums of what all tasks learned, which are of a fixed size."""
+        size = [len(x) for x in np.array_split(self.counts, PARTS)]
+        parts = np.array_split(np.zeros(len(self.counts), np.int64), PARTS)
+        for r in learned.repartition(PARTS, "part").mapInPandas(_adder(size), "part int, counts binary").collect():
+            if r.part < PARTS:
+                parts[r.part] = unpacked(r.counts, size[r.part])
+                continue
+            rest = np.frombuffer(r.counts, np.float64)
+            a, b = self.weights.size, self.weights.size + len(self.used)
+            used = np.maximum(rest[a:b], 1e-9)[:, None]
+            self.weights = np.where(rest[a:b, None] > 0, rest[:a].reshape(self.weights.shape) / used, self.weights).astype(np.float32)
+            self.bins = rest[b:].reshape(self.bins.shape)
+        # logs are taken of 32-bit counts: beyond them both sides of all contexts are halved alike
+        whole = np.concatenate(parts)
+        while whole.max(initial=0) >= 1 << 32:
+            whole >>= 1
+        self.counts = whole.astype(np.uint32)
+        self.freeze()
+        return self
+
+
+def _adder(size: list[int]):
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[int, np.ndarray] = {}
+        for frame in frames:
+            for part, at, x in zip(frame["part"], frame["at"], frame["counts"]):
+                if part == PARTS:
+                    total[part] = total.get(part, 0) + np.frombuffer(x, np.float64)
+                elif at:
+                    where = np.frombuffer(at, np.uint32)
+                    total.setdefault(part, np.zeros(size[part], np.int64))[where] += unpacked(x, len(where))
+                else:
+                    total[part] = total.get(part, 0) + unpacked(x, size[part])
+        for part, x in total.items():
+            yield pd.DataFrame({"part": [part], "counts": [x.tobytes() if part == PARTS else packed(x)]})
+
+    return add
 
 
 def packed(counts: np.ndarray) -> bytes:
@@ -119,145 +144,297 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
     return np.frombuffer(raw, f"u{len(raw) // n}").astype(np.int64)
 
 
-class Mixer:
-    """Online logistic mixing of the contexts' predictions. The gate, by how sure the longest context is and the bit's
-    place, selects the weights; after each batch they move along the batch's coding gradient."""
-
-    def __init__(self, table: np.ndarray):
-        self.table = table.astype(np.int64)
-        less = np.maximum(self.table - 1, 0)  # where a word itself is left out
-        self.logs = np.log(np.concatenate([self.table.ravel(), less.ravel()]) + 0.4).astype(np.float32)
-        self.weights = np.full((8 * 5, len(TABLE_BITS)), START_WEIGHT, np.float32)
-
-    def costs(self, words: list[bytes], own: np.ndarray) -> np.ndarray:
-        """Each word's cost in nats. own: 1 where the word itself is in the table, from which it is left out."""
+class Speller:
+    """Spells words bit by bit, each word and its end by contexts within it."""
+
+    offsets = np.append(0, np.cumsum([1 << b for b in SPELL_BITS]))
+
+    def __init__(self):
+        self.mixing = Mixing(int(self.offsets[-1]), len(SPELL_BITS), 8 * 5, [0.4] * len(SPELL_BITS))
+
+    def bits(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For every bit of the words and their ends: the word's number, its contexts' slots (one row for each order), the bit."""
+        cut = [(i, w[a : a + LONGEST]) for i, w in enumerate(words) for a in range(0, max(1, len(w)), LONGEST)]
+        length = np.array([len(w) + 1 for _, w in cut])
+        of = np.repeat([i for i, _ in cut], length)
+        data = np.frombuffer(b" ".join(w for _, w in cut) + b" ", np.uint8).astype(_U)
+        begin = np.append(0, np.cumsum(length)[:-1])
+        place = np.arange(len(data)) - np.repeat(begin, length)
+        back = [np.where(place >= j, np.roll(data, j), _U(0)) for j in (1, 2, 3)]
+        own = mix64(data + (place.astype(_U) << _U(8)) + _U(3))
+        total = np.cumsum(own)
+        whole = total - own - np.repeat(np.append(_U(0), total[begin[1:] - 1]), length)
+        byte_context = [back[0], back[0] | back[1] << _U(8), back[0] | back[1] << _U(8) | back[2] << _U(16), whole]
+        node = np.stack([(data | _U(256)) >> _U(8 - j) for j in range(8)], 1)  # the byte's bits so far, after a one
+        slots = np.empty((len(SPELL_BITS), len(data) * 8), np.int64)
+        for k, bits in enumerate(SPELL_BITS):
+            if k == 0:
+                slots[k] = ((byte_context[0] << _U(8))[:, None] + node).astype(np.int64).ravel()
+            else:
+                h = (mix64(byte_context[k] * _U(8) + _U(k))[:, None] + node * _ODD1) * _ODD2
+                slots[k] = (h >> _U(64 - bits)).astype(np.int64).ravel() + self.offsets[k]
+        bit = ((data[:, None] >> np.arange(7, -1, -1, dtype=_U)) & _U(1)).astype(np.int64).ravel()
+        return np.repeat(of, 8), slots, bit
+
+    def _seen(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, sure = self.mixing.inputs(slots)
+        return x, np.tile(np.arange(8), slots.shape[1] // 8) * 5 + np.minimum(sure[-1], 4)
+
+    def learn(self, words: list[bytes]) -> None:
+        for a in range(0, len(words), STEP):
+            _, slots, bit = self.bits(words[a : a + STEP])
+            self.mixing.learn(slots, *self._seen(slots), bit)
+
+    def costs(self, words: list[bytes]) -> np.ndarray:
+        """Each word's cost in nats; what a long word costs is the sum over all its bits."""
         out = np.zeros(len(words))
-        for a in range(0, len(words), BATCH):
-            of, slots, bit = _bits(words[a : a + BATCH])
-            mine = own[a : a + BATCH][of].astype(np.int64) * self.table.size
-            one, zero = mine * (bit == 1) + 1, mine * (bit == 0)
-            x = np.empty(slots.shape, np.float32)
-            for k in range(len(TABLE_BITS)):
-                at = slots[k] * 2
-                x[k] = self.logs[at + one] - self.logs[at + zero]
-            n = self.table[slots[-1]]
-            n[np.arange(len(bit)), bit] -= mine > 0
-            sure = np.minimum(4, np.log2(np.maximum(n, 0).sum(1) + 1.0)).astype(np.int64)
-            gate = np.tile(np.arange(8), len(of) // 8) * 5 + sure
-            p = 1 / (1 + np.exp(-np.clip(np.einsum("kn,nk->n", x, self.weights[gate]), -20, 20)))
-            err = (bit - p).astype(np.float32)
-            cost = -np.log(np.maximum(np.where(bit == 1, p, 1 - p), 1e-9))
-            out[a : a + BATCH] += np.bincount(of, cost, minlength=min(BATCH, len(words) - a))
-            many = np.bincount(gate, minlength=len(self.weights))
-            for k in range(len(TABLE_BITS)):
-                self.weights[:, k] += RATE * np.bincount(gate, err * x[k], minlength=len(self.weights)) / np.sqrt(np.maximum(1, many))
-            np.clip(self.weights, -1, 2, out=self.weights)
+        for a in range(0, len(words), STEP):
+            part = words[a : a + STEP]
+            of, slots, bit = self.bits(part)
+            _, p, _ = self.mixing.predict(*self._seen(slots))
+            out[a : a + STEP] = np.bincount(of, -np.log(np.where(bit == 1, p, 1 - p)), minlength=len(part))
         return out
 
 
-def _sum_parts(frames):
-    total: dict[int, np.ndarray] = {}
-    for frame in frames:
-        for part, counts in zip(frame["part"], frame["counts"]):
-            total[part] = total.get(part, 0) + unpacked(counts, SLOTS * 2 // PARTS)
-    for part, x in total.items():
-        yield pd.DataFrame({"part": [part], "counts": [packed(x)]})
-
+class Code:
+    """A prefix code of the coded words, the end and the rest (any other word), by their counts: its bits are what the
+    contexts predict. A word's path is its inner nodes and the bits that are taken there."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, end: int, rest: int):
+        order = np.argsort(words)
+        self.words, self.counts = words[order], counts[order]
+        self.end, self.rest = len(words), len(words) + 1
+        weight = np.append(self.counts, [end, rest]).astype(np.int64)
+        n = len(weight)
+        heap = [(int(w), i) for i, w in enumerate(weight)]
+        heapq.heapify(heap)
+        parent, side = np.zeros(2 * n - 1, np.int64), np.zeros(2 * n - 1, np.int8)
+        mass = np.append(weight, np.zeros(n - 1, np.int64))
+        self.static = np.zeros(n - 1, np.float32)
+        for at in range(n, 2 * n - 1):
+            (w0, a), (w1, b) = heapq.heappop(heap), heapq.heappop(heap)
+            parent[a] = parent[b] = at
+            side[b] = 1
+            mass[at] = w0 + w1
+            self.static[at - n] = math.log((w1 + SMOOTH) / (w0 + SMOOTH))
+            heapq.heappush(heap, (w0 + w1, at))
+        nodes, bits, self.length = [], [], np.zeros(n, np.int64)
+        for i in range(n):
+            at, path = i, []
+            while at != 2 * n - 2:
+                path.append((parent[at] - n, side[at]))
+                at = parent[at]
+            self.length[i] = len(path)
+            nodes += [x for x, _ in reversed(path)]
+            bits += [y for _, y in reversed(path)]
+        self.first = np.cumsum(self.length) - self.length
+        self.nodes, self.bits = np.array(nodes, np.int32), np.array(bits, np.int8)
+
+    def symbols(self, keys: np.ndarray, is_end: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.words, keys)
+        known = np.zeros(len(keys), bool) if not len(self.words) else self.words[np.minimum(at, len(self.words) - 1)] == keys
+        return np.where(is_end, self.end, np.where(known, at, self.rest))
+
+
+class Tokens:
+    """The tokens of some texts: each text's words, as hashes, and one end; and what comes before them."""
+
+    def __init__(self, texts: list[str]):
+        self.data, starts = joined(texts)
+        self.size = np.diff(starts) - 1
+        word, first, self.begin, self.bytes = placed_words(self.data, starts)
+        n = np.diff(first)
+        self.length = n + 1
+        self.key = np.full(len(word) + len(n), END)
+        self.at = np.arange(len(word)) + np.repeat(np.arange(len(n)), n)
+        self.key[self.at] = word
+        self.is_end = np.ones(len(self.key), bool)
+        self.is_end[self.at] = False
+        self.head = np.cumsum(self.length) - self.length
+        place = np.arange(len(self.key)) - np.repeat(self.head, self.length)
+        before = [np.where(place >= j, np.roll(self.key, j), _U(0)) for j in (1, 2)]
+        self.contexts = [mix64(before[0] + _U(11)), mix64(before[0] * _ODD1 + before[1] + _U(12)), mix64(before[1] + _U(13))]
+        # the share of words beyond ASCII among the last words of the text
+        beyond = np.zeros(len(self.key), np.int64)
+        if len(word):
+            beyond[self.at] = np.add.reduceat((self.data > 127).astype(np.int64), self.begin) > 0
+        total = np.append(0, np.cumsum(beyond))
+        here = np.arange(len(self.key))
+        back = np.maximum(here - HISTORY, np.repeat(self.head, self.length))
+        self.script = np.searchsorted(SHARES, (total[here] - total[back]) / np.maximum(1, here - back))
+
+    def spelled(self, which: np.ndarray) -> list[bytes]:
+        """The lower-cased bytes of the words of these numbers."""
+        raw = self.data.tobytes().translate(LOWER_BYTES)
+        return [raw[a : a + n] for a, n in zip(self.begin[which].tolist(), self.bytes[which].tolist())]
+
+
+class Coder:
+    """Predicts the bits of words' codes by the words before."""
+
+    def __init__(self, code: Code, tokens: int):
+        self.code = code
+        most = max(12, int(tokens).bit_length())
+        self.table_bits = tuple(min(b, most) for b in WORD_BITS)
+        self.offsets = np.append(0, np.cumsum([len(code.static) * SCRIPTS, *(1 << b for b in self.table_bits)]))
+        self.mixing = Mixing(int(self.offsets[-1]), 5, 6 * 4, [0.1, 0.5, 0.3, 0.3, 0.1])
+
+    def events(self, t: Tokens, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For every bit of the codes of tokens a to b: the token's number from a, the slots, the code's own odds, the bit."""
+        symbol = self.code.symbols(t.key[a:b], t.is_end[a:b])
+        n = self.code.length[symbol]
+        of = np.repeat(np.arange(b - a), n)
+        at = np.arange(len(of)) + np.repeat(self.code.first[symbol] - (np.cumsum(n) - n), n)
+        node = self.code.nodes[at].astype(np.int64)
+        slots = np.empty((4, len(of)), np.int64)
+        slots[0] = node * SCRIPTS + t.script[a:b][of]
+        spread = node.astype(_U) * _ODD1
+        for k, bits in enumerate(self.table_bits):
+            slots[k + 1] = (((t.contexts[k][a:b][of] + spread) * _ODD2) >> _U(64 - bits)).astype(np.int64) + self.offsets[k + 1]
+        return of, slots, self.code.static[node], self.code.bits[at].astype(np.int64)
+
+    def _seen(self, slots: np.ndarray, static: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x, sure = self.mixing.inputs(slots)
+        return np.concatenate([static[None], x]), np.minimum(sure[1], 10).astype(np.int64) // 2 * 4 + np.minimum(sure[2], 6) // 2
+
+    def learn(self, t: Tokens) -> None:
+        for a in range(0, len(t.key), STEP):
+            _, slots, static, bit = self.events(t, a, min(len(t.key), a + STEP))
+            self.mixing.learn(slots, *self._seen(slots, static), bit)
+
+    def costs(self, t: Tokens) -> np.ndarray:
+        """Nats of each token's code."""
+        out = []
+        for a in range(0, len(t.key), STEP * 8):
+            b = min(len(t.key), a + STEP * 8)
+            of, slots, static, bit = self.events(t, a, b)
+            _, p, _ = self.mixing.predict(*self._seen(slots, static))
+            out.append(np.bincount(of, -np.log(np.where(bit == 1, p, 1 - p)), minlength=b - a))
+        return np.concatenate(out) if out else np.zeros(0)
+
+
+def word_counts(texts: DataFrame, held: int = 1_000_000) -> DataFrame:
+    """w (a word's 64-bit hash), c (its count), s (its bytes, lower-cased) of the column `text`. Tasks add up what they hold."""
+
+    def merged(found: list[tuple]) -> pd.DataFrame:
+        key, count, spelled = (np.concatenate(x) for x in zip(*found))
+        distinct, first, of = np.unique(key, return_index=True, return_inverse=True)
+        return pd.DataFrame({"w": distinct.view(np.int64), "c": np.bincount(of, count).astype(np.int64), "s": spelled[first]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple] = []
+        for frame in frames:
+            texts = frame["text"].tolist()
+            for a, b in parts_of(texts, PART):
+                t = Tokens(texts[a:b])
+                key, first, count = np.unique(t.key[t.at], return_index=True, return_counts=True)
+                found.append((key, count, np.array(t.spelled(first), object)))
+                if sum(len(x[0]) for x in found) > held:
+                    yield merged(found)
+                    found = []
+        if found:
+            yield merged(found)
 
-def blend(seen: np.ndarray, unusual: np.ndarray, spelling: np.ndarray) -> np.ndarray:
-    """log10 probabilities of tokens that are drawn from the counts (their share there: seen) but for a share `unusual` of
-    times, when they are spelled (spelling: natural logs, however low)."""
-    with np.errstate(divide="ignore"):
-        return np.logaddexp(np.log1p(-unusual) + np.log(seen), np.log(unusual) + spelling) / math.log(10)
+    return texts.select("text").mapInPandas(run, "w long, c long, s binary").groupBy("w").agg(F.sum("c").alias("c"), F.min("s").alias("s"))
 
 
-def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK) -> DataFrame:
+def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", coded: int = CODED) -> DataFrame:
     """Per input row: id_col, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     A token is a lower-cased (A-Z) word, or the end that closes each text. base_score adds log10((c + 1) / (N + V + 1)).
-    score is the log10 probability of the text under the model: a known word by its training counts, those behind the
-    same gate first (the gate is chosen by the words just before); any word by its spelling, whose bits several hashed
-    contexts predict, mixed by gated weights that adapt as words come; and how often words are known adapts along the text.
+    score is the log10 probability of the text under the model, a product over its tokens. The `coded` most frequent words
+    and the end have a prefix code; its bits are predicted from hashed contexts across words, mixed by gated weights and
+    refined. Any other word is the code's rest, then, if it is known, drawn by its count, or spelled, its bits predicted from
+    contexts within the word.
 
-    1. Documents are dealt to chunks by a hash of their identifier; a chunk sends each distinct word once, as a 64-bit hash,
-    with its training counts, to buckets, which add them up and answer in the order asked. 2. Spelling counts of each chunk's
-    distinct training words are added up in tables of fixed size (SLOTS contexts), which are all that is broadcast.
-    3. Chunks score their documents. Counts cover all documents; what is sent grows with them.
+    1. Exact word counts of all training texts, in a table. 2. The speller learns from each distinct training word once, the
+    coder from all training texts; each task learns online, and tables, weights and refinements add up. They have a bounded
+    size, are sent to the tasks, and change no more: a text's score depends on the training texts and itself only. 3. Texts
+    are scored where they are read; their other words go to the table of counts and their sums come back.
 
     A null or empty text has the end only; a null identifier counts as a row of its own (`training` decides on it; null
-    counts as not training); repeated rows count again and score alike; an empty table gives an empty result."""
+    counts as not training); repeated rows count again and score alike; an empty table gives an empty result; other columns
+    of docs play no part."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0].n or 0
-    n = max(1, -(-size // chunk_bytes))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("text"))), F.lit(n)).cast("int"))
-
-    def loaded(frame: pd.DataFrame) -> Words:
-        return Words(frame["text"].tolist(), frame["train"].to_numpy(bool))
-
-    def ask(frame: pd.DataFrame) -> pd.DataFrame:
-        w, chunk = loaded(frame), int(frame["chunk"].iloc[0])
-        bucket = ((w.types >> _U(32)) * _U(n) >> _U(32)).astype(np.int64)
-        ends = np.flatnonzero(np.append(np.diff(bucket) != 0, True)) + 1
-        out, a = [], 0
-        for b in ends:
-            out.append((0, int(bucket[a]), chunk, w.types[a:b].tobytes(), w.counts[a:b].astype(np.uint32).tobytes()))
-            a = b
-        counts = spell_counts([s for s, c in zip(w.spelled, w.counts.sum(1)) if c]).reshape(PARTS, -1)
-        out += [(1, part, chunk, b"", packed(counts[part])) for part in range(PARTS) if counts[part].any()]
-        return pd.DataFrame(out, columns=["kind", "part", "chunk", "k", "counts"])
-
-    def answer(frame: pd.DataFrame) -> pd.DataFrame:
-        key = np.frombuffer(b"".join(frame["k"]), _U)
-        counts = np.frombuffer(b"".join(frame["counts"]), np.uint32).reshape(-1, GATES)
-        distinct, at = np.unique(key, return_inverse=True)
-        total = np.stack([np.bincount(at, counts[:, g], minlength=len(distinct)) for g in range(GATES)], 1).astype(np.int64)
-        out = [(int(frame["part"].iloc[0]), -1, np.append(total.sum(0), [(total.sum(1) > 0).sum(), (total.sum(1) == 1).sum()]).astype(np.int64).tobytes())]
-        ends = np.cumsum([len(x) // 8 for x in frame["k"]])
-        out += [(int(p), int(c), total[at[e - len(k) // 8 : e]].astype(np.uint32).tobytes()) for p, c, k, e in zip(frame["part"], frame["chunk"], frame["k"], ends)]
-        return pd.DataFrame(out, columns=["part", "chunk", "counts"])
-
-    asked = stored(dealt.groupBy("chunk").applyInPandas(ask, "kind int, part int, chunk int, k binary, counts binary"), "asked")
-    replies = stored(asked.where("kind = 0").groupBy("part").applyInPandas(answer, "part int, chunk int, counts binary"), "counts")
-
-    def add(frames):
-        total = np.zeros(GATES + 2, np.int64)
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
+    counts = stored(word_counts(rows.where("train")), "words")
+    ends = rows.where("train").count()
+    sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice")).collect()[0]
+    tokens, types = sums.n + ends, sums.v + (ends > 0)
+    top = counts.where("c > 1").select("w", "c").orderBy(F.desc("c"), "w").limit(coded).collect()
+    known = np.array([r.c for r in top], np.int64)
+    rest = sums.n - int(known.sum())
+    code = Code(np.array([r.w for r in top], np.int64).view(_U), known, ends + 1, rest + 1)
+    # of the other words, the chance of a new one: as many as words seen once, against those seen again
+    fresh = (sums.once + 1) / (sums.once + 2 * sums.twice + (rest - sums.once) + 2)
+
+    def learn_spelling(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = Speller()
+        for frame in frames:
+            s.learn(frame["s"].tolist())
+        yield s.mixing.sent()
+
+    shared_code = spark.sparkContext.broadcast(code)
+
+    def learn_code(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = Coder(shared_code.value, tokens)
+        for frame in frames:
+            texts = frame["text"].tolist()
+            for a, b in parts_of(texts, PART):
+                c.learn(Tokens(texts[a:b]))
+        yield c.mixing.sent()
+
+    sent = "part int, at binary, counts binary"
+    speller, coder = Speller(), Coder(code, tokens)
+    speller.mixing.gather(counts.select("s").mapInPandas(learn_spelling, sent))
+    coder.mixing.gather(rows.where("train").select("text").mapInPandas(learn_code, sent))
+    shared_coder, shared_speller = spark.sparkContext.broadcast(coder), spark.sparkContext.broadcast(speller)
+    log_all = math.log10(tokens + types + 1)
+
+    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c: Coder = shared_coder.value
+        number = TaskContext.get().partitionId() << 40
+        base_of = np.append(np.log10(c.code.counts + 1.0), [math.log10(ends + 1), 0.0]) - log_all
+        for frame in frames:
+            texts, train = frame["text"].tolist(), frame["train"].to_numpy(bool)
+            for a, b in parts_of(texts, PART):
+                t = Tokens(texts[a:b])
+                symbol = c.code.symbols(t.key, t.is_end)
+                here = symbol < c.code.rest
+                base = np.where(here, base_of[symbol], 0.0)
+                told = here & ~(t.is_end & (ends == 0))
+                part = np.arange(number, number + b - a)
+                number += b - a
+                add = lambda x: np.add.reduceat(x, t.head)
+                yield pd.DataFrame({"r": part, "id": frame["id"].iloc[a:b].to_numpy(), "n_tokens": t.length, "n_known": add(told.astype(np.int64)), "base": add(base), "score": -add(c.costs(t)) / math.log(10), "bytes": t.size, "w": None, "m": None, "s": None}).astype({"id": frame["id"].dtype})
+                other = np.flatnonzero(~here)
+                if not len(other):
+                    continue
+                doc = np.repeat(np.arange(b - a), t.length)[other]
+                order = np.lexsort((t.key[other], doc))
+                other, doc = other[order], doc[order]
+                start = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (t.key[other[1:]] != t.key[other[:-1]])))
+                many = np.diff(np.append(start, len(other)))
+                word = np.searchsorted(t.at, other[start])
+                spelled = np.full(len(start), None, object)
+                new = np.flatnonzero(~train[a:b][doc[start]])
+                spelled[new] = t.spelled(word[new])
+                yield pd.DataFrame({"r": part[doc[start]], "id": None, "n_tokens": None, "n_known": None, "base": None, "score": None, "bytes": None, "w": t.key[other[start]].view(np.int64), "m": many, "s": spelled})
+
+    judged = stored(rows.mapInPandas(judge, f"r long, id {kind}, n_tokens long, n_known long, base double, score double, bytes long, w long, m long, s binary"), "scored")
+
+    def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = shared_speller.value
         for frame in frames:
-            for x in frame["counts"]:
-                total += np.frombuffer(x, np.int64)
-        yield pd.DataFrame([total.tolist()], columns=[f"t{i}" for i in range(GATES + 2)])
-
-    sums = replies.where("chunk = -1").select("counts").mapInPandas(add, ", ".join(f"t{i} long" for i in range(GATES + 2)))
-    totals = [x or 0 for x in sums.agg(*(F.sum(f"t{i}") for i in range(GATES + 2))).collect()[0]]
-    by_gate, types, once = np.array(totals[:GATES], np.float64), totals[-2], totals[-1]
-    tokens = int(by_gate.sum())
-    table = np.zeros((PARTS, SLOTS * 2 // PARTS), np.int64)
-    for r in asked.where("kind = 1").select("part", "counts").repartition(PARTS, "part").mapInPandas(_sum_parts, "part int, counts binary").collect():
-        table[r.part] = unpacked(r.counts, SLOTS * 2 // PARTS)
-    shared = spark.sparkContext.broadcast(table.reshape(-1, 2))
-    fresh = min(0.5, max(1e-6, (once + 1) / (tokens + 2)))  # the chance of an unknown word, by the words seen once
-
-    def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        names = ["id", "n_tokens", "n_known", "base_score", "score", "bits_per_byte"]
-        if not len(left):
-            return pd.DataFrame([], columns=names)
-        w = loaded(left)
-        right = right.sort_values("part")
-        counts = np.frombuffer(b"".join(right["counts"]), np.uint32).reshape(-1, GATES).astype(np.float64)
-        c = counts.sum(1)
-        spelling = -Mixer(shared.value).costs(w.spelled, w.counts.sum(1) > 0)
-        ct, t = c[w.type], w.type
-        base = np.log10((ct + 1) / (tokens + types + 1))
-        seen = (counts[t, w.gate] + BACKING * ct / max(1, tokens)) / (by_gate[w.gate] + BACKING)
-        known = (ct > 0).astype(np.float64)
-        head = np.flatnonzero(np.append(True, w.doc[1:] != w.doc[:-1]))
-        length = np.diff(np.append(head, len(w.doc)))
-        before = np.cumsum(known) - known
-        before -= np.repeat(before[head], length)
-        place = np.arange(len(known)) - np.repeat(head, length)
-        p = blend(seen, (PRIOR * fresh + place - before) / (PRIOR + place), spelling[t])
-        total = np.add.reduceat(p, head)
-        return pd.DataFrame({"id": left["id"].to_numpy(), "n_tokens": length, "n_known": np.add.reduceat(known, head).astype(np.int64), "base_score": np.add.reduceat(base, head), "score": total, "bits_per_byte": -total * math.log2(10) / np.maximum(1, w.bytes)}).astype({"id": left["id"].dtype})
-
-    done = dealt.groupBy("chunk").cogroup(replies.where("chunk >= 0").groupBy("chunk")).applyInPandas(judge, "id long, n_tokens long, n_known long, base_score double, score double, bits_per_byte double")
-    return done.withColumn("train_tokens", F.lit(tokens).cast("long")).withColumnRenamed("id", id_col)
+            cost = -s.costs(frame["s"].tolist()) / math.log(10)
+            yield pd.DataFrame({"r": frame["r"], "n": 0, "base": -log_all * frame["m"], "score": frame["m"] * (cost + math.log10(fresh))})
+
+    others, sums_of = judged.where("w IS NOT NULL"), "r long, n long, base double, score double"
+    told = others.join(counts.select("w", "c"), "w").select("r", F.col("m").alias("n"), (F.col("m") * (F.log10(F.col("c") + 1) - log_all)).alias("base"), (F.col("m") * (F.log10("c") + (math.log10((1 - fresh) / rest) if rest else 0.0))).alias("score"))
+    # words of training texts are all known
+    new = others.where("s IS NOT NULL").join(counts.select("w"), "w", "left_anti").select("r", "m", "s").mapInPandas(spell, sums_of)
+    more = told.union(new).groupBy("r").agg(F.sum("n").alias("n"), F.sum("base").alias("b"), F.sum("score").alias("p"))
+    whole = judged.where("w IS NULL").select("r", "id", "n_tokens", "n_known", "base", "score", "bytes").join(more, "r", "left")
+    plus = lambda c, x: F.col(c) + F.coalesce(F.col(x), F.lit(0))
+    return whole.select(F.col("id").alias(id_col), "n_tokens", plus("n_known", "n").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), plus("base", "b").alias("base_score"), plus("score", "p").alias("score"), (-plus("score", "p") * math.log2(10) / F.greatest(F.lit(1), "bytes")).alias("bits_per_byte"))

@@ -295,9 +295,10 @@ def test_nearest_among_copies(spark):
             assert len({i for i, _ in by[q]} & set(ids[best].tolist())) >= 18
 
 
-def test_lm(docs):
+@pytest.mark.parametrize("coded", [65_536, 20])
+def test_lm(docs, coded):
     training = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
-    got = lm.score(docs, training, chunk_bytes=3000).collect()
+    got = lm.score(docs, training, coded=coded).collect()
     tokens = [(r.doc_id, [*WORD.findall((r.text or "").translate(LOWER)), None]) for r in docs.collect()]
     c = collections.Counter(w for i, t in tokens if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for w in t)
     n, v = sum(c.values()), len(c)
@@ -306,38 +307,97 @@ def test_lm(docs):
     assert all(r.score < 0 for r in got)
 
 
-def test_lm_spelling_is_a_distribution():
-    """Over all strings of one letter alphabet position, the bits of a byte's tree add up to one."""
-    words = [b"abc", b"abd", b"xyz"] * 5
-    table = lm.spell_counts(words).astype(np.int32)
-    m = lm.Mixer(table)
-    m_costs = m.costs([bytes([b]) for b in range(256) if b != 32], np.zeros(255))
-    first_byte_and_end = np.exp(-m_costs).sum()
-    assert 0 < first_byte_and_end < 1.0001
+def test_lm_held_out_texts_change_no_other_score(docs):
+    training = F.col("doc_id") % 2 == 0
+    whole = {r.doc_id: r.score for r in lm.score(docs, training).collect() if r.doc_id is not None}
+    less = {r.doc_id: r.score for r in lm.score(docs.where("doc_id % 2 = 0 OR doc_id % 5 = 1"), training).collect() if r.doc_id is not None}
+    assert less and all(abs(whole[i] - x) < 1e-6 * abs(x) for i, x in less.items())
+
+
+def test_lm_edges(spark):
+    schema = "doc_id long, text string, w long, r long"
+    assert lm.score(spark.createDataFrame([], schema), F.lit(True)).count() == 0
+    rows = [(None, "a b", 1, 1), (1, None, 1, 1), (2, "", 1, 1), (2, "", 1, 1)]
+    for training in (F.lit(False), F.lit(True)):  # nothing to learn from, or hardly anything
+        got = lm.score(spark.createDataFrame(rows, schema), training).collect()
+        assert sorted(r.n_tokens for r in got) == [1, 1, 1, 3] and all(math.isfinite(r.score) for r in got)
+        assert len({r.score for r in got if r.doc_id is not None}) == 1
+
+
+def trained_speller():
+    s = lm.Speller()
+    s.learn([b"some", b"text", b"texts", b"sum"] * 9)
+    s.mixing.freeze()
+    return s
+
+
+def trained_coder():
+    texts = ["a b a c a b", "b a é c", "c c b"] * 5
+    counts = collections.Counter(w for t in texts for w in t.split())
+    hashed = {w: int(lm.Tokens([w]).key[0]) for w in counts}
+    code = lm.Code(np.array([hashed[w] for w in counts], np.uint64), np.array(list(counts.values())), 15, 1)
+    c = lm.Coder(code, 100)
+    for t in texts:
+        c.learn(lm.Tokens([t]))
+    c.mixing.freeze()
+    return c, counts
+
+
+def test_lm_probabilities_add_up():
+    """Those of all next tokens to one, and those of some words to less."""
+    c, counts = trained_coder()
+    after = [math.exp(-c.costs(lm.Tokens([f"a {w}".strip()]))[1]) for w in [*counts, "", "other"]]
+    assert abs(sum(after) - 1) < 1e-4
+    words = [b"", *(bytes([x]) for x in range(256)), b"some", b"text"]
+    assert 0 < sum(math.exp(-x) for x in trained_speller().costs(words)) <= 1
+
+
+def test_lm_costs_against_a_loop():
+    """Each bit by itself, in plain arithmetic."""
+    c, _ = trained_coder()
+    t, m = lm.Tokens(["a b é", "zz a"]), c.mixing
+    got = c.costs(t)
+    symbols = c.code.symbols(t.key, t.is_end)
+    for i, s in enumerate(symbols.tolist()):
+        total = 0.0
+        for j in range(c.code.first[s], c.code.first[s] + c.code.length[s]):
+            node, bit = int(c.code.nodes[j]), int(c.code.bits[j])
+            slots = [node * lm.SCRIPTS + int(t.script[i])]
+            for k, bits in enumerate(c.table_bits):
+                h = (int(t.contexts[k][i]) + node * 0x9E3779B97F4A7C15) * 0xBF58476D1CE4E5B9 % 2**64
+                slots.append((h >> (64 - bits)) + int(c.offsets[k + 1]))
+            sure = [int(m.frozen[1][x]) for x in slots]
+            gate = min(sure[1], 10) // 2 * 4 + min(sure[2], 6) // 2
+            z = float(c.code.static[node]) * float(m.weights[gate][0]) + sum(float(m.frozen[0][x]) * float(m.weights[gate][k + 1]) for k, x in enumerate(slots))
+            z = max(-12.0, min(12.0, z))
+            p = 1 / (1 + math.exp(-z))
+            zero, one = m.bins[gate * lm.BINS + int((z + 12) * ((lm.BINS - 1) / 24) + 0.5)]
+            p = 0.5 * p + 0.5 * (one + lm.BELIEF * p) / (zero + one + lm.BELIEF)
+            total -= math.log(p if bit else 1 - p)
+        assert abs(total - got[i]) < 1e-3 * max(1, total)
 
 
 def test_lm_long_words_cost_all_their_bits(spark):
-    r = random.Random(4)
-    run = "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=5000))
-    word = run.encode()
-    cost = lm.Mixer(lm.spell_counts([b"some", b"text"] * 9)).costs([word], np.zeros(1))[0]
-    got = lm.blend(np.zeros(1), np.full(1, 0.25), np.array([-cost]))[0]
-    assert cost > 600 and abs(got - (math.log10(0.25) - cost / math.log(10))) < 1e-6
+    run = "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyz0123456789", k=5000))
+    s = trained_speller()
+    pieces = s.costs([run.encode()])[0]
+    assert pieces > 600 and pieces > 10 * s.costs([run[:300].encode()])[0]
     rows = [(i, "some text that is known " * 5) for i in range(20)] + [(100, run), (101, run[:300])]
     by = {x.doc_id: x.score for x in lm.score(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 100).collect()}
     assert by[100] < 8 * by[101] < 0
 
 
-def test_lm_counts_beyond_16_bits():
-    """Two chunks' counts add up whole, and a bit that is three times as frequent stays so beyond 65,535."""
-    n = lm.SLOTS * 2 // lm.PARTS
-    x = np.zeros(n, np.int64)
-    x[:3] = 60_000, 240_000, 1 << 33
-    frames = [lm.pd.DataFrame({"part": [0, 0], "counts": [lm.packed(x), lm.packed(x)]})]
-    (out,) = lm._sum_parts(iter(frames))
-    assert lm.unpacked(out["counts"][0], n)[:4].tolist() == [120_000, 480_000, 1 << 34, 0]
-    few, many = (lm.Mixer(lm.spell_counts([b"a"] * 3 + [b"c"]) * m).costs([b"a", b"c"], np.zeros(2)) for m in (1000, 100_000))
-    assert np.allclose(few, many, atol=0.01) and many[0] < many[1]
+def test_lm_counts_beyond_16_bits(spark):
+    """Counts add up whole, dense or sparse."""
+    m = lm.Mixing(64, 2, 1, [0.5, 0.5])
+    m.counts[:3] = [60_000, 240_000, 1 << 30]
+    frames = [m.sent(), m.sent()]
+    m.counts[:] = 7
+    frames.append(m.sent())
+    learned = spark.createDataFrame([(int(r.part), bytes(r.at), bytes(r.counts)) for f in frames for r in f.itertuples()], "part int, at binary, counts binary")
+    out = lm.Mixing(64, 2, 1, [0.5, 0.5]).gather(learned)
+    assert abs(float(out.frozen[0][0]) - math.log(480_007 / 120_007)) < 1e-3
+    assert abs(float(out.frozen[0][1]) - math.log(7 / ((1 << 31) + 7))) < 0.1 and abs(float(out.frozen[0][9])) < 1e-6
 
 
 def test_toxicity(spark):
