@@ -21,12 +21,12 @@ CODED, PART = 65_536, 1 << 19
 #: Words' history that tells the script, and the upper ends of the shares of words beyond ASCII in it.
 HISTORY, SHARES = 32, (0.0, 0.1, 0.4)
 SCRIPTS = len(SHARES) + 1
-#: Bits of the hashed tables for a word's code at most: by the word before, the two before, and the one before that.
-WORD_BITS = (21, 21, 20)
+#: Bits of the hashed tables for a word's code at most: by the word before, and the two before.
+WORD_BITS = (21, 21)
 #: Bits of the hashed tables for spelling: order 1, 2 and 3 within a word, and the whole word so far.
 SPELL_BITS = (16, 18, 18, 19)
 #: Words beyond this many bytes are spelled in pieces of so many; tokens and words of one step of learning; parts of a table.
-LONGEST, STEP, PARTS = 40, 4096, 16
+LONGEST, STEP, PARTS = 40, 4096, 64
 RATE, BINS, BELIEF, SMOOTH = 0.02, 24, 30.0, 0.4
 END = mix64(np.array([0xE0D], _U))[0]
 
@@ -43,45 +43,53 @@ class Mixing:
         self.weights = np.tile(np.array(start, np.float32), (gates, 1))
         self.used = np.zeros(gates)
         self.bins = np.zeros((gates * BINS, 2))
-        self.frozen: tuple | None = None
+        self.frozen: np.ndarray | None = None
 
     def freeze(self) -> None:
-        """Prepares for predictions only: each slot's stretched probability and the bits of its number of events."""
+        """Prepares for predictions only: each slot's stretched probability, its last four bits replaced by how many bits
+        its number of events has, so that one look-up gives both; and the refined probability of each bin."""
         n = self.counts.reshape(-1, 2)
         logs = np.log(n + np.float32(SMOOTH), dtype=np.float32)
-        self.frozen = logs[:, 1] - logs[:, 0], np.log2(n.sum(1, dtype=np.float32) + 1).astype(np.uint8)
+        sure = np.minimum(np.log2(n.sum(1, dtype=np.float32) + 1), 15).astype(np.int32)
+        self.frozen = (((logs[:, 1] - logs[:, 0]).view(np.int32) & ~np.int32(15)) | sure).view(np.float32)
+        self.ones, self.all = self.bins[:, 1].astype(np.float32), self.bins.sum(1).astype(np.float32) + np.float32(BELIEF)
         self.counts = np.zeros(0, np.uint32)
 
     def inputs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched probabilities of slots, and the bits of their numbers of events."""
-        if self.frozen:
-            return self.frozen[0][slots], self.frozen[1][slots]
-        zero, one = self.counts[slots * 2], self.counts[slots * 2 + 1]
-        x = np.log(one + np.float32(SMOOTH), dtype=np.float32) - np.log(zero + np.float32(SMOOTH), dtype=np.float32)
-        return x, np.log2(zero + one + np.float32(1), dtype=np.float32).astype(np.uint8)
-
-    def predict(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The mixed probability of a 1, the refined one, and the refinement's bin."""
-        z = np.zeros(len(gate), np.float32)
-        for k, w in enumerate(self.weights.T):
-            z += x[k] * w[gate]
-        z = np.clip(z, -12, 12)
-        p = 1 / (1 + np.exp(-z))
-        place = gate * BINS + ((z + 12) * ((BINS - 1) / 24) + 0.5).astype(np.int64)
-        n = self.bins[place]
-        return p, 0.5 * p + 0.5 * (n[:, 1] + BELIEF * p) / (n.sum(1) + BELIEF), place
+        """Stretched probabilities of slots, and how many bits their numbers of events have (up to 15)."""
+        if self.frozen is not None:
+            x = self.frozen[slots]
+            return x, x.view(np.int32) & 15
+        n = self.counts.view(_U)[slots]
+        zero, one = (n & _U(0xFFFFFFFF)).astype(np.float32), (n >> _U(32)).astype(np.float32)
+        sure = ((zero + one + np.float32(1)).view(np.int32) >> 23) - 127
+        return np.log((one + np.float32(SMOOTH)) / (zero + np.float32(SMOOTH))), np.minimum(sure, 15)
+
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The mixed probability of a 1, and the bin by which it is refined."""
+        z = x[0] * self.weights[:, 0][gate]
+        for k in range(1, len(x)):
+            z += x[k] * self.weights[:, k][gate]
+        z = np.clip(z, np.float32(-12), np.float32(12))
+        place = gate * BINS + ((z + np.float32(12)) * np.float32((BINS - 1) / 24) + np.float32(0.5)).astype(np.int64)
+        return 1 / (1 + np.exp(-z)), place
+
+    def cost(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
+        """Nats of the bits, by the mean of the mixed and the refined probability."""
+        p, place = self.mixed(x, gate)
+        p = np.float32(0.5) * (p + (self.ones[place] + np.float32(BELIEF) * p) / self.all[place])
+        return -np.log(np.where(bit == 1, p, 1 - p))
 
     def learn(self, slots: np.ndarray, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
-        p, _, place = self.predict(x, gate)
-        err = bit - p
+        p, place = self.mixed(x, gate)
+        err = bit.astype(np.float32) - p
         many = np.bincount(gate, minlength=len(self.used))
         for k in range(len(x)):
             self.weights[:, k] += RATE * np.bincount(gate, err * x[k], minlength=len(many)) / np.sqrt(np.maximum(1, many))
         np.clip(self.weights, -1, 2, out=self.weights)
         self.used += many
         self.bins += np.bincount(place * 2 + bit, minlength=self.bins.size).reshape(-1, 2)
-        for s in slots:
-            np.add.at(self.counts, s * 2 + bit, np.uint32(1))
+        np.add.at(self.counts, (slots * 2 + bit).ravel(), np.uint32(1))
 
     def sent(self) -> pd.DataFrame:
         """What was learned, in PARTS rows of counts (as they are, or as places and counts where most are 0) and one of the rest."""
@@ -191,8 +199,7 @@ class Speller:
         for a in range(0, len(words), STEP):
             part = words[a : a + STEP]
             of, slots, bit = self.bits(part)
-            _, p, _ = self.mixing.predict(*self._seen(slots))
-            out[a : a + STEP] = np.bincount(of, -np.log(np.where(bit == 1, p, 1 - p)), minlength=len(part))
+            out[a : a + STEP] = np.bincount(of, self.mixing.cost(*self._seen(slots), bit), minlength=len(part))
         return out
 
 
@@ -237,7 +244,7 @@ class Code:
 
 
 class Tokens:
-    """The tokens of some texts: each text's words, as hashes, and one end; and what comes before them."""
+    """The tokens of some texts: each text's words, as hashes, and one end."""
 
     def __init__(self, texts: list[str]):
         self.data, starts = joined(texts)
@@ -251,17 +258,21 @@ class Tokens:
         self.is_end = np.ones(len(self.key), bool)
         self.is_end[self.at] = False
         self.head = np.cumsum(self.length) - self.length
+
+    def look_back(self) -> Tokens:
+        """Adds what comes before each token: hashes of the word before and of the two before, and the script."""
         place = np.arange(len(self.key)) - np.repeat(self.head, self.length)
         before = [np.where(place >= j, np.roll(self.key, j), _U(0)) for j in (1, 2)]
-        self.contexts = [mix64(before[0] + _U(11)), mix64(before[0] * _ODD1 + before[1] + _U(12)), mix64(before[1] + _U(13))]
+        self.contexts = [mix64(before[0] + _U(11)), mix64(before[0] * _ODD1 + before[1] + _U(12))]
         # the share of words beyond ASCII among the last words of the text
         beyond = np.zeros(len(self.key), np.int64)
-        if len(word):
+        if len(self.at):
             beyond[self.at] = np.add.reduceat((self.data > 127).astype(np.int64), self.begin) > 0
         total = np.append(0, np.cumsum(beyond))
         here = np.arange(len(self.key))
         back = np.maximum(here - HISTORY, np.repeat(self.head, self.length))
         self.script = np.searchsorted(SHARES, (total[here] - total[back]) / np.maximum(1, here - back))
+        return self
 
     def spelled(self, which: np.ndarray) -> list[bytes]:
         """The lower-cased bytes of the words of these numbers."""
@@ -277,7 +288,7 @@ class Coder:
         most = max(12, int(tokens).bit_length())
         self.table_bits = tuple(min(b, most) for b in WORD_BITS)
         self.offsets = np.append(0, np.cumsum([len(code.static) * SCRIPTS, *(1 << b for b in self.table_bits)]))
-        self.mixing = Mixing(int(self.offsets[-1]), 5, 6 * 4, [0.1, 0.5, 0.3, 0.3, 0.1])
+        self.mixing = Mixing(int(self.offsets[-1]), 4, 6 * 4, [0.1, 0.5, 0.4, 0.3])
 
     def events(self, t: Tokens, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For every bit of the codes of tokens a to b: the token's number from a, the slots, the code's own odds, the bit."""
@@ -286,7 +297,7 @@ class Coder:
         of = np.repeat(np.arange(b - a), n)
         at = np.arange(len(of)) + np.repeat(self.code.first[symbol] - (np.cumsum(n) - n), n)
         node = self.code.nodes[at].astype(np.int64)
-        slots = np.empty((4, len(of)), np.int64)
+        slots = np.empty((3, len(of)), np.int64)
         slots[0] = node * SCRIPTS + t.script[a:b][of]
         spread = node.astype(_U) * _ODD1
         for k, bits in enumerate(self.table_bits):
@@ -295,7 +306,7 @@ class Coder:
 
     def _seen(self, slots: np.ndarray, static: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, sure = self.mixing.inputs(slots)
-        return np.concatenate([static[None], x]), np.minimum(sure[1], 10).astype(np.int64) // 2 * 4 + np.minimum(sure[2], 6) // 2
+        return [static, *x], (np.minimum(sure[1], 10) >> 1) * 4 + (np.minimum(sure[2], 6) >> 1)
 
     def learn(self, t: Tokens) -> None:
         for a in range(0, len(t.key), STEP):
@@ -308,8 +319,7 @@ class Coder:
         for a in range(0, len(t.key), STEP * 8):
             b = min(len(t.key), a + STEP * 8)
             of, slots, static, bit = self.events(t, a, b)
-            _, p, _ = self.mixing.predict(*self._seen(slots, static))
-            out.append(np.bincount(of, -np.log(np.where(bit == 1, p, 1 - p)), minlength=b - a))
+            out.append(np.bincount(of, self.mixing.cost(*self._seen(slots, static), bit), minlength=b - a))
         return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -382,7 +392,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         for frame in frames:
             texts = frame["text"].tolist()
             for a, b in parts_of(texts, PART):
-                c.learn(Tokens(texts[a:b]))
+                c.learn(Tokens(texts[a:b]).look_back())
         yield c.mixing.sent()
 
     sent = "part int, at binary, counts binary"
@@ -399,7 +409,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
         for frame in frames:
             texts, train = frame["text"].tolist(), frame["train"].to_numpy(bool)
             for a, b in parts_of(texts, PART):
-                t = Tokens(texts[a:b])
+                t = Tokens(texts[a:b]).look_back()
                 symbol = c.code.symbols(t.key, t.is_end)
                 here = symbol < c.code.rest
                 base = np.where(here, base_of[symbol], 0.0)
