@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import stored
 
-SHARD, DEGREE, BEAM, RELAX, BLOCK = 20_000, 32, 64, 1.2, 4096
+SHARD, DEGREE, BEAM, RELAX, BLOCK = 20_000, 32, 64, 1.2, 16_384
 
 
 class Graph:
@@ -129,7 +131,7 @@ def usable(column):
 
 def distinct(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct vectors (0 and -0 are equal) in the order of their first rows, and each row's place among them."""
-    v = vectors + np.float32(0)
+    v = vectors + vectors.dtype.type(0)
     _, first, at = np.unique(v, axis=0, return_index=True, return_inverse=True)
     order = np.argsort(first)
     place = np.empty(len(order), np.int64)
@@ -148,6 +150,12 @@ def copies(ids: np.ndarray, count: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return begin, np.minimum(count, k + repeats)
 
 
+def _scaled(v: np.ndarray) -> np.ndarray:
+    """The vectors in single precision, shrunk together so that no square overflows: for graphs, not for scores."""
+    most = np.abs(v).max(initial=0.0)
+    return (v / (most or 1.0)).astype(np.float32)
+
+
 def build_shards(vectors: DataFrame, id_col: str, vector_col: str, shard: int = SHARD) -> DataFrame:
     """One row per shard: dim, shard, ids, counts, vectors, edges (as bytes) and the start. Every usable row is in one shard.
 
@@ -158,8 +166,8 @@ def build_shards(vectors: DataFrame, id_col: str, vector_col: str, shard: int =
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        v, at = distinct(np.stack(frame.v.to_numpy()).astype(np.float32))
-        g = build(v)
+        v, at = distinct(np.stack(frame.v.to_numpy()).astype(np.float64))
+        g = build(_scaled(v))
         ids = frame.id.to_numpy(np.int64)[np.argsort(at, kind="stable")]
         return pd.DataFrame({"dim": [v.shape[1]], "shard": [int(frame["shard"].iloc[0])], "ids": [ids.tobytes()], "counts": [np.bincount(at).astype(np.int64).tobytes()], "vectors": [v.tobytes()], "edges": [g.edges.tobytes()], "start": [g.start]})
 
@@ -168,12 +176,13 @@ def build_shards(vectors: DataFrame, id_col: str, vector_col: str, shard: int =
 
 def query_blocks(queries: DataFrame, id_col: str, vector_col: str, block: int = BLOCK) -> DataFrame:
     """Rows of up to about `block` queries each: dim, block, qids, qvectors."""
-    rows = queries.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.size(vector_col).alias("dim"))
+    rows = queries.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
+    rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))  # a repeated query counts once
     n = max(1, -(-rows.count() // block))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("id")
-        return pd.DataFrame({"dim": [frame["dim"].iloc[0]], "block": [frame["block"].iloc[0]], "qids": [frame.id.to_numpy(np.int64).tobytes()], "qvectors": [np.stack(frame.v.to_numpy()).astype(np.float32).tobytes()]})
+        return pd.DataFrame({"dim": [frame["dim"].iloc[0]], "block": [frame["block"].iloc[0]], "qids": [frame.id.to_numpy(np.int64).tobytes()], "qvectors": [np.stack(frame.v.to_numpy()).astype(np.float64).tobytes()]})
 
     return rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(13)), F.lit(n)).cast("int")).groupBy("dim", "block").applyInPandas(run, "dim int, block int, qids binary, qvectors binary")
 
@@ -182,21 +191,32 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "
     """query_id, rank (from 1), id_col, score: for each query the k rows of the largest inner product that the search
     finds, its own row left out; ties go to the smaller identifier. Scores are exact, in double precision.
 
-    Every shard's graph is searched for every block of queries; only k rows of each pair go on, so a task holds one
-    shard and one block. Vectors are found once and stand for all their copies. Unusable vectors take no part; vectors of other dimensions are not compared; repeated
-    identifiers are rows of their own; with k or fewer candidates all are found."""
+    Every shard's graph is searched for every block of queries, each pair in a task of its own; only k rows of each pair
+    go on. Vectors are found once and stand for all their copies. Unusable vectors take no part; vectors of other dimensions
+    are not compared; rows that repeat an identifier are candidates of their own, but not for a query of that identifier;
+    a repeated query is answered once, by the smallest of its vectors; with k or fewer candidates all are found; other columns play no
+    part; empty tables give an empty result."""
     graphs = stored(build_shards(vectors, id_col, vector_col, shard), "graphs")
-    # rows of a block go to each shard of their dimension: as many copies as there are shards, which grow with the data
-    pairs = graphs.join(query_blocks(queries, id_col, vector_col), "dim")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    blocks = stored(query_blocks(queries, id_col, vector_col), "queries")
+    # a block goes to each shard of its dimension: the pairs are named, and each is one row
+    shards = graphs.select("dim", "shard")
+    named = blocks.select("dim", "block").join(shards, "dim")
+    many_pairs = max(1, named.count())
+    pairs = named.join(blocks, ["dim", "block"]).join(graphs, ["dim", "shard"]).repartition(many_pairs, "dim", "shard", "block")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield searched(frame)
+
+    def searched(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for x in frame.itertuples(index=False):
-            ids, v = np.frombuffer(x.ids, np.int64), np.frombuffer(x.vectors, np.float32).reshape(-1, x.dim)
-            qids, q = np.frombuffer(x.qids, np.int64), np.frombuffer(x.qvectors, np.float32).reshape(-1, x.dim)
+            ids, v = np.frombuffer(x.ids, np.int64), np.frombuffer(x.vectors, np.float64).reshape(-1, x.dim)
+            qids, q = np.frombuffer(x.qids, np.int64), np.frombuffer(x.qvectors, np.float64).reshape(-1, x.dim)
             begin, many = copies(ids, np.frombuffer(x.counts, np.int64), k)
-            norm = (v.astype(np.float64) ** 2).sum(1)
-            points = np.column_stack([v, np.sqrt(np.maximum(0, norm.max() - norm)).astype(np.float32)])
+            small, small_q = _scaled(v), (q / np.abs(q).max(1, keepdims=True)).astype(np.float32)
+            norm = (small.astype(np.float64) ** 2).sum(1)
+            points = np.column_stack([small, np.sqrt(np.maximum(0, norm.max() - norm)).astype(np.float32)])
             g = Graph(points, np.frombuffer(x.edges, np.int32).reshape(len(v), -1), x.start)
             width = max(beam, 2 * k + 2)
             for at in range(0, len(q), 256):
@@ -204,8 +224,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "
                 if len(v) <= width:
                     found = np.broadcast_to(np.arange(len(v), dtype=np.int32), (len(part), len(v)))
                 else:
-                    found, _ = g.search(np.column_stack([part, np.zeros(len(part), np.float32)]), width)
-                score = np.einsum("qcd,qd->qc", v[np.maximum(found, 0)].astype(np.float64), part.astype(np.float64))
+                    near = small_q[at : at + 256]
+                    found, _ = g.search(np.column_stack([near, np.zeros(len(near), np.float32)]), width)
+                score = np.einsum("qcd,qd->qc", v[np.maximum(found, 0)], part)
                 row, col = np.nonzero(found >= 0)
                 n = many[found[row, col]]
                 first = np.repeat(begin[found[row, col]] - (np.cumsum(n) - n), n)
@@ -218,7 +239,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 20, id_col: str = "
                 out.append(pd.DataFrame({"query_id": qids[at + row[best]], "found": real[best], "score": score[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "found": np.zeros(0, np.int64), "score": np.zeros(0)})
 
-    found = pairs.groupBy("dim", "shard", "block").applyInPandas(run, "query_id long, found long, score double")
+    found = pairs.mapInPandas(run, "query_id long, found long, score double")
 
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "found")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", F.col("found").alias(id_col), "score")
