@@ -239,15 +239,31 @@ def test_open_bins_against_plain_best_fit():
 
 def test_warc(spark, tmp_path):
     big = "ü" * 3000
-    rows = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, big), (6, big), (7, "x\r\n\r\ny"), (7, "x\r\n\r\ny"), (None, "z")]
-    pages = spark.createDataFrame(rows, "page_id long, html string")
-    warc.write_warc(pages, str(tmp_path / "w"), chunk=1000)
+    rows = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, big), (6, big), (7, "x\r\n\r\ny"), (7, "x\r\n\r\ny"), (None, "z"), (None, "a"), (9, "end\r\n\r\n"), (10, "end\r\n")]
+    pages = spark.createDataFrame([(*r, f"http://x/{r[0]}", 1, True) for r in rows], "page_id long, html string, url string, bytes int, revisit boolean")
+    warc.write_warc(pages, str(tmp_path / "w"), chunk=1000, url_col="url")
     got = sorted((tuple(r) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()), key=str)
     digest = lambda t: base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()
-    last = {"a": 2, "": 4, big: 6, "x\r\n\r\ny": 7}
-    want = sorted(((i, len((t or "").encode()), digest(t or ""), "response" if last[t or ""] == i else "revisit", None if last[t or ""] == i else last[t or ""]) for i, t in rows if i is not None), key=str)
+    last = {"a": 2, "": 4, big: 6, "x\r\n\r\ny": 7, "z": None, "end\r\n\r\n": 9, "end\r\n": 10}
+    want = sorted(((i, len((t or "").encode()), digest(t or ""), "response" if last[t or ""] == i else "revisit", None if last[t or ""] == i else last[t or ""]) for i, t in rows), key=str)
     assert got == want
     assert warc.round_trip(pages.limit(0)).count() == 0
+    # every revisit names a record that is there, once
+    chunks = warc.read_chunks(spark, str(tmp_path / "w")).collect()
+    names = collections.Counter(r.record for r in chunks if r.type == "response")
+    assert max(names[r] for r in names) == 1
+    text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "w")).collect())
+    assert "WARC-Target-URI: http://x/1" in text
+    assert set(re.findall("WARC-Refers-To: <(.*)>", text)) <= set(names)
+    assert sorted(r.chunk for r in chunks if r.page == 6) == list(range(1, 7)) and all(len(r.body) <= 1000 for r in chunks if r.body)
+
+
+def test_warc_long_payload(spark):
+    """A payload of many chunks, whose bodies have ends of records and characters across chunks in them."""
+    big = ("é\r\n\r\nWARC/1.1\r\n" + "x" * 40) * 60_000
+    pages = spark.createDataFrame([(1, big, "a"), (2, "b", None)], "page_id long, html string, url string")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert got[1].payload_bytes == len(big.encode()) and got[1].payload_digest == warc.sha1_base32(big.encode()) and got[2].record_type == "response"
 
 
 def test_nearest(spark):
