@@ -132,12 +132,14 @@ _simple("anova_kelompok", "customer", lambda t: compare.group_table(t, "c_acctba
 _simple("anova_tukey", "customer", lambda t: compare.tukey_hsd(t, "c_acctbal", "c_mktsegment"))
 _simple("levene", "customer", lambda t: compare.levene(t, "c_acctbal", "c_mktsegment").where("center IN ('mean', 'median')").select("center", "f", "df1", "df2"), "WITH c AS (SELECT c_mktsegment AS g, avg(c_acctbal) AS a, median(c_acctbal) AS m FROM customer GROUP BY 1), d AS (SELECT 'mean' AS center, g, abs(c_acctbal - a) AS d FROM customer JOIN c ON g = c_mktsegment UNION ALL SELECT 'median', g, abs(c_acctbal - m) FROM customer JOIN c ON g = c_mktsegment), k AS (SELECT center, g, count(*)::DOUBLE AS n, avg(d) AS m, var_samp(d) AS v FROM d GROUP BY 1, 2), t AS (SELECT center, avg(d) AS m FROM d GROUP BY 1), s AS (SELECT k.center, sum(n * (k.m - t.m) ^ 2) AS b, sum((n - 1) * v) AS w, count(*) - 1 AS d1, sum(n) - count(*) AS d2 FROM k JOIN t ON t.center = k.center GROUP BY 1) SELECT center, round((b / d1) / (w / d2), 6) AS f, d1::DOUBLE AS df1, d2::DOUBLE AS df2 FROM s")
 _simple("anova_dua_faktor", "lineitem", lambda t: compare.anova_two_way(t.where("l_returnflag <> 'N'").withColumn("half", F.when(F.col("l_linenumber") > 3, "b").otherwise("a")), "l_extendedprice", "l_returnflag", "half"))
-_simple("anova_dua_faktor_sel", "orders", lambda t: compare.cell_means(t, "o_totalprice", "o_orderstatus", "o_orderpriority"))
+_simple("anova_dua_faktor_sel", "orders", lambda t: compare.cell_means(t, "o_totalprice", "o_orderstatus", "o_orderpriority"), "WITH c AS (SELECT o_orderstatus AS a, o_orderpriority AS b, count(*) AS n, avg(o_totalprice) AS mean FROM orders GROUP BY 1, 2) SELECT a, b, n, round(mean, 6) AS mean, round(mean, 6) AS unweighted_mean FROM c UNION ALL SELECT a, NULL, sum(n)::BIGINT, round(sum(n * mean) / sum(n), 6), round(avg(mean), 6) FROM c GROUP BY a UNION ALL SELECT NULL, b, sum(n)::BIGINT, round(sum(n * mean) / sum(n), 6), round(avg(mean), 6) FROM c GROUP BY b")
 _simple("ancova", "lineitem", lambda t: compare.ancova(t, "l_extendedprice", "l_returnflag", "l_quantity"))
 _simple("anova_berulang", "lineitem", lambda t: compare.anova_repeated(t.where("l_linenumber <= 3").withColumn("l_linenumber", F.col("l_linenumber").cast("string")).withColumn("l_orderkey", F.col("l_orderkey").cast("string")), "l_extendedprice", "l_orderkey", "l_linenumber"))
 _simple("manova", "lineitem", lambda t: compare.manova(t, ["l_quantity", "l_discount", "l_tax"], "l_returnflag"))
-_simple("friedman", "lineitem", lambda t: nonparam.friedman(t, ["l_discount", "l_tax", "l_quantity"]).select("chi2", "df", "n", "kendall_w"))
-_simple("kendall_w", "lineitem", lambda t: nonparam.kendall_w(t, ["l_discount", "l_tax", "l_quantity"]))
+_R3 = ", ".join(f"1 + ({b} < {a})::INT + ({c} < {a})::INT + (({b} = {a})::INT + ({c} = {a})::INT) / 2.0 AS r{k}" for k, (a, b, c) in enumerate([("l_discount", "l_tax", "l_quantity"), ("l_tax", "l_discount", "l_quantity"), ("l_quantity", "l_discount", "l_tax")]))
+_FRIEDMAN = f"WITH r AS (SELECT {_R3}, CASE WHEN l_discount = l_tax AND l_tax = l_quantity THEN 24 WHEN l_discount = l_tax OR l_tax = l_quantity OR l_discount = l_quantity THEN 6 ELSE 0 END AS ties FROM lineitem), g AS (SELECT sum(r0) AS a, sum(r1) AS b, sum(r2) AS c, sum(ties) AS t, count(*)::DOUBLE AS n FROM r), f AS (SELECT (12 / (12 * n) * (a * a + b * b + c * c) - 12 * n) / (1 - t / (24 * n)) AS chi, n FROM g) "
+_simple("friedman", "lineitem", lambda t: nonparam.friedman(t, ["l_discount", "l_tax", "l_quantity"]).select("chi2", "df", "n", "kendall_w"), _FRIEDMAN + "SELECT round(chi, 6) AS chi2, 2::BIGINT AS df, n::BIGINT AS n, round(chi / (2 * n), 6) AS kendall_w FROM f")
+_simple("kendall_w", "lineitem", lambda t: nonparam.kendall_w(t, ["l_discount", "l_tax", "l_quantity"]), _FRIEDMAN + "SELECT round(chi / (2 * n), 6) AS w, round(chi, 6) AS chi2, 2::BIGINT AS df, round(exp(-chi / 2), 6) AS p, n::BIGINT AS n FROM f")
 _LAB = "labels"
 _simple("cochran_q", _LAB, lambda t: nonparam.cochran_q(t.withColumn("even", (F.col("doc_id") % 2).cast("int")), ["quality", "toxic", "even"]).select("q", "df", "n"), "WITH v AS (SELECT quality AS a, toxic AS b, doc_id % 2 AS c FROM labels), s AS (SELECT count(*) AS n, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(c)::DOUBLE AS c, sum(a + b + c)::DOUBLE AS g, sum((a + b + c) ^ 2)::DOUBLE AS r FROM v) SELECT round(2 * (3 * (a ^ 2 + b ^ 2 + c ^ 2) - g ^ 2) / (3 * g - r), 6) AS q, 2::BIGINT AS df, n FROM s")
 _simple("tanda", "lineitem", lambda t: nonparam.sign_test(t.where("l_orderkey < 400"), "l_discount", "l_tax").select("plus", "minus", "ties"), "SELECT (count(*) FILTER (l_tax > l_discount))::BIGINT AS plus, (count(*) FILTER (l_tax < l_discount))::BIGINT AS minus, (count(*) FILTER (l_tax = l_discount))::BIGINT AS ties FROM lineitem WHERE l_orderkey < 400")
@@ -210,12 +212,15 @@ query("roc", "WITH v AS (SELECT n_chars AS s, count(*) FILTER (toxic = 1)::DOUBL
 _life = lambda t: t.groupBy("user_id").agg((F.unix_timestamp(F.max("ts")) - F.unix_timestamp(F.min("ts"))).alias("life"), F.max((F.col("event_type") == "purchase").cast("int")).alias("bought"), F.avg("value").alias("v"), F.when(F.first("user_id") % 2 == 0, "even").otherwise("odd").alias("half"))
 _LIFE = "(SELECT user_id, epoch(date_trunc('second', max(ts)))::BIGINT - epoch(date_trunc('second', min(ts)))::BIGINT AS life, max((event_type = 'purchase')::INT) AS bought, CASE WHEN user_id % 2 = 0 THEN 'even' ELSE 'odd' END AS half FROM events GROUP BY user_id)"
 _simple("kaplan_meier", "events", lambda t: survival.kaplan_meier(_life(t), "life", "bought", "half").select(F.col("group").alias("grp"), "time", "n", "d", "survival"), f"WITH t AS (SELECT half AS grp, life::DOUBLE AS time, sum(bought)::BIGINT AS d, count(*) AS c FROM {_LIFE} GROUP BY 1, 2), r AS (SELECT *, (sum(c) OVER (PARTITION BY grp ORDER BY time DESC))::BIGINT AS n FROM t) SELECT grp, time, n, d, round(CASE WHEN max((n = d)::INT) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN n > d THEN ln(1 - d / n::DOUBLE) ELSE 0 END) OVER w) END, 6) AS survival FROM r WHERE d > 0 WINDOW w AS (PARTITION BY grp ORDER BY time)")
-_simple("kaplan_meier_logrank", "events", lambda t: survival.log_rank(_life(t), "life", "bought", "half"), None, 4)
+# the upper tail of chi-square with one degree of freedom, by the series of the error function
+_ERF = "exp(-z * z) * list_sum(list_transform(range(0, 80), lambda k: pow(z, 2 * k + 1) / gamma(k + 1.5)))"
+_LOGRANK = f"WITH t AS (SELECT life::DOUBLE AS time, sum(bought)::DOUBLE AS d, coalesce(sum(bought) FILTER (half = 'even'), 0)::DOUBLE AS d0, count(*) AS c, count(*) FILTER (half = 'even') AS c0 FROM {_LIFE} GROUP BY 1), r AS (SELECT *, sum(c) OVER (ORDER BY time DESC)::DOUBLE AS n, sum(c0) OVER (ORDER BY time DESC)::DOUBLE AS n0 FROM t), u AS (SELECT sum(d0 - d * n0 / n) AS u, sum(CASE WHEN n > 1 THEN d * (n - d) / (n - 1) * n0 / n * (1 - n0 / n) ELSE 0 END) AS v FROM r WHERE d > 0), z AS (SELECT u * u / v AS chi, sqrt(u * u / v / 2) AS z FROM u) SELECT round(chi, 4) AS chi2, 1::BIGINT AS df, round(1 - {_ERF}, 4) AS p FROM z"
+_simple("kaplan_meier_logrank", "events", lambda t: survival.log_rank(_life(t), "life", "bought", "half"), _LOGRANK, 4)
 _simple("cox", "events", lambda t: survival.cox(_life(t), "life", "bought", ["v"])[0], None, 4)
-_simple("cox_nelson_aalen", "events", lambda t: survival.nelson_aalen(_life(t), "life", "bought"))
+_simple("cox_nelson_aalen", "events", lambda t: survival.nelson_aalen(_life(t), "life", "bought"), f"WITH t AS (SELECT life::DOUBLE AS time, sum(bought)::BIGINT AS d, count(*) AS c FROM {_LIFE} GROUP BY 1), r AS (SELECT time, d, (sum(c) OVER (ORDER BY time DESC))::BIGINT AS n FROM t) SELECT time, n, d, round(sum(d / n) OVER (ORDER BY time), 6) AS hazard FROM r WHERE d > 0")
 _hourly = lambda t: t.groupBy(F.date_trunc("hour", "ts").alias("h")).agg(F.avg("value").alias("v"))
 _simple("acf_pacf", "events", lambda t: timeseries.acf_pacf(_hourly(t), "v", ["h"], 5).select("lag", "acf"), "WITH v AS (SELECT date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY 1), w AS (SELECT v - avg(v) OVER () AS d, row_number() OVER (ORDER BY h) AS r FROM v) SELECT k::INT AS lag, round((SELECT sum(a.d * b.d) FROM w a JOIN w b ON b.r = a.r + k) / (SELECT sum(d ^ 2) FROM w), 6) AS acf FROM range(1, 6) AS t(k)")
-_simple("musiman", "events", lambda t: timeseries.decompose(_hourly(t), "v", ["h"], 24))
+_simple("musiman", "events", lambda t: timeseries.decompose(_hourly(t), "v", ["h"], 24), "WITH v AS (SELECT date_trunc('hour', ts) AS h, avg(value) AS v FROM events GROUP BY 1), w AS (SELECT row_number() OVER (ORDER BY h) - 1 AS r, v, count(*) OVER () AS n FROM v), t AS (SELECT r, v, CASE WHEN r >= 12 AND r + 12 < n THEN (sum(v) OVER (ORDER BY r ROWS BETWEEN 11 PRECEDING AND 11 FOLLOWING) + (lag(v, 12) OVER (ORDER BY r) + lead(v, 12) OVER (ORDER BY r)) / 2) / 24 END AS trend FROM w), s AS (SELECT r % 24 AS phase, avg(v - trend) AS s FROM t GROUP BY 1), c AS (SELECT phase, s - avg(s) OVER () AS seasonal FROM s) SELECT r + 1 AS position, round(v, 6) AS value, round(trend, 6) AS trend, round(seasonal, 6) AS seasonal, round(v - trend - seasonal, 6) AS remainder FROM t JOIN c ON r % 24 = phase")
 _simple("musiman_holt_winters", "events", lambda t: timeseries.holt_winters(_hourly(t), "v", ["h"], 24))
 _simple("arima", "events", lambda t: timeseries.arima(t.groupBy(F.to_date("ts").alias("h")).agg(F.avg("value").alias("v")), "v", ["h"], (1, 0, 1)), None, 3)
 _simple("pakar", "events", lambda t: timeseries.tournament(t.groupBy(F.to_date("ts").alias("h")).agg(F.avg("value").alias("v")), "v", ["h"], 5), None, 3)
