@@ -290,36 +290,37 @@ class Coder:
         self.offsets = np.append(0, np.cumsum([len(code.static) * SCRIPTS, *(1 << b for b in self.table_bits)]))
         self.mixing = Mixing(int(self.offsets[-1]), 4, 6 * 4, [0.1, 0.5, 0.4, 0.3])
 
-    def events(self, t: Tokens, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For every bit of the codes of tokens a to b: the token's number from a, the slots, the code's own odds, the bit."""
-        symbol = self.code.symbols(t.key[a:b], t.is_end[a:b])
+    def events(self, t: Tokens, symbols: np.ndarray, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For every bit of the codes of tokens a to b: where each token's begin, the slots, the code's own odds, the bit."""
+        symbol = symbols[a:b]
         n = self.code.length[symbol]
-        of = np.repeat(np.arange(b - a), n)
-        at = np.arange(len(of)) + np.repeat(self.code.first[symbol] - (np.cumsum(n) - n), n)
+        begin = np.cumsum(n) - n
+        at = np.repeat(self.code.first[symbol] - begin, n)
+        at += np.arange(len(at))
         node = self.code.nodes[at].astype(np.int64)
-        slots = np.empty((3, len(of)), np.int64)
-        slots[0] = node * SCRIPTS + t.script[a:b][of]
+        slots = np.empty((3, len(at)), np.int64)
+        slots[0] = node * SCRIPTS + np.repeat(t.script[a:b], n)
         spread = node.astype(_U) * _ODD1
         for k, bits in enumerate(self.table_bits):
-            slots[k + 1] = (((t.contexts[k][a:b][of] + spread) * _ODD2) >> _U(64 - bits)).astype(np.int64) + self.offsets[k + 1]
-        return of, slots, self.code.static[node], self.code.bits[at].astype(np.int64)
+            slots[k + 1] = (((np.repeat(t.contexts[k][a:b], n) + spread) * _ODD2) >> _U(64 - bits)).astype(np.int64) + self.offsets[k + 1]
+        return begin, slots, self.code.static[node], self.code.bits[at].astype(np.int64)
 
     def _seen(self, slots: np.ndarray, static: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, sure = self.mixing.inputs(slots)
         return [static, *x], (np.minimum(sure[1], 10) >> 1) * 4 + (np.minimum(sure[2], 6) >> 1)
 
     def learn(self, t: Tokens) -> None:
+        symbols = self.code.symbols(t.key, t.is_end)
         for a in range(0, len(t.key), STEP):
-            _, slots, static, bit = self.events(t, a, min(len(t.key), a + STEP))
+            _, slots, static, bit = self.events(t, symbols, a, min(len(t.key), a + STEP))
             self.mixing.learn(slots, *self._seen(slots, static), bit)
 
-    def costs(self, t: Tokens) -> np.ndarray:
-        """Nats of each token's code."""
+    def costs(self, t: Tokens, symbols: np.ndarray) -> np.ndarray:
+        """Nats of each token's code; every code has a bit or more."""
         out = []
-        for a in range(0, len(t.key), STEP * 8):
-            b = min(len(t.key), a + STEP * 8)
-            of, slots, static, bit = self.events(t, a, b)
-            out.append(np.bincount(of, self.mixing.cost(*self._seen(slots, static), bit), minlength=b - a))
+        for a in range(0, len(t.key), STEP):
+            begin, slots, static, bit = self.events(t, symbols, a, min(len(t.key), a + STEP))
+            out.append(np.add.reduceat(self.mixing.cost(*self._seen(slots, static), bit), begin, dtype=np.float64))
         return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -417,7 +418,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 part = np.arange(number, number + b - a)
                 number += b - a
                 add = lambda x: np.add.reduceat(x, t.head)
-                yield pd.DataFrame({"r": part, "id": frame["id"].iloc[a:b].to_numpy(), "n_tokens": t.length, "n_known": add(told.astype(np.int64)), "base": add(base), "score": -add(c.costs(t)) / math.log(10), "bytes": t.size, "w": None, "m": None, "s": None}).astype({"id": frame["id"].dtype})
+                yield pd.DataFrame({"r": part, "id": frame["id"].iloc[a:b].to_numpy(), "n_tokens": t.length, "n_known": add(told.astype(np.int64)), "base": add(base), "score": -add(c.costs(t, symbol)) / math.log(10), "bytes": t.size, "w": None, "m": None, "s": None}).astype({"id": frame["id"].dtype})
                 other = np.flatnonzero(~here)
                 if not len(other):
                     continue

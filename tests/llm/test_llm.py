@@ -359,10 +359,14 @@ def trained_coder():
     return c, counts
 
 
+def costs_of(c, t):
+    return c.costs(t, c.code.symbols(t.key, t.is_end))
+
+
 def test_lm_probabilities_add_up():
     """Those of all next tokens to one, and those of some words to less."""
     c, counts = trained_coder()
-    after = [math.exp(-c.costs(lm.Tokens([f"a {w}".strip()]).look_back())[1]) for w in [*counts, "", "other"]]
+    after = [math.exp(-costs_of(c, lm.Tokens([f"a {w}".strip()]).look_back())[1]) for w in [*counts, "", "other"]]
     assert abs(sum(after) - 1) < 1e-4
     words = [b"", *(bytes([x]) for x in range(256)), b"some", b"text"]
     assert 0 < sum(math.exp(-x) for x in trained_speller().costs(words)) <= 1
@@ -372,7 +376,7 @@ def test_lm_costs_against_a_loop():
     """Each bit by itself, in plain arithmetic."""
     c, _ = trained_coder()
     t, m = lm.Tokens(["a b é", "zz a"]).look_back(), c.mixing
-    got = c.costs(t)
+    got = costs_of(c, t)
     symbols = c.code.symbols(t.key, t.is_end)
     for i, s in enumerate(symbols.tolist()):
         total = 0.0
