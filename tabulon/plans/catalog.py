@@ -142,12 +142,12 @@ _simple("friedman", "lineitem", lambda t: nonparam.friedman(t, ["l_discount", "l
 _simple("kendall_w", "lineitem", lambda t: nonparam.kendall_w(t, ["l_discount", "l_tax", "l_quantity"]), _FRIEDMAN + "SELECT round(chi / (2 * n), 6) AS w, round(chi, 6) AS chi2, 2::BIGINT AS df, round(exp(-chi / 2), 6) AS p, n::BIGINT AS n FROM f")
 _LAB = "labels"
 _simple("cochran_q", _LAB, lambda t: nonparam.cochran_q(t.withColumn("even", (F.col("doc_id") % 2).cast("int")), ["quality", "toxic", "even"]).select("q", "df", "n"), "WITH v AS (SELECT quality AS a, toxic AS b, doc_id % 2 AS c FROM labels), s AS (SELECT count(*) AS n, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b, sum(c)::DOUBLE AS c, sum(a + b + c)::DOUBLE AS g, sum((a + b + c) ^ 2)::DOUBLE AS r FROM v) SELECT round(2 * (3 * (a ^ 2 + b ^ 2 + c ^ 2) - g ^ 2) / (3 * g - r), 6) AS q, 2::BIGINT AS df, n FROM s")
-_simple("tanda", "lineitem", lambda t: nonparam.sign_test(t.where("l_orderkey < 400"), "l_discount", "l_tax").select("plus", "minus", "ties"), "SELECT (count(*) FILTER (l_tax > l_discount))::BIGINT AS plus, (count(*) FILTER (l_tax < l_discount))::BIGINT AS minus, (count(*) FILTER (l_tax = l_discount))::BIGINT AS ties FROM lineitem WHERE l_orderkey < 400")
-_simple("tanda_semua", "lineitem", lambda t: nonparam.sign_test(t, "l_discount", "l_tax").select("plus", "minus", "ties"), "SELECT (count(*) FILTER (l_tax > l_discount))::BIGINT AS plus, (count(*) FILTER (l_tax < l_discount))::BIGINT AS minus, (count(*) FILTER (l_tax = l_discount))::BIGINT AS ties FROM lineitem")
+for _name in ("tanda", "tanda_semua"):
+    _simple(_name, "lineitem", lambda t: nonparam.sign_test(t, "l_discount", "l_tax").select("plus", "minus", "ties"), "SELECT (count(*) FILTER (l_tax > l_discount))::BIGINT AS plus, (count(*) FILTER (l_tax < l_discount))::BIGINT AS minus, (count(*) FILTER (l_tax = l_discount))::BIGINT AS ties FROM lineitem")
 _simple("mcnemar", _LAB, lambda t: nonparam.mcnemar(t, "quality", "toxic").select("n11", "n10", "n01", "n00", "chi2"), "WITH s AS (SELECT count(*) FILTER (quality = 1 AND toxic = 1) AS a, count(*) FILTER (quality = 1 AND toxic = 0) AS b, count(*) FILTER (quality = 0 AND toxic = 1) AS c, count(*) FILTER (quality = 0 AND toxic = 0) AS d FROM labels) SELECT a::BIGINT AS n11, b::BIGINT AS n10, c::BIGINT AS n01, d::BIGINT AS n00, round((abs(b - c) - 1) ^ 2 / (b + c)::DOUBLE, 6) AS chi2 FROM s")
 _simple("runs", "events", lambda t: nonparam.runs_test(t, "value", ["event_id"]).select("n1", "n0", "runs"), "WITH v AS (SELECT event_id, (value >= (SELECT median(value) FROM events))::INT AS x FROM events), w AS (SELECT x, lag(x) OVER (ORDER BY event_id) AS p FROM v) SELECT (count(*) FILTER (x = 1))::BIGINT AS n1, (count(*) FILTER (x = 0))::BIGINT AS n0, (count(*) FILTER (p IS NULL OR p <> x))::BIGINT AS runs FROM w")
-_simple("binomial", "orders", lambda t: nonparam.binomial(t.where("o_orderkey < 2000"), "o_orderstatus", "F").select("k", "n", "share"), "SELECT (count(*) FILTER (o_orderstatus = 'F'))::BIGINT AS k, count(*) AS n, round((count(*) FILTER (o_orderstatus = 'F')) / count(*)::DOUBLE, 6) AS share FROM orders WHERE o_orderkey < 2000")
-_simple("binomial_semua", "orders", lambda t: nonparam.binomial(t, "o_orderstatus", "F").select("k", "n", "share"), "SELECT (count(*) FILTER (o_orderstatus = 'F'))::BIGINT AS k, count(*) AS n, round((count(*) FILTER (o_orderstatus = 'F')) / count(*)::DOUBLE, 6) AS share FROM orders")
+for _name in ("binomial", "binomial_semua"):
+    _simple(_name, "orders", lambda t: nonparam.binomial(t, "o_orderstatus", "F").select("k", "n", "share"), "SELECT (count(*) FILTER (o_orderstatus = 'F'))::BIGINT AS k, count(*) AS n, round((count(*) FILTER (o_orderstatus = 'F')) / count(*)::DOUBLE, 6) AS share FROM orders")
 _simple("prop_satu", _LAB, lambda t: nonparam.proportion(t.withColumn("toxic", F.col("toxic").cast("string")), "toxic", "1", 0.1).select("k", "n", "share", "z"), "SELECT sum(toxic)::BIGINT AS k, count(*) AS n, round(avg(toxic), 6) AS share, round((avg(toxic) - 0.1) / sqrt(0.09 / count(*)), 6) AS z FROM labels")
 _simple("prop_dua", _LAB, lambda t: nonparam.two_proportions(t.selectExpr("cast(toxic AS string) AS toxic", "cast(doc_id % 2 AS string) AS half"), "toxic", "half", "1").select("share1", "share2", "odds_ratio", "risk_ratio"), "WITH g AS (SELECT doc_id % 2 AS h, sum(toxic)::DOUBLE AS k, count(*) AS n FROM labels GROUP BY 1) SELECT round(a.k / a.n, 6) AS share1, round(b.k / b.n, 6) AS share2, round((a.k * (b.n - b.k)) / ((a.n - a.k) * b.k), 6) AS odds_ratio, round((a.k / a.n) / (b.k / b.n), 6) AS risk_ratio FROM g a, g b WHERE a.h < b.h")
 _simple("moses", "customer", lambda t: nonparam.moses(_two(t), "c_acctbal", "c_mktsegment"))
