@@ -486,3 +486,26 @@ def test_license_notices_of_several_lines():
         assert [x[2] for x in got] == names and all(x[5] == 0 for x in got)
     a, b = s.scan("x\n" + mit + "\ny")[0][:2]
     assert (a, b) == (2, len(mit) + 1)
+
+
+def test_trigrams_against_a_loop():
+    words = {"ab": 2, "A": 1, "x" * 60: 3, "x" * 61: 5, "!é!": 1, "1a": 7, "": 1, "\U00020000y": 4, "...": 2}
+    want = collections.Counter()
+    for w, n in words.items():
+        w = w.strip(toxicity.OUTSIDE)
+        if w.isalpha() and len(w) <= 60:
+            padded = "\0\0" + w + "\0"
+            for i in range(len(w) + 1):
+                want[padded[i : i + 3]] += n
+    assert toxicity.trigrams(words) == want and toxicity.trigrams({}) == {}
+
+
+def test_scorer_starts_afresh_without_other_scores():
+    """A table of restored tokens that is too small changes nothing, and equal words count once."""
+    grams = toxicity.trigrams({"idiot": 50, "the": 90, "clown": 40})
+    m = toxicity.Model(grams, {"idiot": 3.0, "clow~": 2.0}, (-3.0, 1.0, 0.5))
+    said = ["the idiot", "the 1d10t idiot", "clowns c l o w n s", None, "", "the " * 50, "idiot clown"]
+    whole, small = toxicity.Scorer(m), toxicity.Scorer(m, most=2)
+    got = [whole(x) for x in said]
+    assert got == [small(x) for x in said] == [whole(x) for x in said]
+    assert got[0] == got[1] > 0.5 > got[3] == got[4] == got[5] and got[6] > got[0]
