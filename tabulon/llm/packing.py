@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 CAPACITY, OPEN_BINS, PIECES_PER_TASK = 4096, 1024, 250_000
 CACHED = 400_000
+#: Marks that end words.
+ENDS = ".,;:!?"
 
 
 class OpenBins:
@@ -60,26 +62,47 @@ PLAIN = re.compile("[\x09-\x0d\x20-\x7e¡-ÿĀ-įı-ňŊ-ſ]*")
 class Tokens:
     """Ids of whole texts by a tokenizers file whose pre-tokens never cross white space. So words between white space
     are encoded once and kept; texts beyond plain Latin letters, and those with a special token's string, go to the
-    library whole."""
+    library whole. A word of the letters a to z, or its part before ENDS, goes straight to the library's model, if the
+    file's pre-tokens keep such letters together and apart from ENDS."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
+        self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
         self.kept: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {"": b""}
+        pre = self.library.pre_tokenizer
+        self.apart = pre is not None and [x for x, _ in pre.pre_tokenize_str("az" + ENDS)] == ["az", ENDS]
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        """Words' packed ids, by one call of the library."""
-        got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(got.ids, "<u4")
-        ends = np.searchsorted(np.array(got.word_ids), np.arange(len(words) + 1))
-        return {w: ids[a:b].tobytes() for w, a, b in zip(words, ends, ends[1:])}
+        """Lower-cased words' packed ids; those that the model can't take as they are by one call of the library."""
+        out, others, packed, model, ends = {}, [], self.packed, self.model, self.ends
+        for w in words:
+            head = w.rstrip(ENDS)
+            end = w[len(head) :]
+            if not (self.apart and len(end) < 4 and head.isascii() and head.isalpha()):
+                others.append(w)
+                continue
+            if end not in ends:
+                ends[end] = self._whole(end)
+            out[w] = b"".join([packed[t.id] for t in model.tokenize(head)]) + ends[end]
+        if others:
+            got = self.library.encode(others, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            cut = np.searchsorted(np.array(got.word_ids), np.arange(len(others) + 1))
+            out.update((w, ids[a:b].tobytes()) for w, a, b in zip(others, cut, cut[1:]))
+        return out
 
     def ids(self, text: str | None) -> bytes:
         text = text or ""
         if "<|" in text or not PLAIN.fullmatch(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._whole(text)
         words, kept = text.lower().split(), self.kept
         if new := [w for w in dict.fromkeys(words) if w not in kept]:
             found = self._encoded(new)

@@ -220,6 +220,18 @@ def test_packing(docs):
         assert all(x[1] == 64 * x[0] for x in p) and all(x[2] == 64 for x in p[:-1])
 
 
+def test_pieces_against_the_library(docs):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(WORDS)
+    want = collections.Counter()
+    for r in docs.collect():
+        ids = [*lib.encode(r.text or "", add_special_tokens=False).ids, 1]
+        cut = [ids[a : a + 64] for a in range(0, len(ids), 64)]
+        want.update((r.doc_id, k, 64 * k, len(c), zlib.crc32(np.array(c, "<u4").tobytes())) for k, c in enumerate(cut))
+    assert collections.Counter(map(tuple, packing.pieces(docs, WORDS, capacity=64).collect())) == want
+
+
 def test_open_bins_against_plain_best_fit():
     r = random.Random(1)
     bins, free = packing.OpenBins(100, 10**9), []
