@@ -165,22 +165,36 @@ def test_repeats(docs, window, hot):
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
-def test_bpe():
+ODD = ["it's  \n\n we'll 123 456é  ", " " * 300, "a" * 500, "x 　 y z", "\x1c\x1d a", "'s 's'", "1" * 200 + " " * 40 + "b", "\n\nx " * 90]
+
+
+@pytest.fixture(scope="module")
+def byte_bpe():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(PATH, "rb"))}
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    small = bpe.Codec(PATH, public_tokenizers.PATTERN, chunk=50, overlap=16)
-    odd = ["it's  \n\n we'll 123 456é  ", " " * 300, "a" * 500, "x 　 y z", "\x1c\x1d a", "'s 's'", "1" * 200 + " " * 40 + "b"]
-    for t in [*(x or "" for x in texts()), *odd]:
-        ids = small.encode(t)
-        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t)
-        assert small.decode(ids) == t.encode()
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def test_bpe_frames(docs):
-    got = bpe.digest_round_trip(docs, PATH, public_tokenizers.PATTERN).collect()
-    assert len(got) == docs.count()
-    want = collections.Counter((r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in docs.collect())
-    assert collections.Counter((r.doc_id, r.decoded_sha256) for r in got) == want
+def test_bpe(byte_bpe):
+    codec = bpe.Codec(PATH, public_tokenizers.PATTERN)
+    for t in [*(x or "" for x in texts()), *ODD]:
+        ids = codec.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == byte_bpe.encode_ordinary(t)
+        assert codec.decode(ids) == t.encode()
+
+
+@pytest.mark.parametrize("chunk, overlap", [(50, 16), (64, 40), (1 << 16, 1 << 10)])
+def test_bpe_frames(spark, docs, byte_bpe, chunk, overlap):
+    """Chunks of texts are stitched to what the library gives for whole texts, also where an overlap has no boundary."""
+    rows = docs.select("doc_id", "text").union(spark.createDataFrame(list(enumerate(ODD, 900)), "doc_id long, text string"))
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    want = collections.Counter()
+    for r in rows.collect():
+        ids = byte_bpe.encode_ordinary(r.text or "")
+        want[(r.doc_id, len(ids), sha(np.array(ids, "<u4").tobytes()), sha((r.text or "").encode()))] += 1
+    got = bpe.digest_round_trip(rows, PATH, public_tokenizers.PATTERN, chunk, overlap)
+    assert got.dtypes == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
+    assert collections.Counter(map(tuple, got.collect())) == want
+    assert bpe.digest_round_trip(rows.limit(0), PATH, public_tokenizers.PATTERN, chunk, overlap).collect() == []
 
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
