@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -170,6 +171,19 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids") ->
 
 
 def digest_round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, then its ids decoded. Edge cases as in encode()."""
-    back = decode(encode(docs.select(F.col("doc_id").cast("long"), "text"), path, pattern, chunk=chunk, overlap=overlap), path, pattern)
-    return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, then its ids decoded. Edge cases as in encode().
+
+    A text of one chunk is encoded and decoded by one worker, so that a task holds one table of pieces."""
+
+    def both(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = codec(path, pattern)
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for frame in frames:
+            ids = [c.encode(x) for x in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(c.decode(x)) for x in ids]})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    long = F.coalesce(F.length("text"), F.lit(0)) > chunk
+    back = decode(_encode_long(rows.where(long), path, pattern, chunk, overlap), path, pattern)
+    digests = back.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+    return rows.where(~long).mapInPandas(both, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").union(digests)

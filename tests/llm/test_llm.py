@@ -194,6 +194,8 @@ def test_bpe_frames(spark, docs, byte_bpe, chunk, overlap):
     got = bpe.digest_round_trip(rows, PATH, public_tokenizers.PATTERN, chunk, overlap)
     assert got.dtypes == [("doc_id", "bigint"), ("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
     assert collections.Counter(map(tuple, got.collect())) == want
+    found = bpe.encode(rows, PATH, public_tokenizers.PATTERN, chunk=chunk, overlap=overlap)
+    assert collections.Counter((r.doc_id, r.n_tokens, sha(r.ids)) for r in found.collect()) == collections.Counter(x[:3] for x in want.elements())
     assert bpe.digest_round_trip(rows.limit(0), PATH, public_tokenizers.PATTERN, chunk, overlap).collect() == []
 
 
