@@ -22,7 +22,7 @@ from .common import stored
 #: step of the tree composes.
 LONG, STRETCH, RANGE, FAN = 32_768, 16_384, 8_192, 16
 #: Characters (and pairs, of long texts) that share a dictionary of words and pairs.
-CHUNK = 1 << 24
+CHUNK = 1 << 22
 BLANK = "▁"
 #: A blank between two other characters. Neither tokenizer has a token over the place before it.
 WORD_EDGE = re.compile(r"(?<=\S) (?=\S)")
@@ -59,9 +59,16 @@ class Tokens:
         #: Whether words can be tokenised one by one: no piece goes on over the begin of a word.
         self.by_word = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in pieces)
 
-    def both(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """A's ids of a blank and each text, and B's ids of the text."""
-        return [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)], self.b.encode(texts, num_threads=1)
+    def both(self, texts: list[str], most: int = 4096) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """A's ids of a blank and each text, and B's ids of the text: how many for each text, and all. `most` texts at a time,
+        as what the libraries return takes much more room than ids."""
+        found: tuple[list, list] = ([], [])
+        for i in range(0, len(texts), most):
+            part = texts[i : i + most]
+            for out, ids in zip(found, ([e.ids for e in self.a.encode_batch([" " + t for t in part], add_special_tokens=False)], self.b.encode(part, num_threads=1))):
+                out.append((np.array([len(x) for x in ids], np.int32), np.array([i for x in ids for i in x], np.int32)))
+        empty = np.zeros(0, np.int32)
+        return tuple(tuple(np.concatenate([empty, *(x[c] for x in out)]) for c in (0, 1)) for out in found)
 
 
 @lru_cache(maxsize=1)
@@ -164,17 +171,18 @@ class Words:
 
     def __init__(self, tokens: Tokens, words: list[str], writer: Writer):
         n, width = len(words), len(tokens.b_bytes)
-        ids_a, ids_b = tokens.both(words)
-        count_a, count_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.array([i for x in ids for i in x], np.int64) for ids in (ids_a, ids_b))
-        raw = [b" " + w.encode() for w in words]
-        size = np.array([len(r) for r in raw], np.int64)
+        (count_a, a), (count_b, b) = tokens.both(words)
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        size = np.array([len(w.encode()) + 1 for w in words], np.int64)
         self.bad = np.zeros(n, bool)
-        for ids, table in ((ids_a, tokens.a_bytes), (ids_b, tokens.b_bytes)):
-            if b"".join([table[i] for x in ids for i in x]) != b"".join(raw) or len(ids) != n:
-                self.bad |= np.array([b"".join([table[i] for i in x]) != r for x, r in zip(ids, raw)], bool)
-        for counts, ids, table in ((count_a, a, tokens.a_length), (count_b, b, tokens.b_length)):  # equal as a whole, but shifted
-            self.bad |= np.bincount(np.repeat(np.arange(n), counts), table[ids], minlength=n).astype(np.int64) != size
+        for counts, ids, table, length in ((count_a, a, tokens.a_bytes, tokens.a_length), (count_b, b, tokens.b_bytes, tokens.b_length)):
+            self.bad |= np.bincount(np.repeat(np.arange(n), counts), length[ids], minlength=n).astype(np.int64) != size
+            edge = np.concatenate([[0], np.cumsum(counts)]).tolist()
+            for i in range(0, n, 4096):
+                j = min(n, i + 4096)
+                if b"".join([table[x] for x in ids[edge[i] : edge[j]].tolist()]) != b"".join([b" " + w.encode() for w in words[i:j]]):
+                    for k in range(i, j):
+                        self.bad[k] |= b"".join([table[x] for x in ids[edge[k] : edge[k + 1]].tolist()]) != b" " + words[k].encode()
         wa, wb = np.repeat(np.arange(n), count_a), np.repeat(np.arange(n), count_b)
         a, wa, b, wb = a[~self.bad[wa]], wa[~self.bad[wa]], b[~self.bad[wb]], wb[~self.bad[wb]]
         a_end, b_end = np.cumsum(tokens.a_length[a]), np.cumsum(tokens.b_length[b])  # of good words, which have equal bytes
