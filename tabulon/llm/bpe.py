@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import map_rows, stored
 
 CHUNK, OVERLAP, CACHED = 1 << 16, 1 << 10, 400_000
 
@@ -80,7 +80,6 @@ def codec(path: str, pattern: str) -> Codec:
 
 def _chunks(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
     """Rows' texts as chunks, each with twice the overlap of what follows: r (a row's number), id, k, last, text."""
-    kind = rows.schema["id"].dataType.simpleString()
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = TaskContext.get().partitionId() << 40
@@ -92,7 +91,7 @@ def _chunks(rows: DataFrame, chunk: int, overlap: int) -> DataFrame:
                     yield pd.DataFrame({"r": [r], "id": pd.Series([i], dtype=frame["id"].dtype), "k": [k], "last": [k == n - 1], "text": [part]})
                 r += 1
 
-    return rows.mapInPandas(cut, f"r long, id {kind}, k int, last boolean, text string")
+    return map_rows(rows, cut, "r long, id {id}, k int, last boolean, text string")
 
 
 def _encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap: int) -> DataFrame:
@@ -125,9 +124,8 @@ def _encode_long(rows: DataFrame, path: str, pattern: str, chunk: int, overlap:
             ids = [c.encode_part(t, int(a), b) for t, a, b in zip(frame["text"], frame["start"], stops)]
             yield pd.DataFrame({"r": frame["r"], "id": frame["id"], "k": frame["k"], "ids": ids})
 
-    kind = rows.schema["id"].dataType.simpleString()
     cut = cut.select("r", "id", "k", "last", "text", F.coalesce("start", F.lit(0)).alias("start"), "stop")
-    encoded = cut.mapInPandas(encode_parts, f"r long, id {kind}, k int, ids binary")
+    encoded = map_rows(cut, encode_parts, "r long, id {id}, k int, ids binary")
     # hexadecimal text, as an array of binary values has no linear concatenation
     in_order = lambda x: F.array_sort(F.collect_list(F.struct("k", x.alias("x"))))
     together = encoded.groupBy("r").agg(F.first("id").alias("id"), in_order(F.hex("ids")).alias("all"))
@@ -144,7 +142,7 @@ def _encode_rows(rows: DataFrame, path: str, pattern: str) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame({"id": frame["id"], "ids": [c.encode(x) for x in frame["text"]]})
 
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, ids binary")
+    return map_rows(rows, run, "id {id}, ids binary")
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
@@ -180,10 +178,10 @@ def digest_round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHU
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for frame in frames:
             ids = [c.encode(x) for x in frame["text"]]
-            yield pd.DataFrame({"doc_id": frame["id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(c.decode(x)) for x in ids]})
+            yield pd.DataFrame({"id": frame["id"], "n_tokens": [len(x) // 4 for x in ids], "ids_sha256": [sha(x) for x in ids], "decoded_sha256": [sha(c.decode(x)) for x in ids]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     long = F.coalesce(F.length("text"), F.lit(0)) > chunk
     back = decode(_encode_long(rows.where(long), path, pattern, chunk, overlap), path, pattern)
     digests = back.select(F.col("id").alias("doc_id"), (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
-    return rows.where(~long).mapInPandas(both, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string").union(digests)
+    return map_rows(rows.where(~long), both, "id {id}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", "doc_id").union(digests)

@@ -32,6 +32,8 @@ def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         shared = tempfile.mkdtemp(prefix="tabulon-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -44,6 +46,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_rows(rows: DataFrame, run, kind: str, ids: tuple[str, ...] = ("id",)) -> DataFrame:
+    """rows.mapInPandas(run, kind) with the columns `ids` unchanged, however large, and null where they are. Python gets whole
+    numbers as text, as pandas makes doubles of a column of them that has a null. In `kind`, {id} is the type of ids[0]."""
+    types = {c: rows.schema[c].dataType.simpleString() for c in ids}
+    whole = {c: t for c, t in types.items() if t in ("tinyint", "smallint", "int", "bigint")}
+    out = rows.withColumns({c: F.col(c).cast("string") for c in whole}).mapInPandas(run, kind.format(id="string" if ids[0] in whole else types[ids[0]]))
+    return out.withColumns({c: F.col(c).cast(t) for c, t in whole.items()})
+
+
+def exact(values) -> pd.api.extensions.ExtensionArray:
+    """Whole numbers and None as a column of 64-bit integers, none of them by way of a double."""
+    return pd.array(list(values), dtype="Int64")
+
+
 def planes(values: np.ndarray) -> bytes:
     """64-bit numbers by the place of their bytes: sorted keys and small numbers then compress well."""
     return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T).tobytes()

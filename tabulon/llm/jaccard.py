@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import from_planes, groups_of, mix64, parts_of, planes, shingles_of, stored
+from .common import exact, from_planes, groups_of, map_rows, mix64, parts_of, planes, shingles_of, stored
 from .components import components
 
 _U = np.uint64
@@ -241,7 +241,7 @@ def set_digests(docs: DataFrame, k: int) -> DataFrame:
             n, h1, h2 = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.int64),) * 3
             yield pd.DataFrame({"id": frame["id"], "n": n, "h1": h1, "h2": h2})
 
-    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, h1 long, h2 long")
+    return map_rows(docs, run, "id {id}, n long, h1 long, h2 long")
 
 
 def _sets_of(rows: pd.DataFrame, chosen: pd.DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -347,7 +347,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
         out = [(-1, planes(a), planes(b), None, None)]
         out += [(t, planes(key[x:y]), planes(node[x:y]), None, None) for t, x, y in _by_bucket(key, buckets)]
         out += [(None, None, None, int(i), values[x:y].tobytes()) for i, x, y in zip(ids, begin, begin[1:])]
-        return pd.DataFrame(out, columns=columns).astype({"bucket": "Int64", "id": "Int64"})
+        return pd.DataFrame(out, columns=columns, dtype=object).assign(bucket=exact(r[0] for r in out), id=exact(r[3] for r in out))
 
     asked = texts.groupBy("chunk").cogroup(chosen.groupBy("chunk")).applyInPandas(ask, "bucket int, chunk int, k binary, mask binary")
     replies = asked.groupBy("bucket").applyInPandas(common_shingles, "chunk int, bucket int, mask binary")

@@ -12,6 +12,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_rows
+
 #: Wordings of common licenses and notices. A name may have several wordings.
 TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
@@ -177,4 +179,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             yield pd.DataFrame(rows, columns=["id", "start", "end", "license", "reduction", "n_same", "n_diff"]).astype({"id": frame.id.dtype, "start": "int64", "end": "int64", "reduction": "float64", "n_same": "int32", "n_diff": "int32"})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, start long, end long, license string, reduction double, n_same int, n_diff int").withColumnRenamed("id", id_col)
+    return map_rows(rows, run, "id {id}, start long, end long, license string, reduction double, n_same int, n_diff int").withColumnRenamed("id", id_col)

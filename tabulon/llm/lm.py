@@ -12,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, joined, mix64, parts_of, placed_words, stored
+from .common import LOWER_BYTES, joined, map_rows, mix64, parts_of, placed_words, stored
 
 _U = np.uint64
 _ODD1, _ODD2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
@@ -367,7 +367,6 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     counts as not training); repeated rows count again and score alike; an empty table gives an empty result; other columns
     of docs play no part."""
     spark = docs.sparkSession
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     counts = stored(word_counts(rows.where("train")), "words")
     ends = rows.where("train").count()
@@ -433,7 +432,7 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 spelled[new] = t.spelled(word[new])
                 yield pd.DataFrame({"r": part[doc[start]], "id": None, "n_tokens": None, "n_known": None, "base": None, "score": None, "bytes": None, "w": t.key[other[start]].view(np.int64), "m": many, "s": spelled})
 
-    judged = stored(rows.mapInPandas(judge, f"r long, id {kind}, n_tokens long, n_known long, base double, score double, bytes long, w long, m long, s binary"), "scored")
+    judged = stored(map_rows(rows, judge, "r long, id {id}, n_tokens long, n_known long, base double, score double, bytes long, w long, m long, s binary"), "scored")
 
     def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shared_speller.value

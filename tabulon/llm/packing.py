@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_rows
+
 CAPACITY, OPEN_BINS, PIECES_PER_TASK = 4096, 1024, 250_000
 CACHED = 400_000
 #: Marks that end words.
@@ -120,7 +122,8 @@ def tokens(path: str) -> Tokens:
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, piece, start, length, ids_crc32: each document's ids and the end id, cut only where longer than capacity.
 
-    A null text is empty and gives the end id alone; a repeated row gives its pieces again."""
+    A null text is empty and gives the end id alone; a repeated row gives its pieces again; a null identifier stays null; an
+    empty table gives no pieces; other columns of docs play no part."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, end = tokens(path), np.array([end_id], "<u4").tobytes()
@@ -129,20 +132,22 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1
             for d, text in zip(frame.id, frame.text):
                 ids = t.ids(text) + end
                 rows += [(d, k, at // 4, min(len(ids) - at, 4 * capacity) // 4, zlib.crc32(ids[at : at + 4 * capacity])) for k, at in enumerate(range(0, len(ids), 4 * capacity))]
-            yield pd.DataFrame(rows, columns=["doc", "piece", "start", "length", "ids_crc32"]).astype({"doc": frame.id.dtype})
+            yield pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"]).astype({"id": frame.id.dtype})
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, f"doc {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return map_rows(rows, run, "id {id}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", "doc")
 
 
 def pack(pieces_df: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, per_task: int = PIECES_PER_TASK) -> DataFrame:
     """The pieces with sequence_id and offset. Each task packs about per_task pieces in the order of a hash of their
     identifiers, which mixes lengths and, as the order is total, gives the same sequences when a task runs again.
 
-    A task leaves at most open_bins sequences partly filled, however many pieces it has."""
+    A task leaves at most open_bins sequences partly filled, however many pieces it has. Repeated pieces are pieces of their
+    own, null identifiers stay null, an empty table gives an empty result, and further columns go along unchanged; columns
+    named sequence_id, offset or _h are not allowed."""
     n = max(1, -(-pieces_df.count() // per_task))
     kind = {f.name: f.dataType.simpleString() for f in pieces_df.schema}
-    out = ", ".join(f"{c} {k}" for c, k in kind.items()) + ", sequence_id long, offset long"
+    out = ", ".join(f"{c} {'{id}' if c == 'doc' else k}" for c, k in kind.items()) + ", sequence_id long, offset long"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 40
@@ -152,4 +157,4 @@ def pack(pieces_df: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_B
 
     dealt = pieces_df.withColumn("_h", F.xxhash64("doc", "piece"))
     columns = [*kind, "_h"]
-    return dealt.select(columns).repartition(n, "_h").sortWithinPartitions("_h", *kind).mapInPandas(run, out)
+    return map_rows(dealt.select(columns).repartition(n, "_h").sortWithinPartitions("_h", *kind), run, out, ("doc",))

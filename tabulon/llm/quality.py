@@ -91,7 +91,7 @@ def features_of(texts: Sequence[str | None], bits: int = BITS) -> tuple[np.ndarr
     distinct = np.bincount(owner, minlength=n) / np.maximum(words, 1)
     after = np.zeros(len(hashes), bool)
     after[1:] = (hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])
-    stats = np.column_stack([kinds / some, np.log1p(size), np.log1p(words), per_word(length), distinct, per_word(plain), per_word(shouted), per_word(last == named.index("sign")), np.log1p(lines), np.log1p(words / np.maximum(lines, 1)), 1 - np.bincount(pair, minlength=n) / np.maximum(filled, 1), per_word(after)])
+    stats = np.column_stack([kinds / some, np.log1p(size), np.log1p(words), per_word(length), distinct, per_word(plain), per_word(shouted), per_word(last == named.index("sign")), np.log1p(lines), np.log1p(words / np.maximum(lines, 1)), (filled - np.bincount(pair, minlength=n)) / np.maximum(filled, 1), per_word(after)])
     return place, value.astype(np.float32), offset, np.nan_to_num(stats)
 
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import from_planes, mix64, planes
+from .common import exact, from_planes, mix64, planes
 
 WINDOW, SLICE, CHUNK = 50, 1 << 19, 8 << 20
 #: A k-gram that more chunks than this send with different stretches is compared by hashes of whole windows.
@@ -77,7 +77,7 @@ class Chunk:
         self.slices: list[tuple] = []
         parts = [self._anchors(*s) for s in self._cut()]
         names = ("slice", "doc", "first", "last", "anchor", "gram", "stretch")
-        self.slice, self.doc, self.first, self.last, self.anchor, self.gram, self.stretch = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(len(names)))
+        self.slice, self.doc, self.first, self.last, self.anchor, self.gram, self.stretch = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, _U if i > 4 else np.int64) for i in range(len(names)))
         # the anchors by k-gram: per group its smallest document, and its stretch or MIXED
         self.grams, self.group = np.unique(self.gram, return_inverse=True)
         self.grams = self.grams.astype(_U)
@@ -310,12 +310,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     A null text is empty; rows with a null identifier stay whole and count for no other; rows with one identifier are one
     document for the rule and are cut alike; an empty table gives an empty result."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8").alias("body"))
+    rows = rows.select(F.coalesce("id", F.lit(0)).alias("id"), F.col("id").isNotNull().alias("known"), "body")  # without nulls, Python gets whole numbers
     size = rows.agg(F.sum(F.length("body")).alias("n")).collect()[0].n or 0
     n = max(1, -(-size // chunk_bytes))
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.coalesce("id", F.xxhash64("body"))), F.lit(n)).cast("int"))
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64(F.when(F.col("known"), F.col("id")).otherwise(F.xxhash64("body"))), F.lit(n)).cast("int"))
 
     def loaded(frame: pd.DataFrame) -> Chunk:
-        known = frame[frame["id"].notna()]
+        known = frame[frame["known"]]
         return Chunk(known["id"].tolist(), known["body"].tolist(), window)
 
     def ask_grams(frame: pd.DataFrame) -> pd.DataFrame:
@@ -372,9 +373,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
             hit = c.ids[doc] > d[pos]
             mark(doc[hit], start[hit], start[hit] + window)
         out, row = [], 0
-        for i, body in zip(left["id"], left["body"]):
+        for i, known, body in zip(left["id"].tolist(), left["known"], left["body"]):
             spans, kept = 0, body
-            if pd.notna(i):
+            if known:
                 if row in marks:
                     edge = np.zeros(len(body) + 1, np.int32)
                     for begin, end in marks[row]:
@@ -384,8 +385,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                     spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
                     kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
                 row += 1
-            out.append((i, len(body), len(body) - len(kept), spans, kept))
-        return pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"]).astype({"id": "Int64"})
+            out.append((i if known else None, len(body), len(body) - len(kept), spans, kept))
+        return pd.DataFrame(out, columns=["id", "n_bytes", "n_removed", "n_spans", "kept"], dtype=object).assign(id=exact(r[0] for r in out))
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         if frame["kind"].iloc[0] == SPREAD:

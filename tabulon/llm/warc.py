@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import work_path
+from .common import exact, work_path
 
 CHUNK = 1 << 20
 EPOCH = "1970-01-01T00:00:00Z"
@@ -48,7 +48,7 @@ def _records(chunk: int):
         for frame in frames:
             out = []
             for x in frame.itertuples(index=False):
-                page = None if pd.isna(x.id) else int(x.id)
+                page = None if x.id is None else int(x.id)
                 name = _name(page, x.sha1, x.nth)
                 digest = base64.b32encode(bytes.fromhex(x.sha1)).decode()
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {x.bytes}\r\n\r\n".encode()
@@ -83,7 +83,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", payload: st
     cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(body, i * chunk + 1, F.lit(chunk)))
     blocks = F.when(F.col("revisit"), F.array(F.lit(b""))).when(F.col("bytes") <= chunk, F.array(body)).otherwise(cut)
     chunks = rows.select("id", "url", "sha1", "bytes", "holder", "nth", "revisit", F.posexplode(blocks).alias("k", "block"))
-    records = chunks.mapInPandas(_records(chunk), "record binary")
+    records = chunks.withColumns({c: F.col(c).cast("string") for c in ("id", "holder")}).mapInPandas(_records(chunk), "record binary")
     records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
 
 
@@ -130,7 +130,8 @@ def _page(name: str) -> int | None:
 
 
 def _frame(rows, cols) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=cols).astype({"page": "Int64", "refers": "Int64", "stated": "Int64"})
+    columns = dict(zip(cols, zip(*rows)))
+    return pd.DataFrame({c: exact(v) if c in ("page", "refers", "stated") else list(v) for c, v in columns.items()})
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -160,7 +161,8 @@ def _whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame_of(rows) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=_COLS).astype({"page_id": "Int64", "refers_to": "Int64"})
+    columns = dict(zip(_COLS, zip(*rows))) if rows else {c: () for c in _COLS}
+    return pd.DataFrame({c: exact(v) if c in ("page_id", "refers_to") else list(v) for c, v in columns.items()})
 
 
 _COLS = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
@@ -170,7 +172,7 @@ def _closed(now: dict) -> tuple:
     x = now["x"]
     if now["held"]:
         _match(x.record, base64.b32encode(now["sha"].digest()).decode(), x.digest, now["bytes"], x.stated)
-    return None if pd.isna(x.page) else x.page, int(x.stated), x.digest, x.type, x.refers if x.type == "revisit" else None
+    return None if x.page is None else int(x.page), int(x.stated), x.digest, x.type, int(x.refers) if x.type == "revisit" else None
 
 
 def _match(record: str, made: str, digest: str, size: int, stated: int) -> None:
@@ -184,7 +186,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     Records of one chunk are digested where they are read; only the chunks of longer records are brought together, in
     order, and digested one after the other, so no record is ever whole in memory. A payload that doesn't match its
     digest is an error."""
-    return read_chunks(spark, path).repartition("record").sortWithinPartitions("record", "chunk").mapInPandas(_whole, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    chunks = read_chunks(spark, path).withColumns({c: F.col(c).cast("string") for c in ("page", "refers")})
+    return chunks.repartition("record").sortWithinPartitions("record", "chunk").mapInPandas(_whole, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", payload: str = "html", min_bytes: int = 0, url_col: str | None = "url") -> DataFrame:
