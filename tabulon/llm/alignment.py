@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,9 @@ LONG, STRETCH, RANGE, FAN = 32_768, 16_384, 8_192, 16
 #: Characters (and pairs, of long texts) that share a dictionary of words and pairs.
 CHUNK = 1 << 22
 BLANK = "▁"
+#: Fixed value: how byte-level tokenizers cut a text before they merge.
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+LATIN = re.compile("[\x00-\u024f]*")
 #: A blank between two other characters. Neither tokenizer has a token over the place before it.
 WORD_EDGE = re.compile(r"(?<=\S) (?=\S)")
 #: Places that no token of A crosses, and none of B: a run of letters ends, or a word begins.
@@ -31,6 +37,15 @@ A_EDGE = re.compile(r"(?<=[A-Za-z])(?=[.,;:!?()\n])|(?<=\S) (?=\S)")
 B_EDGE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 
 
+def pack(values: np.ndarray) -> bytes:
+    """32-bit integers as their differences, by the place of their bytes: sorted or small ones then compress well."""
+    return np.ascontiguousarray(np.diff(np.asarray(values, np.int32), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view(np.int32).ravel(), dtype=np.int32).astype(np.int64)
+
+
 def byte_level() -> dict[str, int]:
     """The characters that byte-level vocabularies write for bytes: printable ones stand for themselves, the others follow from
     256 on, in order."""
@@ -58,17 +73,60 @@ class Tokens:
         self.a_length, self.b_length = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         #: Whether words can be tokenised one by one: no piece goes on over the begin of a word.
         self.by_word = not any(re.search(f"[^{BLANK}]{BLANK}", p) for p in pieces)
-
-    def both(self, texts: list[str], most: int = 4096) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
-        """A's ids of a blank and each text, and B's ids of the text: how many for each text, and all. `most` texts at a time,
-        as what the libraries return takes much more room than ids."""
-        found: tuple[list, list] = ([], [])
-        for i in range(0, len(texts), most):
-            part = texts[i : i + most]
-            for out, ids in zip(found, ([e.ids for e in self.a.encode_batch([" " + t for t in part], add_special_tokens=False)], self.b.encode(part, num_threads=1))):
-                out.append((np.array([len(x) for x in ids], np.int32), np.array([i for x in ids for i in x], np.int32)))
-        empty = np.zeros(0, np.int32)
-        return tuple(tuple(np.concatenate([empty, *(x[c] for x in out)]) for c in (0, 1)) for out in found)
+        self.fast = self._ranks(a_path)
+
+    def _ranks(self, path: str):
+        """A's encoder by ranks, or none if the file's merges don't make tokens in the order of their ids, each by one merge. If
+        they do, both merge the same pairs: no token crosses the span of a pair that is about to merge, so the span looks as
+        it does alone, and there the pair is the one that the file names."""
+        import tiktoken
+
+        made = json.loads(Path(path).read_text())
+        model, pre = made["model"], made.get("pre_tokenizer") or {}
+        ids = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        bytes_first = {self.a_bytes[i] for i in range(256)} == {bytes([b]) for b in range(256)}
+        plain = (pre.get("type"), pre.get("add_prefix_space"), pre.get("use_regex", True), made.get("normalizer"), model.get("ignore_merges", False)) == ("ByteLevel", False, True, None, False)
+        if not plain or not bytes_first or ids != list(range(256, 256 + len(ids))):
+            return None
+        return tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks={self.a_bytes[i]: i for i in range(256 + len(ids))}, special_tokens={})
+
+    @staticmethod
+    def _alone(words: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
+        counts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for i in range(0, len(words), 4096):
+            ids = encode(words[i : i + 4096])
+            counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            found.append(np.fromiter(chain.from_iterable(ids), np.int32, counts[-1].sum()))
+        return np.concatenate(counts), np.concatenate(found)
+
+    def _together(self, words: list[str], size: np.ndarray, encode, length: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+        """As _alone(), with `many` words and blanks between them as one text, which is faster. Words are told by their bytes;
+        should tokens' bytes not be those of the words, each is encoded alone."""
+        if not self.by_word:
+            return self._alone(words, encode)
+        _, ids = self._alone([" ".join(words[i : i + many]) for i in range(0, len(words), many)], encode)
+        ends, word_ends = np.cumsum(length[ids]), np.cumsum(size)
+        cut = np.searchsorted(ends, word_ends, "right")
+        if len(words) and not (len(ids) and cut[0] and ends[-1] == word_ends[-1] and (ends[cut - 1] == word_ends).all()):
+            return self._alone(words, encode)
+        return np.diff(cut, prepend=0), ids
+
+    def both(self, words: list[str], size: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+        """A's ids of a blank and each word, and B's ids of the word: how many for each word, and all. A word whose characters
+        are all within LATIN goes by the ranks: there, libraries agree which characters are letters."""
+        library = lambda x: [e.ids for e in self.a.encode_batch([" " + t for t in x], add_special_tokens=False)]
+        ranks = (lambda x: [self.fast.encode_to_numpy(" " + t, disallowed_special=()) for t in x]) if self.fast else library
+        pieces = lambda x: self.b.encode(x, num_threads=1)
+        latin = np.fromiter((w.isascii() or bool(LATIN.fullmatch(w)) for w in words), bool, len(words))
+        near, far = ([w for w, x in zip(words, latin.tolist()) if x == k] for k in (True, False))
+        out = []
+        for fast, slow, length, many in ((ranks, library, self.a_length, 1024), (pieces, pieces, self.b_length, 32)):
+            counts, halves = np.zeros(len(words), np.int64), (self._together(near, size[latin], fast, length, many), self._alone(far, slow))
+            counts[latin], counts[~latin] = halves[0][0], halves[1][0]
+            of, ids = np.repeat(latin, counts), np.zeros(counts.sum(), np.int32)
+            ids[of], ids[~of] = halves[0][1], halves[1][1]
+            out.append((counts, ids))
+        return tuple(out)
 
 
 @lru_cache(maxsize=1)
@@ -171,18 +229,19 @@ class Words:
 
     def __init__(self, tokens: Tokens, words: list[str], writer: Writer):
         n, width = len(words), len(tokens.b_bytes)
-        (count_a, a), (count_b, b) = tokens.both(words)
+        raw = [b" " + w.encode() for w in words]
+        size = np.fromiter(map(len, raw), np.int64, n)
+        (count_a, a), (count_b, b) = tokens.both(words, size)
         a, b = a.astype(np.int64), b.astype(np.int64)
-        size = np.array([len(w.encode()) + 1 for w in words], np.int64)
         self.bad = np.zeros(n, bool)
         for counts, ids, table, length in ((count_a, a, tokens.a_bytes, tokens.a_length), (count_b, b, tokens.b_bytes, tokens.b_length)):
             self.bad |= np.bincount(np.repeat(np.arange(n), counts), length[ids], minlength=n).astype(np.int64) != size
             edge = np.concatenate([[0], np.cumsum(counts)]).tolist()
             for i in range(0, n, 4096):
                 j = min(n, i + 4096)
-                if b"".join([table[x] for x in ids[edge[i] : edge[j]].tolist()]) != b"".join([b" " + w.encode() for w in words[i:j]]):
+                if b"".join([table[x] for x in ids[edge[i] : edge[j]].tolist()]) != b"".join(raw[i:j]):
                     for k in range(i, j):
-                        self.bad[k] |= b"".join([table[x] for x in ids[edge[k] : edge[k + 1]].tolist()]) != b" " + words[k].encode()
+                        self.bad[k] |= b"".join([table[x] for x in ids[edge[k] : edge[k + 1]].tolist()]) != raw[k]
         wa, wb = np.repeat(np.arange(n), count_a), np.repeat(np.arange(n), count_b)
         a, wa, b, wb = a[~self.bad[wa]], wa[~self.bad[wa]], b[~self.bad[wb]], wb[~self.bad[wb]]
         a_end, b_end = np.cumsum(tokens.a_length[a]), np.cumsum(tokens.b_length[b])  # of good words, which have equal bytes
@@ -204,7 +263,7 @@ class Words:
 
 
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
-KIND = "chunk long, id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes array<int>, times array<int>, keys array<int>, docs array<int>, word_offset array<int>, word_pair array<int>, word_times array<int>"
+KIND = "chunk long, id {id}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, codes binary, times binary, keys array<int>, docs array<int>, word_offset binary, word_pair binary, word_times binary"
 
 
 class Output:
@@ -219,11 +278,12 @@ class Output:
         chunk = ((TaskContext.get().partitionId() if TaskContext.get() else 0) << 24 | self.seq) * 2 + self.mark
         self.seq += 1
         n = len(rows)
-        lists = lambda c: pa.array([r[c] for r in rows] + [None], pa.list_(pa.int32()))
+        packed = lambda c: pa.array([pack(r[c]) for r in rows] + [None], pa.binary())
         once = lambda x: pa.array([None] * n + [np.asarray(x, np.int32)], pa.list_(pa.int32()))
+        dense = lambda x: pa.array([None] * n + [pack(x)], pa.binary())
         all_ids = pa.concat_arrays([*(x.cast(self.id_type) for x in ids), pa.nulls(1, self.id_type)])
         numbers = [pa.array([int(r[0][i]) for r in rows] + [None], pa.int64()) for i in range(4)]
-        return pa.RecordBatch.from_arrays([pa.array([chunk] * (n + 1), pa.int64()), all_ids, *numbers, pa.array([r[1] for r in rows] + [None], pa.string()), lists(2), lists(3), once(keys), once(docs), once(offset), once(pair), once(times)], ["chunk", "id", *COUNTS, "groups_sha256", "codes", "times", "keys", "docs", "word_offset", "word_pair", "word_times"])
+        return pa.RecordBatch.from_arrays([pa.array([chunk] * (n + 1), pa.int64()), all_ids, *numbers, pa.array([r[1] for r in rows] + [None], pa.string()), packed(2), packed(3), once(keys), once(docs), dense(offset), dense(pair), dense(times)], ["chunk", "id", *COUNTS, "groups_sha256", "codes", "times", "keys", "docs", "word_offset", "word_pair", "word_times"])
 
 
 NOTHING = ((0, 0, 0, 0), "", np.zeros(0, np.int32), np.zeros(0, np.int32))
@@ -242,7 +302,7 @@ def _short(a_path: str, b_path: str, chunk: int):
             split = WORD_EDGE.split if tokens.by_word else lambda t: [t]
             codes = [np.fromiter(map(known.__getitem__, split(t)), np.int64) if t else None for t in texts]
             words = Words(tokens, list(known), writer)
-            docs, rows = np.zeros(len(words.keys), np.int64), []
+            docs, there, rows = np.zeros(len(words.keys), np.int64), np.zeros(len(words.keys), bool), []
             for c in codes:
                 if c is None or words.bad[c].any():
                     rows.append(NOTHING)
@@ -250,7 +310,9 @@ def _short(a_path: str, b_path: str, chunk: int):
                 used, times = np.unique(c, return_counts=True)
                 n = words.offset[used + 1] - words.offset[used]
                 at = np.repeat(words.offset[used] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                docs[np.unique(words.pair[at])] += 1
+                there[words.pair[at]] = True
+                docs += there
+                there[:] = False
                 text = ";".join(map(words.text.__getitem__, c.tolist()))
                 rows.append((times @ words.sums[used], hashlib.sha256(text.encode()).hexdigest(), used.astype(np.int32), times.astype(np.int32)))
             return out.batch(ids, rows, words.keys, docs, words.offset, words.pair, words.times)
@@ -293,7 +355,7 @@ def _cut(stretch: int):
     return run
 
 
-TOKENS = "row long, id {id}, kind int, slot long, bad boolean, ids array<long>, ends array<long>"
+TOKENS = "row long, id {id}, kind int, slot long, bad boolean, base long, ids binary"
 
 
 def _tokenise(a_path: str, b_path: str, width: int):
@@ -312,17 +374,19 @@ def _tokenise(a_path: str, b_path: str, width: int):
                 edge = [0, *(np.flatnonzero(np.diff(slot)) + 1).tolist(), len(ids)] if len(ids) else [0, 0]
                 spans = list(zip(edge, edge[1:]))
                 slots = [int(slot[a]) if len(ids) else base // width for a, _ in spans]
+                bases = [int(ends[a - 1]) if a else base for a, _ in spans]
                 n = len(spans)
-                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.concat_arrays([batch.column("id").slice(i, 1)] * n), pa.array([kind] * n, pa.int32()), pa.array(slots, pa.int64()), pa.array([bad] * n), pa.array([ids[a:b] for a, b in spans], pa.list_(pa.int64())), pa.array([ends[a:b] for a, b in spans], pa.list_(pa.int64()))], ["row", "id", "kind", "slot", "bad", "ids", "ends"])
+                yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.concat_arrays([batch.column("id").slice(i, 1)] * n), pa.array([kind] * n, pa.int32()), pa.array(slots, pa.int64()), pa.array([bad] * n), pa.array(bases, pa.int64()), pa.array([ids[a:b].astype("<i4").tobytes() for a, b in spans], pa.binary())], ["row", "id", "kind", "slot", "bad", "base", "ids"])
 
     return run
 
 
-PIECES = "row long, id {id}, slot long, open boolean, at long, a array<long>, a_end array<long>, b array<long>, b_end array<long>, first long, last long, bad boolean"
+PIECES = "row long, id {id}, slot long, open boolean, at long, a binary, a_end binary, b binary, b_end binary, first long, last long, bad boolean"
 
 
 class Pieces:
-    """Rows of fragments (open) and of closed groups (from byte `at` on)."""
+    """Rows of fragments (open) and of closed groups. Those go on where the groups before them end, so their ends are told by
+    their tokens; `at` is their last end."""
 
     def __init__(self):
         self.ids: list[pa.Array] = []
@@ -333,12 +397,12 @@ class Pieces:
             return
         opened = isinstance(found, Fragment)
         self.ids.append(id_)
-        at = 0 if opened else int(min(found.a_end[:1].tolist() + found.b_end[:1].tolist()))
-        self.rows.append((row, slot, opened, at, found.a, found.a_end, found.b, found.b_end, *((found.first, found.last, found.bad) if opened else (None, None, None))))
+        ids = [x.astype("<i4").tobytes() for x in (found.a, found.b)]
+        ends = [x.astype("<i8").tobytes() if opened else None for x in (found.a_end, found.b_end)]
+        self.rows.append((row, slot, opened, 0 if opened else int(found.a_end[-1]), ids[0], ends[0], ids[1], ends[1], *((found.first, found.last, found.bad) if opened else (None, None, None))))
 
     def batch(self) -> pa.RecordBatch:
-        longs = pa.list_(pa.int64())
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), longs, longs, longs, longs, pa.int64(), pa.int64(), pa.bool_()]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.bool_()]
         columns = [pa.array([r[i] for r in self.rows], k) for i, k in enumerate(kinds)]
         out = pa.RecordBatch.from_arrays([columns[0], pa.concat_arrays(self.ids), *columns[1:]], ["row", "id", "slot", "open", "at", "a", "a_end", "b", "b_end", "first", "last", "bad"])
         self.ids, self.rows = [], []
@@ -349,6 +413,10 @@ def _ints(column: pa.Array, i: int) -> np.ndarray:
     return np.asarray(column[i].values.to_numpy(zero_copy_only=False), np.int64)
 
 
+def _packed(batch: pa.RecordBatch, name: str, i: int) -> np.ndarray:
+    return np.frombuffer(batch.column(name)[i].as_py(), "<i8" if name.endswith("_end") else "<i4").astype(np.int64)
+
+
 def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple[pa.RecordBatch, int]]]]:
     """Rows of a partition that is sorted by keys, as (batch, place), by key."""
     key, held = None, []
@@ -363,24 +431,29 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterato
         yield key, held
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    out = Pieces()
-    for (row, slot), rows in _groups(batches, ("row", "slot")):
-        ids, ends, bad = ([], []), ([], []), False
-        for batch, i in rows:
-            kind = batch.column("kind")[i].as_py()
-            ids[kind].append(_ints(batch.column("ids"), i))
-            ends[kind].append(_ints(batch.column("ends"), i))
-            bad |= batch.column("bad")[i].as_py()
-        join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-        opened, inner = fragment(join(ids[0]), join(ends[0]), join(ids[1]), join(ends[1]), bad)
-        id_ = rows[0][0].column("id").slice(rows[0][1], 1)
-        out.add(row, id_, slot, opened)
-        out.add(row, id_, slot, inner)
-        if len(out.rows) >= 256:
+def _leaves(a_path: str, b_path: str):
+    """Fragments of byte ranges, from the tokens of each in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, t = Pieces(), tokens_of(a_path, b_path)
+        for (row, slot), rows in _groups(batches, ("row", "slot")):
+            ids, ends, bad = ([], []), ([], []), False
+            for batch, i in rows:
+                kind = batch.column("kind")[i].as_py()
+                ids[kind].append(_packed(batch, "ids", i))
+                ends[kind].append(batch.column("base")[i].as_py() + np.cumsum((t.b_length if kind else t.a_length)[ids[kind][-1]]))
+                bad |= batch.column("bad")[i].as_py()
+            join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+            opened, inner = fragment(join(ids[0]), join(ends[0]), join(ids[1]), join(ends[1]), bad)
+            id_ = rows[0][0].column("id").slice(rows[0][1], 1)
+            out.add(row, id_, slot, opened)
+            out.add(row, id_, slot, inner)
+            if len(out.rows) >= 256:
+                yield out.batch()
+        if out.rows:
             yield out.batch()
-    if out.rows:
-        yield out.batch()
+
+    return run
 
 
 def _level(fan: int):
@@ -392,7 +465,7 @@ def _level(fan: int):
             id_ = rows[0][0].column("id").slice(rows[0][1], 1)
             total = None
             for batch, i in rows:
-                f = Fragment(*(_ints(batch.column(c), i) for c in ("a", "a_end", "b", "b_end")), *(batch.column(c)[i].as_py() for c in ("first", "last", "bad")))
+                f = Fragment(*(_packed(batch, c, i) for c in ("a", "a_end", "b", "b_end")), *(batch.column(c)[i].as_py() for c in ("first", "last", "bad")))
                 if total is None:
                     total = f
                 else:
@@ -407,12 +480,14 @@ def _level(fan: int):
     return run
 
 
-def _whole(a_size: int, width: int, chunk: int):
+def _whole(a_path: str, b_path: str, chunk: int):
     """Documents from their closed groups, which come in order, and their last fragment, which comes first: it knows whether the
     document is bad, and its prefix is the first group, as a text's begin is a shared end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, out, ids, rows, found, size = Writer(max(a_size, width)), None, [], [], [], 0
+        t, out, ids, rows, found, size = tokens_of(a_path, b_path), None, [], [], [], 0
+        width = len(t.b_bytes)
+        writer = Writer(max(len(t.a_bytes), width))
 
         def flush() -> pa.RecordBatch:
             keys = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.fromiter(f, np.int64, len(f)) for f in found)]))
@@ -446,8 +521,8 @@ def _whole(a_size: int, width: int, chunk: int):
                     document = {"row": row, "id": batch.column("id").slice(i, 1), "bad": batch.column("bad")[i].as_py(), "n": np.zeros(4, np.int64), "sha": hashlib.sha256(), "pairs": {}}
                 if document["bad"]:
                     continue
-                a, a_end, b, b_end = (_ints(batch.column(c), i) for c in ("a", "a_end", "b", "b_end"))
-                ga, gb, groups = grouped(a_end, b_end)
+                a, b = (_packed(batch, c, i) for c in ("a", "b"))
+                ga, gb, groups = grouped(np.cumsum(t.a_length[a]), np.cumsum(t.b_length[b]))
                 if not groups:
                     continue
                 key, _, times = pairs_of(a, b, ga, gb, groups, width)
@@ -471,7 +546,7 @@ def _long(long: DataFrame, id_type: str, a_path: str, b_path: str, stretch: int,
     cut = stored(rows.mapInArrow(_cut(stretch), f"row long, id {id_type}, kind int, base long, text string").repartition("row", "kind", "base"), "stretches")
     dealt = cut.mapInArrow(_tokenise(a_path, b_path, width), TOKENS.format(id=id_type))
     kind = PIECES.format(id=id_type)
-    level = stored(dealt.repartition("row", "slot").sortWithinPartitions("row", "slot", "kind", F.try_element_at("ends", F.lit(1))).mapInArrow(_leaves, kind), "fragments")
+    level = stored(dealt.repartition("row", "slot").sortWithinPartitions("row", "slot", "kind", "base").mapInArrow(_leaves(a_path, b_path), kind), "fragments")
     closed = level.where("NOT open")
     most = level.agg(F.max("slot").alias("m")).collect()[0].m or 0
     while most:
@@ -479,9 +554,8 @@ def _long(long: DataFrame, id_type: str, a_path: str, b_path: str, stretch: int,
         up = level.where("open").withColumn("up", F.floor(F.col("slot") / fan))
         level = stored(up.repartition("row", "up").sortWithinPartitions("row", "up", "slot").mapInArrow(_level(fan), kind), "fragments")
         closed = closed.unionByName(level.where("NOT open"))
-    t = tokens_of(a_path, b_path)
     all_ = closed.unionByName(level.where("open"))
-    return all_.repartition("row").sortWithinPartitions("row", "at").mapInArrow(_whole(len(t.a_bytes), len(t.b_bytes), chunk), KIND.format(id=id_type))
+    return all_.repartition("row").sortWithinPartitions("row", "at").mapInArrow(_whole(a_path, b_path, chunk), KIND.format(id=id_type))
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -499,7 +573,8 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if step[i] == 0:
                 pairs.append(tuple(part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "top")))
             elif step[i] == 1:
-                keys, offset, pair, times = (_ints(part.column(c), 0) for c in ("keys", "word_offset", "word_pair", "word_times"))
+                keys = _ints(part.column("keys"), 0)
+                offset, pair, times = (unpack(part.column(c)[0].as_py()) for c in ("word_offset", "word_pair", "word_times"))
                 n, top = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
                 for k, count, high in pairs:
                     at = np.searchsorted(keys, k.astype(np.int64))
@@ -510,7 +585,7 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 out = []
                 for k in range(part.num_rows):
-                    codes, times = _ints(part.column("codes"), k), _ints(part.column("times"), k)
+                    codes, times = (unpack(part.column(c)[k].as_py()) for c in ("codes", "times"))
                     out.append((int(times @ best[codes]), int(times @ total[codes])) if len(codes) else (0, 0))
                 yield pa.RecordBatch.from_arrays([part.column("id"), *(part.column(c) for c in COUNTS), *(pa.array([r[c] for r in out], pa.int64()) for c in (0, 1)), part.column("groups_sha256")], ["id", *COUNTS, "n_best", "count_sum", "groups_sha256"])
 
