@@ -14,6 +14,7 @@ from ..frame import num, numbers, table
 from ..functions import dist
 from ..functions.linalg import covariance, inverse
 from .nonparam import one_row
+from .running import running_sums
 
 
 def group_moments(df: DataFrame, value: str, key: str) -> list:
@@ -347,15 +348,13 @@ def _median_replications(counts: DataFrame, replications: int, seed: int) -> np.
     """Medians of resamples: the place of a resample's middle value among the sorted values is that of a beta order statistic,
     and the next one of an even number is the least of the uniform draws above it, so that only the values at the drawn
     places are looked up."""
-    from pyspark.sql import Window
-
     n = counts.agg(F.sum("n")).collect()[0][0]
     k = (n + 1) // 2
     rng = np.random.default_rng(seed)
     low = rng.beta(k, n - k + 1, replications)
     high = low if n % 2 else low + (1 - low) * (1 - rng.random(replications) ** (1 / (n - k)))
     places = np.minimum(n, np.floor(np.stack([low, high]) * n).astype(np.int64) + 1)
-    cum = counts.withColumn("_cum", F.sum("n").over(Window.orderBy("v")))
+    cum = running_sums(counts, "v", {"_cum": "n"})
     wanted = table(counts.sparkSession, [(int(p),) for p in np.unique(places)], "p long")
     hit = cum.select("v", (F.col("_cum") - F.col("n")).alias("lo"), F.col("_cum").alias("hi")).join(F.broadcast(wanted), (F.col("p") > F.col("lo")) & (F.col("p") <= F.col("hi"))).collect()  # replications at most
     of = {r.p: r.v for r in hit}

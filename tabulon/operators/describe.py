@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..frame import ROW, blank, measure_of, num, numbers, parse_num, text, with_row, table
 from ..functions.dist import chi2_upper, hypergeom_two_sided, t_inv
+from .running import running_sums
 
 DEFINITIONS = ("type6", "type7", "tukey")
 
@@ -21,11 +22,9 @@ def _by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def ranked_counts(values: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
-    """Per group and distinct value: its count _c, the count up to it _cum, and the group's size _n. Values are counted
-    before they are put in order, so a window sees distinct values only."""
-    w = Window.partitionBy(*by).orderBy(col)
+    """Per group and distinct value: its count _c, the count up to it _cum, and the group's size _n."""
     counts = values.where(F.col(col).isNotNull()).groupBy(*by, col).agg(F.count(F.lit(1)).alias("_c"))
-    return counts.withColumn("_cum", F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(Window.partitionBy(*by)))
+    return running_sums(counts, col, {"_cum": "_c"}, by, totals={"_n": "_cum"})
 
 
 def quantiles(values: DataFrame, col: str, ps: Sequence[float], by: Sequence[str] = (), definition: str = "type6", names: Sequence[str] | None = None) -> DataFrame:

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import ROW, num, numbers, text, with_row, table
 from ..functions import dist
 from .describe import ranked_counts
+from .running import running_sums
 
 ENUMERATED = 2_000_000
 
@@ -31,7 +32,7 @@ def group_ranks(df: DataFrame, value: str, key: str) -> tuple[list, float, int]:
     """Per group n, rank sum; and the tie term and the number of values. Ranks come from distinct values with counts."""
     v = numbers(df, value, keep=(key,))
     counts = v.groupBy(F.col(key).alias("g"), F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("k"))
-    all_ = counts.groupBy("v").agg(F.sum("k").alias("_c")).withColumn("_cum", F.sum("_c").over(Window.orderBy("v"))).withColumn("rank", F.col("_cum") - (F.col("_c") - 1) / 2)
+    all_ = running_sums(counts.groupBy("v").agg(F.sum("k").alias("_c")), "v", {"_cum": "_c"}).withColumn("rank", F.col("_cum") - (F.col("_c") - 1) / 2)
     ties = all_.agg(F.sum(F.pow("_c", 3) - F.col("_c")).alias("t"), F.sum("_c").alias("n")).collect()[0]
     groups = counts.join(all_, "v").groupBy("g").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("rank")).alias("r")).orderBy("g").collect()  # a row per group
     return groups, float(ties.t or 0), int(ties.n or 0)
@@ -216,8 +217,7 @@ def ks_two(df: DataFrame, value: str, key: str) -> DataFrame:
     if len(g) != 2:
         return one_row(df, kind)
     c = v.groupBy(value).agg(F.count_if(F.col(key) == g[0]).alias("a"), F.count_if(F.col(key) == g[1]).alias("b"))
-    w = Window.orderBy(value)
-    s = c.withColumns({"ca": F.sum("a").over(w), "cb": F.sum("b").over(w), "na": F.sum("a").over(Window.partitionBy()), "nb": F.sum("b").over(Window.partitionBy())}).agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb")).collect()[0]
+    s = running_sums(c, value, {"ca": "a", "cb": "b"}, totals={"na": "ca", "nb": "cb"}).agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("d"), F.max("na").alias("na"), F.max("nb").alias("nb")).collect()[0]
     z = s.d * math.sqrt(s.na * s.nb / (s.na + s.nb))
     return one_row(df, kind, s.d, s.na, s.nb, z, ks_p(s.d, round(s.na * s.nb / (s.na + s.nb))))
 

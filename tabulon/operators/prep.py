@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..frame import NOMINAL, ROW, SCALE, blank, measure_of, num, text, unique_name, with_row, table
 from ..functions.dist import norm_inv
 from ..functions.expr import compile_expression
+from .running import running_sums
 
 
 def compute(df: DataFrame, name: str, expression: str) -> DataFrame:
@@ -208,8 +209,8 @@ def rank_cases(df: DataFrame, col: str, kind: str = "rank", ties: str = "mean",
     stays missing. Ranks come from distinct values with counts; sequential ones number a value's rows in order."""
     v = num(df, col)
     r = df.withColumn("_v", v)
-    key = F.desc("_v") if descending else F.asc("_v")
-    c = r.where("_v IS NOT NULL").groupBy("_v").agg(F.count(F.lit(1)).alias("_c")).withColumns({"_hi": F.sum("_c").over(Window.orderBy(key)), "_n": F.sum("_c").over(Window.partitionBy())})
+    c = r.where("_v IS NOT NULL").groupBy("_v").agg(F.count(F.lit(1)).alias("_c"))
+    c = running_sums(c, "_v", {"_hi": "_c"}, descending=descending, totals={"_n": "_hi"})
     low = F.col("_hi") - F.col("_c") + 1
     if ties == "sequential":
         r = r.withColumn("_s", F.row_number().over(Window.partitionBy("_v").orderBy(*(F.desc(o) if descending else F.asc(o) for o in order))))

@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import ROW, numbers, with_row, table
@@ -15,6 +15,7 @@ from ..functions.linalg import covariance, cross_products, inverse, solve
 from .compare import multivariate_tests
 from .describe import ranked_counts
 from .nonparam import one_row
+from .running import running_sums
 
 COEF = "term string, estimate double, se double, statistic double, p double"
 
@@ -112,9 +113,8 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     # between ranges: a pair is discordant if the one in the higher range has the smaller y
     by_y = ranged.groupBy("g", "y").agg(F.sum("c").alias("c"))
     cells = by_y.groupBy("y").pivot("g", list(range(len(set(cuts)) + 1))).agg(F.sum("c")).fillna(0)
-    w = Window.orderBy("y").rowsBetween(Window.unboundedPreceding, -1)  # distinct values only
     k = len(set(cuts)) + 1
-    lower = cells.select(*(F.col(str(i)) for i in range(k)), *(F.coalesce(F.sum(str(i)).over(w), F.lit(0)).alias(f"b{i}") for i in range(k)))
+    lower = running_sums(cells, "y", {f"u{i}": str(i) for i in range(k)}).select(*(F.col(str(i)) for i in range(k)), *((F.col(f"u{i}") - F.col(str(i))).alias(f"b{i}") for i in range(k)))
     between = lower.agg(F.sum(sum((F.col(str(i)) * sum((F.col(f"b{j}") for j in range(i + 1, k)), F.lit(0)) for i in range(k - 1)), F.lit(0)).cast("double"))).collect()[0][0] or 0.0
     disc = within + between
     n0 = n * (n - 1) / 2

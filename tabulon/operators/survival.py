@@ -6,31 +6,30 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import numbers, table
 from ..functions import dist
 from ..functions.linalg import inverse
 from .nonparam import one_row
+from .running import running_sums
 
 
 def _times(df: DataFrame, time: str, status: str, key: str | None) -> DataFrame:
     """Per group and distinct time: events d, rows c, and the number at risk n."""
     v = numbers(df, time, status, keep=(key,) if key else ()).select((F.col(key) if key else F.lit("all")).alias("group"), F.col(time).alias("time"), (F.col(status) > 0.5).cast("long").alias("d"))
     t = v.groupBy("group", "time").agg(F.sum("d").alias("d"), F.count(F.lit(1)).alias("c"))
-    return t.withColumn("n", F.sum("c").over(Window.partitionBy("group").orderBy(F.desc("time"))))
+    return running_sums(t, "time", {"n": "c"}, ["group"], descending=True)
 
 
 def kaplan_meier(df: DataFrame, time: str, status: str, key: str | None = None) -> DataFrame:
     """Product-limit survival with Greenwood's error and a log-log interval, at each event time."""
-    w = Window.partitionBy("group").orderBy("time")
     t = _times(df, time, status, key).where("d > 0")
     last = F.col("n") == F.col("d")
-    zero = F.max(last.cast("int")).over(w) == 1
-    logs = F.sum(F.when(~last, F.log(1 - F.col("d") / F.col("n"))).otherwise(0.0)).over(w)
-    green = F.sum(F.when(~last, F.col("d") / (F.col("n") * (F.col("n") - F.col("d")))).otherwise(0.0)).over(w)
-    s = t.withColumns({"survival": F.when(zero, 0.0).otherwise(F.exp(logs)), "_g": green})
+    logs = F.when(~last, F.log(1 - F.col("d") / F.col("n"))).otherwise(0.0)
+    green = F.when(~last, F.col("d") / (F.col("n") * (F.col("n") - F.col("d")))).otherwise(0.0)
+    s = running_sums(t, "time", {"_l": logs, "_g": green, "_z": last.cast("long")}, ["group"]).withColumn("survival", F.when(F.col("_z") > 0, 0.0).otherwise(F.exp("_l")))
     half = 1.96 * F.sqrt("_g") / F.abs(F.log("survival"))
     ok = (F.col("survival") > 0) & (F.col("survival") < 1)
     return s.select("group", "time", "n", "d", "survival", (F.col("survival") * F.sqrt("_g")).alias("se"), F.when(ok, F.pow("survival", F.exp(half))).alias("low"), F.when(ok, F.pow("survival", F.exp(-half))).alias("high"))
@@ -53,8 +52,7 @@ def log_rank(df: DataFrame, time: str, status: str, key: str, compat: bool = Fal
         return one_row(df, kind)
     wide = t.groupBy("time").pivot("group", groups).agg(F.sum("d").alias("d"), F.sum("c").alias("c")).fillna(0)
     wide = wide.toDF("time", *(f"{x}{i}" for i in range(k) for x in ("d", "c")))
-    w = Window.orderBy(F.desc("time"))  # distinct times only
-    risk = wide.select(*wide.columns, *(F.sum(f"c{i}").over(w).alias(f"n{i}") for i in range(k)))
+    risk = running_sums(wide, "time", {f"n{i}": f"c{i}" for i in range(k)}, descending=True)
     d, n = sum((F.col(f"d{i}") for i in range(k)), F.lit(0)), sum((F.col(f"n{i}") for i in range(k)), F.lit(0))
     e = [d * F.col(f"n{i}") / n for i in range(k)]
     factor = F.when(n > 1, d * (n - d) / (n - 1)).otherwise(0.0)
@@ -72,9 +70,8 @@ def log_rank(df: DataFrame, time: str, status: str, key: str, compat: bool = Fal
 
 
 def nelson_aalen(df: DataFrame, time: str, status: str) -> DataFrame:
-    w = Window.orderBy("time")
     t = _times(df, time, status, None).where("d > 0")
-    return t.select("time", "n", "d", F.sum(F.col("d") / F.col("n")).over(w).alias("hazard"))
+    return running_sums(t, "time", {"hazard": F.col("d") / F.col("n")}).select("time", "n", "d", "hazard")
 
 
 def _cox_step(v: DataFrame, xs: Sequence[str], beta: np.ndarray) -> DataFrame:
@@ -83,8 +80,7 @@ def _cox_step(v: DataFrame, xs: Sequence[str], beta: np.ndarray) -> DataFrame:
     e = F.exp(sum((F.lit(float(b)) * F.col(x) for b, x in zip(beta, xs)), F.lit(0.0)))
     parts = {"s0": F.lit(1.0)} | {f"s1_{i}": F.col(x) for i, x in enumerate(xs)} | {f"s2_{i}_{j}": F.col(xs[i]) * F.col(xs[j]) for i in range(k) for j in range(i, k)}
     t = v.groupBy("_t").agg(F.sum("_d").alias("d"), *(F.sum(e * c).alias(n) for n, c in parts.items()), *(F.sum(F.col("_d") * F.col(x)).alias(f"x{i}") for i, x in enumerate(xs)))
-    w = Window.orderBy(F.desc("_t"))  # distinct times only
-    return t.select("_t", "d", *(f"x{i}" for i in range(k)), *(F.sum(n).over(w).alias(n) for n in parts)).where("d > 0")
+    return running_sums(t, "_t", {n: n for n in parts}, descending=True).where("d > 0")
 
 
 def cox(df: DataFrame, time: str, status: str, xs: Sequence[str], most: int = 100, tol: float = 1e-10) -> tuple[DataFrame, DataFrame]:
@@ -121,7 +117,7 @@ def cox(df: DataFrame, time: str, status: str, xs: Sequence[str], most: int = 10
     for x, b, s in zip(xs, beta, se):
         out.append((x, float(b), float(s), float(b / s), dist.norm_two_sided(b / s), math.exp(b), math.exp(b - 1.96 * s), math.exp(b + 1.96 * s), now[0], l0))
     shift = math.exp(-sum(float(b) * m[f"m{i}"] for i, b in enumerate(beta)))
-    hz = _cox_step(v, xs, beta).select(F.col("_t").alias("time"), (shift * F.sum(F.col("d") / F.col("s0")).over(Window.orderBy("_t"))).alias("hazard"))
+    hz = running_sums(_cox_step(v, xs, beta), "_t", {"hazard": F.lit(shift) * F.col("d") / F.col("s0")}).select(F.col("_t").alias("time"), "hazard")
     return table(df.sparkSession, out, kind), hz.withColumn("survival", F.exp(-F.col("hazard")))
 
 
@@ -129,8 +125,7 @@ def roc_points(df: DataFrame, score: str, label: str, positive: str) -> DataFram
     """Sensitivity and specificity at each distinct score taken as the least positive one."""
     v = numbers(df, score, keep=(label,))
     c = v.groupBy(F.col(score).alias("threshold")).agg(F.count_if(F.col(label) == positive).alias("p"), F.count_if(F.col(label) != positive).alias("q"))
-    w, all_ = Window.orderBy(F.desc("threshold")), Window.partitionBy()
-    c = c.withColumns({"tp": F.sum("p").over(w), "fp": F.sum("q").over(w), "np": F.sum("p").over(all_), "nn": F.sum("q").over(all_)})
+    c = running_sums(c, "threshold", {"tp": "p", "fp": "q"}, descending=True, totals={"np": "tp", "nn": "fp"})
     return c.select("threshold", "tp", "fp", (F.col("tp") / F.col("np")).alias("sensitivity"), (1 - F.col("fp") / F.col("nn")).alias("specificity"), (F.col("tp") / F.col("np") - F.col("fp") / F.col("nn")).alias("youden"))
 
 
@@ -138,8 +133,7 @@ def roc(df: DataFrame, score: str, label: str, positive: str) -> DataFrame:
     """Area with Hanley-McNeil error, interval and p, U, and the best threshold by Youden's index."""
     v = numbers(df, score, keep=(label,))
     c = v.groupBy(score).agg(F.count_if(F.col(label) == positive).cast("double").alias("p"), F.count_if(F.col(label) != positive).cast("double").alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    s = c.withColumn("b", below).agg(F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q")).collect()[0]
+    s = running_sums(c, score, {"b": "q"}).withColumn("b", F.col("b") - F.col("q")).agg(F.sum(F.col("p") * (F.col("b") + F.col("q") / 2)).alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q")).collect()[0]
     kind = "auc double, se double, low double, high double, p double, u double, n_positive long, n_negative long, threshold double, youden double"
     if not s.p or not s.q:
         return one_row(df, kind)
