@@ -1,7 +1,7 @@
 """Trees and ensembles: CART, random forest, boosting, CHAID, C4.5; and multiple imputation.
 
-CART, forests and boosting see a table of bounded size (max_rows; more is refused, never sampled) and grow trees in parallel
-tasks. CHAID and C4.5 need category counts only and read them from one aggregation per level of the tree."""
+CART and boosting grow a level at a time over all rows. Forests see a table of bounded size (max_rows; more is refused, never
+sampled) and grow trees in parallel tasks. CHAID and C4.5 need category counts only and read them from one aggregation per level of the tree."""
 
 from __future__ import annotations
 
@@ -14,8 +14,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import num, numbers, text, table
+from ..frame import num, numbers, settled, text, table
 from ..functions import dist
+from .levels import Data, grow_levels, leaves, walk
 from .multivar import TooManyRows
 from .nonparam import one_row
 
@@ -123,23 +124,27 @@ def _gains(tree: dict, total: np.ndarray) -> np.ndarray:
     return total
 
 
-def cart(df: DataFrame, y: str, xs: Sequence[str], classify: bool = True, depth: int = 5, least: int = 5, max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
-    """The tree's nodes, and its confusion table (classes) or R2."""
-    x, t, levels = _table(df, y, xs, classify, max_rows)
-    spark = df.sparkSession
-    if len(t) < 2:
+def cart(df: DataFrame, y: str, xs: Sequence[str], classify: bool = True, depth: int = 5, least: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The tree's nodes, and its confusion table (classes) or R2. Any number of rows: each level is one aggregation."""
+    data, spark = Data(df, y, xs, classify), df.sparkSession
+    if data.n < 2:
         return one_row(df, TREE), one_row(df, "actual string, predicted string, n long")
-    tree = grow(x, t, len(levels), depth, least)
-    p = apply_tree(tree, x, len(levels))
-    return table(spark, _rows(tree, xs, levels), TREE), _quality(df, t, p, levels)
+    tree = grow_levels(data, depth, least)
+    nodes = table(spark, _rows(tree, xs, data.levels), TREE)
+    if not classify:
+        squares = data.squares - sum(n["weight"] * (n["value"] - data.mean) ** 2 for n in leaves(tree))
+        return nodes, one_row(df, "r2 double, sse double, n long", 1 - squares / data.squares if data.squares else None, max(0.0, squares), data.n)
+    said = walk(tree, lambda n: F.lit(int(np.argmax(n["value"]))))
+    pairs = data.rows.groupBy("_y", said.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("_y", "p").collect()  # classes by classes
+    return nodes, table(spark, [(str(data.levels[r["_y"]]), str(data.levels[r.p]), r.n) for r in pairs], "actual string, predicted string, n long")
 
 
-def _quality(df, t, p, levels):
-    if not levels:
-        sse, sst = float(((t - p[:, 0]) ** 2).sum()), float(((t - t.mean()) ** 2).sum())
-        return one_row(df, "r2 double, sse double, n long", 1 - sse / sst if sst else None, sse, len(t))
-    c = pd.crosstab(t, p.argmax(1)).stack()
-    return table(df.sparkSession, [(str(levels[a]), str(levels[b]), int(n)) for (a, b), n in c.items() if n], "actual string, predicted string, n long")
+def root_split(df: DataFrame, y: str, xs: Sequence[str], classify: bool = True) -> DataFrame:
+    """The first split of a tree: its variable, threshold, and decrease of impurity."""
+    data = Data(df, y, xs, classify)
+    tree = grow_levels(data, 1, 1) if data.n > 1 else {}
+    rows = [(xs[tree["feature"]], tree["threshold"], tree["gain"])] if "feature" in tree else []
+    return table(df.sparkSession, rows, "variable string, threshold double, gain double")
 
 
 def random_forest(df: DataFrame, y: str, xs: Sequence[str], classify: bool = True, trees: int = 200, depth: int = 20, least: int = 1, seed: int = 42, max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -187,40 +192,48 @@ def random_forest(df: DataFrame, y: str, xs: Sequence[str], classify: bool = Tru
     return one_row(df, kinds[0], trees, error, n), table(spark, [(c, float(h)) for c, h in zip(xs, hurt)], kinds[1])
 
 
-def boosting(df: DataFrame, y: str, xs: Sequence[str], classify: bool = False, rounds: int = 100, rate: float = 0.1, depth: int = 3, max_rows: int = MAX_ROWS) -> tuple[DataFrame, DataFrame]:
-    """Least-squares gradient boosting, or AdaBoost (SAMME): the trace of rounds and the features' gains. Rounds follow
-    one another, so they run in one place over a bounded table; up to 2,000."""
-    x, t, levels = _table(df, y, xs, classify, max_rows)
-    spark, k, gain, trace = df.sparkSession, len(levels), np.zeros(len(xs)), []
+#: Rounds of boosting after which what rows have gathered is put down, so that expressions stay short.
+ROUNDS = 10
+
+
+def boosting(df: DataFrame, y: str, xs: Sequence[str], classify: bool = False, rounds: int = 100, rate: float = 0.1, depth: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Least-squares gradient boosting, or AdaBoost (SAMME): the trace of rounds and the features' gains, up to 2,000 rounds.
+
+    Trees grow a level at a time over all rows, which keep what the rounds before left them: a residual, or a weight and
+    votes. Losses follow from the sums of the leaves."""
+    data, spark, gain, trace = Data(df, y, xs, classify), df.sparkSession, np.zeros(len(xs)), []
+    k = data.classes
     kinds = ("round int, error double, loss double", "variable string, importance double")
-    if len(t) < 4 or not 1 <= rounds <= 2000 or (classify and k < 2):
+    if data.n < 4 or not 1 <= rounds <= 2000 or (classify and k < 2):
         return one_row(df, kinds[0]), one_row(df, kinds[1])
-    if not classify:
-        f = np.full(len(t), t.mean())
-        sst = ((t - t.mean()) ** 2).sum()
-        for r in range(rounds):
-            tree = grow(x, t - f, 0, depth, 1)
-            _gains(tree, gain)
-            f = f + rate * apply_tree(tree, x, 0)[:, 0]
-            sse = float(((t - f) ** 2).sum())
-            trace.append((r + 1, sse, float(1 - sse / sst) if sst else None))
-    else:
-        w, votes = np.full(len(t), 1 / len(t)), np.zeros((len(t), k))
-        for r in range(rounds):
-            tree = grow(x, t, k, depth, 1, weight=w)
-            p = apply_tree(tree, x, k).argmax(1)
-            bad = p != t
-            e = float(w[bad].sum() / w.sum())
+    data.mean = 0.0  # rows are about the mean already, which is the first prediction
+    votes = [f"_v{c}" for c in range(k)]
+    rows = settled(data.rows.withColumns({v: F.lit(0.0) for v in votes} | ({"_w": F.lit(1.0 / data.n)} if classify else {})))
+    squares = data.squares
+    for r in range(rounds):
+        tree = grow_levels(data, depth, 1, rows)
+        last = leaves(tree)
+        if classify:
+            e = sum(n["weight"] * (1 - max(n["value"])) for n in last) / sum(n["weight"] for n in last)
             if e >= 1 - 1 / k:
                 break
-            _gains(tree, gain)
             a = math.log((1 - max(e, 1e-12)) / max(e, 1e-12)) + math.log(k - 1)
-            votes[np.arange(len(t)), p] += a
-            w = w * np.exp(a * bad)
-            w /= w.sum()
-            trace.append((r + 1, float((votes.argmax(1) != t).mean()), e))
-            if e < 1e-12:
-                break
+            said = walk(tree, lambda n: F.lit(int(np.argmax(n["value"]))))
+            whole = sum(n["weight"] for n in last) * (1 - e + e * math.exp(a))
+            rows = rows.withColumn("_p", said).withColumns({v: F.col(v) + F.when(F.col("_p") == c, a).otherwise(0.0) for c, v in enumerate(votes)} | {"_w": F.col("_w") * F.when(F.col("_p") != F.col("_y"), math.exp(a)).otherwise(1.0) / whole}).drop("_p")
+            top = F.greatest(*votes)
+            first = F.coalesce(*(F.when(F.col(v) == top, c) for c, v in enumerate(votes)))
+            wrong = rows.agg(F.avg((first != F.col("_y")).cast("double"))).collect()[0][0]
+            trace.append((r + 1, float(wrong), e))
+        else:
+            rows = rows.withColumn("_y", F.col("_y") - rate * walk(tree, lambda n: F.lit(float(n["value"]))))
+            squares -= sum(n["weight"] * n["value"] ** 2 for n in last) * (2 * rate - rate * rate)
+            trace.append((r + 1, max(0.0, float(squares)), float(1 - squares / data.squares) if data.squares else None))
+        _gains(tree, gain)
+        if classify and e < 1e-12:
+            break
+        if r % ROUNDS == ROUNDS - 1:
+            rows = settled(rows)
     total = gain.sum() or 1.0
     return table(spark, trace, kinds[0]), table(spark, [(c, float(g / total)) for c, g in zip(xs, gain)], kinds[1])
 
