@@ -25,7 +25,9 @@ from .common import stored
 #: step of the tree composes.
 LONG, STRETCH, RANGE, FAN = 32_768, 16_384, 8_192, 16
 #: Characters (and pairs, of long texts) that share a dictionary of words and pairs.
-CHUNK = 1 << 22
+CHUNK = 3 << 20
+#: Bytes of rows that a writer of intermediate tables holds.
+BLOCK = 16 << 20
 BLANK = "▁"
 #: Fixed value: how byte-level tokenizers cut a text before they merge.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -90,6 +92,10 @@ class Tokens:
             return None
         return tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks={self.a_bytes[i]: i for i in range(256 + len(ids))}, special_tokens={})
 
+    def of_a(self, text: str):
+        """A's ids of a text as it is."""
+        return self.fast.encode_to_numpy(text, disallowed_special=()) if self.fast and LATIN.fullmatch(text) else self.a.encode(text, add_special_tokens=False).ids
+
     @staticmethod
     def _alone(words: list[str], encode) -> tuple[np.ndarray, np.ndarray]:
         counts, found = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
@@ -319,15 +325,16 @@ def _short(a_path: str, b_path: str, chunk: int):
 
         for batch in batches:
             out = out or Output(batch.column("id").type, 0)
-            part, new = 0, batch.column("text").to_pylist()
-            for i, t in enumerate(new):
+            part, column = 0, batch.column("text")
+            for i in range(len(column)):
+                t = column[i].as_py()
                 texts.append(t)
                 size += len(t or "") + 1
                 if size >= chunk:
                     ids.append(batch.column("id").slice(part, i + 1 - part))
                     yield flush()
                     part, ids, texts, size = i + 1, [], [], 0
-            if part < len(new):
+            if part < len(column):
                 ids.append(batch.column("id").slice(part))
         if texts:
             yield flush()
@@ -366,7 +373,7 @@ def _tokenise(a_path: str, b_path: str, width: int):
         for batch in batches:
             for i in range(batch.num_rows):
                 row, kind, base, text = (batch.column(c)[i].as_py() for c in ("row", "kind", "base", "text"))
-                ids = np.array(t.b.encode(text[1:]) if kind else t.a.encode(text, add_special_tokens=False).ids, np.int64)
+                ids = np.array(t.b.encode(text[1:]) if kind else t.of_a(text), np.int64)
                 table, length = (t.b_bytes, t.b_length) if kind else (t.a_bytes, t.a_length)
                 bad = b"".join([table[x] for x in ids.tolist()]) != text.encode()
                 ends = base + np.cumsum(length[ids])
@@ -543,16 +550,16 @@ def _whole(a_path: str, b_path: str, chunk: int):
 def _long(long: DataFrame, id_type: str, a_path: str, b_path: str, stretch: int, width: int, fan: int, chunk: int) -> DataFrame:
     """Documents beyond LONG bytes: stretches are tokenised in parallel, fragments of byte ranges composed by a tree of steps."""
     rows = long.withColumn("row", F.monotonically_increasing_id()).select("row", "id", "text")
-    cut = stored(rows.mapInArrow(_cut(stretch), f"row long, id {id_type}, kind int, base long, text string").repartition("row", "kind", "base"), "stretches")
+    cut = stored(rows.mapInArrow(_cut(stretch), f"row long, id {id_type}, kind int, base long, text string").repartition("row", "kind", "base"), "stretches", BLOCK)
     dealt = cut.mapInArrow(_tokenise(a_path, b_path, width), TOKENS.format(id=id_type))
     kind = PIECES.format(id=id_type)
-    level = stored(dealt.repartition("row", "slot").sortWithinPartitions("row", "slot", "kind", "base").mapInArrow(_leaves(a_path, b_path), kind), "fragments")
+    level = stored(dealt.repartition("row", "slot").sortWithinPartitions("row", "slot", "kind", "base").mapInArrow(_leaves(a_path, b_path), kind), "fragments", BLOCK)
     closed = level.where("NOT open")
     most = level.agg(F.max("slot").alias("m")).collect()[0].m or 0
     while most:
         most //= fan
         up = level.where("open").withColumn("up", F.floor(F.col("slot") / fan))
-        level = stored(up.repartition("row", "up").sortWithinPartitions("row", "up", "slot").mapInArrow(_level(fan), kind), "fragments")
+        level = stored(up.repartition("row", "up").sortWithinPartitions("row", "up", "slot").mapInArrow(_level(fan), kind), "fragments", BLOCK)
         closed = closed.unionByName(level.where("NOT open"))
     all_ = closed.unionByName(level.where("open"))
     return all_.repartition("row").sortWithinPartitions("row", "at").mapInArrow(_whole(a_path, b_path, chunk), KIND.format(id=id_type))
@@ -607,7 +614,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     beyond = F.coalesce(F.octet_length("text"), F.lit(0)) > long
-    done = stored(rows.where(~beyond).mapInArrow(_short(a_path, b_path, chunk), KIND.format(id=id_type)).unionByName(_long(rows.where(beyond), id_type, a_path, b_path, stretch, width, fan, chunk)), "aligned")
+    done = stored(rows.where(~beyond).mapInArrow(_short(a_path, b_path, chunk), KIND.format(id=id_type)).unionByName(_long(rows.where(beyond), id_type, a_path, b_path, stretch, width, fan, chunk)), "aligned", BLOCK)
     size = len(tokens_of(a_path, b_path).b_bytes)
     pairs = done.where("keys IS NOT NULL").select("chunk", F.inline(F.arrays_zip("keys", "docs")))
     counts = pairs.groupBy("keys").agg(F.sum("docs").alias("n"))

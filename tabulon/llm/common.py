@@ -39,10 +39,11 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read back: its lineage ends there and lost executors cost nothing."""
+def stored(df: DataFrame, name: str, block: int | None = None) -> DataFrame:
+    """The frame written to the shared folder and read back: its lineage ends there and lost executors cost nothing. Of rows
+    with large cells, a writer holds about `block` bytes, if that is given."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", block) if block else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
