@@ -206,7 +206,7 @@ _simple("klasifikasi_knn", "supplier", lambda t: multivar.confusion(multivar.knn
 _simple("pohon", "part", lambda t: trees.cart(t, "p_brand", ["p_size", "p_retailprice"], depth=3)[0])
 _ROOT = "WITH c AS (SELECT x, f, v, y, count(*)::DOUBLE AS n FROM {long} GROUP BY ALL), t AS (SELECT p_brand AS y, count(*)::DOUBLE AS t FROM part GROUP BY 1), d AS (SELECT DISTINCT x, f, v FROM c), g AS (SELECT d.x, d.f, d.v, t.t, sum(coalesce(c.n, 0)) OVER (PARTITION BY d.x, t.y ORDER BY d.v) AS l FROM d CROSS JOIN t LEFT JOIN c ON c.x = d.x AND c.v = d.v AND c.y = t.y), s AS (SELECT x, f, v, lead(v) OVER (PARTITION BY x ORDER BY v) AS u, sum(l * l) / sum(l) + sum((t - l) * (t - l)) / nullif(sum(t - l), 0) - sum(t * t) / sum(t) AS gain FROM g GROUP BY x, f, v)"
 _simple("pohon_akar", "part", lambda t: trees.root_split(t, "p_brand", ["p_size", "p_retailprice"]), _ROOT.format(long="(SELECT p_brand AS y, 'p_size' AS x, 0 AS f, p_size::DOUBLE AS v FROM part UNION ALL SELECT p_brand, 'p_retailprice', 1, p_retailprice FROM part)") + " SELECT x AS variable, round((v + u) / 2, 6) AS threshold, round(gain, 6) AS gain FROM s WHERE u IS NOT NULL ORDER BY s.gain DESC, f, v LIMIT 1")
-_simple("pohon_akar_regresi", "part", lambda t: trees.root_split(t, "p_retailprice", ["p_size", "p_partkey"], False), "WITH m AS (SELECT avg(p_retailprice) AS m FROM part), l AS (SELECT 'p_size' AS x, 0 AS f, p_size::DOUBLE AS v, p_retailprice - m AS y FROM part, m UNION ALL SELECT 'p_partkey', 1, p_partkey::DOUBLE, p_retailprice - m FROM part, m), c AS (SELECT x, f, v, count(*)::DOUBLE AS n, sum(y) AS y FROM l GROUP BY ALL), r AS (SELECT x, f, v, lead(v) OVER w AS u, sum(n) OVER w AS n, sum(y) OVER w AS y, sum(n) OVER (PARTITION BY x) AS tn, sum(y) OVER (PARTITION BY x) AS ty FROM c WINDOW w AS (PARTITION BY x ORDER BY v)), s AS (SELECT *, y * y / n + (ty - y) * (ty - y) / (tn - n) - ty * ty / tn AS gain FROM r WHERE u IS NOT NULL) SELECT x AS variable, round((v + u) / 2, 6) AS threshold, round(gain, 3) AS gain FROM s ORDER BY s.gain DESC, f, v LIMIT 1", 3)
+_simple("pohon_akar_regresi", "supplier", lambda t: trees.root_split(t, "s_acctbal", ["s_nationkey", "s_suppkey"], False), "WITH m AS (SELECT avg(s_acctbal) AS m FROM supplier), l AS (SELECT 's_nationkey' AS x, 0 AS f, s_nationkey::DOUBLE AS v, s_acctbal - m AS y FROM supplier, m UNION ALL SELECT 's_suppkey', 1, s_suppkey::DOUBLE, s_acctbal - m FROM supplier, m), c AS (SELECT x, f, v, count(*)::DOUBLE AS n, sum(y) AS y FROM l GROUP BY ALL), r AS (SELECT x, f, v, lead(v) OVER w AS u, sum(n) OVER w AS n, sum(y) OVER w AS y, sum(n) OVER (PARTITION BY x) AS tn, sum(y) OVER (PARTITION BY x) AS ty FROM c WINDOW w AS (PARTITION BY x ORDER BY v)), s AS (SELECT *, y * y / n + (ty - y) * (ty - y) / (tn - n) - ty * ty / tn AS gain FROM r WHERE u IS NOT NULL) SELECT x AS variable, round((v + u) / 2, 6) AS threshold, round(gain, 3) AS gain FROM s ORDER BY s.gain DESC, f, v LIMIT 1", 3)
 _simple("hutan", "supplier", lambda t: trees.random_forest(t.withColumn("k", (F.col("s_nationkey") % 2).cast("string")), "k", ["s_acctbal", "s_suppkey"], trees=20)[0])
 _simple("boosting", "supplier", lambda t: trees.boosting(t, "s_acctbal", ["s_suppkey", "s_nationkey"], rounds=20)[0])
 _simple("chaid", "orders", lambda t: trees.chaid(t, "o_orderstatus", ["o_orderpriority", "o_totalprice"]))
