@@ -9,6 +9,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,7 @@ from ..frame import numbers, settled, table, text
 from ..functions import dist
 from ..functions.linalg import covariance, inverse
 from .nonparam import one_row
+from .running import running_sums
 
 
 class TooManyRows(ValueError):
@@ -329,69 +331,202 @@ def dbscan(df: DataFrame, cols: Sequence[str], eps: float, min_points: int, id_c
     return out.join(first, "cluster", "left").select(F.col("id").alias(id_col), F.coalesce("number", F.lit(-1)).alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
 
 
-def twostep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], most: int = 12, max_rows: int = 2000) -> dict[str, DataFrame]:
-    """Agglomeration by the log-likelihood distance of numbers and categories; the number of clusters up to `most` by BIC."""
-    v = _bounded(numbers(df, *numeric, keep=tuple(categorical)).dropna(), max_rows)
-    rows = v.orderBy(*numeric, *categorical).toPandas()
-    spark, n = df.sparkSession, len(rows)
-    kinds = {"clusters": "row int, cluster int", "bic": "k int, bic double, silhouette double"}
-    if n < 6:
-        return {a: table(spark, [], b) for a, b in kinds.items()}
-    x = rows[list(numeric)].to_numpy(float)
-    hot = pd.get_dummies(rows[list(categorical)].astype(str)).to_numpy(float) if categorical else np.zeros((n, 0))
-    width = np.array([rows[c].nunique() for c in categorical], int)
-    total = x.var(0) if x.size else np.zeros(0)
-
-    def xi(m, s, q, c):
-        """The clusters' log-likelihood terms from sizes, sums, squares and category counts (arrays over clusters)."""
-        var = np.maximum(0, q / m[:, None] - (s / m[:, None]) ** 2)
-        p = c / m[:, None]
-        ent = -(np.where(p > 0, p * np.log(np.where(p > 0, p, 1)), 0)).sum(1)
-        return -m * (0.5 * np.log(np.maximum(1e-12, total + var)).sum(1) + ent)
-
-    m, s, q, c = np.ones(n), x.copy(), x**2, hot.copy()
-    own, alive, members = xi(m, s, q, c), np.arange(n), {i: [i] for i in range(n)}
-    saved = {}
-    d = np.full((n, n), np.inf)
-    for i in range(n):
-        o = np.arange(i + 1, n)
-        if len(o):
-            d[i, o] = d[o, i] = own[i] + own[o] - xi(m[i] + m[o], s[i] + s[o], q[i] + q[o], c[i] + c[o])
+#: Cluster features that the driver joins at most, and those that a task keeps where rows have more different values.
+LEAVES, KEPT = 2000, 500
+
+
+class Features:
+    """Cluster features: sizes, sums and squares of standardised numbers, counts of categories. They add up."""
+
+    def __init__(self, m: np.ndarray, s: np.ndarray, q: np.ndarray, c: np.ndarray):
+        self.m, self.s, self.q, self.c = m, s, q, c
+
+    def __getitem__(self, i) -> Features:
+        return Features(self.m[i], self.s[i], self.q[i], self.c[i])
+
+    def __add__(self, o: Features) -> Features:
+        return Features(self.m + o.m, self.s + o.s, self.q + o.q, self.c + o.c)
+
+    def xi(self) -> np.ndarray:
+        """The log-likelihood of each: normal numbers about an error of variance 1, and categories by their shares."""
+        m = self.m[..., None]
+        p = self.c / m
+        spread = np.maximum(0, self.q / m - (self.s / m) ** 2)
+        return -self.m * (0.5 * np.log1p(spread).sum(-1) - np.where(p > 0, p * np.log(np.where(p > 0, p, 1)), 0).sum(-1))
+
+    def joined(self, o: Features) -> Features:
+        return Features(*(np.concatenate([getattr(self, k), getattr(o, k)]) for k in "msqc"))
+
+    def table(self) -> np.ndarray:
+        return np.column_stack([self.m, self.s, self.q, self.c])
+
+    @staticmethod
+    def of_table(t: np.ndarray, p: int) -> Features:
+        return Features(t[:, 0], t[:, 1 : 1 + p], t[:, 1 + p : 1 + 2 * p], t[:, 1 + 2 * p :])
+
+
+def shrink(f: Features, most: int) -> Features:
+    """At most `most` features: in rounds, those that are each other's nearest join, the nearest pairs first."""
+    while len(f.m) > most:
+        n, own = len(f.m), f.xi()
+        near, gap = np.zeros(n, np.int64), np.zeros(n)
+        for a in range(0, n, 64):
+            d = own[a : a + 64, None] + own[None] - (f[a : a + 64, None] + f[None]).xi()
+            d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
+            near[a : a + 64], gap[a : a + 64] = d.argmin(1), d.min(1)
+        i = np.flatnonzero((near[near] == np.arange(n)) & (np.arange(n) < near))
+        if not len(i):  # ties in a ring: the nearest pair
+            i = np.array([int(gap.argmin())])
+        i = i[np.argsort(gap[i], kind="stable")][: n - most]
+        j = near[i]
+        both = f[i] + f[j]
+        rest = np.setdiff1d(np.arange(n), np.concatenate([i, j]))
+        f = both.joined(f[rest])
+    return f
+
+
+def _agglomerate(f: Features, most: int) -> dict[int, tuple[list[list[int]], float, Features]]:
+    """Joins of the two nearest, first pair first, down to one: for each number of clusters up to `most` the members, the
+    log-likelihood and the features."""
+    n, own = len(f.m), f.xi()
+    f = Features(f.m.copy(), f.s.copy(), f.q.copy(), f.c.copy())
+    d, members, alive, saved = np.full((n, n), np.inf), [[i] for i in range(n)], np.ones(n, bool), {}
+    for i in range(n - 1):
+        d[i, i + 1 :] = own[i] + own[i + 1 :] - (f[i : i + 1] + f[i + 1 :]).xi()
     while True:
-        k = len(alive)
+        k = int(alive.sum())
+        at = np.flatnonzero(alive)
         if k <= most:
-            saved[k] = ([members[i] for i in alive], float(own[alive].sum()))
+            saved[k] = ([members[i] for i in at], float(own[at].sum()), f[at])
         if k == 1:
-            break
-        i, j = divmod(int(d[np.ix_(alive, alive)].argmin()), k)
-        i, j = sorted((alive[i], alive[j]))
-        m[i], s[i], q[i], c[i] = m[i] + m[j], s[i] + s[j], q[i] + q[j], c[i] + c[j]
-        own[i] = xi(m[[i]], s[[i]], q[[i]], c[[i]])[0]
-        members[i] += members.pop(j)
-        alive = alive[alive != j]
-        o = alive[alive != i]
-        d[i, o] = d[o, i] = own[i] + own[o] - xi(m[i] + m[o], s[i] + s[o], q[i] + q[o], c[i] + c[o])
-    free = 2 * len(numeric) + int((width - 1).sum())
-    span = np.ptp(x, axis=0) if x.size else np.ones(0)
-    gower = (np.abs(x[:, None] - x[None]) / np.where(span > 0, span, 1)).sum(2) + (np.abs(hot[:, None] - hot[None]).sum(2) / 2 if hot.size else 0)
-    gower = gower / (len(numeric) + len(categorical))
-    out, best = [], None
-    for k in sorted(saved):
-        lab = np.zeros(n, int)
-        for g, rs in enumerate(saved[k][0]):
-            lab[rs] = g
-        bic, sil = -2 * saved[k][1] + k * free * math.log(n), None
-        if 1 < k < n:
-            mean = np.stack([gower[:, lab == g].sum(1) / max(1, (lab == g).sum()) for g in range(k)], 1)
-            size = np.bincount(lab, minlength=k)
-            a = mean[range(n), lab] * size[lab] / np.maximum(1, size[lab] - 1)
-            mean[range(n), lab] = np.inf
-            b = mean.min(1)
-            sil = float(np.where(size[lab] > 1, (b - a) / np.maximum(1e-300, np.maximum(a, b)), 0).mean())
-        out.append((k, bic, sil))
-        if best is None or bic < best[0]:
-            best = (bic, lab)
-    return {"clusters": table(spark, [(i, int(c) + 1) for i, c in enumerate(best[1])], kinds["clusters"]), "bic": table(spark, out, kinds["bic"])}
+            return saved
+        i, j = divmod(int(d.argmin()), n)
+        both = f[[i]] + f[[j]]
+        f.m[i], f.s[i], f.q[i], f.c[i] = both.m[0], both.s[0], both.q[0], both.c[0]
+        own[i], members[i], alive[j] = both.xi()[0], members[i] + members[j], False
+        d[j, :] = d[:, j] = np.inf
+        o = np.flatnonzero(alive)
+        o = o[o != i]
+        new = own[i] + own[o] - (f[[i]] + f[o]).xi()
+        d[i, o[o > i]], d[o[o < i], i] = new[o > i], new[o < i]
+
+
+def twostep(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], most: int = 12, leaves: int = LEAVES) -> dict[str, DataFrame]:
+    """Clusters of numbers and categories by the log-likelihood distance; their number up to `most` by BIC. Any number of rows.
+
+    First step: different rows are counted; if there are more than `leaves`, tasks gather them into cluster features, which
+    are merged by a tree of tasks, at most KEPT of them at any place. Second step: features are joined, nearest first.
+    Returns "clusters" (the complete rows with their cluster, largest first), and "bic" (with the mean Gower silhouette of
+    the chosen number, from running sums of each number and counts of categories). With up to `leaves` different rows
+    clusters are exact joins; with more, a row belongs to the cluster that its joining costs least."""
+    v = numbers(df, *numeric, keep=tuple(categorical)).dropna()
+    spark, p = df.sparkSession, len(numeric)
+    k_num, k_cat = range(p), range(len(categorical))
+    v = v.select(*(F.col(c).alias(f"x{i}") for i, c in enumerate(numeric)), *(F.col(c).alias(f"g{i}") for i, c in enumerate(categorical)))
+    names = v.columns
+    shown = [F.col(f"x{i}").alias(c) for i, c in enumerate(numeric)] + [F.col(f"g{i}").alias(c) for i, c in enumerate(categorical)]
+    kinds = {"clusters": v.select(*shown).withColumn("cluster", F.lit(0)).where("cluster > 0"), "bic": table(spark, [], "k int, bic double, silhouette double")}
+    s = v.agg(F.count(F.lit(1)).alias("n"), *(f(f"x{i}").alias(f"{n}{i}") for i in k_num for n, f in (("m", F.avg), ("s", F.stddev_pop), ("lo", F.min), ("hi", F.max)))).collect()[0]
+    if s.n < 6 or any(not s[f"s{i}"] for i in k_num):
+        return kinds
+    levels = [[r[0] for r in v.select(f"g{i}").distinct().orderBy(f"g{i}").collect()] for i in k_cat]  # a row per category
+    mean, sd = np.array([s[f"m{i}"] for i in k_num]), np.array([s[f"s{i}"] for i in k_num])
+
+    def features(frame: pd.DataFrame) -> Features:
+        m = frame["n"].to_numpy(float)
+        z = (frame[[f"x{i}" for i in k_num]].to_numpy(float) - mean) / sd if p else np.zeros((len(m), 0))
+        hot = [np.equal.outer(frame[f"g{i}"].to_numpy(), np.array(levels[i], object)).astype(float) for i in k_cat]
+        return Features(m, z * m[:, None], z * z * m[:, None], np.concatenate([np.zeros((len(m), 0)), *hot], 1) * m[:, None])
+
+    rows = v.groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+    few = rows.limit(leaves + 1).count() <= leaves
+    if few:
+        frame = rows.orderBy(*names).toPandas()  # `leaves` at most
+        f = features(frame)
+    else:
+        kept = min(leaves, KEPT)
+
+        def gather(frames):
+            held = None
+            for frame in frames:
+                for a in range(0, len(frame), kept):
+                    new = features(frame.iloc[a : a + kept])
+                    held = shrink(held.joined(new) if held else new, kept)
+            if held:
+                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "f": [held.table().tobytes()]})
+
+        read = lambda b: np.frombuffer(b).reshape(-1, 1 + 2 * p + sum(map(len, levels)))
+
+        def merge(frame: pd.DataFrame) -> pd.DataFrame:
+            held = None
+            for b in frame.sort_values("part")["f"]:
+                new = Features.of_table(read(b), p)
+                held = shrink(held.joined(new) if held else new, kept)
+            return pd.DataFrame({"part": [int(frame["part"].iloc[0]) // 8], "f": [held.table().tobytes()]})
+
+        parts = settled(rows.mapInPandas(gather, "part int, f binary"))
+        while (top := parts.agg(F.max("part")).collect()[0][0]) > 0:
+            parts = settled(parts.groupBy(F.floor(F.col("part") / 8)).applyInPandas(merge, "part int, f binary"))
+        f = Features.of_table(read(parts.collect()[0].f), p)  # one row of `kept` features
+    saved = _agglomerate(f, most)
+    free = 2 * p + sum(len(x) - 1 for x in levels)
+    bic = {k: -2 * saved[k][1] + k * free * math.log(s.n) for k in sorted(saved)}
+    best = min(bic, key=lambda k: (bic[k], k))
+    members, _, found = saved[best]
+    order = sorted(range(best), key=lambda c: (-found.m[c], min(members[c])))
+    if few:
+        label = np.zeros(len(frame), int)
+        for number, c in enumerate(order):
+            label[members[c]] = number + 1
+        put = spark.createDataFrame(frame.drop(columns="n").assign(cluster=label), rows.drop("n").withColumn("cluster", F.lit(0)).schema)
+        placed = v.join(F.broadcast(put), names)
+    else:
+        groups = found[order]
+
+        def place(frames):
+            own = groups.xi()
+            for frame in frames:
+                one = features(frame.assign(n=1))
+                cost = np.stack([one.xi() + own[c] - (one + groups[[c]]).xi() for c in range(best)], 1)
+                yield frame.assign(cluster=(cost.argmin(1) + 1).astype("int32"))
+
+        placed = v.mapInPandas(place, ", ".join(f"{c} {t}" for c, t in v.dtypes) + ", cluster int")
+    placed = settled(placed)
+    silhouette = _silhouette(placed, [(f"x{i}", s[f"hi{i}"] - s[f"lo{i}"]) for i in k_num], [f"g{i}" for i in k_cat], best)
+    out = [(k, float(b), silhouette if k == best else None) for k, b in bic.items()]
+    return {"clusters": placed.select(*shown, "cluster"), "bic": table(spark, out, "k int, bic double, silhouette double")}
+
+
+def _silhouette(rows: DataFrame, spans: Sequence[tuple[str, float]], categories: Sequence[str], k: int) -> float | None:
+    """The mean silhouette by Gower's distance of all pairs, without pairs: a row's distances to a cluster add up, number by
+    number, from the counts and sums of the smaller values, and category by category from the counts of others."""
+    if k < 2:
+        return None
+    names = [c for c, _ in spans] + list(categories)
+    each = rows.groupBy(*names, "cluster").agg(F.count(F.lit(1)).alias("_n"))
+    size = {r.cluster: r.n for r in rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ks = [c for c in range(1, k + 1) if size.get(c)]
+    if len(ks) < 2:
+        return None
+    of = lambda c, x=1: F.sum(F.when(F.col("cluster") == c, F.col("_n") * x).otherwise(0))
+    total = {c: F.lit(0.0) for c in ks}
+    for j, (x, span) in enumerate(spans):
+        values = each.groupBy(x).agg(*(of(c).alias(f"n{c}") for c in ks), *(of(c, F.col(x)).cast("double").alias(f"s{c}") for c in ks))
+        run = running_sums(values, x, {f"l{c}": f"n{c}" for c in ks} | {f"t{c}": f"s{c}" for c in ks}, totals={f"a{c}": f"t{c}" for c in ks})
+        far = [((F.col(x) * (2 * F.col(f"l{c}") - size[c]) - 2 * F.col(f"t{c}") + F.col(f"a{c}")) / span).alias(f"d{j}_{c}") for c in ks]
+        each = each.join(run.select(x, *far), x)
+        total = {c: t + F.col(f"d{j}_{c}") for c, t in total.items()}
+    for j, g in enumerate(categories):
+        counts = each.groupBy(g).agg(*(of(c).alias(f"e{j}_{c}") for c in ks))
+        each = each.join(counts, g)
+        total = {c: t + size[c] - F.col(f"e{j}_{c}") for c, t in total.items()}
+    mean = {c: F.when(F.col("cluster") == c, None).otherwise(t / size[c]) for c, t in total.items()}
+    a = F.coalesce(*(F.when(F.col("cluster") == c, t / max(1, size[c] - 1)) for c, t in total.items()))
+    b = F.least(*mean.values()) if len(ks) > 1 else F.lit(None)
+    alone = F.col("cluster").isin([c for c in ks if size[c] == 1])
+    score = F.when(alone, 0.0).otherwise((b - a) / F.nullif(F.greatest(a, b), F.lit(0.0)))
+    r = each.agg(F.sum(F.coalesce(score, F.lit(0.0)) * F.col("_n")).alias("s"), F.sum("_n").alias("n")).collect()[0]
+    return float(r.s / r.n)
 
 
 # classification
