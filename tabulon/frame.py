@@ -50,10 +50,14 @@ def numbers(df: DataFrame, *names: str, listwise: bool = True, keep: tuple[str,
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """The frame as computed once, in the folder of spark.checkpoint.dir; where that is unset, in a temporary one."""
+    """The frame as computed once, in the folder of spark.checkpoint.dir; where that is unset, in a temporary one, which only a
+    session on one machine may have."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tabulon-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tabulon-"))
     return df.checkpoint()
 
 

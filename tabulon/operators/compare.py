@@ -73,12 +73,12 @@ def levene(df: DataFrame, value: str, key: str) -> DataFrame:
     """Levene's test about the mean, the median and the 5 % trimmed mean, and about the median with adjusted df."""
     v = numbers(df, value, keep=(key,)).select(F.col(key).alias("g"), F.col(value).alias("v"))
     # a trimmed mean drops 5 % of a group's values at either end: by cumulative counts of distinct values
-    from .describe import ranked_counts
+    from .describe import quantiles, ranked_counts
 
     c = ranked_counts(v, "v", ["g"]).withColumn("_k", F.floor(0.05 * F.col("_n")))
     inside = F.greatest(F.lit(0), F.least("_cum", F.col("_n") - F.col("_k")) - F.greatest(F.col("_cum") - F.col("_c"), F.col("_k")))
     trimmed = c.groupBy("g").agg((F.sum(inside * F.col("v")) / F.sum(inside)).alias("trimmed"))
-    centers = v.groupBy("g").agg(F.avg("v").alias("mean"), F.median("v").alias("median")).join(trimmed, "g")
+    centers = v.groupBy("g").agg(F.avg("v").alias("mean")).join(quantiles(v, "v", (0.5,), ["g"], "type7", ["median"]), "g").join(trimmed, "g")
     d = v.join(centers, "g").select("g", *(F.abs(F.col("v") - F.col(x)).alias(x) for x in ("mean", "median", "trimmed")))
     rows = d.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *(e for x in ("mean", "median", "trimmed") for e in (F.avg(x).alias(f"m_{x}"), F.var_samp(x).alias(f"v_{x}")))).collect()  # a row per group
     kind = "center string, f double, df1 double, df2 double, p double"

@@ -50,6 +50,11 @@ def quantiles(values: DataFrame, col: str, ps: Sequence[float], by: Sequence[str
     return c.groupBy(*by).agg(*parts).select(*by, *out)
 
 
+def points(values: DataFrame, col: str, ps: Sequence[float]) -> list[float | None]:
+    """A column's quantiles (type 7) as numbers, missing where it has no value."""
+    return list(quantiles(values, col, ps, definition="type7", names=[f"p{i}" for i in range(len(ps))]).collect()[0])
+
+
 def moments(c: str) -> list[Column]:
     """Aggregates of one column: n, mean, sd, variance, standard error, G1, G2, their errors, minimum and maximum."""
     n, g1, g2 = F.count(c).cast("double"), F.skewness(c), F.kurtosis(c)
@@ -62,11 +67,11 @@ def moments(c: str) -> list[Column]:
 
 def describe(df: DataFrame, cols: Sequence[str], definition: str = "type6", level: float = 0.95) -> DataFrame:
     """One row per variable, missing values left out variable by variable, with quartiles, a t interval and Jarque-Bera."""
-    out = None
-    for c in cols:
-        v = df.select(num(df, c).alias("v"))
-        row = v.agg(*moments("v")).crossJoin(quantiles(v, "v", (0.25, 0.5, 0.75), definition=definition, names=("q1", "median", "q3"))).withColumn("variable", F.lit(c))  # one row each
-        out = row if out is None else out.unionByName(row)
+    long = df.select(*(num(df, c).alias(c) for c in cols)).unpivot([], list(cols), "variable", "v").where("v IS NOT NULL")
+    names = table(df.sparkSession, [(c,) for c in cols], "variable string")
+    first = names.join(long.groupBy("variable").agg(*moments("v")), "variable", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    out = first.join(quantiles(long, "v", (0.25, 0.5, 0.75), ["variable"], definition, ("q1", "median", "q3")), "variable", "left")
+    out = out.select(*(c for c in out.columns if c != "variable"), "variable")
     t = F.udf(lambda n: t_inv(0.5 + level / 2, n - 1) if n and n > 1 else None, "double")  # a call per variable
     out = out.withColumn("_t", t("n"))
     return out.withColumns({"ci_low": F.col("mean") - F.col("_t") * F.col("sem"), "ci_high": F.col("mean") + F.col("_t") * F.col("sem"), "cv_percent": F.when(F.col("mean") != 0, 100 * F.col("sd") / F.abs("mean")), "jarque_bera_p": F.exp(-F.col("jarque_bera") / 2)}).drop("_t")
@@ -84,11 +89,22 @@ def frequencies(df: DataFrame, col: str) -> DataFrame:
     return c.select("category", "frequency", (100 * F.col("frequency") / F.col("_total")).alias("percent"), (100 * valid / F.col("_valid")).alias("valid_percent"), F.when(F.col("category").isNotNull(), 100 * running / F.col("_valid")).alias("cumulative_percent"))
 
 
+def medians(rows: DataFrame, by: Sequence[str], values: dict[str, str]) -> DataFrame:
+    """A row per group with each value's median under its new name, missing where a group has no value."""
+    out = rows.select(*by).distinct()
+    for v, name in values.items():
+        q = quantiles(rows, v, (0.5,), by, "type7", [name]).withColumnsRenamed({b: f"_{b}" for b in by})
+        out = out.join(q, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by], "left").drop(*(f"_{b}" for b in by))
+    return out
+
+
 def aggregate(df: DataFrame, keys: Sequence[str], values: Sequence[str], stat: str = "mean") -> DataFrame:
     """mean, sum, n, min, max or median of values per group. Rows that miss a key are out; a group without a value
     gives missing, for n as well."""
-    fn = {"mean": F.avg, "sum": F.sum, "n": F.count, "min": F.min, "max": F.max, "median": F.median}[stat]
     rows = _by(df, keys).select(*keys, *(num(df, v).alias(v) for v in values))
+    if stat == "median":
+        return medians(rows, keys, {v: f"{v}_median" for v in values})
+    fn = {"mean": F.avg, "sum": F.sum, "n": F.count, "min": F.min, "max": F.max}[stat]
     return rows.groupBy(*keys).agg(*(F.when(F.count(v) > 0, fn(v)).alias(f"{v}_{stat}") for v in values))
 
 
@@ -96,7 +112,9 @@ def means(df: DataFrame, key: str, values: Sequence[str]) -> DataFrame:
     """n, mean, sd and median of each value per group, and over all ("Total")."""
     rows = _by(df, [key]).select(text(F.col(key)).alias("group"), *(num(df, v).alias(v) for v in values))
     long = rows.unpivot("group", list(values), "variable", "value").where("value IS NOT NULL")
-    return long.groupingSets([["variable", "group"], ["variable"]], "variable", "group").agg(F.grouping("group").alias("_g"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.median("value").alias("median")).select("variable", F.when(F.col("_g") == 1, "Total").otherwise(F.col("group")).alias("group"), "n", "mean", "sd", "median")
+    both = long.withColumn("group", F.explode(F.array("group", F.lit("Total"))))
+    first = both.groupBy("variable", "group").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    return first.join(quantiles(both, "value", (0.5,), ["variable", "group"], "type7", ["median"]), ["variable", "group"]).select("variable", "group", "n", "mean", "sd", "median")
 
 
 def explore(df: DataFrame, key: str, value: str, definition: str = "type6", shapiro: bool = True) -> DataFrame:
@@ -115,7 +133,8 @@ def ratio(df: DataFrame, numerator: str, denominator: str, key: str | None = Non
     and the median. Rows with x of 0 are out."""
     rows = df if key is None else _by(df, [key])
     r = rows.select((text(F.col(key)) if key else F.lit("all")).alias("group"), num(df, numerator).alias("y"), num(df, denominator).alias("x")).dropna().where("abs(x) > 1e-12").withColumn("r", F.col("y") / F.col("x"))
-    first = r.groupBy("group").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.min("r").alias("min"), F.max("r").alias("max"), F.median("r").alias("median"), (F.sum("y") / F.sum("x")).alias("weighted_mean"))
+    first = r.groupBy("group").agg(F.count("r").alias("n"), F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.min("r").alias("min"), F.max("r").alias("max"), (F.sum("y") / F.sum("x")).alias("weighted_mean"))
+    first = first.join(quantiles(r, "r", (0.5,), ["group"], "type7", ["median"]), "group")
     dev = r.join(F.broadcast(first.select("group", F.col("median").alias("m"))) if key is None else first.select("group", F.col("median").alias("m")), "group").groupBy("group").agg(F.avg(F.abs(F.col("r") - F.col("m"))).alias("aad"), F.sqrt(F.sum(F.pow(F.col("r") - F.col("m"), 2)) / (F.count("r") - 1)).alias("_sm"))
     return first.join(dev, "group").select("group", "n", "mean", "sd", "min", "max", "median", "weighted_mean", "aad", (100 * F.col("aad") / F.col("median")).alias("cod"), (F.col("mean") / F.col("weighted_mean")).alias("prd"), (100 * F.col("sd") / F.col("mean")).alias("cov_mean"), (100 * F.col("_sm") / F.col("median")).alias("cov_median"))
 
@@ -143,7 +162,8 @@ def quality(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         scale = measure_of(df, c) == "scale"
         v = df.select(text(F.col(c)).alias("t"), (num(df, c) if scale else F.lit(None).cast("double")).alias("v"))
-        fence = v.agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("v").alias("nv")).select((F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("lo"), (F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("hi"), "nv")
+        q = quantiles(v, "v", (0.25, 0.75), definition="type7", names=("a", "b"))
+        fence = v.agg(F.count("v").alias("nv")).crossJoin(q).select((F.col("a") - 1.5 * (F.col("b") - F.col("a"))).alias("lo"), (F.col("b") + 1.5 * (F.col("b") - F.col("a"))).alias("hi"), "nv")  # one row each
         row = v.crossJoin(F.broadcast(fence)).agg(F.count("t").alias("filled"), F.sum(F.col("t").isNull().cast("long")).alias("blank"), F.count_distinct("t").alias("distinct"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum(((F.col("nv") >= 4) & ((F.col("v") < F.col("lo")) | (F.col("v") > F.col("hi")))).cast("long")).alias("outliers"))
         row = row.select(F.lit(c).alias("variable"), "filled", "blank", (100 * F.col("filled") / (F.col("filled") + F.col("blank"))).alias("percent_filled"), "distinct", "min", "max", F.coalesce("outliers", F.lit(0)).alias("outliers"))
         out = row if out is None else out.unionByName(row)
@@ -183,7 +203,8 @@ def association(df: DataFrame, row: str, col: str) -> DataFrame:
 def custom_table(df: DataFrame, row: str, col: str, value: str | None = None) -> DataFrame:
     """Rows by columns: count, row, column and total percent, and statistics of a value; blank is a category ("")."""
     rows = df.select(F.coalesce(text(F.col(row)), F.lit("")).alias("row"), F.coalesce(text(F.col(col)), F.lit("")).alias("col"), (num(df, value) if value else F.lit(None).cast("double")).alias("v"))
-    c = rows.groupBy("row", "col").agg(F.count(F.lit(1)).alias("count"), F.count("v").alias("valid"), F.avg("v").alias("mean"), F.median("v").alias("median"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum("v").alias("sum"))
+    c = rows.groupBy("row", "col").agg(F.count(F.lit(1)).alias("count"), F.count("v").alias("valid"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum("v").alias("sum"))
+    c = c.join(quantiles(rows, "v", (0.5,), ["row", "col"], "type7", ["median"]), ["row", "col"], "left") if value else c.withColumn("median", F.lit(None).cast("double"))
     pct = lambda *keys: 100 * F.col("count") / F.sum("count").over(Window.partitionBy(*keys))
     return c.withColumns({"row_percent": pct("row"), "col_percent": pct("col"), "total_percent": pct()})
 
@@ -229,7 +250,7 @@ def histogram(df: DataFrame, col: str) -> DataFrame:
 def box(df: DataFrame, col: str, key: str | None = None) -> DataFrame:
     """Box plot figures per group: quartiles, whiskers within the type-7 fences, and how many lie beyond."""
     v = df.select((text(F.col(key)) if key else F.lit("all")).alias("group"), num(df, col).alias("v")).dropna()
-    q = v.groupBy("group").agg(F.percentile("v", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).select("group", *(F.col("q")[i].alias(x) for i, x in enumerate(("q1", "median", "q3"))))
+    q = quantiles(v, "v", (0.25, 0.5, 0.75), ["group"], "type7", ("q1", "median", "q3"))
     j = v.join(q, "group").withColumn("inside", F.col("v").between(F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))))
     return j.groupBy("group", "q1", "median", "q3").agg(F.count("v").alias("n"), F.min(F.when(F.col("inside"), F.col("v"))).alias("low"), F.max(F.when(F.col("inside"), F.col("v"))).alias("high"), F.sum((~F.col("inside")).cast("long")).alias("outliers"))
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..frame import ROW, num, numbers, text, with_row, table
 from ..functions import dist
-from .describe import ranked_counts
+from .describe import points, ranked_counts
 from .running import running_sums
 
 ENUMERATED = 2_000_000
@@ -138,7 +138,7 @@ def mcnemar(df: DataFrame, a: str, b: str) -> DataFrame:
 def runs_test(df: DataFrame, col: str, order: list[str], cut: float | str = "median") -> DataFrame:
     """Runs of values at or above the cut, in row order; a continuity correction below 50 values."""
     v = df.select(num(df, col).alias("v"), *(c for c in order if c != col)).where("v IS NOT NULL")
-    at = cut if not isinstance(cut, str) else v.agg((F.median if cut == "median" else F.avg)("v")).collect()[0][0]
+    at = cut if not isinstance(cut, str) else points(v, "v", (0.5,))[0] if cut == "median" else v.agg(F.avg("v")).collect()[0][0]
     kind = "cut double, n1 long, n0 long, runs long, z double, p double"
     if at is None:
         return one_row(df, kind)
@@ -278,7 +278,7 @@ def _phi(z: np.ndarray) -> np.ndarray:
 def median_test(df: DataFrame, value: str, key: str) -> DataFrame:
     """Chi-square of being above the grand median."""
     v = numbers(df, value, keep=(key,))
-    med = v.agg(F.median(value)).collect()[0][0]
+    med = points(v, value, (0.5,))[0]
     g = v.groupBy(key).agg(F.count_if(F.col(value) > F.lit(med)).alias("a"), F.count_if(F.col(value) <= F.lit(med)).alias("b")).collect() if med is not None else []  # a row per group
     kind = "median double, chi2 double, df long, p double, n long"
     a, b = sum(x.a for x in g), sum(x.b for x in g)

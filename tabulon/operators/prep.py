@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..frame import NOMINAL, ROW, SCALE, blank, measure_of, num, text, unique_name, with_row, table
 from ..functions.dist import norm_inv
 from ..functions.expr import compile_expression
+from .describe import quantiles
 from .running import running_sums
 
 
@@ -46,7 +47,8 @@ def fill(df: DataFrame, col: str, how: str, value: float | None = None, order: S
     first values across blocks, so no task sees all rows."""
     v = num(df, col)
     if how in ("mean", "median"):
-        m = df.select(v.alias("v")).agg((F.avg if how == "mean" else F.median)("v").alias("_m"))
+        m = df.select(v.alias("v"))
+        m = m.agg(F.avg("v").alias("_m")) if how == "mean" else quantiles(m, "v", (0.5,), definition="type7", names=["_m"])
         return df.crossJoin(F.broadcast(m)).withColumn(col, F.coalesce(v, F.col("_m"))).drop("_m")  # one row
     if how == "constant":
         return df.withColumn(col, F.coalesce(v, F.lit(value)))
@@ -98,8 +100,8 @@ def count_duplicates(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def outliers(df: DataFrame, col: str, action: str = "drop") -> DataFrame:
     """Values beyond 1.5 interquartile ranges of the type-7 quartiles: rows dropped, or values clamped. Four values at least."""
     v = num(df, col)
-    f = df.select(v.alias("v")).agg(F.percentile("v", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("v").alias("n"))
-    f = f.select(F.when(F.col("n") >= 4, F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("_lo"), F.when(F.col("n") >= 4, F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).alias("_hi"))
+    f = quantiles(df.select(v.alias("v")), "v", (0.25, 0.75), definition="type7", names=("a", "b")).crossJoin(df.agg(F.count(v).alias("n")))  # one row each
+    f = f.select(F.when(F.col("n") >= 4, F.col("a") - 1.5 * (F.col("b") - F.col("a"))).alias("_lo"), F.when(F.col("n") >= 4, F.col("b") + 1.5 * (F.col("b") - F.col("a"))).alias("_hi"))
     j = df.crossJoin(F.broadcast(f))  # one row
     if action == "drop":
         return j.where(F.coalesce(v.between(F.col("_lo"), F.col("_hi")), F.lit(True))).drop("_lo", "_hi")

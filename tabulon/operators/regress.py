@@ -13,7 +13,7 @@ from ..frame import ROW, numbers, with_row, table
 from ..functions import dist
 from ..functions.linalg import covariance, cross_products, inverse, solve
 from .compare import multivariate_tests
-from .describe import ranked_counts
+from .describe import points, ranked_counts
 from .nonparam import one_row
 from .running import running_sums
 
@@ -323,13 +323,13 @@ def quantile_regression(df: DataFrame, y: str, xs: Sequence[str], taus: Sequence
         z = dist.norm_inv(tau)
         h = n ** (-1 / 3) * dist.norm_inv(0.975) ** (2 / 3) * (1.5 * dist.norm_pdf(z) ** 2 / (2 * z * z + 1)) ** (1 / 3)
         r = F.col(y) - _lin(xs, beta)
-        sd, q = v.agg(F.stddev_samp(r).alias("s"), F.percentile(r, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).collect()[0]
+        sd, q = v.agg(F.stddev_samp(r).alias("s")).collect()[0].s, points(v.select(r.alias("r")), "r", (0.25, 0.75))
         width = max(1e-9, (dist.norm_inv(min(0.999, tau + h)) - dist.norm_inv(max(0.001, tau - h))) * min(sd or 0, (q[1] - q[0]) / 1.34 or sd or 1e-9))
         kernel = F.when(F.abs(r) < width, 0.75 * (1 - F.pow(r / width, 2)) / width).otherwise(0.0)
         a, _ = cross_products(v, [F.lit(1.0), *xs], kernel)
         hinv = inverse(a)
         check = lambda e: F.sum(e * F.when(e >= 0, tau).otherwise(tau - 1))
-        base = v.agg(F.percentile(y, tau)).collect()[0][0]
+        base = points(v, y, (tau,))[0]
         loss = v.agg(check(r).alias("a"), check(F.col(y) - F.lit(base)).alias("b")).collect()[0]
         se = np.sqrt(np.maximum(0, np.diag(tau * (1 - tau) * hinv @ fit[5] @ hinv))) if hinv is not None else np.full(len(beta), np.nan)
         t = _table(df, _names(xs), beta, se, n - len(beta), ", tau double, pseudo_r2 double", ([tau] * len(beta), [1 - loss.a / loss.b if loss.b else None] * len(beta)))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..frame import num, numbers, settled, text, table
 from ..functions import dist
+from .describe import points
 from .levels import Data, grow_levels, leaves, walk
 from .multivar import TooManyRows
 from .nonparam import one_row
@@ -250,7 +251,7 @@ def _binned(df: DataFrame, y: str, xs: Sequence[str], bins: int = 10) -> DataFra
             cols.append(text(F.col(x)).alias(x))
         else:
             v = num(df, x)
-            q = sorted(set(df.select(v.alias("v")).dropna().agg(F.percentile("v", F.array(*(F.lit(i / bins) for i in range(1, bins))))).collect()[0][0] or []))
+            q = sorted({c for c in points(df.select(v.alias("v")), "v", [i / bins for i in range(1, bins)]) if c is not None})
             code = sum((F.when(v > c, 1).otherwise(0) for c in q), F.lit(0))
             cols.append(F.when(v.isNotNull(), F.format_string("%02d", code)).alias(x))
     return df.select(*cols).dropna()
