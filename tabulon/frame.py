@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,18 +50,32 @@ def numbers(df: DataFrame, *names: str, listwise: bool = True, keep: tuple[str,
     return out.dropna() if listwise else out
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The frame as computed once, in the folder of spark.checkpoint.dir; where that is unset, in a temporary one, which only a
+def _shared(spark) -> str:
+    """The session's folder for work that is kept: that of spark.checkpoint.dir; where it is unset, a temporary one, which only a
     session on one machine may have."""
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
         shared = sc.getConf().get("spark.checkpoint.dir")
         if not shared and not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tabulon-"))
+    return sc.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The frame as computed once, by a checkpoint in the session's shared folder."""
+    _shared(df.sparkSession)
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame as computed once, as a table in the session's shared folder. For rounds of joins: a checkpoint keeps the size that
+    its plan was estimated at, which joins multiply, and after some rounds planning is busy with these numbers alone."""
+    place = f"{_shared(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 def with_row(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """A row number _rid from 0 in the given order (all columns after it, so that it is total). Numbers are dealt per sorted
     range of rows and offset by the ranges before, so no task holds all rows. The ranges are checkpointed, as another

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..operators import compare, describe, multivar, nonparam, prep, regress, survival, timeseries, trees
+from ..operators import compare, describe, multivar, nonparam, prep, regress, space, survival, timeseries, trees
 
 
 @dataclass(frozen=True)
@@ -37,7 +37,7 @@ def _analyses() -> list[Analysis]:
         ("campur", "Linear mixed model", r, regress.mixed), ("glmm", "Generalised mixed model", r, regress.glmm), ("chaid", "CHAID", m, trees.chaid), ("c45", "C4.5", m, trees.c45), ("boosting", "Boosting", m, trees.boosting), ("imputasi", "Multiple imputation", s, trees.impute),
         ("cox", "Cox regression", s, survival.cox), ("musiman", "Seasonal decomposition", s, timeseries.decompose), ("holt_winters", "Holt-Winters", s, timeseries.holt_winters), ("korespondensi", "Correspondence analysis", m, multivar.correspondence), ("princals", "Optimal scaling", m, multivar.princals),
         ("klasifikasi", "Discriminant analysis", m, multivar.discriminant), ("knn", "Nearest neighbours", m, multivar.knn), ("twostep", "Two-step clusters", m, multivar.twostep), ("arima", "ARIMA", s, timeseries.arima), ("pakar", "Tournament of orders", s, timeseries.tournament), ("pohon", "CART", m, trees.cart),
-        ("hutan", "Random forest", m, trees.random_forest), ("dbscan", "DBSCAN", m, multivar.dbscan), ("cacah", "Zero-inflated counts", r, regress.zero_inflated), ("cacah_nb", "Negative binomial", r, regress.negative_binomial), ("robust", "Robust regression", r, regress.robust), ("gee", "Marginal models", r, regress.gee),
+        ("hutan", "Random forest", m, trees.random_forest), ("dbscan", "DBSCAN", m, space.dbscan), ("cacah", "Zero-inflated counts", r, regress.zero_inflated), ("cacah_nb", "Negative binomial", r, regress.negative_binomial), ("robust", "Robust regression", r, regress.robust), ("gee", "Marginal models", r, regress.gee),
         ("validasi", "Validation rules", d, prep.validate), ("eksak", "Exact tables", c, nonparam.exact_table), ("sls2", "Two-stage least squares", r, regress.two_stage), ("manova", "Multivariate analysis of variance", c, compare.manova), ("anova_berulang", "Repeated measures", c, compare.anova_repeated),
         ("korelasi_kanonik", "Canonical correlation", r, regress.canonical_correlation), ("custom_tables", "Custom tables", d, describe.custom_table),
     ]
