@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..frame import ROW, numbers, with_row, table
+from ..frame import ROW, numbers, settled, table, with_row
 from ..functions import dist
 from ..functions.linalg import covariance, cross_products, inverse, solve
 from .compare import multivariate_tests
@@ -676,24 +676,39 @@ def _count_model(df, y, xs, negative: bool, inflated: bool) -> DataFrame:
 # groups
 
 
-def _group_products(v: DataFrame, y: Column, xs: Sequence[str], key: str, weight: Column | None = None) -> list:
-    """Per group the products of (1, x, y); a row per group, each as wide as the model."""
+def _group_sums(v: DataFrame, y: Column, xs: Sequence[str], key: str, weight: Column | None = None) -> DataFrame:
+    """Per group its rows n and the products a0_0, a0_1, ... of (1, x, y): a row per group, as wide as the model."""
     c = [F.lit(1.0), *(F.col(x) for x in xs), y]
     w = F.lit(1.0) if weight is None else weight
     k = len(c)
-    g = v.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.sum(w * c[i] * c[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)))
-    return [(r[key], r.n, np.array([[r[f"a{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])) for r in g.collect()]
+    return v.groupBy(key).agg(F.count(F.lit(1)).alias("n"), *(F.sum(w * c[i] * c[j]).alias(f"a{i}_{j}") for i in range(k) for j in range(i, k)))
+
+
+def _square(r, k: int, name: str = "a") -> np.ndarray:
+    return np.array([[r[f"{name}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
+
+
+def _group_products(v: DataFrame, y: Column, xs: Sequence[str], key: str, weight: Column | None = None) -> list:
+    """Per group the products of (1, x, y); a row per group, each as wide as the model."""
+    return [(r[key], r.n, _square(r, len(xs) + 2)) for r in _group_sums(v, y, xs, key, weight).collect()]
+
 
+def _size_terms(groups: DataFrame, k: int) -> list:
+    """Of groups of one size: the size, their number, the sum of their products, and that of the products of their sums. The ratio
+    of variances acts on a group through its size alone, so these give every value of the criterion. Different sizes add up to
+    the number of rows at most, so that n rows have fewer than sqrt(2 n) of them."""
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    by = groups.groupBy("n").agg(F.count(F.lit(1)).alias("c"), *(F.sum(f"a{i}_{j}").alias(f"a{i}_{j}") for i, j in upper), *(F.sum(F.col(f"a0_{i}") * F.col(f"a0_{j}")).alias(f"o{i}_{j}") for i, j in upper))
+    return [(r.n, r.c, _square(r, k), _square(r, k, "o")) for r in by.orderBy("n").collect()]
 
-def _reml(groups: list, k: int, lam: float, reml: bool = True):
+
+def _reml(terms: list, k: int, lam: float, reml: bool = True):
     """Profile criterion, beta, its inverse information and the residual variance for a ratio lam of group to residual variance."""
     a, logs, n = np.zeros((k + 1, k + 1)), 0.0, 0.0
-    for _, _, m in groups:
-        size = m[0, 0]
-        s = lam / (1 + lam * size)
-        a += m - s * np.outer(m[0], m[0])
-        logs += math.log1p(lam * size)
-        n += size
+    for size, many, m, o in terms:
+        a += m - lam / (1 + lam * size) * o
+        logs += many * math.log1p(lam * size)
+        n += many * size
     beta = solve(a[:k, :k], a[:k, k])
     if beta is None:
         return math.inf, None, None, None
@@ -722,21 +737,23 @@ def _golden(f: Callable, low: float, high: float) -> float:
 
 
 def mixed(df: DataFrame, y: str, xs: Sequence[str], key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A random intercept per group by REML: fixed effects, variance components with the ICC, and predicted intercepts."""
-    v = numbers(df, y, *xs, keep=(key,))
-    groups, k = _group_products(v, F.col(y), xs, key), len(xs) + 1
+    """A random intercept per group by REML: fixed effects, variance components with the ICC, and predicted intercepts (a row per
+    group, which stays on the cluster: the driver gets a row per size of group). Rows that miss a value or the group take no
+    part; with fewer than two groups, or no more rows than coefficients and one, the tables are empty."""
+    k = len(xs) + 1
+    groups = settled(_group_sums(numbers(df, y, *xs, keep=(key,)), F.col(y), xs, key))
+    terms = _size_terms(groups, k + 1)
     kinds = ("component string, value double", "group string, n long, effect double")
-    n = sum(g[1] for g in groups)
-    if len(groups) < 2 or n <= k + 1:
+    n, many = sum(t[0] * t[1] for t in terms), sum(t[1] for t in terms)
+    if many < 2 or n <= k + 1:
         return one_row(df, COEF), one_row(df, kinds[0]), one_row(df, kinds[1])
-    t = _golden(lambda t: _reml(groups, k, math.exp(t))[0], -15.0, 10.0)
-    lam = math.exp(t) if _reml(groups, k, math.exp(t))[0] < _reml(groups, k, 0.0)[0] else 0.0
-    _, beta, inv, s2 = _reml(groups, k, lam)
-    b = np.append(beta, -1)
-    effects = [(str(g), int(m), float(lam / (1 + lam * a[0, 0]) * -(a[0] @ b))) for g, m, a in groups]
+    t = _golden(lambda t: _reml(terms, k, math.exp(t))[0], -15.0, 10.0)
+    lam = math.exp(t) if _reml(terms, k, math.exp(t))[0] < _reml(terms, k, 0.0)[0] else 0.0
+    _, beta, inv, s2 = _reml(terms, k, lam)
+    left = F.col(f"a0_{k}") - sum((F.col(f"a0_{i}") * float(beta[i]) for i in range(k)), F.lit(0.0))
+    effects = groups.select(F.col(key).alias("group"), "n", (lam / (1 + lam * F.col("n")) * left).alias("effect"))
     comp = [("group", lam * s2), ("residual", s2), ("icc", lam / (1 + lam))]
-    spark = df.sparkSession
-    return _table(df, _names(xs), beta, np.sqrt(np.diag(inv) * s2), n - k), table(spark, [(a, float(x)) for a, x in comp], kinds[0]), table(spark, effects, kinds[1])
+    return _table(df, _names(xs), beta, np.sqrt(np.diag(inv) * s2), n - k), table(df.sparkSession, [(a, float(x)) for a, x in comp], kinds[0]), effects
 
 
 def glmm(df: DataFrame, y: str, xs: Sequence[str], key: str, family: str = "binomial", most: int = 100, tol: float = 1e-8) -> tuple[DataFrame, DataFrame]:
