@@ -199,7 +199,7 @@ _simple("korespondensi", "orders", lambda t: multivar.correspondence(t, "o_order
 _simple("princals", "orders", lambda t: multivar.princals(t, ["o_orderstatus", "o_orderpriority"])["fit"], None, 5)
 _simple("kmeans", "part", lambda t: multivar.kmeans(t, ["p_size", "p_retailprice"], 3, most=15)[0], None, 4)
 _simple("hierarki", "nation", lambda t: multivar.hierarchical(t, ["n_nationkey", "n_regionkey"])["merges"])
-_simple("dbscan", "supplier", lambda t: space.dbscan(t.withColumn("b", F.col("s_acctbal") / 1000), ["b"], 0.2, 3, "s_suppkey"))
+_simple("dbscan", "supplier", lambda t: space.dbscan(t.withColumn("b", F.col("s_acctbal") / 1000), ["b"], 0.2, 3, "s_suppkey"), "WITH v AS (SELECT s_suppkey::VARCHAR AS id, s_acctbal::DOUBLE / 1000 AS b FROM supplier WHERE s_suppkey IS NOT NULL AND s_acctbal IS NOT NULL), p AS (SELECT x.id, x.b, y.id AS o FROM v x JOIN v y ON (x.b - y.b) * (x.b - y.b) <= 0.2::DOUBLE * 0.2::DOUBLE), c AS (SELECT id, b FROM p GROUP BY 1, 2 HAVING count(*) >= 3), g AS (SELECT id, b, CASE WHEN (b - lag(b) OVER (ORDER BY b)) ^ 2 <= 0.2::DOUBLE * 0.2::DOUBLE THEN 0 ELSE 1 END AS jump FROM c), r AS (SELECT id, sum(jump) OVER (ORDER BY b, id ROWS UNBOUNDED PRECEDING) AS r FROM g), k AS (SELECT r, row_number() OVER (ORDER BY min(id)) AS n FROM r GROUP BY r), n AS (SELECT id, n FROM r JOIN k USING (r)), m AS (SELECT p.id, min(n.n) AS n FROM p JOIN n ON n.id = p.o GROUP BY 1) SELECT v.id AS s_suppkey, coalesce(m.n, -1)::INTEGER AS cluster, v.id IN (SELECT id FROM c) AS core FROM v LEFT JOIN m ON m.id = v.id")
 _simple("twostep", "supplier", lambda t: multivar.twostep(t.withColumn("k", (F.col("s_nationkey") % 3).cast("string")), ["s_acctbal"], ["k"])["bic"], None, 4)
 _simple("twostep_lineitem", "lineitem", lambda t: multivar.twostep(t, ["l_quantity", "l_discount"], ["l_returnflag", "l_linestatus"])["bic"].where("k = 1").select("k", "bic"), "WITH c AS (SELECT l_returnflag AS a, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), d AS (SELECT l_linestatus AS a, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), t AS (SELECT sum(n) AS n FROM c), e AS (SELECT (SELECT sum(-c.n / t.n * ln(c.n / t.n)) FROM c, t) + (SELECT sum(-d.n / t.n * ln(d.n / t.n)) FROM d, t) AS h, n, (SELECT count(*) - 1 FROM c) + (SELECT count(*) - 1 FROM d) + 4 AS free FROM t) SELECT 1 AS k, round(2 * n * (2 * 0.5 * ln(2) + h) + free * ln(n), 3) AS bic FROM e", 3)
 _simple("klasifikasi_lda", "lineitem", lambda t: multivar.confusion(multivar.discriminant(t, ["l_quantity", "l_extendedprice"], "l_returnflag"), "l_returnflag"))
