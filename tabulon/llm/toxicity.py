@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import batched
+from itertools import batched, count, islice, repeat
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, stored
 
 #: Labelled rows that are read to fit the classifier, and features that it keeps, at most.
 SAMPLE, FEATURES = 20_000, 20_000
@@ -23,6 +25,9 @@ SAMPLE, FEATURES = 20_000, 20_000
 LEAST_G2, LEAST_ODDS = 20.0, 1.0
 #: Words whose trigrams are counted at once, and features that a task counts before it sends its sums.
 WORDS_AT_ONCE, FEATURES_HELD = 1 << 16, 250_000
+#: Trigrams that the tasks get whole, at most; of more, as many as three times this of the most frequent pieces (trigrams and
+#: their pairs), and a bit for each of the others among so many.
+SHARED, RARE_BITS = 60_000, 1 << 24
 PREFIXES = (4, 5, 6, 7)
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
@@ -44,6 +49,8 @@ class CharModel:
 
     counts: dict[str, int]
     cost: dict[str, float] = field(default_factory=dict)
+    #: How often a count was asked for that isn't known here.
+    asks: int = 0
 
     def __post_init__(self):
         bi, uni = Counter(), Counter()
@@ -66,6 +73,57 @@ class CharModel:
         return x
 
 
+@dataclass
+class Chars:
+    """Counts of more trigrams than every task should hold. Pieces are trigrams, their last two characters, and their first
+    two with two EDGEs behind. shared: counts of the most frequent pieces; rare: a bit for each of the others, by their
+    hash; last and middle: how many trigrams have a character there; table: all pieces, on the cluster only."""
+
+    shared: dict[str, int]
+    rare: bytes
+    last: dict[str, int]
+    middle: dict[str, int]
+    table: DataFrame | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
+
+
+class PartModel(CharModel):
+    """A CharModel over Chars. What a text asks for of the other pieces is noted in `asked`; its readings count only once it
+    asks for nothing: its pieces then are in `told`, with the exact counts, and a piece that isn't there doesn't occur."""
+
+    def __init__(self, chars: Chars):
+        self.chars, self.cost, self.asks, self.total = chars, {}, 0, sum(chars.last.values()) or 1
+        self.asked: set[str] = set()
+        self.told: dict[str, int] | None = None
+
+    def count(self, piece: str) -> int:
+        if (n := self.chars.shared.get(piece)) is not None:
+            return n
+        if self.told is not None:
+            return self.told.get(piece, 0)
+        at = zlib.crc32(piece.encode("utf-8", "surrogatepass")) % RARE_BITS
+        if self.chars.rare[at >> 3] >> (at & 7) & 1:
+            self.asked.add(piece)
+            self.asks += 1
+        return 0
+
+    def __call__(self, key: str) -> float:
+        if (x := self.cost.get(key)) is None:
+            before = self.asks
+            p1 = (self.chars.last.get(key[2], 0) + 0.1) / (self.total + 100)
+            p2 = (self.count(key[1:]) + 2 * p1) / (self.chars.middle.get(key[1], 0) + 2)
+            x = -math.log((self.count(key) + 2 * p2) / (self.count(key[:2] + 2 * EDGE) + 2))
+            if self.asks == before:
+                self.cost[key] = x
+        return x
+
+
+def char_model(chars: dict[str, int] | Chars) -> CharModel:
+    return PartModel(chars) if isinstance(chars, Chars) else CharModel(chars)
+
+
 @lru_cache(maxsize=1 << 16)
 def arcs_of(c: str, n: int, breaks: bool) -> tuple[tuple[str, float], ...]:
     """What a run of n (3: or more) of one character may stand for ("" for nothing) and the cost: letters stand for
@@ -157,8 +215,9 @@ class Restorer:
         for t in tokens:
             w = kept.get(t)
             if w is None:
+                before = self.model.asks
                 w = self.signed(t)
-                if len(kept) < most:
+                if len(kept) < most and self.model.asks == before:
                     kept[t] = w
             words.update(w.split())
         words |= self.spaced(low)
@@ -189,9 +248,10 @@ def _trigrams(bare: Sequence[tuple[str, int]]) -> dict[str, int]:
     return {chr(k >> 42) + chr(k >> 21 & 0x1FFFFF) + chr(k & 0x1FFFFF): n for k, n in zip(key.tolist(), count.tolist())}
 
 
-def char_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
-    """Character trigrams of the letters-only words of all texts. Each task sends its sums; trigrams of rare characters
-    are folded at the end: the 60,000 most frequent are kept, which bounds what the driver holds."""
+def char_counts(docs: DataFrame, text_col: str = "text", shared: int | None = None) -> dict[str, int] | Chars:
+    """Character trigrams of the letters-only words of all texts, none left out; each task sends its sums. Up to `shared`
+    (SHARED) of them come whole, of more their most frequent pieces and the table of all of them."""
+    shared = SHARED if shared is None else shared
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         grams: Counter = Counter()
@@ -203,13 +263,61 @@ def char_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
             grams.update(trigrams(words))
         yield pd.DataFrame({"gram": list(grams), "n": list(grams.values())}).astype({"gram": "object", "n": "int64"})
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {r.gram: r.n for r in rows.orderBy(F.desc("n"), "gram").limit(60_000).collect()}
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "gram string, n long")
+    grams = stored(rows.groupBy("gram").agg(F.sum("n").alias("n")), "trigrams")
+    found = grams.limit(shared + 1).collect()
+    if len(found) <= shared:
+        return {r.gram: r.n for r in sorted(found)}
+    part = lambda of: grams.groupBy(of.alias("piece")).agg(F.sum("n").alias("n"))
+    of = lambda a, n: F.substring("gram", a, n)
+    table = stored(grams.toDF("piece", "n").union(part(of(2, 2))).union(part(F.concat(of(1, 2), F.lit(2 * EDGE)))), "pieces")
+    most = table.orderBy(F.desc("n"), "piece").limit(3 * shared).collect()
+    rest = table.where((F.col("n") < most[-1].n) | (F.col("n") == most[-1].n) & (F.col("piece") > most[-1].piece))
+    rest = rest.select((F.crc32("piece") % RARE_BITS).alias("at")).select(F.floor(F.col("at") / 32768).cast("int").alias("b"), (F.col("at") % 32768).alias("at"))
+    rare = bytearray(RARE_BITS >> 3)
+    for r in rest.groupBy("b").agg(F.bitmap_construct_agg("at").alias("bits")).collect():
+        rare[r.b << 12 : r.b + 1 << 12] = r.bits
+    one = lambda a: {r.piece: r.n for r in part(of(a, 1)).collect()}
+    return Chars({r.piece: r.n for r in most}, bytes(rare), one(3), one(2), table)
+
+
+def told(asked: DataFrame, chars: Chars) -> DataFrame:
+    """Rows of a table, numbered by r, with the exact counts of the pieces in `asked`: pieces, counts (null: none occurs)."""
+    found = asked.select("r", F.explode("asked").alias("piece")).join(chars.table, "piece").groupBy("r").agg(F.collect_list(F.struct("piece", "n")).alias("told"))
+    return asked.drop("asked").join(found, "r", "left").withColumns({"pieces": F.col("told.piece"), "counts": F.col("told.n")}).drop("told")
+
+
+def _numbers() -> Iterator[int]:
+    return count(TaskContext.get().partitionId() << 40)
+
+
+def _counts(frame: pd.DataFrame) -> Iterator[dict[str, int] | None]:
+    """For each row, the counts that it was told; None where the tasks hold all counts."""
+    if "pieces" not in frame:
+        return repeat(None, len(frame))
+    return ({} if p is None else dict(zip(p, map(int, n))) for p, n in zip(frame.pieces, frame["counts"]))
+
+
+def _asking(rows: DataFrame, chars: Chars) -> DataFrame:
+    """Rows (text, y, part) with the counts that their texts need."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r, number = Restorer(char_model(chars)), _numbers()
+        for frame in frames:
+            asked = []
+            for text in frame.text:
+                r.model.asked.clear()
+                r.texts_words(text)
+                asked.append(sorted(r.model.asked))
+            yield frame.assign(asked=asked, r=[*islice(number, len(frame))])
+
+    asked = rows.select("text", "y", "part").mapInPandas(run, "text string, y int, part long, asked array<string>, r long")
+    return told(stored(asked, "asked"), chars).select("text", "y", "part", "pieces", "counts")
 
 
 @dataclass
 class Model:
-    chars: dict[str, int]
+    chars: dict[str, int] | Chars
     weights: dict[str, float]
     beta: tuple[float, float, float]
 
@@ -234,30 +342,33 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarra
     return beta
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE, features: int = FEATURES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", label_col: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, shared: int | None = None) -> Model:
     """Character counts of all texts; word weights from labelled rows for which `training` holds, at most `sample` of
     them, those of the smallest hash of their identifier. Three in four choose the features and weights; the rest set
     how weights become a probability, so chance features don't look better than they are."""
-    chars = char_counts(docs)
+    chars = char_counts(docs, shared=shared)
     chosen = labels.where(training & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "id").withColumn("part", F.pmod(F.xxhash64("id", F.lit(5)), F.lit(4)))
+    columns = ["text", "y"]
+    if isinstance(chars, Chars):
+        rows, columns = _asking(rows, chars), ["text", "y", "pieces", "counts"]
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r, seen = Restorer(CharModel(chars)), (Counter(), Counter())
+    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        r, seen = Restorer(char_model(chars)), (Counter(), Counter())
 
         def sums() -> pd.DataFrame:
             keys = [*seen[0].keys() | seen[1].keys()]
             return pd.DataFrame({"f": keys, "clean": [seen[0][k] for k in keys], "toxic": [seen[1][k] for k in keys]}).astype({"f": "object", "clean": "int64", "toxic": "int64"})
 
         for frame in frames:
-            for text, y in zip(frame.text, frame.y):
+            for text, y, r.model.told in zip(frame.text, frame.y, _counts(frame)):
                 seen[y].update({f for w in r.texts_words(text) for f in word_features(w)} | {""})
                 if len(seen[0]) + len(seen[1]) > FEATURES_HELD:
                     yield sums()
                     seen[0].clear(), seen[1].clear()
         yield sums()
 
-    counted = rows.where("part > 0").select("text", "y").mapInPandas(count, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = rows.where("part > 0").select(*columns).mapInPandas(add, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = counted.where("f = ''").collect()
     n0, n1 = (total[0].clean, total[0].toxic) if total else (0, 0)
     if not n0 or not n1:  # one class or none: every text gets the share of that class
@@ -271,11 +382,11 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
     weights = {r.f: r.w for r in kept.orderBy(F.desc("g2"), "f").limit(features).collect()}
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        r = Restorer(CharModel(chars))
+        r = Restorer(char_model(chars))
         for frame in frames:
-            yield pd.DataFrame([(y, *_stats(r.texts_words(t), weights)) for t, y in zip(frame.text, frame.y)], columns=["y", "s", "m"]).astype({"y": "int32", "s": "float64", "m": "float64"})
+            yield pd.DataFrame([(y, *_stats(r.texts_words(t), weights)) for t, y, r.model.told in zip(frame.text, frame.y, _counts(frame))], columns=["y", "s", "m"]).astype({"y": "int32", "s": "float64", "m": "float64"})
 
-    held = rows.where("part = 0").select("text", "y").mapInPandas(measure, "y int, s double, m double").toPandas()
+    held = rows.where("part = 0").select(*columns).mapInPandas(measure, "y int, s double, m double").toPandas()
     if held.y.nunique() < 2:
         return Model(chars, weights, (-3.0, 1.0, 0.5))
     return Model(chars, weights, tuple(_fit_logistic(held[["s", "m"]].to_numpy(), held.y.to_numpy())))
@@ -285,7 +396,7 @@ class Scorer:
     """Scores of texts under a model. Tokens that were restored before are kept, up to `most` of them, then afresh."""
 
     def __init__(self, model: Model, most: int = 400_000):
-        self.restorer, self.weights, self.beta, self.most = Restorer(CharModel(model.chars)), model.weights, model.beta, most
+        self.restorer, self.weights, self.beta, self.most = Restorer(char_model(model.chars)), model.weights, model.beta, most
         self.seen: set[str] = set()
         self.weighty: dict[str, list[tuple[str, float]]] = {}
 
@@ -300,9 +411,13 @@ class Scorer:
         tokens = set(low.split())
         if len(self.seen) + len(tokens) > self.most:
             self.seen, self.weighty = set(), {}
-        new = tokens - self.seen
-        for t in new:
-            if hit := self.weight(self.restorer.signed(t).split()):
+        new, model = tokens - self.seen, self.restorer.model
+        for t in [*new]:
+            before = model.asks
+            hit = self.weight(self.restorer.signed(t).split())
+            if model.asks > before:
+                new.discard(t)
+            elif hit:
                 self.weighty[t] = hit
         self.seen |= new
         for t in tokens.intersection(self.weighty) if len(self.weighty) < len(tokens) else (t for t in tokens if t in self.weighty):
@@ -318,7 +433,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     A null or empty text has no words and gets the score of a text without any weighted word; a repeated row gets the
     same score again; an empty table gives an empty result; other columns of docs play no part. The model that goes to the
-    tasks has a bounded number of features and trigrams."""
+    tasks has a bounded number of features and trigrams; a text that needs the counts of others gets them by a join, and is
+    scored then."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -326,5 +442,25 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for frame in frames:
             yield pd.DataFrame({"id": frame.id, "score": [scorer(x) for x in frame.text]}).astype({"score": "float64"})
 
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer, number = Scorer(shared.value), _numbers()
+        asked = scorer.restorer.model.asked
+        for frame in frames:
+            out = []
+            for text in frame.text:
+                asked.clear()
+                x = scorer(text)
+                out.append((None, text, sorted(asked)) if asked else (x, None, None))
+            yield pd.DataFrame(out, columns=["score", "text", "asked"]).assign(id=frame.id.to_numpy(), r=[*islice(number, len(frame))]).astype({"score": "float64"})
+
+    def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
+        for frame in frames:
+            yield pd.DataFrame({"id": frame.id, "score": [scorer(x) for x, scorer.restorer.model.told in zip(frame.text, _counts(frame))]}).astype({"score": "float64"})
+
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return map_rows(rows, run, "id {id}, score double").withColumnRenamed("id", id_col)
+    if not isinstance(model.chars, Chars):
+        return map_rows(rows, run, "id {id}, score double").withColumnRenamed("id", id_col)
+    first = stored(map_rows(rows, ask, "id {id}, score double, text string, asked array<string>, r long"), "scored")
+    more = map_rows(told(first.where("asked IS NOT NULL").drop("score"), model.chars), answer, "id {id}, score double")
+    return first.where("asked IS NULL").select("id", "score").union(more).withColumnRenamed("id", id_col)

@@ -537,3 +537,32 @@ def test_scorer_starts_afresh_without_other_scores():
     got = [whole(x) for x in said]
     assert got == [small(x) for x in said] == [whole(x) for x in said]
     assert got[0] == got[1] > 0.5 > got[3] == got[4] == got[5] and got[6] > got[0]
+
+
+def test_toxicity_knows_every_trigram(spark):
+    """Trigrams beyond those that every task gets count as well: readings and scores are those of a table of all of them."""
+    r = random.Random(5)
+    letters = [chr(c) for c in range(0xAC00, 0xAC00 + 400)]
+    words = ["".join(r.sample(letters, 4)) for _ in range(25_000)]
+    rows = [(i, " ".join(words[i * 100 : i * 100 + 100])) for i in range(250)]
+    doubled = [w[0] + w[1] * 2 + w[2:] for w in words[::50]] + [w[:2] + "." + w[2:] for w in words[25::50]]
+    rows += [(1000 + i, f"{t} the") for i, t in enumerate(doubled)] + [(None, " ".join(words[0])), (None, None), (5000, "the " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    grams = toxicity.trigrams(collections.Counter(t for _, x in rows for t in (x or "").split()))
+    assert len(grams) > 60_000
+    chars = toxicity.char_counts(docs)
+    weights = {w: 1.0 + i % 7 for i, w in enumerate(words[::25])}
+    plain = toxicity.Scorer(toxicity.Model(grams, weights, (-3.0, 1.0, 0.5)))
+    want = sorted((str(i), plain(t)) for i, t in rows)
+    assert sorted((str(x.doc_id), x.score) for x in toxicity.score(docs, toxicity.Model(chars, weights, (-3.0, 1.0, 0.5))).collect()) == want
+    assert len({s for _, s in want}) > 5
+
+
+def test_toxicity_fits_the_same_with_few_shared_trigrams(spark):
+    rows = [(i, f"{'some' if i % 2 else 'nice'} text {i % 13} {'1d10t' if i % 3 == 0 else 'peoople'} w.o.r.d l e t t e r s") for i in range(240)] + [(900, "idiot people letters " * 30)]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    found = []
+    for shared in (60_000, 8):
+        m = toxicity.fit(docs, lab, F.lit(True), shared=shared)
+        found.append((m.weights, m.beta, dict(tuple(x) for x in toxicity.score(docs, m).collect())))
+    assert found[0][0] == found[1][0] != {} and found[0][1] == pytest.approx(found[1][1]) and found[0][2] == pytest.approx(found[1][2])
