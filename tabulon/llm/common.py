@@ -121,23 +121,25 @@ def placed_words(data: np.ndarray, starts: np.ndarray, seed: int = 1) -> tuple[n
     """As words_of(), with each word's place and length in bytes.
 
     A word's hash sums its bytes times powers of an odd multiplier, which needs no loop over words."""
-    data = np.frombuffer(LOWER_BYTES, np.uint8)[data]
-    space = SPACE[data]
-    edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
-    begin, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    end = end[-len(begin):] if len(begin) else end[:0]
+    data = np.frombuffer(data.tobytes().translate(LOWER_BYTES), np.uint8)
+    space = np.flatnonzero(SPACE.take(data, mode="clip"))  # the last byte is one
+    run = np.diff(space, prepend=-1)  # a word, if any, with the space behind it
+    some = run > 1
+    end = space[some]
+    length = run[some] - 1
+    begin = end - length
     first = np.searchsorted(begin, starts)
     if not len(begin):
         return np.zeros(0, np.uint64), first, begin, end
-    length = end - begin
     place = np.arange(int(length.max()), dtype=np.uint64)
     powers = mix64(place * _M1 + np.uint64(seed)) | np.uint64(1)
     table = mix64(np.arange(256, dtype=np.uint64) + np.uint64(seed * 1000 + 7))
     table[SPACE] = 0
-    from_ = np.zeros(len(data), np.int32)
-    from_[begin] = np.diff(begin, prepend=0)
-    offset = np.minimum(np.arange(len(data), dtype=np.int32) - np.cumsum(from_, dtype=np.int32), len(place) - 1)
-    total = np.add.reduceat(table[data] * powers[offset], begin)
+    offset = np.arange(len(data), dtype=np.int32)
+    offset -= np.repeat((space - run + 1).astype(np.int32), run)
+    value = powers.take(offset, mode="clip")
+    value *= table.take(data, mode="clip")
+    total = np.add.reduceat(value, begin)
     return mix64(total + length.astype(np.uint64) * _M1), first, begin, length
 
 

@@ -31,6 +31,11 @@ RATE, BINS, BELIEF, SMOOTH = 0.02, 24, 30.0, 0.4
 END = mix64(np.array([0xE0D], _U))[0]
 
 
+def taken(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """table[at] for places that are all inside, which needs no look at each of them."""
+    return table.take(at, mode="clip")
+
+
 class Mixing:
     """Bit predictors over tables of counts, mixed in the logistic domain by weights that a gate selects, and refined by
     what came of such predictions before. All that is learned adds up: tables, refinements, and weights times their use.
@@ -58,27 +63,42 @@ class Mixing:
     def inputs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Stretched probabilities of slots, and how many bits their numbers of events have (up to 15)."""
         if self.frozen is not None:
-            x = self.frozen[slots]
+            x = taken(self.frozen, slots)
             return x, x.view(np.int32) & 15
-        n = self.counts.view(_U)[slots]
-        zero, one = (n & _U(0xFFFFFFFF)).astype(np.float32), (n >> _U(32)).astype(np.float32)
+        n = taken(self.counts.view(_U), slots).view(np.uint32).reshape(*slots.shape, 2)
+        zero, one = n[..., 0].astype(np.float32), n[..., 1].astype(np.float32)
         sure = ((zero + one + np.float32(1)).view(np.int32) >> 23) - 127
-        return np.log((one + np.float32(SMOOTH)) / (zero + np.float32(SMOOTH))), np.minimum(sure, 15)
+        one += np.float32(SMOOTH)
+        zero += np.float32(SMOOTH)
+        one /= zero
+        return np.log(one, out=one), np.minimum(sure, 15, out=sure)
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The mixed probability of a 1, and the bin by which it is refined."""
-        z = x[0] * self.weights[:, 0][gate]
+        weights = np.ascontiguousarray(self.weights.T)
+        z = taken(weights[0], gate)
+        z *= x[0]
         for k in range(1, len(x)):
-            z += x[k] * self.weights[:, k][gate]
-        z = np.clip(z, np.float32(-12), np.float32(12))
-        place = gate * BINS + ((z + np.float32(12)) * np.float32((BINS - 1) / 24) + np.float32(0.5)).astype(np.int64)
-        return 1 / (1 + np.exp(-z)), place
+            w = taken(weights[k], gate)
+            w *= x[k]
+            z += w
+        z = np.clip(z, np.float32(-12), np.float32(12), out=z)
+        place = ((z + np.float32(12)) * np.float32((BINS - 1) / 24) + np.float32(0.5)).astype(np.int64)
+        place += gate * BINS
+        p = np.exp(np.negative(z, out=z), out=z)
+        p += 1
+        return np.divide(np.float32(1), p, out=p), place
 
     def cost(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Nats of the bits, by the mean of the mixed and the refined probability."""
         p, place = self.mixed(x, gate)
-        p = np.float32(0.5) * (p + (self.ones[place] + np.float32(BELIEF) * p) / self.all[place])
-        return -np.log(np.where(bit == 1, p, 1 - p))
+        refined = p * np.float32(BELIEF)
+        refined += taken(self.ones, place)
+        refined /= taken(self.all, place)
+        p += refined
+        p *= np.float32(0.5)
+        p = np.where(bit == 1, p, 1 - p)
+        return np.negative(np.log(p, out=p), out=p)
 
     def learn(self, slots: np.ndarray, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
         p, place = self.mixed(x, gate)
@@ -89,7 +109,9 @@ class Mixing:
         np.clip(self.weights, -1, 2, out=self.weights)
         self.used += many
         self.bins += np.bincount(place * 2 + bit, minlength=self.bins.size).reshape(-1, 2)
-        np.add.at(self.counts, (slots * 2 + bit).ravel(), np.uint32(1))
+        at = slots * 2
+        at += bit
+        np.add.at(self.counts, at.ravel(), np.uint32(1))
 
     def sent(self) -> pd.DataFrame:
         """What was learned, in PARTS rows of counts (as they are, or as places and counts where most are 0) and one of the rest."""
@@ -174,13 +196,17 @@ class Speller:
         whole = total - own - np.repeat(np.append(_U(0), total[begin[1:] - 1]), length)
         byte_context = [back[0], back[0] | back[1] << _U(8), back[0] | back[1] << _U(8) | back[2] << _U(16), whole]
         node = np.stack([(data | _U(256)) >> _U(8 - j) for j in range(8)], 1)  # the byte's bits so far, after a one
+        spread = node * _ODD1
         slots = np.empty((len(SPELL_BITS), len(data) * 8), np.int64)
         for k, bits in enumerate(SPELL_BITS):
             if k == 0:
                 slots[k] = ((byte_context[0] << _U(8))[:, None] + node).astype(np.int64).ravel()
             else:
-                h = (mix64(byte_context[k] * _U(8) + _U(k))[:, None] + node * _ODD1) * _ODD2
-                slots[k] = (h >> _U(64 - bits)).astype(np.int64).ravel() + self.offsets[k]
+                h = slots[k].view(_U).reshape(-1, 8)
+                np.add(mix64(byte_context[k] * _U(8) + _U(k))[:, None], spread, out=h)
+                h *= _ODD2
+                h >>= _U(64 - bits)
+                slots[k] += self.offsets[k]
         bit = ((data[:, None] >> np.arange(7, -1, -1, dtype=_U)) & _U(1)).astype(np.int64).ravel()
         return np.repeat(of, 8), slots, bit
 
@@ -236,6 +262,7 @@ class Code:
             bits += [y for _, y in reversed(path)]
         self.first = np.cumsum(self.length) - self.length
         self.nodes, self.bits = np.array(nodes, np.int32), np.array(bits, np.int8)
+        self.steps = self.nodes << 1 | self.bits  # both in one look-up
 
     def symbols(self, keys: np.ndarray, is_end: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.words, keys)
@@ -297,13 +324,21 @@ class Coder:
         begin = np.cumsum(n) - n
         at = np.repeat(self.code.first[symbol] - begin, n)
         at += np.arange(len(at))
-        node = self.code.nodes[at].astype(np.int64)
+        node = taken(self.code.steps, at).astype(np.int64)
+        bit = node & 1
+        node >>= 1
+        of = np.repeat(np.arange(b - a), n)
         slots = np.empty((3, len(at)), np.int64)
-        slots[0] = node * SCRIPTS + np.repeat(t.script[a:b], n)
-        spread = node.astype(_U) * _ODD1
+        np.multiply(node, SCRIPTS, out=slots[0])
+        slots[0] += taken(t.script[a:b], of)
+        spread = node.view(_U) * _ODD1
         for k, bits in enumerate(self.table_bits):
-            slots[k + 1] = (((np.repeat(t.contexts[k][a:b], n) + spread) * _ODD2) >> _U(64 - bits)).astype(np.int64) + self.offsets[k + 1]
-        return begin, slots, self.code.static[node], self.code.bits[at].astype(np.int64)
+            h = slots[k + 1].view(_U)
+            np.add(taken(t.contexts[k][a:b], of), spread, out=h)
+            h *= _ODD2
+            h >>= _U(64 - bits)
+            slots[k + 1] += self.offsets[k + 1]
+        return begin, slots, taken(self.code.static, node), bit
 
     def _seen(self, slots: np.ndarray, static: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, sure = self.mixing.inputs(slots)
