@@ -27,6 +27,8 @@ WORD_BITS = (21, 21)
 SPELL_BITS = (16, 18, 18, 19)
 #: Words beyond this many bytes are spelled in pieces of so many; tokens and words of one step of learning; parts of a table.
 LONGEST, STEP, PARTS = 40, 4096, 64
+#: Leading bits of a word's hash by which it is looked up.
+LEADING = 18
 RATE, BINS, BELIEF, SMOOTH = 0.02, 24, 30.0, 0.4
 END = mix64(np.array([0xE0D], _U))[0]
 
@@ -61,7 +63,7 @@ class Mixing:
         self.counts = np.zeros(0, np.uint32)
 
     def inputs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched probabilities of slots, and how many bits their numbers of events have (up to 15)."""
+        """Stretched probabilities of slots, and how many bits their numbers of events have (up to 15, once frozen)."""
         if self.frozen is not None:
             x = taken(self.frozen, slots)
             return x, x.view(np.int32) & 15
@@ -71,7 +73,7 @@ class Mixing:
         one += np.float32(SMOOTH)
         zero += np.float32(SMOOTH)
         one /= zero
-        return np.log(one, out=one), np.minimum(sure, 15, out=sure)
+        return np.log(one, out=one), sure
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The mixed probability of a 1, and the bin by which it is refined."""
@@ -236,6 +238,9 @@ class Code:
     def __init__(self, words: np.ndarray, counts: np.ndarray, end: int, rest: int):
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
+        # hashes are even: where those with the same leading bits begin, and how many these are at most
+        self.begin = np.searchsorted(self.words, np.arange(1 << LEADING, dtype=_U) << _U(64 - LEADING)).astype(np.int32)
+        self.deepest = int(np.diff(self.begin, append=len(words)).max())
         self.end, self.rest = len(words), len(words) + 1
         weight = np.append(self.counts, [end, rest]).astype(np.int64)
         n = len(weight)
@@ -265,8 +270,12 @@ class Code:
         self.steps = self.nodes << 1 | self.bits  # both in one look-up
 
     def symbols(self, keys: np.ndarray, is_end: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.words, keys)
-        known = np.zeros(len(keys), bool) if not len(self.words) else self.words[np.minimum(at, len(self.words) - 1)] == keys
+        if not len(self.words):
+            return np.where(is_end, self.end, self.rest)
+        at = taken(self.begin, (keys >> _U(64 - LEADING)).view(np.int64))
+        for _ in range(self.deepest):
+            at += taken(self.words, at) < keys
+        known = taken(self.words, at) == keys
         return np.where(is_end, self.end, np.where(known, at, self.rest))
 
 
@@ -381,7 +390,8 @@ def word_counts(texts: DataFrame, held: int = 1_000_000) -> DataFrame:
         if found:
             yield merged(found)
 
-    return texts.select("text").mapInPandas(run, "w long, c long, s binary").groupBy("w").agg(F.sum("c").alias("c"), F.min("s").alias("s"))
+    # a task's words differ already: they are sorted once, where they meet
+    return texts.select("text").mapInPandas(run, "w long, c long, s binary").repartition("w").groupBy("w").agg(F.sum("c").alias("c"), F.min("s").alias("s"))
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", coded: int = CODED) -> DataFrame:
@@ -476,9 +486,9 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
             yield pd.DataFrame({"r": frame["r"], "n": 0, "base": -log_all * frame["m"], "score": frame["m"] * (cost + math.log10(fresh))})
 
     others, sums_of = judged.where("w IS NOT NULL"), "r long, n long, base double, score double"
-    told = others.join(counts.select("w", "c"), "w").select("r", F.col("m").alias("n"), (F.col("m") * (F.log10(F.col("c") + 1) - log_all)).alias("base"), (F.col("m") * (F.log10("c") + (math.log10((1 - fresh) / rest) if rest else 0.0))).alias("score"))
+    told = others.join(counts.select("w", "c").hint("shuffle_hash"), "w").select("r", F.col("m").alias("n"), (F.col("m") * (F.log10(F.col("c") + 1) - log_all)).alias("base"), (F.col("m") * (F.log10("c") + (math.log10((1 - fresh) / rest) if rest else 0.0))).alias("score"))
     # words of training texts are all known
-    new = others.where("s IS NOT NULL").join(counts.select("w"), "w", "left_anti").select("r", "m", "s").mapInPandas(spell, sums_of)
+    new = others.where("s IS NOT NULL").join(counts.select("w").hint("shuffle_hash"), "w", "left_anti").select("r", "m", "s").mapInPandas(spell, sums_of)
     more = told.union(new).groupBy("r").agg(F.sum("n").alias("n"), F.sum("base").alias("b"), F.sum("score").alias("p"))
     whole = judged.where("w IS NULL").select("r", "id", "n_tokens", "n_known", "base", "score", "bytes").join(more, "r", "left")
     plus = lambda c, x: F.col(c) + F.coalesce(F.col(x), F.lit(0))

@@ -566,3 +566,14 @@ def test_toxicity_fits_the_same_with_few_shared_trigrams(spark):
         m = toxicity.fit(docs, lab, F.lit(True), shared=shared)
         found.append((m.weights, m.beta, dict(tuple(x) for x in toxicity.score(docs, m).collect())))
     assert found[0][0] == found[1][0] != {} and found[0][1] == pytest.approx(found[1][1]) and found[0][2] == pytest.approx(found[1][2])
+
+
+def test_lm_looks_up_words_as_a_search_does():
+    r = np.random.default_rng(3)
+    crowd = (np.uint64(0xFFFFFFFFFFFF0000) + np.arange(9, dtype=np.uint64)) * np.uint64(1)  # the last leading bits, many alike
+    for words in (r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), crowd, np.array([0, 5], np.uint64), np.zeros(0, np.uint64)):
+        code = lm.Code(words, np.full(len(words), 3), 9, 1)
+        keys = np.concatenate([words, words + np.uint64(1), words - np.uint64(1), np.array([0, 1, 2**64 - 1], np.uint64)])
+        known = {int(w): i for i, w in enumerate(sorted(words))}
+        assert code.symbols(keys, np.zeros(len(keys), bool)).tolist() == [known.get(int(k), code.rest) for k in keys]
+        assert set(code.symbols(keys, np.ones(len(keys), bool)).tolist()) == {code.end}
