@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -56,6 +57,37 @@ def map_rows(rows: DataFrame, run, kind: str, ids: tuple[str, ...] = ("id",)) ->
     return out.withColumns({c: F.col(c).cast(t) for c, t in whole.items()})
 
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, make: Callable):
+    """What make() gives, kept in this process for later tasks: one thing at a time, until let_go()."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Ends what this process keeps for tasks of other operators, and gives freed memory back to the system."""
+    _KEPT.clear()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def lean(run: Callable) -> Callable:
+    """A function for mapInPandas as a task that lets go of others' memory when it begins, and of its own when it ends."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go()
+        yield from run(frames)
+        let_go()
+
+    return task
+
+
 def exact(values) -> pd.api.extensions.ExtensionArray:
     """Whole numbers and None as a column of 64-bit integers, none of them by way of a double."""
     return pd.array(list(values), dtype="Int64")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -13,7 +12,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import kept, map_rows
 
 CAPACITY, OPEN_BINS, PIECES_PER_TASK = 4096, 1024, 250_000
 CACHED = 400_000
@@ -114,9 +113,8 @@ class Tokens:
         return b"".join(map(kept.__getitem__, words))
 
 
-@lru_cache(maxsize=2)
 def tokens(path: str) -> Tokens:
-    return Tokens(path)
+    return kept(("tokens", path), lambda: Tokens(path))
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

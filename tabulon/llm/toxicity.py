@@ -17,14 +17,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored
+from .common import lean, map_rows, stored
 
 #: Labelled rows that are read to fit the classifier, and features that it keeps, at most.
 SAMPLE, FEATURES = 20_000, 20_000
 #: Least evidence (a likelihood-ratio statistic) and least log odds of a feature.
 LEAST_G2, LEAST_ODDS = 20.0, 1.0
-#: Words whose trigrams are counted at once, and features that a task counts before it sends its sums.
-WORDS_AT_ONCE, FEATURES_HELD = 1 << 16, 250_000
+#: Words whose trigrams are counted at once, words whose counts a task holds, and features that it counts before it sends its sums.
+WORDS_AT_ONCE, WORDS_HELD, FEATURES_HELD = 1 << 16, 1 << 17, 250_000
 #: Trigrams that the tasks get whole, at most; of more, as many as three times this of the most frequent pieces (trigrams and
 #: their pairs), and a bit for each of the others among so many.
 SHARED, RARE_BITS = 60_000, 1 << 24
@@ -260,10 +260,13 @@ def char_counts(docs: DataFrame, text_col: str = "text", shared: int | None = No
             for text in frame.text:
                 if text:
                     words.update(text.lower().split())
+                if len(words) > WORDS_HELD:
+                    grams.update(trigrams(words))
+                    words.clear()
             grams.update(trigrams(words))
         yield pd.DataFrame({"gram": list(grams), "n": list(grams.values())}).astype({"gram": "object", "n": "int64"})
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(run, "gram string, n long")
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(lean(run), "gram string, n long")
     grams = stored(rows.groupBy("gram").agg(F.sum("n").alias("n")), "trigrams")
     found = grams.limit(shared + 1).collect()
     if len(found) <= shared:
@@ -311,7 +314,7 @@ def _asking(rows: DataFrame, chars: Chars) -> DataFrame:
                 asked.append(sorted(r.model.asked))
             yield frame.assign(asked=asked, r=[*islice(number, len(frame))])
 
-    asked = rows.select("text", "y", "part").mapInPandas(run, "text string, y int, part long, asked array<string>, r long")
+    asked = rows.select("text", "y", "part").mapInPandas(lean(run), "text string, y int, part long, asked array<string>, r long")
     return told(stored(asked, "asked"), chars).select("text", "y", "part", "pieces", "counts")
 
 
@@ -368,7 +371,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
                     seen[0].clear(), seen[1].clear()
         yield sums()
 
-    counted = rows.where("part > 0").select(*columns).mapInPandas(add, "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    counted = rows.where("part > 0").select(*columns).mapInPandas(lean(add), "f string, clean long, toxic long").groupBy("f").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = counted.where("f = ''").collect()
     n0, n1 = (total[0].clean, total[0].toxic) if total else (0, 0)
     if not n0 or not n1:  # one class or none: every text gets the share of that class
@@ -386,7 +389,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc
         for frame in frames:
             yield pd.DataFrame([(y, *_stats(r.texts_words(t), weights)) for t, y, r.model.told in zip(frame.text, frame.y, _counts(frame))], columns=["y", "s", "m"]).astype({"y": "int32", "s": "float64", "m": "float64"})
 
-    held = rows.where("part = 0").select(*columns).mapInPandas(measure, "y int, s double, m double").toPandas()
+    held = rows.where("part = 0").select(*columns).mapInPandas(lean(measure), "y int, s double, m double").toPandas()
     if held.y.nunique() < 2:
         return Model(chars, weights, (-3.0, 1.0, 0.5))
     return Model(chars, weights, tuple(_fit_logistic(held[["s", "m"]].to_numpy(), held.y.to_numpy())))
@@ -460,7 +463,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     if not isinstance(model.chars, Chars):
-        return map_rows(rows, run, "id {id}, score double").withColumnRenamed("id", id_col)
-    first = stored(map_rows(rows, ask, "id {id}, score double, text string, asked array<string>, r long"), "scored")
-    more = map_rows(told(first.where("asked IS NOT NULL").drop("score"), model.chars), answer, "id {id}, score double")
+        return map_rows(rows, lean(run), "id {id}, score double").withColumnRenamed("id", id_col)
+    first = stored(map_rows(rows, lean(ask), "id {id}, score double, text string, asked array<string>, r long"), "scored")
+    more = map_rows(told(first.where("asked IS NOT NULL").drop("score"), model.chars), lean(answer), "id {id}, score double")
     return first.where("asked IS NULL").select("id", "score").union(more).withColumnRenamed("id", id_col)

@@ -43,3 +43,18 @@ def test_stages(spark, place):
 
 def test_run(spark, place):
     assert corpus_pipeline.run(spark, place).count() > 40
+
+
+def test_toxicity_does_not_pay_for_the_packing_before_it(spark, place):
+    """What packing keeps in a worker (a library's tables and the words so far) ends when a task of toxicity begins there."""
+    import public_tokenizers
+    from tabulon.llm import common, packing
+
+    def before(frames):
+        packing.tokens(public_tokenizers.path("word_bpe_49k.json")).ids("some words")
+        common_kept = len(common._KEPT)
+        for frame in common.lean(lambda x: x)(frames):
+            yield frame.assign(n=common_kept * 10 + len(common._KEPT))
+
+    docs = spark.read.parquet(f"{place}/documents.parquet").select("text")
+    assert {r.n for r in docs.mapInPandas(before, "text string, n long").collect()} == {10}
