@@ -8,11 +8,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, joined, map_rows, mix64, parts_of, placed_words, stored
+from .common import LOWER_BYTES, SPACE, hashed_words, joined, mix64, parts_of, stored
 
 _U = np.uint64
 _ODD1, _ODD2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9)
@@ -59,17 +60,20 @@ class Mixing:
         logs = np.log(n + np.float32(SMOOTH), dtype=np.float32)
         sure = np.minimum(np.log2(n.sum(1, dtype=np.float32) + 1), 15).astype(np.int32)
         self.frozen = (((logs[:, 1] - logs[:, 0]).view(np.int32) & ~np.int32(15)) | sure).view(np.float32)
-        self.ones, self.all = self.bins[:, 1].astype(np.float32), self.bins.sum(1).astype(np.float32) + np.float32(BELIEF)
+        # the mean of p and the refined (ones + BELIEF p) / (all + BELIEF), as p times one number plus another
+        half = 0.5 / (self.bins.sum(1) + BELIEF)
+        self.times, self.plus = (0.5 + BELIEF * half).astype(np.float32), (self.bins[:, 1] * half).astype(np.float32)
         self.counts = np.zeros(0, np.uint32)
 
-    def inputs(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Stretched probabilities of slots, and how many bits their numbers of events have (up to 15, once frozen)."""
+    def inputs(self, slots: np.ndarray, gating: int) -> tuple[np.ndarray, np.ndarray]:
+        """Stretched probabilities of slots, and how many bits the numbers of events of the rows from `gating` on have (up to
+        15, once frozen)."""
         if self.frozen is not None:
             x = taken(self.frozen, slots)
-            return x, x.view(np.int32) & 15
+            return x, x[gating:].view(np.int32) & 15
         n = taken(self.counts.view(_U), slots).view(np.uint32).reshape(*slots.shape, 2)
         zero, one = n[..., 0].astype(np.float32), n[..., 1].astype(np.float32)
-        sure = ((zero + one + np.float32(1)).view(np.int32) >> 23) - 127
+        sure = ((zero[gating:] + one[gating:] + np.float32(1)).view(np.int32) >> 23) - 127
         one += np.float32(SMOOTH)
         zero += np.float32(SMOOTH)
         one /= zero
@@ -94,12 +98,10 @@ class Mixing:
     def cost(self, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> np.ndarray:
         """Nats of the bits, by the mean of the mixed and the refined probability."""
         p, place = self.mixed(x, gate)
-        refined = p * np.float32(BELIEF)
-        refined += taken(self.ones, place)
-        refined /= taken(self.all, place)
-        p += refined
-        p *= np.float32(0.5)
-        p = np.where(bit == 1, p, 1 - p)
+        p *= taken(self.times, place)
+        p += taken(self.plus, place)
+        p -= (bit ^ 1).astype(np.float32)
+        np.abs(p, out=p)
         return np.negative(np.log(p, out=p), out=p)
 
     def learn(self, slots: np.ndarray, x: np.ndarray, gate: np.ndarray, bit: np.ndarray) -> None:
@@ -213,7 +215,7 @@ class Speller:
         return np.repeat(of, 8), slots, bit
 
     def _seen(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x, sure = self.mixing.inputs(slots)
+        x, sure = self.mixing.inputs(slots, len(SPELL_BITS) - 1)
         return x, np.tile(np.arange(8), slots.shape[1] // 8) * 5 + np.minimum(sure[-1], 4)
 
     def learn(self, words: list[bytes]) -> None:
@@ -283,9 +285,10 @@ class Tokens:
     """The tokens of some texts: each text's words, as hashes, and one end."""
 
     def __init__(self, texts: list[str]):
-        self.data, starts = joined(texts)
+        data, starts = joined(texts)
+        self.data = np.frombuffer(data.tobytes().translate(LOWER_BYTES), np.uint8)
         self.size = np.diff(starts) - 1
-        word, first, self.begin, self.bytes = placed_words(self.data, starts)
+        word, first, self.begin, self.bytes = hashed_words(self.data, starts)
         n = np.diff(first)
         self.length = n + 1
         self.key = np.full(len(word) + len(n), END)
@@ -310,10 +313,12 @@ class Tokens:
         self.script = np.searchsorted(SHARES, (total[here] - total[back]) / np.maximum(1, here - back))
         return self
 
-    def spelled(self, which: np.ndarray) -> list[bytes]:
-        """The lower-cased bytes of the words of these numbers."""
-        raw = self.data.tobytes().translate(LOWER_BYTES)
-        return [raw[a : a + n] for a, n in zip(self.begin[which].tolist(), self.bytes[which].tolist())]
+    def spelled(self, which: np.ndarray | pa.Array) -> pa.Array:
+        """The lower-cased bytes of the words of these numbers; null where a number is."""
+        letters = self.data[~SPACE.take(self.data, mode="clip")]
+        ends = np.append(0, np.cumsum(self.bytes)).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(self.bytes), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+        return words.take(pa.array(which))
 
 
 class Coder:
@@ -336,22 +341,21 @@ class Coder:
         node = taken(self.code.steps, at).astype(np.int64)
         bit = node & 1
         node >>= 1
-        of = np.repeat(np.arange(b - a), n)
         slots = np.empty((3, len(at)), np.int64)
         np.multiply(node, SCRIPTS, out=slots[0])
-        slots[0] += taken(t.script[a:b], of)
+        slots[0] += np.repeat(t.script[a:b], n)
         spread = node.view(_U) * _ODD1
         for k, bits in enumerate(self.table_bits):
             h = slots[k + 1].view(_U)
-            np.add(taken(t.contexts[k][a:b], of), spread, out=h)
+            np.add(np.repeat(t.contexts[k][a:b], n), spread, out=h)
             h *= _ODD2
             h >>= _U(64 - bits)
             slots[k + 1] += self.offsets[k + 1]
         return begin, slots, taken(self.code.static, node), bit
 
     def _seen(self, slots: np.ndarray, static: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x, sure = self.mixing.inputs(slots)
-        return [static, *x], (np.minimum(sure[1], 10) >> 1) * 4 + (np.minimum(sure[2], 6) >> 1)
+        x, sure = self.mixing.inputs(slots, 1)
+        return [static, *x], ((np.minimum(sure[0], 10) >> 1) * 4 + (np.minimum(sure[1], 6) >> 1)).astype(np.int64)
 
     def learn(self, t: Tokens) -> None:
         symbols = self.code.symbols(t.key, t.is_end)
@@ -371,19 +375,24 @@ class Coder:
 def word_counts(texts: DataFrame, held: int = 1_000_000) -> DataFrame:
     """w (a word's 64-bit hash), c (its count), s (its bytes, lower-cased) of the column `text`. Tasks add up what they hold."""
 
-    def merged(found: list[tuple]) -> pd.DataFrame:
-        key, count, spelled = (np.concatenate(x) for x in zip(*found))
-        distinct, first, of = np.unique(key, return_index=True, return_inverse=True)
-        return pd.DataFrame({"w": distinct.view(np.int64), "c": np.bincount(of, count).astype(np.int64), "s": spelled[first]})
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merged(found: list[tuple]) -> pa.RecordBatch:
+        keys, counts, spelled = zip(*found)
+        key = np.concatenate(keys)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        total = np.add.reduceat(np.concatenate(counts)[order], start) if len(key) else key
+        words = pa.concat_arrays(spelled).take(pa.array(order[start]))
+        return pa.record_batch([pa.array(key[start].view(np.int64)), pa.array(total.astype(np.int64)), words], ["w", "c", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: list[tuple] = []
-        for frame in frames:
-            texts = frame["text"].tolist()
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
             for a, b in parts_of(texts, PART):
                 t = Tokens(texts[a:b])
                 key, first, count = np.unique(t.key[t.at], return_index=True, return_counts=True)
-                found.append((key, count, np.array(t.spelled(first), object)))
+                found.append((key, count, t.spelled(first)))
                 if sum(len(x[0]) for x in found) > held:
                     yield merged(found)
                     found = []
@@ -391,7 +400,7 @@ def word_counts(texts: DataFrame, held: int = 1_000_000) -> DataFrame:
             yield merged(found)
 
     # a task's words differ already: they are sorted once, where they meet
-    return texts.select("text").mapInPandas(run, "w long, c long, s binary").repartition("w").groupBy("w").agg(F.sum("c").alias("c"), F.min("s").alias("s"))
+    return texts.select("text").mapInArrow(run, "w long, c long, s binary").repartition("w").groupBy("w").agg(F.sum("c").alias("c"), F.min("s").alias("s"))
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", coded: int = CODED) -> DataFrame:
@@ -447,12 +456,17 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
     shared_coder, shared_speller = spark.sparkContext.broadcast(coder), spark.sparkContext.broadcast(speller)
     log_all = math.log10(tokens + types + 1)
 
-    def judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = f"r long, id {rows.schema['id'].dataType.simpleString()}, n_tokens long, n_known long, base double, score double, bytes long, w long, m long, s binary"
+    names = ["r", "id", "n_tokens", "n_known", "base", "score", "bytes", "w", "m", "s"]
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c: Coder = shared_coder.value
         number = TaskContext.get().partitionId() << 40
         base_of = np.append(np.log10(c.code.counts + 1.0), [math.log10(ends + 1), 0.0]) - log_all
-        for frame in frames:
-            texts, train = frame["text"].tolist(), frame["train"].to_numpy(bool)
+        none = lambda n, *kinds: [pa.nulls(n, k) for k in kinds]
+        whole, real = pa.int64(), pa.float64()
+        for batch in batches:
+            texts, train = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for a, b in parts_of(texts, PART):
                 t = Tokens(texts[a:b]).look_back()
                 symbol = c.code.symbols(t.key, t.is_end)
@@ -461,8 +475,10 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 told = here & ~(t.is_end & (ends == 0))
                 part = np.arange(number, number + b - a)
                 number += b - a
-                add = lambda x: np.add.reduceat(x, t.head)
-                yield pd.DataFrame({"r": part, "id": frame["id"].iloc[a:b].to_numpy(), "n_tokens": t.length, "n_known": add(told.astype(np.int64)), "base": add(base), "score": -add(c.costs(t, symbol)) / math.log(10), "bytes": t.size, "w": None, "m": None, "s": None}).astype({"id": frame["id"].dtype})
+                add = lambda x: pa.array(np.add.reduceat(x, t.head))
+                score = np.add.reduceat(c.costs(t, symbol), t.head) / -math.log(10)
+                ids = batch.column(0).slice(a, b - a)
+                yield pa.record_batch([pa.array(part), ids, pa.array(t.length), add(told.astype(np.int64)), add(base), pa.array(score), pa.array(t.size), *none(b - a, whole, whole, pa.binary())], names)
                 other = np.flatnonzero(~here)
                 if not len(other):
                     continue
@@ -471,13 +487,11 @@ def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: s
                 other, doc = other[order], doc[order]
                 start = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (t.key[other[1:]] != t.key[other[:-1]])))
                 many = np.diff(np.append(start, len(other)))
-                word = np.searchsorted(t.at, other[start])
-                spelled = np.full(len(start), None, object)
-                new = np.flatnonzero(~train[a:b][doc[start]])
-                spelled[new] = t.spelled(word[new])
-                yield pd.DataFrame({"r": part[doc[start]], "id": None, "n_tokens": None, "n_known": None, "base": None, "score": None, "bytes": None, "w": t.key[other[start]].view(np.int64), "m": many, "s": spelled})
+                word, doc = np.searchsorted(t.at, other[start]), doc[start]
+                spelled = t.spelled(pa.array(word, mask=train[a:b][doc]))  # words of training texts are known
+                yield pa.record_batch([pa.array(part[doc]), *none(len(doc), ids.type, whole, whole, real, real, whole), pa.array(t.key[other[start]].view(np.int64)), pa.array(many), spelled], names)
 
-    judged = stored(map_rows(rows, judge, "r long, id {id}, n_tokens long, n_known long, base double, score double, bytes long, w long, m long, s binary"), "scored")
+    judged = stored(rows.mapInArrow(judge, kind), "scored")
 
     def spell(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         s = shared_speller.value

@@ -577,3 +577,19 @@ def test_lm_looks_up_words_as_a_search_does():
         known = {int(w): i for i, w in enumerate(sorted(words))}
         assert code.symbols(keys, np.zeros(len(keys), bool)).tolist() == [known.get(int(k), code.rest) for k in keys]
         assert set(code.symbols(keys, np.ones(len(keys), bool)).tolist()) == {code.end}
+
+
+def test_words_hashed_by_eights():
+    import pyarrow as pa
+
+    from tabulon.llm.common import WORD, hashed_words
+
+    some = ["", "a", "a\x00", "\x00a", "abcdefgh", "abcdefgh\x00", "abcdefghabcdefgi", "abcdefgiabcdefgh", "x" * 1000, "x" * 999 + "y", " \t\x0b a\x85b  é Éé ", "B b", "ﬁn\x1fz"]
+    t = lm.Tokens(some)
+    words = [w for x in some for w in WORD.findall(x.encode().translate(lm.LOWER_BYTES))]
+    assert t.spelled(np.arange(len(words))).to_pylist() == words
+    assert t.spelled(pa.array([1, None, 0])).to_pylist() == [words[1], None, words[0]]
+    hashes = hashed_words(t.data, np.append(0, np.cumsum([len(x.encode()) + 1 for x in some])))[0]
+    of = dict(zip(words, hashes.tolist()))
+    assert [of[w] for w in words] == hashes.tolist() == t.key[t.at].tolist() and len(set(of.values())) == len(of)
+    assert [int(lm.Tokens([w.decode()]).key[0]) for w in of] == list(of.values())
