@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -12,12 +16,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .alignment import byte_level
 from .common import kept, map_rows
 
 CAPACITY, OPEN_BINS, PIECES_PER_TASK = 4096, 1024, 250_000
 CACHED = 400_000
-#: Marks that end words.
-ENDS = ".,;:!?"
 
 
 class OpenBins:
@@ -60,44 +63,116 @@ class OpenBins:
 PLAIN = re.compile("[\x09-\x0d\x20-\x7e¡-ÿĀ-įı-ňŊ-ſ]*")
 
 
+LETTERS, NUMBERS = ("".join(re.escape(c) for c in map(chr, range(33, 384)) if PLAIN.fullmatch(c) and unicodedata.category(c)[0] == k) for k in "LN")
+#: How the files that Ranks takes prepare a text, and the same cut for words of PLAIN.
+PREPARED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+CUT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\s{LETTERS}{NUMBERS}]+")
+SUFFIX = "</w>"
+
+
+class Ranks:
+    """Packed ids of pre-tokens by the ranks of a file's merges, many at once. A symbol that ends a pre-token is another than
+    the same one inside, so it is written as another character: A to Z for a to z, else one further up.
+
+    Both merge alike if merges make tokens in the order of their ids, each by one merge, and every token alone becomes
+    itself: no token crosses the span of a pair that is about to merge, so the span looks as it does alone."""
+
+    def __init__(self, symbols: list[str], merges: list[tuple[int, int]]):
+        import tiktoken
+
+        self.ends = {c: c.upper() if "a" <= c <= "z" else chr(0x200 + ord(c)) for c in byte_level()}
+        inner = lambda c: chr(0x500 + ord(c)) if "A" <= c <= "Z" else c
+        written = [self.ends[x[0]] if x.endswith(SUFFIX) else inner(x) for x in symbols]
+        for a, b in merges:
+            written.append(written[a] + written[b])
+        # bytes come first, then the symbols of two bytes, then the merges
+        rank, self.id_of, self.is_end = {bytes([b]): b for b in range(256)}, np.zeros(256 + len(written), "<u4"), np.zeros(256 + len(written), bool)
+        last = frozenset(self.ends.values())
+        for i, x in enumerate(written):
+            r = rank.setdefault(x.encode(), 256 + i)
+            self.id_of[r], self.is_end[r] = i, x[-1] in last
+        stop = "".join(sorted(last))
+        self.coder = tiktoken.Encoding("words", pat_str=f"[^{stop}]*[{stop}]", mergeable_ranks=rank, special_tokens={})
+        self.of_byte = {b: c for c, b in byte_level().items()}
+
+    @classmethod
+    def of_file(cls, path: str) -> Ranks | None:
+        """None for a file that prepares texts in another way, or whose merges are not in the order of ids."""
+        made = json.loads(Path(path).read_text())
+        model = made["model"]
+        told = [model.get(k) for k in ("type", "dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")]
+        if {k: made.get(k) for k in PREPARED} != PREPARED or made.get("post_processor") or told != ["BPE", None, None, SUFFIX, False, False]:
+            return None
+        vocab, pairs = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        symbols = [x for x, _ in sorted(vocab.items(), key=lambda x: x[1])[:512]]
+        first = len(symbols) == 512 and set(symbols) == {c + e for c in byte_level() for e in ("", SUFFIX)}
+        if not first or [vocab.get(a + b) for a, b in pairs] != list(range(512, 512 + len(pairs))) or len(vocab) != 512 + len(pairs):
+            return None
+        return cls(symbols, [(vocab[a], vocab[b]) for a, b in pairs])
+
+    def packed(self, parts: list[str]) -> list[bytes]:
+        """Each pre-token's ids."""
+        ends, written = self.ends, []
+        for x in parts:
+            if not x.isascii():
+                x = x.encode().decode("latin-1").translate(self.of_byte)
+            written.append(x[:-1] + ends[x[-1]])
+        got = self.coder.encode_to_numpy("".join(written), disallowed_special=())
+        raw = self.id_of.take(got).tobytes()
+        cut = (4 * (np.flatnonzero(self.is_end.take(got)) + 1)).tolist()
+        return [raw[a:b] for a, b in zip([0, *cut], cut)]
+
+
 class Tokens:
     """Ids of whole texts by a tokenizers file whose pre-tokens never cross white space. So words between white space
     are encoded once and kept; texts beyond plain Latin letters, and those with a special token's string, go to the
-    library whole. A word of the letters a to z, or its part before ENDS, goes straight to the library's model, if the
-    file's pre-tokens keep such letters together and apart from ENDS."""
+    library whole. New words are cut into pre-tokens, which go through the file's ranks, if it has such."""
 
     def __init__(self, path: str):
+        self.path, self.ranks = path, Ranks.of_file(path)
+        self.kept: dict[str, bytes] = {}
+
+    @cached_property
+    def library(self):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.model = self.library.model
-        self.packed = [i.to_bytes(4, "little") for i in range(self.library.get_vocab_size())]
-        self.kept: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {"": b""}
-        pre = self.library.pre_tokenizer
-        self.apart = pre is not None and [x for x, _ in pre.pre_tokenize_str("az" + ENDS)] == ["az", ENDS]
+        library = Tokenizer.from_file(self.path)
+        library.encode_special_tokens = True
+        return library
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _encoded(self, words: list[str]) -> dict[str, bytes]:
-        """Lower-cased words' packed ids; those that the model can't take as they are by one call of the library."""
-        out, others, packed, model, ends = {}, [], self.packed, self.model, self.ends
+    def _encoded(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Packed ids of different lower-cased words, and of their pre-tokens."""
+        if self.ranks is None:
+            words = list(words)
+            got = self.library.encode(words, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(got.ids, "<u4")
+            cut = np.searchsorted(np.array(got.word_ids), np.arange(len(words) + 1))
+            return {w: ids[a:b].tobytes() for w, a, b in zip(words, cut, cut[1:])}
+        kept, parts, several = self.kept, {}, []
         for w in words:
-            head = w.rstrip(ENDS)
-            end = w[len(head) :]
-            if not (self.apart and len(end) < 4 and head.isascii() and head.isalpha()):
-                others.append(w)
+            if w.isalpha():
+                parts[w] = None
                 continue
-            if end not in ends:
-                ends[end] = self._whole(end)
-            out[w] = b"".join([packed[t.id] for t in model.tokenize(head)]) + ends[end]
-        if others:
-            got = self.library.encode(others, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(got.ids, "<u4")
-            cut = np.searchsorted(np.array(got.word_ids), np.arange(len(others) + 1))
-            out.update((w, ids[a:b].tobytes()) for w, a, b in zip(others, cut, cut[1:]))
+            cut = CUT.findall(w)
+            several.append((w, cut))
+            for x in cut:
+                if x not in kept:
+                    parts[x] = None
+        out = dict(zip(parts, self.ranks.packed(list(parts)))) if parts else {}
+        for w, cut in several:
+            out[w] = b"".join([out[x] if x in out else kept[x] for x in cut])
         return out
 
     def ids(self, text: str | None) -> bytes:
@@ -105,12 +180,13 @@ class Tokens:
         if "<|" in text or not PLAIN.fullmatch(text):
             return self._whole(text)
         words, kept = text.lower().split(), self.kept
-        if new := [w for w in dict.fromkeys(words) if w not in kept]:
-            found = self._encoded(new)
-            if len(kept) >= CACHED:
-                return b"".join([kept.get(w) or found.get(w, b"") for w in words])
-            kept.update(found)
-        return b"".join(map(kept.__getitem__, words))
+        got = list(map(kept.get, words))
+        if new := [w for w, x in zip(words, got) if x is None]:
+            found = self._encoded(dict.fromkeys(new))
+            got = [found[w] if x is None else x for w, x in zip(words, got)]
+            if len(kept) < CACHED:
+                kept.update(found)
+        return b"".join(got)
 
 
 def tokens(path: str) -> Tokens:

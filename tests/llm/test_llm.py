@@ -593,3 +593,26 @@ def test_words_hashed_by_eights():
     of = dict(zip(words, hashes.tolist()))
     assert [of[w] for w in words] == hashes.tolist() == t.key[t.at].tolist() and len(set(of.values())) == len(of)
     assert [int(lm.Tokens([w.decode()]).key[0]) for w in of] == list(of.values())
+
+
+def test_words_by_ranks():
+    import json
+    import unicodedata
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(WORDS)
+    mine, made = packing.Tokens(WORDS), json.loads(Path(WORDS).read_text())
+    # every token alone becomes itself, by the file and by the ranks
+    vocab, of_byte = made["model"]["vocab"], {b: c for c, b in packing.byte_level().items()}
+    assert all([t.id for t in lib.model.tokenize(x[:-4])] == [i] for x, i in vocab.items() if x.endswith("</w>"))
+    r, letters = random.Random(4), [c for c in map(chr, range(33, 384)) if packing.PLAIN.fullmatch(c) and c == c.lower()]
+    words = [x[:-4] for x in vocab if x.endswith("</w>") and x[:-4].isascii()] + ["".join(r.choices(letters, k=r.randint(1, 12))) for _ in range(4000)]
+    words += ["".join(r.choices("'srtvemld.,!é²ºªµ1", k=r.randint(1, 9))) for _ in range(4000)] + ["a" * 3000, "&&&", "it's,", "x²", "ß" * 99]
+    words = [w for w in dict.fromkeys(w.lower() for w in words) if "<|" not in w and unicodedata.is_normalized("NFC", w)]
+    assert all(mine.ids(w) == np.array(lib.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words)
+    assert mine.ranks is not None and "library" not in vars(mine) and of_byte[0x20] == "Ġ"  # none of them needed the library
+    again = packing.Tokens(WORDS)
+    again.ranks = None
+    assert all(again.ids(w) == mine.ids(w) for w in words[::20])
