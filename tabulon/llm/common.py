@@ -20,6 +20,8 @@ LOWER_BYTES = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Spark's setting by which a query's shuffle files are removed at its end.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 #: The first n bytes of eight.
@@ -43,10 +45,16 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, block: int | None = None) -> DataFrame:
-    """The frame written to the shared folder and read back: its lineage ends there and lost executors cost nothing. Of rows
-    with large cells, a writer holds about `block` bytes, if that is given."""
-    path = work_path(df.sparkSession, name)
-    (df.write.option("parquet.block.size", block) if block else df.write).parquet(path)
+    """The frame written to the shared folder and read back: its lineage ends there and lost executors cost nothing. The write's
+    shuffle files go when it ends, not when the driver next collects its garbage, which can be after an operator's last step. Of
+    rows with large cells, a writer holds about `block` bytes, if that is given."""
+    path, conf = work_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(TIDY, None)
+    conf.set(TIDY, "true")
+    try:
+        (df.write.option("parquet.block.size", block) if block else df.write).parquet(path)
+    finally:
+        conf.unset(TIDY) if before is None else conf.set(TIDY, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -106,6 +114,17 @@ def from_planes(packed, kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
+def gaps(values: np.ndarray) -> bytes:
+    """Sorted 64-bit numbers that are not negative as planes() of their steps, of which the upper ones are mostly zeros."""
+    return planes(np.diff(values, prepend=values.dtype.type(0)))
+
+
+def from_gaps(packed, kind) -> np.ndarray:
+    """The numbers of several gaps(), one after the other."""
+    parts = [np.cumsum(from_planes([x], kind), dtype=kind) for x in packed]
+    return np.concatenate(parts) if parts else np.zeros(0, kind)
+
+
 def groups_of(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Frames of a partition that is sorted by `keys`, as one frame for each group."""
     held: list[pd.DataFrame] = []

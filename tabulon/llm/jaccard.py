@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import exact, from_planes, groups_of, map_rows, mix64, parts_of, planes, shingles_of, stored
+from .common import exact, from_gaps, from_planes, gaps, groups_of, map_rows, mix64, parts_of, planes, shingles_of, stored
 from .components import components
 
 _U = np.uint64
@@ -18,6 +18,9 @@ _U = np.uint64
 LEAF, BLOCK, ROWS, CHUNK, KEYS = 32, 1_000_000, 512, 8 << 20, 2_000_000
 #: Parts of a partition, of which a key leaves one out; dealings that are tried before single shingles are keys.
 SUBPARTS, SEEDS = 3, 4
+#: Bits of a shingle's hash that chunks send to learn which shingles are in several sets: at least, and beyond those that
+#: number the shingles. A chance match only lets a set stay that could have been done with.
+BITS, SPARE = 40, 9
 
 
 class RTree:
@@ -271,7 +274,7 @@ def _by_bucket(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, int, int]]
 
 def common_shingles(frame: pd.DataFrame) -> pd.DataFrame:
     """Which of the shingles that chunks sent to a bucket are in two sets or more: as bits, to each chunk in its order."""
-    keys = from_planes(frame["k"], _U)
+    keys = from_gaps(frame["k"], _U)
     size = [len(x) // 8 for x in frame["k"]]
     several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(frame["mask"], size)]).astype(bool)
     order = np.argsort(keys, kind="stable")
@@ -311,6 +314,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).collect()[0].n or 0
     chunks = max(1, -(-size // chunk_bytes))
     buckets = max(1, int((sums.s or 0) * 0.5) // KEYS + 1)
+    short = _U(64 - min(64, max(BITS, int(sums.s or 0).bit_length() + SPARE)))
 
     def in_chunk(of: str):
         return F.pmod(F.xxhash64(of), F.lit(chunks)).cast("int").alias("chunk")
@@ -323,7 +327,7 @@ def jaccard_join(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100, id_
         _, values, _ = _sets_of(left, right, k)
         keys, count = np.unique(values, return_counts=True)
         chunk = int(right["chunk"].iloc[0]) if len(right) else 0
-        out = [(b, chunk, planes(keys[x:y]), np.packbits(count[x:y] > 1).tobytes()) for b, x, y in _by_bucket(keys, chunks)]
+        out = [(b, chunk, gaps(keys[x:y] >> short), np.packbits(count[x:y] > 1).tobytes()) for b, x, y in _by_bucket(keys, chunks)]
         return pd.DataFrame(out, columns=["bucket", "chunk", "k", "mask"])
 
     def deal(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
