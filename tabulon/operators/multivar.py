@@ -1,6 +1,6 @@
 """Multivariate analysis: reliability, factors, correspondence, optimal scaling, clusters, classification.
 
-Matrices of the variables' size come from one aggregation. Methods over all pairs of rows take `max_rows` and refuse more."""
+Matrices of the variables' size come from one aggregation. Hierarchical clusters, over all pairs of rows, take `max_rows` and refuse more."""
 
 from __future__ import annotations
 
@@ -10,12 +10,13 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frame import numbers, settled, table, text
+from ..frame import ROW, numbers, settled, stored, table, text, with_row
 from ..functions import dist
 from ..functions.linalg import covariance, inverse
+from .nearest import nearest
 from .nonparam import one_row
 from .running import running_sums
 
@@ -524,32 +525,28 @@ def discriminant(df: DataFrame, cols: Sequence[str], key: str, quadratic: bool =
     return v.withColumn("predicted", best["g"])
 
 
-def knn(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, leave_one_out: bool = True, max_rows: int = 20_000) -> DataFrame:
-    """The rows with the class of most of their k nearest; ties of distance and votes go to the first. Rows are compared
-    in blocks with all of a bounded table."""
-    v = _bounded(numbers(df, *cols, keep=(key,)), max_rows).orderBy(*cols, key)
-    table = v.toPandas()
-    x, y = table[list(cols)].to_numpy(float), table[key].to_numpy()
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast((x, y))  # at most max_rows rows
-    ids = spark.range(0, len(x), 1, max(1, len(x) // 500))
-    kind = ", ".join(f"`{c}` double" for c in cols) + f", `{key}` string, predicted string"
-
-    def run(frames):
-        pts, lab = shared.value
-        for f in frames:
-            i = f["id"].to_numpy()
-            d = ((pts[i][:, None] - pts[None]) ** 2).sum(2)
-            if leave_one_out:
-                d[np.arange(len(i)), i] = np.inf
-            near = np.argsort(d, 1, kind="stable")[:, :k]
-            out = []
-            for row in near:
-                names, first, many = np.unique(lab[row], return_index=True, return_counts=True)
-                out.append(names[np.lexsort((first, -many))[0]])
-            yield pd.DataFrame(pts[i], columns=list(cols)).assign(**{key: lab[i], "predicted": out})
-
-    return ids.mapInPandas(run, kind)
+def knn(df: DataFrame, cols: Sequence[str], key: str, k: int = 5, leave_one_out: bool = True, max_rows: int | None = None) -> DataFrame:
+    """The rows with the class of most of their k nearest; ties of distance go to the first in the order of the columns and the
+    class, ties of votes to the class of the nearest. A row alone has no class.
+
+    Points are compared once, however many rows share one: of a point's classes in their order no more than the first k + 1 can
+    be asked for. Any number of rows, unless max_rows is given, which refuses more."""
+    v = numbers(df, *cols, keep=(key,))
+    v = v if max_rows is None else _bounded(v, max_rows)
+    x, most = [f"x{i}" for i in range(len(cols))], k + bool(leave_one_out)
+    v = v.toDF(*x, "y")
+    each = v.groupBy(*x, "y").agg(F.count(F.lit(1)).alias("n")).withColumn("at", F.row_number().over(Window.partitionBy(*x).orderBy("y"))).where(F.col("at") <= most)
+    first = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "y", F.least("n", F.lit(most)).cast("int").alias("n")))), lambda c: F.array_repeat(c["y"], c["n"])))
+    points = stored(with_row(each.groupBy(*x).agg(F.slice(first, 1, most).alias("classes")), x))
+    near = nearest(points.select(ROW, *x), x, most).select(ROW, F.posexplode("near").alias("at", "found"))
+    classes = points.select(F.col(ROW).alias("r"), "classes")
+    voters = near.join(classes, F.col("found.r") == F.col("r")).groupBy(ROW).agg(F.array_sort(F.collect_list(F.struct("at", (F.col("r") == F.col(ROW)).alias("own"), "classes"))).alias("voters"))
+    own = F.array_position(F.col("classes"), F.col("y")).cast("int")
+    rest = F.when(own > 0, F.concat(F.slice("classes", F.lit(1), own - 1), F.slice("classes", own + 1, F.lit(most)))).otherwise(F.col("classes")) if leave_one_out else F.col("classes")
+    votes = F.slice(F.flatten(F.transform("voters", lambda p: F.when(p["own"], F.col("rest")).otherwise(p["classes"]))), 1, k)
+    rows = v.join(points.join(voters, ROW), x).withColumn("rest", rest).withColumn("votes", votes)
+    ranked = F.transform(F.array_distinct("votes"), lambda c, i: F.struct(F.size(F.filter("votes", lambda t: t == c)).alias("n"), (-i).alias("at"), c.alias("c")))
+    return rows.select(*x, "y", F.array_max(ranked)["c"].alias("predicted")).toDF(*cols, key, "predicted")
 
 
 def confusion(predicted: DataFrame, key: str) -> DataFrame:
